@@ -119,7 +119,7 @@ def help_events(windows: DataFrame, answers: DataFrame, comments: DataFrame, edi
 def intervals(windows: DataFrame, events: DataFrame) -> DataFrame:
     """Counting-process rows (start, stop, event): boundaries and event times, repeats merged, each paired with the next."""
     key = ["match_id", "question_id"]
-    marks = windows.select(*key, F.explode(F.array(F.struct(F.col("t_start").alias("t"), F.lit(0).alias("e")), F.struct("t_question", F.lit(0)), F.struct("t_answer", F.lit(0)), F.struct("t_end", F.lit(0)))).alias("m")).select(*key, "m.t", "m.e")
+    marks = windows.select(*key, F.explode(F.array(*[F.struct(F.col(c).alias("t"), F.lit(0).alias("e")) for c in ("t_start", "t_question", "t_answer", "t_end")])).alias("m")).select(*key, "m.t", "m.e")
     times = marks.where("t IS NOT NULL").unionByName(events.select(*key, F.col("t_event").alias("t"), F.lit(1).alias("e"))).groupBy(*key, "t").agg(F.max("e").alias("e"))
     w = Window.partitionBy(*key).orderBy("t")
     return times.select(*key, F.col("t").alias("start"), F.lead("t").over(w).alias("stop"), F.lead("e").over(w).alias("event")).where("stop IS NOT NULL")
