@@ -64,9 +64,12 @@ class LineRuns:
             self._compact(level)
             level += 1
 
+    def _rows(self, path: str) -> DataFrame:
+        return self.spark.read.schema("h1 long, h2 long, n long").parquet(path)
+
     def _summed(self, runs) -> DataFrame:
         # Read by path, as plain files: Spark 4.1 sums a union of bucketed scans bucket file by bucket file.
-        tables = [self.spark.read.parquet(path) for _, path in runs]
+        tables = [self._rows(path) for _, path in runs]
         total = tables[0]
         for t in tables[1:]:
             total = total.unionByName(t)
@@ -89,7 +92,7 @@ class LineRuns:
         runs = [r for level in self.levels.values() for r in level]
         keys = self._summed(runs).where(F.col("n") >= self.min_docs).select(*KEY)
         for _, path in self.settled:
-            keys = keys.union(self.spark.read.parquet(path).select(*KEY))
+            keys = keys.union(self._rows(path).select(*KEY))
         keys = cut(keys)
         self._drop(runs + self.settled)
         self.levels, self.settled = {}, []
