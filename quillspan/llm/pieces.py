@@ -34,7 +34,10 @@ def load(path: str = MODEL) -> dict:
     normal = [i for i in ids if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
     raw = {m.id_to_piece(i): i for i in ids if m.is_byte(i)}
     special = [i for i in ids if m.is_control(i)]
-    return {"text": text, "pieces": {text[i]: i for i in normal}, "score": {i: m.get_score(i) for i in normal}, "bytes": [raw.get(f"<0x{b:02X}>") for b in range(256)], "unknown": m.unk_id(), "control": special, "merges": _is_bpe(m, normal), "crosses": any(SPACE in text[i].lstrip(SPACE) for i in normal)}
+    model = {"text": text, "pieces": {text[i]: i for i in normal}, "all": {text[i]: i for i in normal}, "score": {i: m.get_score(i) for i in normal}, "bytes": [raw.get(f"<0x{b:02X}>") for b in range(256)], "unknown": m.unk_id(), "control": special, "merges": _is_bpe(m, normal), "crosses": any(SPACE in text[i].lstrip(SPACE) for i in normal)}
+    if model["merges"]:  # a piece that merging its characters does not rebuild never occurs as an edge
+        model["pieces"] = {p: i for p, i in model["pieces"].items() if len(p) == 1 or merge(model, list(p)) == [p]}
+    return model
 
 
 def _is_bpe(m, normal) -> bool:
@@ -63,7 +66,7 @@ def units_of(text: str, crosses: bool = False) -> list[str]:
 
 def merge(model: dict, symbols: list[str]) -> list[str]:
     """Pieces left after all merges, best score first and leftmost on ties."""
-    pieces, score = model["pieces"], model["score"]
+    pieces, score = model["all"], model["score"]
     n = len(symbols)
     sym, nxt, prv = list(symbols), [*range(1, n), -1], [-1, *range(n - 1)]
     heap: list = []
@@ -90,13 +93,8 @@ def merge(model: dict, symbols: list[str]) -> list[str]:
     return [s for s in sym if s is not None]
 
 
-def compatible(model: dict, memo: dict, left: str, right: str) -> bool:
-    key = (left, right)
-    if (known := memo.get(key)) is None:
-        known = merge(model, [*left, *right]) == [left, right]
-        if len(memo) < 2_000_000:
-            memo[key] = known
-    return known
+def compatible(model: dict, left: str, right: str) -> bool:
+    return merge(model, [*left, *right]) == [left, right]
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -149,65 +147,63 @@ def edges(units: list[str], pieces: dict[str, int]) -> tuple[np.ndarray, np.ndar
     return at[order], length[which][order], ids[which][order], starts
 
 
+PLAIN = 1 << 24  # PLAIN + code point stands for a character that is no piece
+
+
 def segment(model: dict, memo: dict, units: list[str]) -> list[list[int]]:
-    """Token ids of each unit."""
+    """Token ids of each unit: one pass over all edges by position, then a walk back from each unit's end."""
     at, length, ids, starts = edges(units, model["pieces"])
-    bounds = np.searchsorted(at, starts)
-    text, score, merges = model["text"], model["score"], model["merges"]
+    joined = "\0".join(units) + "\0"
+    bare = np.ones(len(joined), bool)
+    bare[at[length == 1]] = False
+    bare[starts[1:] - 1] = False
+    spots = np.flatnonzero(bare)
+    at = np.concatenate([at, spots])
+    length = np.concatenate([length, np.ones(len(spots), np.int64)])
+    ids = np.concatenate([ids, np.array([PLAIN + ord(joined[i]) for i in spots.tolist()], np.int64)])
+    order = np.argsort(at, kind="stable")
+    steps = zip(at[order].tolist(), (at + length)[order].tolist(), ids[order].tolist(), strict=True)
+    token, back = [-1] * (len(joined) + 1), [0] * (len(joined) + 1)
+    for s in starts[:-1].tolist():
+        token[s] = -2  # a unit begins here
+    if model["merges"]:
+        for p, q, t in steps:
+            left = token[p]
+            if left != -1 and token[q] == -1:
+                if left != -2:
+                    key = left << 32 | t
+                    fits = memo.get(key)
+                    if fits is None:
+                        fits = compatible(model, _name(model, left), _name(model, t))
+                        if len(memo) < 2_000_000:
+                            memo[key] = fits
+                    if not fits:
+                        continue
+                token[q], back[q] = t, p
+    else:
+        score, best = model["score"], [-np.inf] * len(token)
+        for p, q, t in steps:
+            if token[p] == -2:
+                best[p] = 0.0
+            if best[p] + score.get(t, -1e6) > best[q]:
+                best[q], token[q], back[q] = best[p] + score.get(t, -1e6), t, p
     out = []
-    for k, u in enumerate(units):
-        s, n = int(starts[k]), len(u)
-        last: list = [None] * (n + 1)  # (token, start) that best ends here
-        best = [0.0] + [-np.inf] * n
-        a = b = int(bounds[k])
-        end = int(bounds[k + 1])
-        pos, size, token = at[a:end].tolist(), length[a:end].tolist(), ids[a:end].tolist()
-        i = 0
-        for p in range(n):
-            if p and last[p] is None:
-                continue
-            alone = True
-            while i < len(pos) and pos[i] - s < p:
-                i += 1
-            while i < len(pos) and pos[i] - s == p:
-                m, t, i = size[i], token[i], i + 1
-                alone &= m > 1
-                q = p + m
-                if merges:
-                    if last[q] is None and (m == 1 or merge_whole(model, memo, text[t])) and (p == 0 or compatible(model, memo, _piece(text, u, last[p]), text[t])):
-                        last[q] = (t, p)
-                elif best[p] + score[t] > best[q]:
-                    best[q], last[q] = best[p] + score[t], (t, p)
-            if alone:  # a character that is no piece: its bytes, or the unknown token
-                q = p + 1
-                if merges:
-                    if last[q] is None and (p == 0 or compatible(model, memo, _piece(text, u, last[p]), u[p])):
-                        last[q] = (-1, p)
-                elif best[p] - 1e6 > best[q]:
-                    best[q], last[q] = best[p] - 1e6, (-1, p)
-        tokens: list[int] = []
-        q = n
-        while q > 0:
-            t, p = last[q]
-            if t >= 0:
+    for s, u in zip(starts[:-1].tolist(), units, strict=True):
+        q, tokens = s + len(u), []
+        while q > s:
+            t = token[q]
+            if t < PLAIN:
                 tokens.append(t)
-            else:
-                raw = [model["bytes"][x] for x in u[p:q].encode()]
+            else:  # its bytes, or the unknown token
+                raw = [model["bytes"][x] for x in chr(t - PLAIN).encode()]
                 tokens.extend(reversed(raw) if None not in raw else [model["unknown"]])
-            q = p
+            q = back[q]
         out.append(tokens[::-1])
     return out
 
 
-def _piece(text: dict, u: str, token: tuple) -> str:
-    return text[token[0]] if token[0] >= 0 else u[token[1]]
-
-
-def merge_whole(model: dict, memo: dict, piece: str) -> bool:
-    """True if merging a piece's characters rebuilds the piece (others never occur)."""
-    if (known := memo.get(piece)) is None:
-        known = memo[piece] = merge(model, list(piece)) == [piece]
-    return known
+def _name(model: dict, token: int) -> str:
+    return model["text"][token] if token < PLAIN else chr(token - PLAIN)
 
 
 def encode_texts(model: dict, texts: list[str | None], cache: dict, memo: dict) -> list[list[int]]:
