@@ -23,7 +23,7 @@ from ._common import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_UNITS = 50_000
+BATCH_UNITS = 30_000
 
 
 def load(path: str = MODEL) -> dict:
@@ -175,7 +175,7 @@ def segment(model: dict, memo: dict, units: list[str]) -> list[list[int]]:
                     fits = memo.get(key)
                     if fits is None:
                         fits = compatible(model, _name(model, left), _name(model, t))
-                        if len(memo) < 2_000_000:
+                        if len(memo) < 1_000_000:
                             memo[key] = fits
                     if not fits:
                         continue
@@ -207,14 +207,14 @@ def _name(model: dict, token: int) -> str:
 
 
 def encode_texts(model: dict, texts: list[str | None], cache: dict, memo: dict) -> list[list[int]]:
-    """Token ids of each text; ``cache`` keeps units between calls (up to a million)."""
+    """Token ids of each text; ``cache`` keeps units between calls (up to 400,000)."""
     parts = [units_of(t or "", model["crosses"]) for t in texts]
     new = sorted({u for p in parts for u in p if u not in cache})
     own: dict = {}
     for k in range(0, len(new), BATCH_UNITS):
         some = new[k : k + BATCH_UNITS]
         own.update(zip(some, segment(model, memo, some), strict=True))
-    if len(cache) + len(own) <= 1_000_000:
+    if len(cache) + len(own) <= 400_000:
         cache.update(own)
         own = {}
     out = []
