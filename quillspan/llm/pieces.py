@@ -12,9 +12,11 @@ For a unigram model the relaxation keeps the largest sum of scores.
 from __future__ import annotations
 
 import heapq
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from ._common import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_UNITS = 30_000
+BATCH_UNITS, BATCH_CHARS = 60_000, 4_000_000
 
 
 def load(path: str = MODEL) -> dict:
@@ -37,6 +39,8 @@ def load(path: str = MODEL) -> dict:
     model = {"text": text, "pieces": {text[i]: i for i in normal}, "all": {text[i]: i for i in normal}, "score": {i: m.get_score(i) for i in normal}, "bytes": [raw.get(f"<0x{b:02X}>") for b in range(256)], "unknown": m.unk_id(), "control": special, "merges": _is_bpe(m, normal), "crosses": any(SPACE in text[i].lstrip(SPACE) for i in normal)}
     if model["merges"]:  # a piece that merging its characters does not rebuild never occurs as an edge
         model["pieces"] = {p: i for p, i in model["pieces"].items() if len(p) == 1 or merge(model, list(p)) == [p]}
+    model["vocab"] = vocabulary(model["pieces"])
+    model["scores"] = np.array([model["score"].get(i, -1e6) for i in ids])
     return model
 
 
@@ -52,10 +56,12 @@ def units_of(text: str, crosses: bool = False) -> list[str]:
     marked = SPACE + text.replace(" ", SPACE)
     if crosses:
         return [marked]
-    parts = marked.split(SPACE)
+    parts = marked[1:].split(SPACE)
+    if all(parts):
+        return [SPACE + p for p in parts]
     out, marks = [], 0
-    for k, p in enumerate(parts):
-        marks += k > 0
+    for p in parts:
+        marks += 1
         if p:
             out.append(SPACE * marks + p)
             marks = 0
@@ -97,152 +103,246 @@ def compatible(model: dict, left: str, right: str) -> bool:
     return merge(model, [*left, *right]) == [left, right]
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions ordered by their first ``depth`` codes, by doubling of ranks; ties in any order."""
-    rank, have = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1, 1
-    while have < depth:
+WIDTH, BITS = 3, 21  # code points of 21 bits that one 63-bit key holds
+
+
+def _pack(codes: np.ndarray) -> np.ndarray:
+    """Key of the ``WIDTH`` codes from each position on; zeros follow the end."""
+    c = np.concatenate([codes, np.zeros(WIDTH, codes.dtype)]).astype(np.int64)
+    n, key = len(codes), np.zeros(len(codes), np.int64)
+    for k in range(WIDTH):
+        key = key << BITS | c[k : n + k]
+    return key
+
+
+def suffix_array(key: np.ndarray, depth: int) -> np.ndarray:
+    """Positions ordered by their first ``depth`` codes, given packed keys, by doubling of ranks; ties in any order."""
+    have = WIDTH
+    while True:
+        order = np.argsort(key)
+        if have >= depth:
+            return order
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
         second = np.zeros_like(rank)
         second[:-have] = rank[have:]
-        rank = np.unique(rank * (len(rank) + 2) + second, return_inverse=True)[1].astype(np.int64) + 1
-        have *= 2
-    return np.argsort(rank, kind="stable")
+        key, have = rank * (len(rank) + 1) + second, have * 2
 
 
-def edges(units: list[str], pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of every piece in the units: (position, length, piece id) by position, and unit starts."""
-    joined = "\0".join(units) + "\0"  # a unit may hold \0 itself; edges that cross a unit's end are dropped
-    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    starts = np.cumsum([0, *[len(u) + 1 for u in units]])
-    longest = max(map(len, pieces), default=1)
-    sa = suffix_array(codes, longest)
-    padded = np.concatenate([codes, np.zeros(longest, np.uint32)])
+def vocabulary(pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces as (length, id, lowest and highest packed key of each block of ``WIDTH`` codes)."""
     names = sorted(pieces, key=len)
     length = np.fromiter(map(len, names), np.int64, len(names))
     ids = np.fromiter((pieces[p] for p in names), np.int64, len(names))
-    want = np.zeros((len(names), longest), np.uint32)
+    blocks = -(-max(map(len, names), default=1) // WIDTH)
+    low, high = np.zeros((blocks, len(names)), np.int64), np.zeros((blocks, len(names)), np.int64)
     for k, p in enumerate(names):
-        want[k, : len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
-    lo, hi = np.zeros(len(names), np.int64), np.full(len(names), len(sa), np.int64)
-    for d in range(longest):  # the d-th character narrows the range of each piece that has one
-        live = np.flatnonzero((length > d) & (lo < hi))
-        for side in ("left", "right"):
-            a, b, c = lo[live].copy(), hi[live].copy(), want[live, d]
-            if side == "right":
-                a, b = low.copy(), hi[live].copy()
-            while (open_ := a < b).any():
-                mid = (a + b) // 2
-                x = padded[sa[np.minimum(mid, len(sa) - 1)] + d]
-                up = open_ & ((x < c) if side == "left" else (x <= c))
-                a, b = np.where(up, mid + 1, a), np.where(open_ & ~up, mid, b)
-            if side == "left":
-                low = a
-        lo[live], hi[live] = low, a
+        for i in range(blocks * WIDTH):
+            b, c = i // WIDTH, ord(p[i]) if i < len(p) else None
+            low[b, k] = low[b, k] << BITS | (c or 0)
+            high[b, k] = high[b, k] << BITS | ((1 << BITS) - 1 if c is None else c)
+    return length, ids, low, high
+
+
+def edges(units: list[str], vocab: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences of every piece in the units: (position, length, piece id), the unit starts and the codes."""
+    length, ids, low, high = vocab
+    joined = "\0".join(units) + "\0"  # a unit may hold \0 itself; edges that cross a unit's end are dropped
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    starts = np.cumsum([0, *[len(u) + 1 for u in units]])
+    key = _pack(codes)
+    sa = suffix_array(key, int(length[-1]) if len(length) else 1)
+    ranked = key[sa]
+    lo, hi = np.searchsorted(ranked, low[0], "left"), np.searchsorted(ranked, high[0], "right")
+    key = np.concatenate([key, np.zeros(len(low) * WIDTH, np.int64)])
+    for d in range(1, len(low)):  # the next codes narrow the range of each longer piece
+        live = np.flatnonzero((length > d * WIDTH) & (lo < hi))
+        lo[live], hi[live] = _search(key, sa, d * WIDTH, lo[live], hi[live], low[d, live], False), _search(key, sa, d * WIDTH, lo[live], hi[live], high[d, live], True)
     n = np.maximum(hi - lo, 0)
-    which = np.repeat(np.arange(len(names)), n)
-    at = sa[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    unit = np.searchsorted(starts, at, side="right") - 1
+    which = np.repeat(np.arange(len(length)), n)
+    at = sa[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    unit = np.repeat(np.arange(len(units)), np.diff(starts))[at]
     inside = at + length[which] < starts[unit + 1]
     at, which = at[inside], which[inside]
-    order = np.lexsort([length[which], at])
-    return at[order], length[which][order], ids[which][order], starts
+    return at, length[which], ids[which], starts, codes
 
 
-PLAIN = 1 << 24  # PLAIN + code point stands for a character that is no piece
+def _search(key: np.ndarray, sa: np.ndarray, depth: int, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, after: bool) -> np.ndarray:
+    """Binary search of each wanted key at ``depth`` within its own range of the suffix array."""
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        x = key[sa[np.minimum(mid, len(sa) - 1)] + depth]
+        up = open_ & ((x <= want) if after else (x < want))
+        lo, hi = np.where(up, mid + 1, lo), np.where(open_ & ~up, mid, hi)
+    return lo
 
 
-def segment(model: dict, memo: dict, units: list[str]) -> list[list[int]]:
-    """Token ids of each unit: one pass over all edges by position, then a walk back from each unit's end."""
-    at, length, ids, starts = edges(units, model["pieces"])
-    joined = "\0".join(units) + "\0"
-    bare = np.ones(len(joined), bool)
+PLAIN = 1 << 24  # PLAIN + code point stands for a character that is no piece
+MEMO_PAIRS, CACHE_UNITS, LONG_UNIT = 400_000, 400_000, 64
+
+
+def _fits(model: dict, memo: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each pair of neighbouring tokens stays apart; ``memo`` keeps up to MEMO_PAIRS answers."""
+    keys = (left << 32 | right).tolist()
+    known = list(map(memo.get, keys))
+    if None in known:
+        if len(memo) > MEMO_PAIRS:
+            memo.clear()
+        for i, f in enumerate(known):
+            if f is None:
+                k = keys[i]
+                f = memo.get(k)
+                if f is None:
+                    f = memo[k] = compatible(model, _name(model, k >> 32), _name(model, k & 0xFFFFFFFF))
+                known[i] = f
+    return np.array(known, bool)
+
+
+def _relax(model: dict, memo: dict, at: np.ndarray, end: np.ndarray, ids: np.ndarray, cuts: np.ndarray, token: np.ndarray, back: np.ndarray) -> None:
+    """Relax edges in runs of equal offset in their units (``cuts`` bounds the runs): within one, no two edges share an end."""
+    best = None if model["merges"] else np.where(token == -2, 0.0, -np.inf)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        p, q, t = at[a:b], end[a:b], ids[a:b]
+        left = token[p]
+        if model["merges"]:
+            ok = (left != -1) & (token[q] == -1)
+            p, q, t, left = p[ok], q[ok], t[ok], left[ok]
+            inner = np.flatnonzero(left != -2)
+            ok = np.ones(len(p), bool)
+            ok[inner] = _fits(model, memo, left[inner], t[inner])
+        else:
+            sums = best[p] + np.where(t < PLAIN, model["scores"][np.minimum(t, len(model["scores"]) - 1)], -1e6)
+            ok = sums > best[q]
+            best[q[ok]] = sums[ok]
+        token[q[ok]], back[q[ok]] = t[ok], p[ok]
+
+
+def _relax_long(model: dict, memo: dict, at: np.ndarray, end: np.ndarray, ids: np.ndarray, token: np.ndarray, back: np.ndarray) -> None:
+    """The same, edge by edge in order of position: a long unit has too few edges an offset for whole-array steps."""
+    score, best = model["scores"], {}
+    for p, q, t in zip(at.tolist(), end.tolist(), ids.tolist(), strict=True):
+        left = int(token[p])
+        if not model["merges"]:
+            total = (0.0 if left == -2 else best.get(p, -np.inf)) + (score[t] if t < PLAIN else -1e6)
+            if total > best.get(q, -np.inf):
+                best[q], token[q], back[q] = total, t, p
+        elif left != -1 and token[q] == -1:
+            if left != -2:
+                fits = memo.get(left << 32 | t)
+                if fits is None:
+                    if len(memo) > MEMO_PAIRS:
+                        memo.clear()
+                    fits = memo[left << 32 | t] = compatible(model, _name(model, left), _name(model, t))
+                if not fits:
+                    continue
+            token[q], back[q] = t, p
+
+
+def segment(model: dict, memo: dict, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the units one after the other, and their number a unit."""
+    at, length, ids, starts, codes = edges(units, model["vocab"])
+    bare = np.ones(len(codes), bool)
     bare[at[length == 1]] = False
     bare[starts[1:] - 1] = False
     spots = np.flatnonzero(bare)
     at = np.concatenate([at, spots])
-    length = np.concatenate([length, np.ones(len(spots), np.int64)])
-    ids = np.concatenate([ids, np.array([PLAIN + ord(joined[i]) for i in spots.tolist()], np.int64)])
-    order = np.argsort(at, kind="stable")
-    steps = zip(at[order].tolist(), (at + length)[order].tolist(), ids[order].tolist(), strict=True)
-    token, back = [-1] * (len(joined) + 1), [0] * (len(joined) + 1)
-    for s in starts[:-1].tolist():
-        token[s] = -2  # a unit begins here
-    if model["merges"]:
-        for p, q, t in steps:
-            left = token[p]
-            if left != -1 and token[q] == -1:
-                if left != -2:
-                    key = left << 32 | t
-                    fits = memo.get(key)
-                    if fits is None:
-                        fits = compatible(model, _name(model, left), _name(model, t))
-                        if len(memo) < 1_000_000:
-                            memo[key] = fits
-                    if not fits:
-                        continue
-                token[q], back[q] = t, p
-    else:
-        score, best = model["score"], [-np.inf] * len(token)
-        for p, q, t in steps:
-            if token[p] == -2:
-                best[p] = 0.0
-            if best[p] + score.get(t, -1e6) > best[q]:
-                best[q], token[q], back[q] = best[p] + score.get(t, -1e6), t, p
-    out = []
-    for s, u in zip(starts[:-1].tolist(), units, strict=True):
-        q, tokens = s + len(u), []
-        while q > s:
-            t = token[q]
-            if t < PLAIN:
-                tokens.append(t)
-            else:  # its bytes, or the unknown token
-                raw = [model["bytes"][x] for x in chr(t - PLAIN).encode()]
-                tokens.extend(reversed(raw) if None not in raw else [model["unknown"]])
-            q = back[q]
-        out.append(tokens[::-1])
-    return out
+    end = at + np.concatenate([length, np.ones(len(spots), np.int64)])
+    ids = np.concatenate([ids, PLAIN + codes[spots].astype(np.int64)])
+    unit = np.repeat(np.arange(len(units)), np.diff(starts))
+    token, back = np.full(len(codes) + 1, -1, np.int64), np.zeros(len(codes) + 1, np.int64)
+    token[starts[:-1]] = -2  # a unit begins here
+    long = np.diff(starts)[unit[at]] > LONG_UNIT
+    few = np.flatnonzero(~long)
+    offset = at[few] - starts[unit[at[few]]]
+    few = few[np.argsort(offset, kind="stable")]
+    _relax(model, memo, at[few], end[few], ids[few], np.concatenate([[0], np.cumsum(np.bincount(offset, minlength=1))]), token, back)
+    many = np.flatnonzero(long)
+    many = many[np.argsort(at[many], kind="stable")]
+    _relax_long(model, memo, at[many], end[many], ids[many], token, back)
+    used, here = np.zeros(len(token), bool), starts[1:] - 1
+    first = starts[:-1]
+    while len(here):  # one step back in every unit that has not reached its start
+        going = here > first
+        here, first = here[going], first[going]
+        used[here] = True
+        here = back[here]
+    ends = np.flatnonzero(used)
+    found, owner = token[ends], unit[ends - 1]
+    times = np.ones(len(found), np.int64)
+    for i in np.flatnonzero(found >= PLAIN).tolist():  # its bytes, or the unknown token
+        times[i] = len(_raw(model, found[i]))
+    flat = np.repeat(found, times)
+    if (flat >= PLAIN).any():
+        spots = np.cumsum(times) - times
+        for i in np.flatnonzero(found >= PLAIN).tolist():
+            flat[spots[i] : spots[i] + times[i]] = _raw(model, found[i])
+    return flat.astype(np.int32), np.bincount(owner, times, len(units)).astype(np.int64)
+
+
+def _raw(model: dict, token: int) -> list[int]:
+    raw = [model["bytes"][x] for x in chr(int(token) - PLAIN).encode()]
+    return [model["unknown"]] if None in raw else raw
 
 
 def _name(model: dict, token: int) -> str:
     return model["text"][token] if token < PLAIN else chr(token - PLAIN)
 
 
-def encode_texts(model: dict, texts: list[str | None], cache: dict, memo: dict) -> list[list[int]]:
-    """Token ids of each text; ``cache`` keeps units between calls (up to 400,000)."""
-    parts = [units_of(t or "", model["crosses"]) for t in texts]
-    new = sorted({u for p in parts for u in p if u not in cache})
-    own: dict = {}
-    for k in range(0, len(new), BATCH_UNITS):
-        some = new[k : k + BATCH_UNITS]
-        own.update(zip(some, segment(model, memo, some), strict=True))
-    if len(cache) + len(own) <= 400_000:
-        cache.update(own)
-        own = {}
-    out = []
-    for p in parts:
-        ids: list[int] = []
-        for u in p:
-            ids += cache[u] if u in cache else own[u]
-        out.append(ids)
-    return out
-
+def encode_texts(model: dict, texts: list[str | None], cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the texts one after the other, and their number a text.
 
-def decode_ids(model: dict, ids: list[int] | None) -> str:
-    """Text of token ids: byte tokens join into characters (bad bytes give U+FFFD each), marks become spaces."""
-    raw = {t: b for b, t in enumerate(model["bytes"]) if t is not None}
-    text, control, out, pending = model["text"], set(model["control"]), [], bytearray()
-    for t in [*(ids or ()), None]:
-        if t in raw:
-            pending.append(raw[t])
-            continue
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-            pending = bytearray()
-        if t == model["unknown"]:
-            out.append(" ⁇ ")
-        elif t is not None and t not in control:
-            out.append(text[t])
-    joined = "".join(out).replace(SPACE, " ")
-    return joined[1:] if joined.startswith(" ") else joined
+    ``cache`` keeps the tokens of up to CACHE_UNITS units that a call meets twice, and compared pairs.
+    """
+    if not cache:
+        cache |= {"slot": {}, "flat": np.zeros(0, np.int32), "size": np.zeros(0, np.int64), "memo": {}}
+    units: list[str] = []
+    per_text = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        own = units_of(t or "", model["crosses"])
+        per_text[i] = len(own)
+        units += own
+    slots = np.fromiter(map(cache["slot"].get, units, repeat(-1)), np.int64, len(units))
+    missing, flat, size = np.flatnonzero(slots < 0), cache["flat"], cache["size"]
+    if len(missing):
+        new: dict[str, int] = {}
+        code = np.array([new.setdefault(units[i], len(new)) for i in missing.tolist()], np.int64)
+        names = list(new)
+        runs = [segment(model, cache["memo"], names[k : k + BATCH_UNITS]) for k in range(0, len(names), BATCH_UNITS)]
+        new_flat, new_size = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+        slots[missing] = len(size) + code
+        flat, size = np.concatenate([flat, new_flat]), np.concatenate([size, new_size])
+        keep = np.flatnonzero(np.bincount(code) > 1)[: max(CACHE_UNITS - len(cache["slot"]), 0)]
+        cache["slot"].update(zip([names[i] for i in keep.tolist()], range(len(cache["size"]), len(cache["size"]) + len(keep)), strict=True))
+        cache["flat"] = np.concatenate([cache["flat"], _gather(new_flat, new_size, keep)])
+        cache["size"] = np.concatenate([cache["size"], new_size[keep]])
+    ids = _gather(flat, size, slots)
+    ends = np.concatenate([[0], np.cumsum(size[slots])])
+    return ids, np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
+
+
+def _gather(flat: np.ndarray, size: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Runs ``slots`` of ``flat`` one after the other; run i has ``size[i]`` values."""
+    n, begin = size[slots], (np.cumsum(size) - size)[slots]
+    return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def decoder(model: dict) -> pa.Array:
+    """Bytes that each token id stands for; control tokens stand for none."""
+    table = {i: t.encode() for i, t in model["text"].items()} | dict.fromkeys(model["control"], b"")
+    table |= {t: bytes([b]) for b, t in enumerate(model["bytes"]) if t is not None} | {model["unknown"]: " ⁇ ".encode()}
+    return pa.array([table[i] for i in range(len(table))], pa.binary())
+
+
+def decode_ids(table: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """Texts of lists of token ids: bytes join into characters (bad ones give U+FFFD), marks become spaces, null gives ''."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+    parts = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), table.take(ids.flatten()).cast(pa.large_binary()))
+    joined = pc.binary_join(parts, pa.scalar(b"", pa.large_binary()))
+    try:
+        text = joined.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        text = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.large_string())
+    return pc.replace_substring_regex(pc.replace_substring(text, SPACE, " "), r"\A ", "", max_replacements=1).cast(pa.string())
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, extra: str | None = None) -> DataFrame:
@@ -255,12 +355,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches):
         m = shared.value
-        cache, memo = m.setdefault("cache", {}), m.setdefault("memo", {})
+        cache = m.setdefault("cache", {})
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for k in range(0, len(texts), 1000):
-                ids = encode_texts(m, texts[k : k + 1000], cache, memo)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, len(ids)), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(sizes // BATCH_CHARS)) + 1, [len(sizes)]]))
+            for k, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                ids, n = encode_texts(m, b.column(1).slice(k, end - k).to_pylist(), cache)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, end - k), lists], names=["id", "ids"])
 
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
@@ -268,12 +370,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", path: str = MODEL) -> DataFrame:
     """(id, ids, text) with the text of every row's ids."""
-    shared = tokens.sparkSession.sparkContext.broadcast(load(path))
+    table = decoder(load(path))
 
     def run(batches):
-        m = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([decode_ids(m, x) for x in b.column(1).to_pylist()], pa.string())], names=["id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, decode_ids(table, b.column(1))], names=["id", "ids", "text"])
 
     frame = tokens.select(F.col(id_col).alias("id"), "ids")
     return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>, text string").withColumnRenamed("id", id_col)

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -205,8 +206,36 @@ def test_pieces_on_random_units():
     lib, model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.load()
     rng = np.random.default_rng(5)
     texts = ["".join(rng.choice(list("abenrst  \n<>0é☃日本"), size=int(n))) for n in rng.integers(0, 60, 300)]
-    assert pieces.encode_texts(model, texts, {}, {}) == [lib.encode(t) for t in texts]
-    assert [pieces.decode_ids(model, lib.encode(t)) for t in texts] == texts
+    texts += ["", " ".join(texts), "".join(texts * 3), "ab" * 300]
+    want = [lib.encode(t) for t in texts]
+    for cache in ({}, {}):
+        for _ in range(2):  # the second call reads the cache
+            ids, n = pieces.encode_texts(model, texts, cache)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    assert pieces.decode_ids(pieces.decoder(model), pa.array([*want, None], pa.list_(pa.int32()))).to_pylist() == [*texts, ""]
+
+
+def test_pieces_of_a_score_model():
+    """Relaxation by the largest sum of scores equals a plain search, for short and long units."""
+    rng = np.random.default_rng(6)
+    names = [pieces.SPACE, "a", "b", "ab", "ba", "aab", "bab", pieces.SPACE + "a", pieces.SPACE + "ba"]
+    score = {i: float(-rng.integers(10, 90)) / 7 for i in range(len(names))}
+    own = {p: i for i, p in enumerate(names)}
+    model = {"text": dict(enumerate(names)), "pieces": own, "all": own, "score": score, "bytes": [None] * 256, "unknown": 99, "control": [], "merges": False, "crosses": False, "vocab": pieces.vocabulary(own), "scores": np.array([score[i] for i in range(len(names))])}
+    texts = ["".join(rng.choice(list("abb "), size=int(n))) for n in [*rng.integers(0, 40, 60), 200]] + ["ab" * 60]
+
+    def best(unit):
+        sums = [0.0] + [-np.inf] * len(unit)
+        for i in range(len(unit)):
+            for p, t in own.items():
+                if unit.startswith(p, i):
+                    sums[i + len(p)] = max(sums[i + len(p)], sums[i] + score[t])
+        return sums[-1]
+
+    ids, n = pieces.encode_texts(model, texts, {})
+    for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert "".join(names[i] for i in got) == "".join(pieces.units_of(t))
+        assert sum(score[i] for i in got.tolist()) == pytest.approx(sum(map(best, pieces.units_of(t))))
 
 
 def test_topk(spark):
