@@ -25,7 +25,7 @@ from ._common import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_UNITS, BATCH_CHARS = 60_000, 4_000_000
+BATCH_UNITS, BATCH_CHARS = 40_000, 2_000_000
 
 
 def load(path: str = MODEL) -> dict:
@@ -178,7 +178,7 @@ def _search(key: np.ndarray, sa: np.ndarray, depth: int, lo: np.ndarray, hi: np.
 
 
 PLAIN = 1 << 24  # PLAIN + code point stands for a character that is no piece
-MEMO_PAIRS, CACHE_UNITS, LONG_UNIT = 400_000, 400_000, 64
+MEMO_PAIRS, CACHE_UNITS, LONG_UNIT = 250_000, 250_000, 64
 
 
 def _fits(model: dict, memo: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -345,16 +345,18 @@ def decode_ids(table: pa.Array, ids: pa.ListArray) -> pa.Array:
     return pc.replace_substring_regex(pc.replace_substring(text, SPACE, " "), r"\A ", "", max_replacements=1).cast(pa.string())
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, extra: str | None = None) -> DataFrame:
-    """(id, ids) of every whole text. Null or empty text has no token.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, decoded: bool = False) -> DataFrame:
+    """(id, ids) of every whole text, and with ``decoded`` the text that the ids decode to. Null or empty text has no token.
 
     The ids are those of the library for the same file. A text's own U+2581 is taken for a space, as
     there; every other text is restored exactly by :func:`decode`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    names = ["id", "ids", "text"][: 2 + decoded]
 
     def run(batches):
         m = shared.value
+        table = decoder(m) if decoded else None
         cache = m.setdefault("cache", {})
         for b in batches:
             sizes = np.cumsum(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
@@ -362,10 +364,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             for k, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 ids, n = encode_texts(m, b.column(1).slice(k, end - k).to_pylist(), cache)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, end - k), lists], names=["id", "ids"])
+                more = [decode_ids(table, lists)] if decoded else []
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, end - k), lists, *more], names=names)
 
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>" + ", text string" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", path: str = MODEL) -> DataFrame:
@@ -382,7 +385,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", path: str = MODEL) -> Data
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document and digests of the ids and of the text that they decode to."""
-    out = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -199,6 +199,8 @@ def test_pieces_match_the_library(docs, empty):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in got:
         assert list(r.ids) == lib.encode(texts[r.doc_id] or "") and r.text == (texts[r.doc_id] or "")
+    once = pieces.encode(docs, decoded=True).collect()
+    assert sorted(map(str, once)) == sorted(map(str, got))
     assert pieces.encode(empty).count() == 0
 
 
