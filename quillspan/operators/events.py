@@ -134,3 +134,16 @@ def activation(log: DataFrame, days: int = 7) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-days * DAY + 1, -1)
     seen = e.withColumn("n", F.sum((F.col("event") == "AcceptedAnswer").cast("int")).over(w))
     return seen.where("event = 'Answer' AND n > 0").groupBy("user_id").agg(F.min("us").alias("first_us"))
+
+
+def batch_ids(ids: DataFrame, key: str, size: int, width: int = 4096) -> DataFrame:
+    """(key, batch_id): distinct whole-number keys in ascending order, ``size`` to a batch.
+
+    Keys are ranked within ranges of ``width`` values; only the ranges' counts go through one task.
+    """
+    bucket = F.floor(F.col(key) / F.lit(width)).alias("_b")
+    x = ids.select(key, bucket)
+    sizes = x.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    ranked = x.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(key))).join(before, "_b")
+    return ranked.select(key, F.floor((F.col("_before") + F.col("_r") - 1) / F.lit(size)).cast("bigint").alias("batch_id"))

@@ -222,3 +222,56 @@ def absolute_effect(rate, hr):
     return ard.alias("ard"), (ard * 1000).alias("per_1k"), F.when(ard > 0, 1 / ard).alias("nnt")
 
 
+def pooled_rates(rates: DataFrame) -> DataFrame:
+    """Rates of each bin over all arms, weighted by units, with the pooled error."""
+    n = F.sum("n_obs")
+    se = F.sqrt(F.sum(F.col("se") * F.col("n_obs") * F.col("se") * F.col("n_obs"))) / n
+    return rates.groupBy("bin").agg(n.cast("bigint").alias("n_obs"), (F.sum(F.col("rate") * F.col("n_obs")) / n).alias("rate"), se.alias("se"))
+
+
+def normalised_rates(rates: DataFrame, first: int) -> DataFrame:
+    """Rates over the mean of the arm's bins below ``first``, errors propagated; null where that mean is 0.
+
+    The baseline has a row an arm, so its side of the join is broadcast by its size.
+    """
+    base = rates.where(F.col("bin") < first).groupBy("treated").agg(F.avg("rate").alias("base"), (F.sqrt(F.sum(F.col("se") * F.col("se"))) / F.count("*")).alias("base_se"))
+    b, r, x = F.col("base"), F.col("rate"), rates.join(base, "treated")
+    se = F.sqrt((F.col("se") / b) ** 2 + (r * F.col("base_se") / (b * b)) ** 2)
+    return x.withColumn("ratio", F.when(b > 0, r / b)).withColumn("ratio_se", F.when(b > 0, se))
+
+
+def demeaned(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """Deviations from the group's means: the within transformation of fixed effects.
+
+    The means are aggregated first and joined, so that a hot group's rows stay spread over tasks.
+    """
+    means = df.groupBy(by).agg(*(F.avg(c).alias(f"_m_{c}") for c in columns))
+    x = df.join(means, by)
+    return x.select(*(c for c in df.columns if c not in columns), *((F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns))
+
+
+def clustered_ols(df: DataFrame, y: str, xs: list[str], cluster: str, small: bool = True) -> list[dict]:
+    """Least squares with errors clustered by ``cluster``; an intercept is a column of ``xs``.
+
+    Two aggregations with map-side combine: the cross products give the coefficients, then the sums of
+    scores a cluster give the sandwich. Only matrices of the size of ``xs`` reach the driver. Rows with a
+    null are left out; collinear columns share their effect (pseudo-inverse).
+    """
+    d = df.select(*(F.col(c).cast("double").alias(c) for c in [y, *xs]), F.col(cluster).alias("_g")).dropna()
+    k = len(xs)
+    cross = d.agg(*(F.sum(F.col(a) * F.col(b)) for i, a in enumerate(xs) for b in xs[i:]), *(F.sum(F.col(a) * F.col(y)) for a in xs), F.count("*")).first()
+    n, a = cross[-1], np.zeros((k, k))
+    if not n:
+        return []
+    a[np.triu_indices(k)] = cross[: k * (k + 1) // 2]
+    inv = np.linalg.pinv(a + np.triu(a, 1).T)
+    beta = inv @ np.array(cross[k * (k + 1) // 2 : -1], float)
+    fitted = sum((F.col(x) * float(b) for x, b in zip(xs, beta, strict=True)), F.lit(0.0))
+    scores = d.groupBy("_g").agg(*(F.sum(F.col(x) * (F.col(y) - fitted)).alias(f"_u{i}") for i, x in enumerate(xs)))
+    meat = scores.agg(*(F.sum(F.col(f"_u{i}") * F.col(f"_u{j}")) for i in range(k) for j in range(i, k)), F.count("*")).first()
+    m, g = np.zeros((k, k)), meat[-1]
+    m[np.triu_indices(k)] = meat[:-1]
+    v = inv @ (m + np.triu(m, 1).T) @ inv
+    if small and g > 1 and n > k:
+        v = v * (g / (g - 1)) * ((n - 1) / (n - k))
+    return [{"term": x, "coef": float(b), "se": float(np.sqrt(max(s, 0.0))), "n": n, "clusters": g} for x, b, s in zip(xs, beta, np.diag(v), strict=True)]

@@ -307,6 +307,52 @@ def q_bootstrap(t) -> DataFrame:
     return S.poisson_weights(pairs_of(t), "treated_id", 20).groupBy("replicate").agg(F.sum("weight").alias("pairs"), F.count("*").alias("distinct_pairs"))
 
 
+ORACLE["pooled_rates"] = f"SELECT bin, CAST(sum(n_obs) AS BIGINT) AS n_obs, round(sum(rate * n_obs) / sum(n_obs), 9) AS rate, round(sqrt(sum((se * n_obs) * (se * n_obs))) / sum(n_obs), 9) AS se FROM ({ORACLE['binned_rates']}) x GROUP BY bin"
+
+
+def rates_of(t) -> DataFrame:
+    w = windows_of(t)
+    return S.binned_rates(w, helps_of(t, w))
+
+
+def q_pooled(t) -> DataFrame:
+    r = S.pooled_rates(rates_of(t))
+    return r.select("bin", "n_obs", F.round("rate", 9).alias("rate"), F.round("se", 9).alias("se"))
+
+
+QUERIES["pooled_rates"] = lambda spark, sf_dir: q_pooled(qa_tables(spark, sf_dir))
+
+
+ORACLE["normalised_rates"] = f"WITH r AS (SELECT * FROM ({ORACLE['binned_rates']}) x), b AS (SELECT treated, avg(rate) AS base, sqrt(sum(se * se)) / count(*) AS base_se FROM r WHERE bin < 4 GROUP BY treated) SELECT treated, bin, CASE WHEN base > 0 THEN round(rate / base, 6) END AS ratio, CASE WHEN base > 0 THEN round(sqrt(se * se / (base * base) + rate * rate * base_se * base_se / (base * base * base * base)), 6) END AS ratio_se FROM r JOIN b USING (treated)"
+
+
+def q_normalised(t) -> DataFrame:
+    r = S.normalised_rates(rates_of(t), 4)
+    return r.select("treated", "bin", F.round("ratio", 6).alias("ratio"), F.round("ratio_se", 6).alias("ratio_se"))
+
+
+QUERIES["normalised_rates"] = lambda spark, sf_dir: q_normalised(qa_tables(spark, sf_dir))
+
+
+@query("pair_tenure", f"WITH {WINDOWS} SELECT match_id, CAST(max(CASE WHEN treated = 1 THEN tenure_days END) AS BIGINT) AS treated_tenure, CAST(max(CASE WHEN treated = 0 THEN tenure_days END) AS BIGINT) AS control_tenure FROM windows GROUP BY match_id")
+def q_pair_tenure(t) -> DataFrame:
+    side = lambda k: F.max(F.when(F.col("treated") == k, F.col("tenure_days"))).cast("bigint")
+    return windows_of(t).groupBy("match_id").agg(side(1).alias("treated_tenure"), side(0).alias("control_tenure"))
+
+
+@query("batch_ids", "SELECT user_id, CAST({div:(rn - 1)|200} AS BIGINT) AS batch_id FROM (SELECT user_id, row_number() OVER (ORDER BY user_id) AS rn FROM (SELECT DISTINCT owner_user_id AS user_id FROM questions WHERE owner_user_id IS NOT NULL) x) y")
+def q_batches(t) -> DataFrame:
+    users = t["questions"].where("owner_user_id IS NOT NULL").select(F.col("owner_user_id").alias("user_id")).distinct()
+    return E.batch_ids(users, "user_id", 200)
+
+
+@query("clustered_ols")
+def q_ols(t) -> DataFrame:
+    rows = S.demeaned(t["answers"].where("owner_user_id IS NOT NULL"), "owner_user_id", ["score", "body_len_chars"])
+    fit = S.clustered_ols(rows, "score", ["body_len_chars"], "owner_user_id")
+    return t["answers"].sparkSession.createDataFrame([tuple(r.values()) for r in fit], "term string, coef double, se double, n bigint, clusters bigint")
+
+
 # Plain relational operators: the same SQL in both engines.
 sql_query("filter_equality_in", "SELECT post_id, vote_type_id, count(*) AS n FROM votes WHERE vote_type_id IN (1, 2) GROUP BY post_id, vote_type_id")
 sql_query("edit_history_filter", "SELECT type_id, count(*) AS n, count(DISTINCT user_id) AS users FROM edits WHERE type_id IN (4, 5, 6) AND user_id IS NOT NULL GROUP BY type_id")
@@ -338,4 +384,16 @@ sql_query("post_ownership_union", "SELECT p.kind, count(*) AS n, count(c.comment
 sql_query("phase_fill", "SELECT k.owner_user_id, p.phase, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT owner_user_id FROM answers WHERE owner_user_id IS NOT NULL) k CROSS JOIN (SELECT 0 AS phase UNION ALL SELECT 1) p LEFT JOIN (SELECT owner_user_id, CASE WHEN score >= 20 THEN 1 ELSE 0 END AS phase, count(*) AS n FROM answers GROUP BY owner_user_id, CASE WHEN score >= 20 THEN 1 ELSE 0 END) c ON c.owner_user_id = k.owner_user_id AND c.phase = p.phase")
 sql_query("loss_funnel", "SELECT 1 AS step, count(*) AS n FROM questions UNION ALL SELECT 2, count(*) FROM questions WHERE owner_user_id IS NOT NULL UNION ALL SELECT 3, count(*) FROM questions WHERE owner_user_id IS NOT NULL AND accepted_answer_id IS NOT NULL")
 sql_query("relative_week", "SELECT a.answer_id, cast(floor(datediff_days / 7.0) AS int) AS week FROM (SELECT a0.answer_id, ({epoch:a0.creation_date} - {epoch:u.registration_date}) / 86400000000.0 AS datediff_days FROM answers a0 JOIN users u ON u.user_id = a0.owner_user_id) a")
-
+sql_query("one_question_per_user", "SELECT owner_user_id, question_id FROM (SELECT owner_user_id, question_id, row_number() OVER (PARTITION BY owner_user_id ORDER BY (question_id * 7919) % 1000003, question_id) AS rn FROM questions WHERE owner_user_id IS NOT NULL) x WHERE rn = 1")
+sql_query("eligible_counts", "SELECT count(*) AS all_questions, count(DISTINCT owner_user_id) AS one_per_user FROM questions WHERE owner_user_id IS NOT NULL")
+sql_query("grouped_describe", "SELECT n_code_blocks, count(view_count) AS n, round(avg(view_count), 6) AS m, round(stddev_samp(view_count), 4) AS s, min(view_count) AS lo, percentile_cont(0.25) WITHIN GROUP (ORDER BY view_count) AS q25, percentile_cont(0.5) WITHIN GROUP (ORDER BY view_count) AS q50, percentile_cont(0.75) WITHIN GROUP (ORDER BY view_count) AS q75, max(view_count) AS hi FROM questions GROUP BY n_code_blocks")
+sql_query("left_closed_bins", "SELECT bin, count(*) AS users FROM (SELECT CASE WHEN n < 2 THEN '[1,2)' WHEN n < 5 THEN '[2,5)' WHEN n < 10 THEN '[5,10)' ELSE '[10,inf)' END AS bin FROM (SELECT owner_user_id, count(*) AS n FROM answers WHERE owner_user_id IS NOT NULL GROUP BY owner_user_id) x) y GROUP BY bin")
+sql_query("all_rows_meet", "SELECT parent_question_id FROM answers GROUP BY parent_question_id HAVING count(*) = 2 AND sum(CASE WHEN score >= 0 THEN 1 ELSE 0 END) = 2")
+sql_query("completeness_check", "SELECT count(*) AS expected, cast(sum(CASE WHEN s.answer_id IS NULL THEN 1 ELSE 0 END) AS bigint) AS missing FROM answers a LEFT JOIN (SELECT a2.answer_id FROM answers a2 JOIN questions q ON q.question_id = a2.parent_question_id WHERE q.owner_user_id <> a2.owner_user_id) s ON s.answer_id = a.answer_id WHERE a.owner_user_id IS NOT NULL")
+sql_query("older_self_answer_rule", "SELECT a.answer_id FROM answers a JOIN questions q ON q.question_id = a.parent_question_id WHERE a.owner_user_id <> q.owner_user_id")
+sql_query("indicator_and_log_outcomes", "SELECT answer_id, CASE WHEN score > 0 THEN 1 ELSE 0 END AS any_score, round(ln(1 + greatest(score, 0)) - avg(ln(1 + greatest(score, 0))) OVER (PARTITION BY owner_user_id), 6) AS log_dev FROM answers WHERE owner_user_id IS NOT NULL")
+sql_query("answered_share", """SELECT h.hours, round(cast(sum(CASE WHEN {epoch:f.first_ts} - {epoch:q.creation_date} <= h.hours * 3600000000 THEN 1 ELSE 0 END) AS double) / count(*), 9) AS share FROM questions q
+  LEFT JOIN (SELECT parent_question_id, min(creation_date) AS first_ts FROM answers GROUP BY parent_question_id) f ON f.parent_question_id = q.question_id CROSS JOIN (SELECT 1 AS hours UNION ALL SELECT 6 UNION ALL SELECT 24 UNION ALL SELECT 72 UNION ALL SELECT 168) h GROUP BY h.hours""")
+sql_query("two_period_counts", """SELECT b.question_id, cast(sum(CASE WHEN a.creation_date < b.t THEN 1 ELSE 0 END) AS bigint) AS before_n, cast(sum(CASE WHEN a.creation_date >= b.t THEN 1 ELSE 0 END) AS bigint) AS after_n
+  FROM (SELECT q.question_id, q.owner_user_id, min(x.bounty_start) AS t FROM bounties x JOIN questions q ON q.question_id = x.question_id WHERE q.owner_user_id IS NOT NULL GROUP BY q.question_id, q.owner_user_id) b
+  JOIN answers a ON a.owner_user_id = b.owner_user_id AND a.creation_date >= b.t - {days:180} AND a.creation_date < b.t + {days:180} GROUP BY b.question_id""")

@@ -22,7 +22,7 @@ def rows(records, names):
     return sorted((tuple(str(plain(r[names.index(c)])) for c in order) for r in records))
 
 
-@pytest.mark.parametrize("name", ["eligible_questions", "question_tags", "helps_half_open", "event_log", "history_metrics", "activation", "bounty_flags", "full_outer_monthly", "grouping_sets", "phase_fill"])
+@pytest.mark.parametrize("name", ["eligible_questions", "question_tags", "helps_half_open", "event_log", "history_metrics", "activation", "bounty_flags", "full_outer_monthly", "grouping_sets", "phase_fill", "batch_ids", "one_question_per_user", "eligible_counts", "grouped_describe", "left_closed_bins", "all_rows_meet", "completeness_check", "older_self_answer_rule", "indicator_and_log_outcomes", "answered_share", "two_period_counts"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in BASE:
@@ -72,3 +72,20 @@ def test_absolute_effect(spark):
 
     r = spark.range(1).select(*study.absolute_effect(F.lit(0.1), F.lit(0.9))).first()
     assert r.nnt is None and r.ard < 0
+
+
+def test_clustered_ols(spark):
+    rng = np.random.default_rng(3)
+    g, x = rng.integers(0, 30, 400), rng.normal(size=(400, 2))
+    y = x @ [1.5, -2.0] + rng.normal(size=30)[g] + rng.normal(size=400)
+    df = spark.createDataFrame([(int(a), 1.0, *map(float, b), float(c)) for a, b, c in zip(g, x, y)] + [(0, 1.0, None, 0.0, 1.0)], "g long, one double, a double, b double, y double")
+    fit = study.clustered_ols(df, "y", ["one", "a", "b"], "g")
+    m = np.column_stack([np.ones(400), x])
+    inv = np.linalg.inv(m.T @ m)
+    beta = inv @ m.T @ y
+    u = np.array([(m[g == k] * (y - m @ beta)[g == k, None]).sum(0) for k in np.unique(g)])
+    n_g = len(u)
+    v = inv @ u.T @ u @ inv * n_g / (n_g - 1) * 399 / 397
+    assert [r["coef"] for r in fit] == pytest.approx(beta.tolist())
+    assert [r["se"] for r in fit] == pytest.approx(np.sqrt(np.diag(v)).tolist())
+    assert study.clustered_ols(df.limit(0), "y", ["a"], "g") == []
