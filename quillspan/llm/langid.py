@@ -58,22 +58,21 @@ def fit(labelled: DataFrame, max_docs_per_lang: int = 4000, max_words: int = 250
     rows = labelled.where(pick).mapInArrow(_count_words, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(max_words).collect()
     at = {lang: i for i, lang in enumerate(langs)}
     words: dict[str, int] = {}
-    cells = [(words.setdefault(r["word"], len(words)), at[r["lang"]], r["n"]) for r in rows]
+    for r in rows:
+        words.setdefault(r["word"], len(words))
     table = np.zeros((len(words), len(langs)))
-    for w, k, n in cells:
-        table[w, k] = n
-    grams = []
+    for r in rows:
+        table[words[r["word"]], at[r["lang"]]] = r["n"]
+    del rows
+    weight, grams = np.log1p(table), []
     for n in ORDERS:
-        seen: dict[str, np.ndarray] = {}
-        for w, i in words.items():
-            weight = np.log1p(table[i])
-            for g in grams_of(w, n):
-                if g in seen:
-                    seen[g] = seen[g] + weight
-                else:
-                    seen[g] = weight
-        top = sorted(seen, key=lambda g: (-seen[g].sum(), g))[:max_grams]
-        grams.append((n, {g: i for i, g in enumerate(top)}, _log_share(np.array([seen[g] for g in top]).reshape(len(top), len(langs)), alpha)))
+        seen: dict[str, int] = {}
+        gram = np.fromiter((seen.setdefault(g, len(seen)) for w in words for g in grams_of(w, n)), np.int64)
+        owner = np.repeat(np.arange(len(words)), np.fromiter((len(grams_of(w, n)) for w in words), np.int64, len(words)))
+        sums = np.stack([np.bincount(gram, weight[owner, k], len(seen)) for k in range(len(langs))], axis=1)
+        total = sums.sum(axis=1)
+        top = sorted(seen, key=lambda g: (-total[seen[g]], g))[:max_grams]
+        grams.append((n, {g: i for i, g in enumerate(top)}, _log_share(sums[[seen[g] for g in top]].reshape(len(top), len(langs)), alpha)))
     return {"langs": langs, "words": words, "table": _log_share(table, alpha), "grams": grams}
 
 

@@ -71,6 +71,12 @@ def test_language_backoff(spark, docs, empty):
     assert kept.columns == docs.columns and kept.where("text is null or text = ''").count() == 0
 
 
+def test_language_fit_without_letters(spark):
+    model = langid.fit(spark.createDataFrame([("12 34", "x"), ("", "y")], "text string, lang string"))
+    assert model["langs"] == ["x", "y"] and not model["words"]
+    assert langid.predict_one(model, "word")[1] == pytest.approx(0.5)
+
+
 def test_held_out(spark):
     got = {r.i: r.h for r in spark.range(20).select("id", _common.held_out("id").alias("h")).toDF("i", "h").collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(20)}
