@@ -222,6 +222,28 @@ def absolute_effect(rate, hr):
     return ard.alias("ard"), (ard * 1000).alias("per_1k"), F.when(ard > 0, 1 / ard).alias("nnt")
 
 
+def score_codings(score):
+    """Codings of a score: inverse hyperbolic sine and indicators of 1-2, 3-9 and 10 or more; a null score is null in all."""
+    bins = ((score >= 1) & (score <= 2), (score >= 3) & (score <= 9), score >= 10)
+    return F.asinh(score.cast("double")).alias("score_asinh"), *(b.cast("int").alias(n) for b, n in zip(bins, ("score_1_2", "score_3_9", "score_10"), strict=True))
+
+
+def selection_bounds(units: DataFrame, fractions: list[float]) -> DataFrame:
+    """Event-rate ratios in each scope if a fraction of the controls without an event had had one.
+
+    ``units`` has a row a unit (scope, treated, n events). It is reduced to a row a scope before the grid of
+    fractions is applied; scopes without both arms are left out, ratios over a rate of 0 are null.
+    """
+    side = lambda k, x: F.sum(F.when(F.col("treated") == k, x).otherwise(0))
+    zero = F.when(F.col("n") == 0, 1).otherwise(0)
+    c = units.groupBy("scope").agg(side(1, 1).alias("tn"), side(1, F.col("n")).alias("te"), side(0, 1).alias("cn"), side(0, F.col("n")).alias("ce"), side(0, zero).alias("cz")).where("tn > 0 AND cn > 0")
+    x = c.select("*", F.explode(F.array(*(F.lit(float(f)) for f in fractions))).alias("fraction"))
+    adjusted = (F.col("ce") + F.col("fraction") * F.col("cz")) / F.col("cn")
+    rate = F.col("te") / F.col("tn")
+    x = x.select("scope", "fraction", F.col("tn").alias("treated_n"), F.col("cn").alias("control_n"), rate.alias("treated_rate"), adjusted.alias("adjusted_rate"), (rate / F.nullif(F.col("ce") / F.col("cn"), F.lit(0.0))).alias("observed_ratio"))
+    return x.withColumn("adjusted_ratio", F.col("treated_rate") / F.nullif("adjusted_rate", F.lit(0.0))).withColumn("attenuation", F.col("adjusted_ratio") / F.nullif("observed_ratio", F.lit(0.0)))
+
+
 def pooled_rates(rates: DataFrame) -> DataFrame:
     """Rates of each bin over all arms, weighted by units, with the pooled error."""
     n = F.sum("n_obs")

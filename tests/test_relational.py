@@ -22,7 +22,7 @@ def rows(records, names):
     return sorted((tuple(str(plain(r[names.index(c)])) for c in order) for r in records))
 
 
-@pytest.mark.parametrize("name", ["eligible_questions", "question_tags", "helps_half_open", "event_log", "history_metrics", "activation", "bounty_flags", "full_outer_monthly", "grouping_sets", "phase_fill", "batch_ids", "one_question_per_user", "eligible_counts", "grouped_describe", "left_closed_bins", "all_rows_meet", "completeness_check", "older_self_answer_rule", "indicator_and_log_outcomes", "answered_share", "two_period_counts"])
+@pytest.mark.parametrize("name", ["eligible_questions", "question_tags", "helps_half_open", "event_log", "history_metrics", "activation", "bounty_flags", "full_outer_monthly", "grouping_sets", "phase_fill", "batch_ids", "one_question_per_user", "eligible_counts", "grouped_describe", "left_closed_bins", "all_rows_meet", "completeness_check", "older_self_answer_rule", "indicator_and_log_outcomes", "answered_share", "two_period_counts", "score_codings", "selection_bounds"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in BASE:
