@@ -8,6 +8,10 @@ unit that is too large for one task is first split by the same traversal on the
 members go to the pairs of child nodes that stay within the budget. Each task returns a spanning star of its links, so a
 dense group costs rows in proportion to its members, and the stars meet in a distributed
 connected-components step.
+
+The pipeline stage (``near_copies``) links texts of five-word Jaccard 0.8 or more instead. Such pairs
+differ in too many of 64 bits for a join by Hamming distance, so bands of min-hashes give its
+candidates, and a candidate counts only if the exact Jaccard of the two shingle sets reaches 0.8.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from ._common import connected_components, cut, partitions, read
 
 STEP = 8  # binary levels that one step of the traversal takes
 CHUNK = 1 << 20  # node pairs expanded at once
+WORDS = 5  # words a shingle of the pipeline stage
+BANDS, ROWS = 32, 5  # a pair of Jaccard 0.8 shares none of the bands with probability (1 - 0.8**5)**32 = 3e-6
 
 
 def fingerprint(text: str | None, n: int = 3) -> int:
@@ -217,13 +223,111 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near duplicates: of each component the row with the smallest id stays.
+def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of ``n``-word shingles; of a shorter text one, of a text without words none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[:-n] + 1).tolist()]
+    h64 = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts, ends[min(n, len(words)) - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def set_key(text: str | None) -> int:
+    """64-bit key of a text's set of five-word shingles."""
+    return xxhash.xxh64_intdigest(shingles(text).tobytes(), 42)
+
+
+def band_keys(held: np.ndarray) -> np.ndarray:
+    """Keys of the ``BANDS`` bands of ``ROWS`` min-hashes of a set that is not empty."""
+    rng = np.random.default_rng(20)
+    flip, odd = rng.integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
+    odd |= np.uint64(1)
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(held), 1024):
+        low = np.minimum(low, ((held[k : k + 1024] ^ flip) * odd).min(axis=1))
+    return np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))), np.uint64, BANDS)
+
+
+def _shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(fp, held) of the shingle sets whose key is among ``wanted``, a row each."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t) for t in b.column(0).to_pylist()]
+            fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+            ends = np.cumsum([0, *map(len, sets)])
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp), held], names=["fp", "held"])
+
+    found = docs.select(text_col).mapInArrow(run, "fp long, held array<long>").join(wanted, "fp", "left_semi")
+    return cut(found.groupBy("fp").agg(F.first("held").alias("held")))
+
+
+def _alike(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+    """The (src, dst) of ``pairs`` whose sets have a Jaccard of 0.8 or more, counted exactly."""
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
+    sets = _shingle_sets(docs, text_col, wanted)
+    both = pairs.join(sets.select(F.col("fp").alias("dst"), F.col("held").alias("y")), "dst").join(sets.select(F.col("fp").alias("src"), F.col("held").alias("x")), "src")
+    return cut(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("src", "dst"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component, component_id) as of ``near_duplicates``, linked by a five-word Jaccard of 0.8 or more.
+
+    ``fp`` is the key of the shingle set, so equal sets are one from the start. In each bucket of a band
+    every set is first compared with the smallest, which costs a group of near copies pairs in
+    proportion to its members; then each pair of a bucket that is in two components still is compared.
+    """
+
+    def run(batches):
+        for b in batches:
+            fps, sizes, keys = [], [], []
+            for t in b.column(1).to_pylist():
+                held = shingles(t)
+                fps.append(xxhash.xxh64_intdigest(held.tobytes(), 42))
+                sizes.append(len(held))
+                keys.append(band_keys(held).view(np.int64).tolist() if len(held) else [])
+            fp = np.array(fps, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "size", "keys"])
+
+    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = cut(frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, fp long, size int, keys array<long>"))
+    ids = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    members = prints.select("fp", "size", F.explode("keys").alias("key")).distinct()
+    shared = members.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    members = cut(members.join(shared, "key").select("key", "fp", "size", "m"))
+    close = "9 * least({0}, {1}) >= 4 * ({0} + {1})"  # else their sizes alone rule a Jaccard of 0.8 out
+    first = cut(members.where("fp <> m.fp").where(close.format("size", "m.size")).select(F.col("m.fp").alias("src"), F.col("fp").alias("dst")).distinct())
+    edges = _alike(docs, text_col, first)
+    groups = connected_components(edges)
+    told = members.join(groups, members.fp == groups.node, "left").select("key", "fp", "size", F.coalesce("component", "fp").alias("component"))
+    mixed = told.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    told = cut(told.join(mixed, "key", "left_semi"))
+    other = told.select("key", *[F.col(c).alias(f"{c}_2") for c in ("fp", "size", "component")])
+    rest = told.join(other, "key").where("fp < fp_2 and component <> component_2").where(close.format("size", "size_2"))
+    rest = rest.select(F.col("fp").alias("src"), F.col("fp_2").alias("dst")).distinct().join(first, ["src", "dst"], "left_anti")
+    rest = cut(rest)
+    if rest.limit(1).count():
+        edges = edges.union(_alike(docs, text_col, rest))
+        groups = connected_components(edges)
+    of = ids.join(groups, ids.fp == groups.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    low = of.groupBy("component").agg(F.min("low").alias("component_id"))
+    of = of.join(low, "component").select("fp", "component", "component_id")
+    return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, mark=fingerprint) -> DataFrame:
+    """``docs`` without near duplicates: of each component of ``find`` the row with the smallest id stays.
+
+    ``mark`` gives the ``fp`` of ``find`` for a text.
 
     Ids that are null (they come last) or repeated cannot name a row; then the fingerprint is compared
     too, and of rows that still tie the smallest by all columns stays.
     """
-    found = cut(near_duplicates(docs, id_col, text_col))
+    found = cut(find(docs, id_col, text_col))
     best = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp")).alias("w"))
     winners = best.select(F.col("w.id").alias("_id"), F.col("w.fp").alias("_fp"), F.col("component").alias("_component"))
     unclear = found.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
@@ -233,7 +337,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def tag(batches):
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([mark(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*names, "_row_fp"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _row_fp long"
@@ -242,5 +346,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays, with its columns unchanged."""
-    return keep_one(docs)
+    """Pipeline stage: of texts linked by a five-word Jaccard of 0.8 or more one document stays, with its columns unchanged."""
+    return keep_one(docs, find=near_copies, mark=set_key)

@@ -132,6 +132,47 @@ def test_keep_one(docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_stage_against_brute_force_jaccard(spark, docs, empty):
+    rng = np.random.default_rng(4)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for g in range(12):  # groups whose texts are about 0.8 alike, and chains of edits
+        words = [f"g{g}v{k}" for k in rng.integers(0, 400, int(rng.integers(20, 300)))]
+        for k in range(12):
+            w = list(words)
+            for _ in range(max(1, int(rng.integers(0, len(w) // 25 + 1)))):
+                w[rng.integers(len(w))] = f"w{g}_{k}_{rng.integers(1000)}"
+            words = w if k % 3 == 0 else words
+            rows.append((1000 + 100 * g + k, " ".join(w)))
+
+    def held(text):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        return frozenset(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets, up = [held(t) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or 9 * both >= 4 * (len(sets[a]) + len(sets[b])):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low.setdefault(root(k), []).append(i)
+    low = {r: min((x for x in i if x is not None), default=None) for r, i in low.items()}
+    want = sorted(((i, low[root(k)]) for k, (i, _) in enumerate(rows)), key=str)
+    assert sorted(((r.doc_id, r.component_id) for r in simhash.near_copies(frame).collect()), key=str) == want
+    kept = simhash.stage(spark, frame, SF)
+    assert kept.count() == len(low) and {r.doc_id for r in kept.collect()} == set(low.values())
+    assert simhash.stage(spark, empty, SF).count() == 0
+
+
 def test_chat(spark, empty):
     said = ["</s>[INST] ok [/INST]", "\\ <s> \\<s> [INST", None, "", "<\\s>", "é☃"]
     rows = [(1, k, ("user", "assistant", "assistant", "system", None, "we<s>ird")[k], t) for k, t in enumerate(said)] + [(2, 0, "user", "x"), (None, None, "assistant", "y"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same")]
