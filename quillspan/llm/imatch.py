@@ -22,15 +22,18 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = 0.0005, max_share: float = 0.25, min_docs: int = 2, rates: tuple = RATES) -> DataFrame:
-    """(h, mask) of every term found in ``min_share`` to ``max_share`` of the rows, counted over all rows.
+def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = 0.0005, max_share: float = 0.5, min_docs: int = 2, rates: tuple = RATES) -> DataFrame:
+    """(h, mask) of every term found in ``min_share`` to ``max_share`` of the distinct texts of all rows.
 
+    A text with many copies counts once and so keeps its terms; the band's top lies well above a third,
+    so a group of near copies of that share keeps its terms too.
     ``h`` is the term's 64-bit hash; bit k of ``mask`` is set if random subset k keeps the term. As a
     share of at least ``min_share`` of the rows is asked for, the lexicon has at most (mean distinct terms
     of a row) / ``min_share`` terms, however many rows there are.
     """
-    total = docs.count()
-    counts = docs.select(F.explode(terms(F.col(text_col))).alias("t")).groupBy(F.xxhash64("t").alias("h")).agg(F.count("*").alias("n"))
+    hashes = [F.xxhash64(F.col(text_col)).alias("k1"), F.xxhash64(F.col(text_col), F.lit(1)).alias("k2")]
+    total = docs.select(*hashes).distinct().count()
+    counts = docs.select(*hashes, text_col).dropDuplicates(["k1", "k2"]).select(F.explode(terms(F.col(text_col))).alias("t")).groupBy(F.xxhash64("t").alias("h")).agg(F.count("*").alias("n"))
     band = counts.where((F.col("n") >= max(min_docs, min_share * total)) & (F.col("n") <= max_share * total))
     bits = [F.when(F.pmod(F.xxhash64("h", F.lit(k)), F.lit(10_000)) < int(r * 10_000), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, r in enumerate(rates)]
     return band.select("h", sum(bits[1:], bits[0]).alias("mask"))

@@ -202,6 +202,22 @@ def test_imatch(docs, empty):
     assert imatch.edited_likeness(empty.select("doc_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize("edited", [False, True])
+def test_imatch_of_a_group_of_a_third(spark, edited):
+    """Near copies stay alike when copies, or near copies, of their text are a third of all rows."""
+    rng = np.random.default_rng(7)
+    word = lambda: f"w{int(rng.zipf(1.5)) % 3000}"
+    base = [f"h{k}" for k in range(120)]
+    edits = [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(100)]
+    group = edits if edited else [" ".join(base)] * 96 + edits[:4]
+    texts = [*group, *[" ".join(word() for _ in range(80)) for _ in range(200)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lex = _common.cut(imatch.lexicon(docs))
+    got = dict(imatch.fingerprint_rows(docs, ["doc_id"], "text", lex, []).collect())
+    pairs = spark.createDataFrame([(got[96], got[k]) for k in range(97, 100)], "a array<long>, b array<long>")
+    assert all(r[0] > 0.5 for r in pairs.select(imatch.likeness(pairs.a, pairs.b)).collect())
+
+
 def brute_spans(rows, window):
     seen, out = {}, []
     for i, t in rows:
