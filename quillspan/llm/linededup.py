@@ -4,11 +4,14 @@ Documents are taken in batches. A run is a table of (128-bit line key, number of
 and sorted by key. Each batch is merge-anti-joined with the settled runs (keys already known to have
 reached the threshold) and the rest is added as a run of level 0; whenever a level holds ``fanout``
 runs they are compacted into one of the next level, and keys that reach the threshold move to a settled
-run. A last compaction leaves exactly the keys found in enough documents.
+run. Unsettled runs are not joined, as their keys must be counted on to the threshold. The number of
+batches grows with the logarithm of the rows, so that compaction recurs and jobs stay few. A last
+compaction leaves exactly the keys found in enough documents.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 
@@ -80,7 +83,11 @@ class LineRuns:
         merged = self._write(self._summed(runs))
         reached = self.spark.table(merged[0]).where(F.col("n") >= self.min_docs)
         if reached.limit(1).count():
-            self.settled.append(self._write(reached))
+            self.settled.append(self._write(reached.select(*KEY, "n")))
+            if len(self.settled) >= self.fanout:  # a batch meets few settled runs
+                old, self.settled = self.settled, []
+                self.settled.append(self._write(self._summed(old)))
+                self._drop(old)
             rest = self._write(self.spark.table(merged[0]).where(F.col("n") < self.min_docs))
             self._drop([merged])
             merged = rest
@@ -93,12 +100,17 @@ class LineRuns:
         keys = self._summed(runs).where(F.col("n") >= self.min_docs).select(*KEY)
         for _, path in self.settled:
             keys = keys.union(self._rows(path).select(*KEY))
-        keys = cut(keys)
+        keys = cut(keys.distinct())
         self._drop(runs + self.settled)
         self.levels, self.settled = {}, []
         return keys
 
 
+def batches_for(rows: int) -> int:
+    """Batches of an input: 4 at least, three more for each doubling beyond 10,000 rows."""
+    return max(4, 3 * math.ceil(math.log2(1 + rows / 10_000)))
+
+
 def frequent_keys(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int, text_col: str = "text") -> DataFrame:
     """(h1, h2) of every key of at least ``min_chars`` code points in at least ``min_docs`` rows."""
     spark = docs.sparkSession
@@ -127,7 +139,7 @@ def frequent_keys(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int
     return keys
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, text_col: str = "text", broadcast_keys: int = 300_000) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int | None = None, text_col: str = "text", broadcast_keys: int = 300_000) -> DataFrame:
     """``docs`` with the frequent lines taken out of ``text_col``, plus ``_n_lines`` and ``_n_dropped``.
 
     A document is a row. Null text counts as one empty line and stays null when nothing is dropped;
@@ -136,6 +148,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     and then on a 128-bit hash of the text. Both ways give the same rows.
     """
     spark = docs.sparkSession
+    n_batches = n_batches or batches_for(docs.count())
     keys = frequent_keys(docs, min_docs, min_chars, n_batches, text_col)
     at, names = docs.columns.index(text_col), docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -98,6 +98,16 @@ def test_line_runs_levels(spark):
     assert {r.h1 for r in runs.settle().collect()} == {*range(20), 100}
 
 
+def test_line_batches_grow(spark):
+    assert [linededup.batches_for(n) for n in (0, 10_000, 50_000, 250_000, 15_000_000)] == [4, 4, 9, 15, 33]
+    runs, levels = linededup.LineRuns(spark, 10), set()
+    for _ in range(9):
+        runs.ingest(spark.createDataFrame([(k, -k, 1 + k) for k in range(12)], "h1 long, h2 long, n long"))
+        levels |= set(runs.levels)
+        assert len(runs.settled) < 3
+    assert 2 in levels and sorted(r.h1 for r in runs.settle().collect()) == list(range(1, 12))
+
+
 @pytest.mark.parametrize("max_unit", [16384, 2])
 def test_simhash_against_brute_force(spark, docs, max_unit):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
