@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,27 +37,98 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillspan-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
     return path
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is removed when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quillspan-{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(_leave, spark, path)
+    return path
+
+
+_OWN: set[str] = set()
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session was stopped before
+        remove(spark, path)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/quillspan-{what}-{uuid.uuid4().hex}"
+    """A new path for a written table in this application's folder."""
+    return f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Tables:
+    """Written tables of one operator: ``cut`` writes a frame and reads it back, ``drop`` removes them again.
+
+    A written table cuts the lineage and outlives executors, and its size is known to the planner.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, what: str = "table") -> DataFrame:
+        self.paths.append(scratch(self.spark, what))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def bucketed(self, df: DataFrame, buckets: int, keys: list[str], what: str = "table", deal: bool = True) -> DataFrame:
+        """``df`` as a written table, dealt and sorted by ``keys``, so that joins on them move only the other side.
+
+        With ``deal`` false the rows must lie by these keys already. Only a catalog entry can declare
+        buckets; it is dropped at once (the files stay), so no name is left behind.
+        """
+        name = f"quillspan_{uuid.uuid4().hex}"
+        self.paths.append(scratch(self.spark, what))
+        df = df.repartition(buckets, *keys) if deal else df
+        df.write.option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).option("path", self.paths[-1]).saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        return out
+
+    def drop(self) -> None:
+        remove(self.spark, *self.paths)
+        self.paths = []
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect what nothing refers to any more: Spark then deletes the files of finished exchanges."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a written table, which stays until the application ends."""
+    return Tables(df.sparkSession).cut(df)
+
+
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """``wanted`` as column names that clash with none of ``names`` (letter case aside)."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
+def refuse_clash(df: DataFrame, *added: str) -> None:
+    """An input column of the name of a result column cannot be kept: say so at once."""
+    if both := {c.lower() for c in df.columns} & {a.lower() for a in added}:
+        raise ValueError(f"rename the input's columns {sorted(both)}: the result has columns of these names")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,23 +145,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(column: pa.Array, limit: int) -> list[tuple[int, int]]:
+    """Ranges of rows that hold about ``limit`` bytes of text each (a longer text is alone), so that a worker's arrays stay small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(ends // limit)) + 1, [len(ends)]])).tolist()
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph, as (node, component = smallest node).
 
     Alternates the large-star and small-star contractions: every step is a map-side combined minimum
     and an equi-join whose one side holds a single row a node, so a hub's edges are split by the
-    adaptive skew join. Lineage is cut each round; only a count and a checksum reach the driver.
-    ``edges`` has long columns ``src`` and ``dst``; loops and repeats are ignored.
+    adaptive skew join. Each round is written and the round before removed; only a count and a checksum
+    reach the driver. ``edges`` has long columns ``src`` and ``dst``; loops and repeats are ignored.
     """
+    spark = edges.sparkSession
     e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e, last = cut(e), None
+    now, last = Tables(spark), None
+    e = now.cut(e, "edges")
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, Tables(spark)
+        e = now.cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before.drop()
         sign = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if sign == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
