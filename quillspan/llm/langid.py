@@ -11,14 +11,16 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, read
+from ._common import held_out, read, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
+CHUNK = 1 << 20  # bytes of text scored at once
 
 
 def words_of(text: str | None) -> Counter:
@@ -33,19 +35,29 @@ def words_of(text: str | None) -> Counter:
 
 def _count_words(batches):
     for b in batches:
-        counts: dict = defaultdict(Counter)
-        for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            counts[lang].update(words_of(text))
-        rows = [(w, lang, n) for lang, c in counts.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["word", "lang", "n"])
+        for i, j in slices(b.column(0), 8 * CHUNK):
+            counts: dict = defaultdict(Counter)
+            for text, lang in zip(b.column(0).slice(i, j - i).to_pylist(), b.column(1).slice(i, j - i).to_pylist(), strict=True):
+                counts[lang].update(words_of(text))
+            words = pa.array([w for c in counts.values() for w in c], pa.string())
+            langs = pa.array([lang for lang, c in counts.items() for _ in c], pa.string())
+            yield pa.RecordBatch.from_arrays([words, langs, pa.array([n for c in counts.values() for n in c.values()], pa.int64())], names=["word", "lang", "n"])
 
 
-def fit(labelled: DataFrame, max_docs_per_lang: int = 4000, max_words: int = 250_000, max_grams: int = 60_000, alpha: float = 0.1) -> dict:
+def _hashes(strings, size: int = -1) -> np.ndarray:
+    h64 = xxhash.xxh3_64_intdigest
+    return np.fromiter((h64(s) for s in strings), np.uint64, size)
+
+
+def fit(labelled: DataFrame, max_docs_per_lang: int = 4000, max_words: int | None = None, max_grams: int | None = None, alpha: float = 0.1) -> dict:
     """Learn word and n-gram tables from columns ``text`` and ``lang``; null languages are ignored.
 
-    Bounds, all parameters: each language gives about ``max_docs_per_lang`` whole documents (chosen by
-    a hash), the ``max_words`` most frequent (word, language) entries are kept, and ``max_grams``
-    n-grams of each order. The result is a plain dictionary of that bounded size.
+    The sample's bound is a parameter: each language gives about ``max_docs_per_lang`` whole documents
+    (chosen by a hash of text and language, so repeated rows come together). Every word and n-gram of the sample is kept, unless
+    ``max_words`` (word, language) entries or ``max_grams`` n-grams of an order, the most frequent, are
+    asked for; ties go to the smaller word, or the smaller hash. The model is packed: words and n-grams are sorted
+    64-bit hashes with a row of log frequencies each. An empty table, or one without a language, gives a
+    model without languages; null and empty texts teach nothing; a text of any length is read whole.
     """
     labelled = labelled.select("text", "lang").where("lang is not null")
     share = {r["lang"]: min(1.0, max_docs_per_lang / r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -55,25 +67,34 @@ def fit(labelled: DataFrame, max_docs_per_lang: int = 4000, max_words: int = 250
     pick = F.lit(False)
     for lang, p in share.items():
         pick = pick | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < int(p * 1_000_000)))
-    rows = labelled.where(pick).mapInArrow(_count_words, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(max_words).collect()
-    at = {lang: i for i, lang in enumerate(langs)}
-    words: dict[str, int] = {}
-    for r in rows:
-        words.setdefault(r["word"], len(words))
+    rows = labelled.where(pick).mapInArrow(_count_words, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    if max_words is not None:
+        rows = rows.orderBy(F.desc("n"), "word", "lang").limit(max_words)
+    got = rows.toArrow().combine_chunks().sort_by("word")
+    coded = pa.concat_arrays([pa.array([], pa.string()), *got.column("word").chunks]).dictionary_encode()
+    words = coded.dictionary  # in order, held by Arrow; only pieces of it become Python strings
     table = np.zeros((len(words), len(langs)))
-    for r in rows:
-        table[words[r["word"]], at[r["lang"]]] = r["n"]
-    del rows
-    weight, grams = np.log1p(table), []
+    if got.num_rows:
+        table[coded.indices.to_numpy(), np.searchsorted(langs, got.column("lang").to_pylist())] = got.column("n").to_numpy()
+    del got, coded
+    parts = [words.slice(k, 1 << 15) for k in range(0, len(words), 1 << 15)]
+    grams = []
     for n in ORDERS:
-        seen: dict[str, int] = {}
-        gram = np.fromiter((seen.setdefault(g, len(seen)) for w in words for g in grams_of(w, n)), np.int64)
-        owner = np.repeat(np.arange(len(words)), np.fromiter((len(grams_of(w, n)) for w in words), np.int64, len(words)))
-        sums = np.stack([np.bincount(gram, weight[owner, k], len(seen)) for k in range(len(langs))], axis=1)
-        total = sums.sum(axis=1)
-        top = sorted(seen, key=lambda g: (-total[seen[g]], g))[:max_grams]
-        grams.append((n, {g: i for i, g in enumerate(top)}, _log_share(sums[[seen[g] for g in top]].reshape(len(top), len(langs)), alpha)))
-    return {"langs": langs, "words": words, "table": _log_share(table, alpha), "grams": grams}
+        keys, sums = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
+        for k, part in enumerate(p.to_pylist() for p in parts):
+            sizes = np.fromiter((max(0, len(w) + (3 if n > 1 else 1) - n) for w in part), np.int64, len(part))
+            h = _hashes((g for w in part for g in grams_of(w, n)), int(sizes.sum()))
+            weight = np.log1p(table[(k << 15) + np.repeat(np.arange(len(part)), sizes)])
+            keys, gram = np.unique(np.concatenate([keys, h]), return_inverse=True)
+            weight = np.concatenate([sums, weight])
+            sums = np.stack([np.bincount(gram, weight[:, i], len(keys)) for i in range(len(langs))], axis=1)
+        if max_grams is not None and len(keys) > max_grams:
+            top = np.sort(np.lexsort([keys, -sums.sum(axis=1)])[:max_grams])
+            keys, sums = keys[top], sums[top]
+        grams.append((n, keys, _log_share(sums, alpha)))
+    h = _hashes((w for part in parts for w in part.to_pylist()), len(words))
+    order = np.argsort(h)
+    return {"langs": langs, "words": h[order], "table": _log_share(table, alpha)[order], "grams": grams}
 
 
 def _log_share(counts: np.ndarray, alpha: float) -> np.ndarray:
@@ -86,68 +107,88 @@ def grams_of(word: str, n: int) -> list[str]:
     return [framed[i : i + n] for i in range(len(framed) - n + 1)]
 
 
-def backoff(model: dict, word: str) -> np.ndarray:
-    """Evidence of an unseen word: the mean log frequency of its known n-grams of the longest order that has any."""
-    for n, index, table in model["grams"]:
-        if known := [index[g] for g in grams_of(word, n) if g in index]:
-            return table[known].mean(axis=0)
-    return np.zeros(len(model["langs"]), np.float32)
-
-
-def predict_one(model: dict, text: str | None, cache: dict | None = None) -> tuple[str, float]:
-    """(language, score in 0..1). Null or letterless text: (``und``, 0.0). Ties go to the first name."""
-    found = words_of(text)
-    langs = model["langs"]
-    if not found or not langs:
-        return UNDETERMINED, 0.0
-    cache = {} if cache is None else cache
-    known, table, total, n, rows, counts = model["words"], model["table"], np.zeros(len(langs)), 0, [], []
-    for w, k in found.items():
-        n += k
-        if (i := known.get(w)) is not None:
-            rows.append(i)
-            counts.append(k)
-        else:
-            v = cache.get(w)
-            if v is None:
-                v = backoff(model, w)
-                if len(cache) < 200_000:
-                    cache[w] = v
-            total += k * v
-    if rows:
-        total += np.asarray(counts, np.float64) @ table[rows]
-    total *= min(1.0, 20 / n)  # long texts do not saturate the score faster than 20 words
-    p = np.exp(total - total.max())
-    k = int(p.argmax())
-    return langs[k], float(p[k] / p.sum())
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted hashes among sorted keys, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def evidence(model: dict, words: list[str]) -> np.ndarray:
+    """A row a word: its log frequencies, or of an unseen word the mean of its known n-grams of the longest order that has any."""
+    at, known = _find(model["words"], _hashes(words, len(words)))
+    out = np.zeros((len(words), len(model["langs"])))
+    out[known] = model["table"][at[known]]
+    left = np.flatnonzero(~known)
+    for n, keys, table in model["grams"]:
+        if not len(left):
+            break
+        grams = [grams_of(words[i], n) for i in left.tolist()]
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        at, hit = _find(keys, _hashes((g for x in grams for g in x), int(sizes.sum())))
+        owner, at = np.repeat(np.arange(len(left)), sizes)[hit], at[hit]
+        count = np.bincount(owner, minlength=len(left))
+        told = count > 0
+        for k in range(out.shape[1]):
+            out[left[told], k] = np.bincount(owner, table[at, k], len(left))[told] / count[told]
+        left = left[~told]
+    return out
+
+
+def predict_texts(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Languages and scores (0 to 1) of texts. Null or letterless text, or a model without languages: (``und``, 0.0). Ties go to the first name."""
+    langs, index, docs, ids, counts = model["langs"], {}, [], [], []
+    for i, t in enumerate(texts if langs else ()):
+        found = words_of(t)
+        docs.append(np.full(len(found), i, np.int32))
+        ids += [index.setdefault(w, len(index)) for w in found]
+        counts += found.values()
+    score, best = np.zeros(len(texts)), np.full(len(texts), -1)
+    if ids:
+        docs, counts = np.concatenate(docs), np.array(counts, np.float64)
+        of = evidence(model, list(index))[np.array(ids)] * counts[:, None]
+        n = np.bincount(docs, counts, len(texts))
+        total = np.stack([np.bincount(docs, of[:, k], len(texts)) for k in range(len(langs))], axis=1)
+        total *= np.minimum(1.0, 20 / np.maximum(n, 1))[:, None]  # long texts do not saturate the score faster than 20 words
+        p = np.exp(total - total.max(axis=1, keepdims=True))
+        best = np.where(n > 0, p.argmax(axis=1), -1)
+        score = np.where(n > 0, p.max(axis=1) / p.sum(axis=1), 0.0)
+    return [langs[k] if k >= 0 else UNDETERMINED for k in best.tolist()], score
+
+
+def predict_one(model: dict, text: str | None) -> tuple[str, float]:
+    names, score = predict_texts(model, [text])
+    return names[0], float(score[0])
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row; the whole text is read. Other columns play no part."""
+    """(id, lang_pred, score) of every row, repeated rows too; the whole text is read. Other columns play no part."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         m = shared.value
-        cache = m.setdefault("cache", {})
         for b in batches:
-            out = [predict_one(m, t, cache) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["id", "lang_pred", "score"])
+            for i, j in slices(b.column(1), CHUNK):
+                names, p = predict_texts(m, b.column(1).slice(i, j - i).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(p)], names=["id", "lang_pred", "score"])
 
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return frame.mapInArrow(score, f"id {frame.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: dict, min_score: float = 0.3) -> DataFrame:
-    """Rows of ``docs``, unchanged, whose language is determined with at least ``min_score``."""
+    """Rows of ``docs``, unchanged and with all their columns, whose language is determined with at least ``min_score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def sift(batches):
         m = shared.value
-        cache = m.setdefault("cache", {})
         for b in batches:
-            kept = [(x := predict_one(m, t, cache))[0] != UNDETERMINED and x[1] >= min_score for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array(kept, pa.bool_()))
+            for i, j in slices(b.column(at), CHUNK):
+                part = b.slice(i, j - i)
+                names, p = predict_texts(m, part.column(at).to_pylist())
+                yield part.filter(pa.array((np.array(names) != UNDETERMINED) & (p >= min_score)))
 
     return docs.mapInArrow(sift, docs.schema)
 
