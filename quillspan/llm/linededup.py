@@ -1,18 +1,17 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 Documents are taken in batches. A run is a table of (128-bit line key, number of documents), bucketed
-and sorted by key. Each batch is merge-anti-joined with the settled runs (keys already known to have
-reached the threshold) and the rest is added as a run of level 0; whenever a level holds ``fanout``
-runs they are compacted into one of the next level, and keys that reach the threshold move to a settled
-run. Unsettled runs are not joined, as their keys must be counted on to the threshold. The number of
-batches grows with the logarithm of the rows, so that compaction recurs and jobs stay few. A last
-compaction leaves exactly the keys found in enough documents.
+and sorted by key; one exchange makes the first runs of all batches. Each batch is merge-anti-joined with the settled runs
+(keys already known to have reached the threshold) and the rest is a run of level 0; whenever a level
+holds two runs they are merged by their order into one of the next level, bucket by bucket and without an exchange, and keys
+that reach the threshold move to a settled run. Unsettled runs are not anti-joined, as their keys must be counted on to
+the threshold. The number of batches grows with the logarithm of the rows, so that compaction recurs and jobs
+stay few. A last compaction leaves exactly the keys found in enough documents.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 
 import numpy as np
@@ -20,10 +19,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import ASCII_SPACE, cut, partitions, read, remove, scratch
+from ._common import ASCII_SPACE, Tables, cut, partitions, read, slices, unused
 
 KEY = ["h1", "h2"]
+SLICE = 1 << 23  # bytes of text taken apart at once
 
 
 def line_keys(text: str | None, min_chars: int = 1) -> tuple[list[bytes], list[bytes | None]]:
@@ -40,75 +41,76 @@ def _halves(digests) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LineRuns:
-    """The runs. ``ingest`` takes batches of (h1, h2, n) with one row a key; ``settle`` returns the frequent keys."""
-
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.buckets = min(partitions(spark), 4096)
-        self.levels: dict[int, list[tuple[str, str]]] = {}
-        self.settled: list[tuple[str, str]] = []
-
-    def _write(self, df: DataFrame) -> tuple[str, str]:
-        name, path = f"line_run_{uuid.uuid4().hex}", scratch(self.spark, "run")
-        df.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
-        return name, path
-
-    def _drop(self, runs) -> None:
-        for name, path in runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            remove(self.spark, path)
-
-    def ingest(self, batch: DataFrame) -> None:
-        for name, _ in self.settled:
-            batch = batch.join(self.spark.table(name).select(*KEY).hint("merge"), KEY, "left_anti")
-        self.levels.setdefault(0, []).append(self._write(batch))
+    """The runs. ``ingest`` takes batches of (h1, h2, n) with one row a key; ``settle`` returns the frequent keys.
+
+    A run is a frame and the tables that hold it. Batches that already lie by key in ``buckets``
+    buckets are taken as they are (``dealt``).
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int, buckets: int | None = None):
+        self.spark, self.min_docs = spark, min_docs
+        self.buckets = buckets or buckets_of(spark)
+        self.levels: dict[int, list[tuple[DataFrame, Tables]]] = {}
+        self.settled: list[tuple[DataFrame, Tables]] = []
+
+    def _write(self, df: DataFrame, deal: bool = False) -> tuple[DataFrame, Tables]:
+        tables = Tables(self.spark)
+        return tables.bucketed(df.select(*KEY, "n"), self.buckets, KEY, "run", deal), tables
+
+    def ingest(self, batch: DataFrame, dealt: bool = False) -> None:
+        if not dealt:
+            batch = self._write(batch, True)[0]
+        for run, _ in self.settled:
+            batch = batch.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+        self.levels.setdefault(0, []).append(self._write(batch) if self.settled else (batch, Tables(self.spark)))
         level = 0
-        while len(self.levels.get(level, [])) >= self.fanout:
+        while len(self.levels.get(level, [])) >= 2:
             self._compact(level)
             level += 1
 
-    def _rows(self, path: str) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n long").parquet(path)
-
-    def _summed(self, runs) -> DataFrame:
-        # Read by path, as plain files: Spark 4.1 sums a union of bucketed scans bucket file by bucket file.
-        tables = [self._rows(path) for _, path in runs]
-        total = tables[0]
-        for t in tables[1:]:
-            total = total.unionByName(t)
-        return total.groupBy(*KEY).agg(F.sum("n").alias("n"))
+    def _merge(self, runs) -> DataFrame:
+        """The sums of two runs, by a merge join of their buckets; a third run, of another level, needs an exchange."""
+        total = runs[0][0]
+        for run, _ in runs[1:]:
+            other = run.select(*KEY, F.col("n").alias("m"))
+            total = total.join(other.hint("merge"), KEY, "full_outer").select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return total
 
     def _compact(self, level: int) -> None:
         runs = self.levels.pop(level)
-        merged = self._write(self._summed(runs))
-        reached = self.spark.table(merged[0]).where(F.col("n") >= self.min_docs)
+        merged, tables = self._write(self._merge(runs))
+        for _, t in runs:
+            t.drop()
+        reached = merged.where(F.col("n") >= self.min_docs)
         if reached.limit(1).count():
-            self.settled.append(self._write(reached.select(*KEY, "n")))
-            if len(self.settled) >= self.fanout:  # a batch meets few settled runs
-                old, self.settled = self.settled, []
-                self.settled.append(self._write(self._summed(old)))
-                self._drop(old)
-            rest = self._write(self.spark.table(merged[0]).where(F.col("n") < self.min_docs))
-            self._drop([merged])
-            merged = rest
-        self.levels.setdefault(level + 1, []).append(merged)
-        self._drop(runs)
+            self.settled.append(self._write(reached))
+            if len(self.settled) > 2:  # a batch meets few settled runs
+                old, self.settled = self.settled[-2:], self.settled[:-2]
+                self.settled.append(self._write(self._merge(old)))
+                for _, t in old:
+                    t.drop()
+        self.levels.setdefault(level + 1, []).append((merged.where(F.col("n") < self.min_docs), tables))
 
     def settle(self) -> DataFrame:
         """Compact everything; (h1, h2) of the keys found in at least ``min_docs`` documents."""
-        runs = [r for level in self.levels.values() for r in level]
-        keys = self._summed(runs).where(F.col("n") >= self.min_docs).select(*KEY)
-        for _, path in self.settled:
-            keys = keys.union(self._rows(path).select(*KEY))
+        runs = [r for _, level in sorted(self.levels.items()) for r in level]
+        keys = self._merge(runs).where(F.col("n") >= self.min_docs).select(*KEY)
+        for run, _ in self.settled:
+            keys = keys.union(run.select(*KEY))
         keys = cut(keys.distinct())
-        self._drop(runs + self.settled)
+        for _, t in runs + self.settled:
+            t.drop()
         self.levels, self.settled = {}, []
         return keys
 
 
+def buckets_of(spark: SparkSession) -> int:
+    return min(partitions(spark), 4096)
+
+
 def batches_for(rows: int) -> int:
-    """Batches of an input: 4 at least, three more for each doubling beyond 10,000 rows."""
-    return max(4, 3 * math.ceil(math.log2(1 + rows / 10_000)))
+    """Batches of an input: 4 at least, two more for each doubling beyond 10,000 rows."""
+    return max(4, 2 * math.ceil(math.log2(1 + rows / 10_000)))
 
 
 def frequent_keys(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int, text_col: str = "text") -> DataFrame:
@@ -118,32 +120,33 @@ def frequent_keys(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int
     def count(batches):
         for b in batches:
             counts = [Counter() for _ in range(n_batches)]
-            for i, text in enumerate(b.column(0).to_pylist()):
-                keys = set(line_keys(text, min_chars)[1])
-                keys.discard(None)
-                counts[i % n_batches].update(keys)
+            for i, j in slices(b.column(0), SLICE):
+                for k, text in enumerate(b.column(0).slice(i, j - i).to_pylist(), i):
+                    keys = set(line_keys(text, min_chars)[1])
+                    keys.discard(None)
+                    counts[k % n_batches].update(keys)
             for k, c in enumerate(counts):
                 if c:
                     h1, h2 = _halves(c)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k, np.int32)), pa.array(h1), pa.array(h2), pa.array(np.fromiter(c.values(), np.int64, len(c)))], names=["batch", "h1", "h2", "n"])
 
-    path, name = scratch(spark, "lines"), f"line_keys_{uuid.uuid4().hex}"
-    rows = docs.select(text_col).mapInArrow(count, "batch int, h1 long, h2 long, n long").groupBy("batch", *KEY).agg(F.sum("n").alias("n"))
-    rows.write.partitionBy("batch").option("path", path).saveAsTable(name)
-    runs = LineRuns(spark, min_docs)
+    tables, runs = Tables(spark), LineRuns(spark, min_docs)
+    rows = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "batch int, h1 long, h2 long, n long").repartition(runs.buckets, *KEY)
+    rows = rows.groupBy("batch", *KEY).agg(F.sum("n").alias("n"))  # lies by key already
+    every = tables.bucketed(rows.sortWithinPartitions("batch", *KEY), runs.buckets, KEY, "lines", deal=False)
     for k in range(n_batches):
-        runs.ingest(spark.table(name).where(F.col("batch") == k).select(*KEY, "n"))
+        runs.ingest(every.where(F.col("batch") == k).select(*KEY, "n"), dealt=True)
     keys = runs.settle()
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    remove(spark, path)
+    tables.drop()
     return keys
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int | None = None, text_col: str = "text", broadcast_keys: int = 300_000) -> DataFrame:
-    """``docs`` with the frequent lines taken out of ``text_col``, plus ``_n_lines`` and ``_n_dropped``.
+    """``docs`` with the frequent lines taken out of ``text_col``, plus two last columns, ``_n_lines`` and ``_n_dropped``.
 
-    A document is a row. Null text counts as one empty line and stays null when nothing is dropped;
-    empty keys are never frequent when ``min_chars`` is 1 or more. Up to ``broadcast_keys`` frequent
+    A document is a row, also one that repeats another. Null text counts as one empty line and stays null when nothing is dropped;
+    empty keys are never frequent when ``min_chars`` is 1 or more; a text may be of any length; an empty table stays empty. Should the input have
+    columns of those two names, the added ones get underscores at their end until they differ. Up to ``broadcast_keys`` frequent
     keys (16 bytes each) are broadcast after counting them; more are joined by a shuffle on the lines
     and then on a 128-bit hash of the text. Both ways give the same rows.
     """
@@ -151,20 +154,21 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     n_batches = n_batches or batches_for(docs.count())
     keys = frequent_keys(docs, min_docs, min_chars, n_batches, text_col)
     at, names = docs.columns.index(text_col), docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema += ", _n_lines long, _n_dropped long"
+    n_lines_, n_dropped_, t1_, t2_, hits_ = unused(names, "_n_lines", "_n_dropped", "_t1", "_t2", "_hits")
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_lines_, T.LongType()), T.StructField(n_dropped_, T.LongType())])
 
     def rewrite(b, heavy_of):
-        texts, n_lines, n_dropped = [], [], []
-        for i, text in enumerate(b.column(at).to_pylist()):
-            lines, digests = line_keys(text, min_chars)
-            heavy = heavy_of(i)
-            kept = [x for x, d in zip(lines, digests, strict=True) if d is None or d not in heavy] if heavy else lines
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(kept))
-            texts.append(text if len(kept) == len(lines) else b"\n".join(kept).decode())
-        cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "_n_lines", "_n_dropped"])
+        for start, end in slices(b.column(at), SLICE):
+            part, texts, n_lines, n_dropped = b.slice(start, end - start), [], [], []
+            for i, text in enumerate(part.column(at).to_pylist(), start):
+                lines, digests = line_keys(text, min_chars)
+                heavy = heavy_of(i)
+                kept = [x for x, d in zip(lines, digests, strict=True) if d is None or d not in heavy] if heavy else lines
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(kept))
+                texts.append(text if len(kept) == len(lines) else b"\n".join(kept).decode())
+            cols = [pa.array(texts, pa.string()) if k == at else part.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, n_lines_, n_dropped_])
 
     if keys.count() <= broadcast_keys:
         got = keys.toArrow()
@@ -176,30 +180,32 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
             raw = shared.value
             heavy = {raw[i : i + 16] for i in range(0, len(raw), 16)}
             for b in batches:
-                yield rewrite(b, lambda i: heavy)
+                yield from rewrite(b, lambda i: heavy)
 
         return docs.mapInArrow(by_broadcast, schema)
 
     def spread(batches):
         for b in batches:
-            t, d = [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
-                own = set(line_keys(text, min_chars)[1]) - {None}
-                t += [i] * len(own)
-                d += own
-            h1, h2 = _halves(d)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t, pa.int64())), b.column(1).take(pa.array(t, pa.int64())), pa.array(h1), pa.array(h2)], names=["_t1", "_t2", "h1", "h2"])
-
-    t1, t2 = F.xxhash64(F.col(text_col)), F.xxhash64(F.col(text_col), F.lit(1))
-    lines = docs.select(t1.alias("_t1"), t2.alias("_t2"), F.col(text_col).alias("text")).mapInArrow(spread, "_t1 long, _t2 long, h1 long, h2 long")
-    hits = lines.join(keys, KEY).groupBy("_t1", "_t2").agg(F.collect_set(F.struct(*KEY)).alias("_hits"))
-    joined = docs.withColumn("_t1", t1).withColumn("_t2", t2).join(hits, ["_t1", "_t2"], "left").select(*names, "_hits")
+            for start, end in slices(b.column(2), SLICE):
+                t, d = [], []
+                for i, text in enumerate(b.column(2).slice(start, end - start).to_pylist(), start):
+                    own = set(line_keys(text, min_chars)[1]) - {None}
+                    t += [i] * len(own)
+                    d += own
+                h1, h2 = _halves(d)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t, pa.int64())), b.column(1).take(pa.array(t, pa.int64())), pa.array(h1), pa.array(h2)], names=["t1", "t2", "h1", "h2"])
+
+    text = F.col(f"`{text_col}`")
+    t1, t2 = F.xxhash64(text), F.xxhash64(text, F.lit(1))
+    lines = docs.select(t1.alias("t1"), t2.alias("t2"), text.alias("text")).mapInArrow(spread, "t1 long, t2 long, h1 long, h2 long")
+    hits = lines.join(keys, KEY).groupBy(F.col("t1").alias(t1_), F.col("t2").alias(t2_)).agg(F.collect_set(F.struct(*KEY)).alias(hits_))
+    own = [F.col(f"`{c}`") for c in names]
+    joined = docs.select(*own, t1.alias(t1_), t2.alias(t2_)).join(hits, [t1_, t2_], "left").select(*own, hits_)
 
     def by_join(batches):
         for b in batches:
-            own = [[(x["h1"], x["h2"]) for x in hits or ()] for hits in b.column(len(names)).to_pylist()]
-            sets = [{np.array(p, "<i8").tobytes() for p in ps} for ps in own]
-            yield rewrite(b, lambda i, sets=sets: sets[i])
+            sets = [{np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in hits or ()} for hits in b.column(len(names)).to_pylist()]
+            yield from rewrite(b, lambda i, sets=sets: sets[i])
 
     return joined.mapInArrow(by_join, schema)
 
@@ -226,7 +232,7 @@ FROM lines l LEFT JOIN frequent f ON l.k = f.k GROUP BY doc_id
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: frequent lines leave the texts; ``n_chars`` follows; every document stays."""
+    """Pipeline stage: frequent lines leave the texts; ``n_chars`` follows; every document stays, with its own columns."""
     out = drop_frequent_lines(docs, min_docs=10, min_chars=1)
-    columns = [F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    columns = [F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns)
