@@ -1,32 +1,37 @@
 """SimHash near-dedup by a binary-trie self-join.
 
 Fingerprints are first collapsed to distinct values. Two of them within three bits agree on at least
-one of four 16-bit blocks, so each value enters four units, one a block, keyed by that block. Within a
-unit the values form a trie of their remaining bits (eight binary levels a step): pairs of nodes are
-traversed together, differing bits accumulate, and a pair is pruned once the budget is exceeded. A
+one of four 16-bit blocks. So four tries are joined, each with the bits rotated so that another block comes first, and
+in that block no bit of the budget may be spent: the nodes at depth 16, keyed by it, are the units that are dealt out. Within a
+unit the values form a binary trie: pairs of nodes are traversed together, differing bits accumulate, and a pair is pruned once the budget is exceeded. A
 unit that is too large for one task is first split by the same traversal on the cluster: its
 members go to the pairs of child nodes that stay within the budget. Each task returns a spanning star of its links, so a
 dense group costs rows in proportion to its members, and the stars meet in a distributed
 connected-components step.
 
 The pipeline stage (``near_copies``) links texts of five-word Jaccard 0.8 or more instead. Such pairs
-differ in too many of 64 bits for a join by Hamming distance, so bands of min-hashes give its
-candidates, and a candidate counts only if the exact Jaccard of the two shingle sets reaches 0.8.
+differ in too many of 64 bits for a join by Hamming distance, so bands of min-hashes say which texts meet;
+within such a unit an exact prefix-filtered set join finds the links, and no pair of a unit is written but those of a spanning star.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import connected_components, cut, partitions, read
+from ._common import Tables, connected_components, cut, partitions, read, slices, unused
 
-STEP = 8  # binary levels that one step of the traversal takes
+STEP = 8  # binary levels that one step of a split on the cluster takes
 CHUNK = 1 << 20  # node pairs expanded at once
+SLICE = 1 << 22  # bytes of text hashed at once
 WORDS = 5  # words a shingle of the pipeline stage
+HELD = 512  # shingles of a set that travel with it: up to so many whole, of larger sets the smallest hashes
+UNIT = 4096  # sets of a unit; larger units are met block by block
 BANDS, ROWS = 32, 5  # a pair of Jaccard 0.8 shares none of the bands with probability (1 - 0.8**5)**32 = 3e-6
 
 
@@ -54,65 +59,68 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, n) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
+            for i, j in slices(b.column(1), SLICE):
+                fp = np.array([fingerprint(t, n) for t in b.column(1).slice(i, j - i).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp)], names=["id", "fp"])
 
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
 def _levels(unit: np.ndarray, side: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
-    """Starts of the trie's nodes in the sorted rows, for each depth 0, 8, ..., 64."""
+    """Starts of the binary trie's nodes in the sorted rows, for each depth from 0 to 64."""
     edge = np.ones(len(key), bool)
     edge[1:] = (unit[1:] != unit[:-1]) | (side[1:] != side[:-1])
-    out = [np.flatnonzero(edge)]
-    for depth in range(STEP, 65, STEP):
-        prefix = key >> np.uint64(64 - depth)
-        edge = edge.copy()
-        edge[1:] |= prefix[1:] != prefix[:-1]
-        out.append(np.flatnonzero(edge))
+    out, differ = [np.flatnonzero(edge).astype(np.int32)], np.append(np.uint64(0), key[1:] ^ key[:-1])
+    for depth in range(1, 65):
+        if (fresh := ~edge & (differ >> np.uint64(64 - depth) != 0)).any():
+            edge = edge | fresh
+            out.append(np.flatnonzero(edge).astype(np.int32))
+        else:
+            out.append(out[-1])
     return out
 
 
 def links(unit: np.ndarray, side: np.ndarray, key: np.ndarray, budget: int):
     """Yield arrays (i, j) of rows, sorted by (unit, side, key), whose keys differ in 1 to ``budget`` bits.
 
-    Side 0 is joined with itself, side 1 with side 2 of the same unit.
+    Side 0 is joined with itself, side 1 with side 2 of the same unit. Pairs of nodes go down the binary
+    trie together, bit by bit; a pair whose bits differ too often is pruned with all that is below it.
     """
     levels = _levels(unit, side, key)
-    roots, child = levels[0], []
-    for up, down in zip(levels, levels[1:], strict=False):
-        child.append(np.append(np.searchsorted(down, up), len(down)))
+    roots = levels[0]
     own = np.flatnonzero(side[roots] == 0)
     left = np.flatnonzero(side[roots] == 1)
     left = left[left + 1 < len(roots)]
     left = left[(unit[roots[left + 1]] == unit[roots[left]]) & (side[roots[left + 1]] == 2)]
-    a, b = np.concatenate([own, left]), np.concatenate([own, left + 1])
+    a, b = np.concatenate([own, left]).astype(np.int32), np.concatenate([own, left + 1]).astype(np.int32)
     stack = [(0, a, b, np.zeros(len(a), np.uint8))]
     while stack:
-        level, a, b, used = stack.pop()
-        if level == 64 // STEP:
-            apart = a != b
-            if apart.any():
-                yield levels[level][a[apart]], levels[level][b[apart]]
-            continue
-        first, down = child[level], levels[level + 1]
-        ca, cb = first[a + 1] - first[a], first[b + 1] - first[b]
-        total = np.cumsum(ca * cb)
-        cuts = [0, *np.unique(np.searchsorted(total, np.arange(CHUNK, total[-1] if len(total) else 0, CHUNK)) + 1).tolist(), len(a)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if lo >= hi:
-                continue
-            n = (ca * cb)[lo:hi]
-            at = np.repeat(np.arange(lo, hi), n)
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            x, y = first[a[at]] + k // cb[at], first[b[at]] + k % cb[at]
-            shift = np.uint64(64 - STEP * (level + 1))
-            differ = (key[down[x]] ^ key[down[y]]) >> shift & np.uint64(2**STEP - 1)
-            spent = used[at] + np.bitwise_count(differ)
-            go = (spent <= budget) & ((a[at] != b[at]) | (x <= y))
-            if go.any():
-                stack.append((level + 1, x[go], y[go], spent[go]))
+        depth, a, b, used = stack.pop()
+        while depth < 64:
+            if len(a) > CHUNK:  # the rest waits, so that the arrays stay small
+                stack.append((depth, a[CHUNK:], b[CHUNK:], used[CHUNK:]))
+                a, b, used = a[:CHUNK], b[:CHUNK], used[:CHUNK]
+            up, down = levels[depth], levels[depth + 1]
+            bit = lambda node, d=down, k=np.uint64(63 - depth): (key[d[node]] >> k & np.uint64(1)).astype(np.uint8)
+            if up is down:  # no node branches here: bits of pairs still differ
+                used = used + (bit(a) ^ bit(b))
+            else:
+                first = np.append(np.searchsorted(down, up), len(down)).astype(np.int32)
+                both = [(first[a], first[b])]
+                two_a, two_b = first[a + 1] - first[a] == 2, first[b + 1] - first[b] == 2
+                both += [(first[a] + 1, first[b]), (first[a], first[b] + 1), (first[a] + 1, first[b] + 1)]
+                take = [np.ones(len(a), bool), two_a & (a != b), two_b, two_a & two_b]  # of a node with itself one mixed pair
+                x, y = (np.concatenate([c[k][t] for c, t in zip(both, take, strict=True)]) for k in (0, 1))
+                used = np.concatenate([used[t] for t in take])
+                a, b, used = x, y, used + (bit(x) ^ bit(y))
+            go = used <= budget
+            a, b, used, depth = a[go], b[go], used[go], depth + 1
+            if not len(a):
+                break
+        apart = a != b
+        if depth == 64 and apart.any():
+            yield levels[64][a[apart]].astype(np.int64), levels[64][b[apart]].astype(np.int64)
 
 
 def stars(unit: np.ndarray, side: np.ndarray, key: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +190,7 @@ def link_stars(fps: DataFrame, budget: int = 3, max_unit: int = 16384) -> DataFr
         for b in batches:
             t = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy()]
             t = t if held is None else [np.concatenate(x) for x in zip(held, t, strict=True)]
-            if len(t[0]) < 200_000:
+            if len(t[0]) < 50_000:
                 held = t
                 continue
             whole = int(np.searchsorted(t[0], t[0][-1]))  # the last unit may go on in the next batch
@@ -251,98 +259,232 @@ def band_keys(held: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))), np.uint64, BANDS)
 
 
-def _shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(fp, held) of the shingle sets whose key is among ``wanted``, a row each."""
+class _Forest:
+    """Rows joined into trees, each known by its smallest row."""
 
-    def run(batches):
-        for b in batches:
-            sets = [shingles(t) for t in b.column(0).to_pylist()]
-            fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
-            ends = np.cumsum([0, *map(len, sets)])
-            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(fp), held], names=["fp", "held"])
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            pi, pj = self.up[i], self.up[j]
+            apart = pi != pj
+            if not apart.any():
+                return
+            i, j, pi, pj = i[apart], j[apart], pi[apart], pj[apart]
+            np.minimum.at(self.up, np.maximum(pi, pj), np.minimum(pi, pj))
+            while not np.array_equal(up := self.up[self.up], self.up):
+                self.up = up
 
-    found = docs.select(text_col).mapInArrow(run, "fp long, held array<long>").join(wanted, "fp", "left_semi")
-    return cut(found.groupBy("fp").agg(F.first("held").alias("held")))
 
+def set_links(size: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, sure) that span the links of Jaccard 0.8 or more among sets of hashes.
+
+    ``held`` has each set's sorted hashes, of a set larger than ``HELD`` the smallest. Links of whole sets
+    are exact and come as stars. Pairs with a partly held set come unsure, to be compared in full, if the hashes that
+    both would hold are 0.72 alike (4.6 deviations below 0.8); those above 0.88 only as far as they span.
+    Any set that holds 0.8 of a set's hashes holds one of any fifth (and one more) of them: only the rarest of
+    each set, within these sets, are looked up. Sets are first compared with a few that share the most, and those in the largest
+    group after that are looked up no more, only found.
+    """
+    n = len(size)
+    tokens, token, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    length = np.fromiter(map(len, held), np.int64, n)
+    begin, row, total = np.cumsum(length) - length, np.repeat(np.arange(n), length), len(tokens) + 1
+    code = row * total + token  # ascending
+    limit = np.where(size > length, token[begin + length - 1], total - 1)  # the last number is no token
+    sure, maybe, unsure = _Forest(n), _Forest(n), []
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        ok = 9 * np.minimum(size[i], size[j]) >= 4 * (size[i] + size[j])
+        i, j = i[ok], j[ok]
+        for k in range(0, len(i), 8192):
+            a, b = i[k : k + 8192], j[k : k + 8192]
+            pair = np.repeat(np.arange(len(a)), length[a])
+            at = np.repeat(begin[a] - (np.cumsum(length[a]) - length[a]), length[a]) + np.arange(len(pair))
+            want = b[pair] * total + token[at]
+            spot = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            both = np.bincount(pair[code[spot] == want], minlength=len(a))
+            end = np.minimum(limit[a], limit[b])
+            within = [np.searchsorted(code, x * total + end, "right") - begin[x] for x in (a, b)]
+            whole = end == total - 1
+            alike = whole & (9 * both >= 4 * (within[0] + within[1]))
+            sure.join(a[alike], b[alike])
+            share = both / np.maximum(1, within[0] + within[1] - both)
+            near = np.flatnonzero(~whole & (share >= 0.72))
+            for x in near[np.argsort(-share[near], kind="stable")].tolist():
+                if share[x] < 0.88 or maybe.up[a[x]] != maybe.up[b[x]]:
+                    unsure.append((a[x], b[x]))
+                    if share[x] >= 0.88:
+                        maybe.join(a[x : x + 1], b[x : x + 1])
+
+    def labels():
+        both = _Forest(n)
+        both.join(np.arange(n), sure.up)
+        both.join(np.arange(n), maybe.up)
+        return both.up
+
+    score, left = np.bincount(row, count[token], n) / np.maximum(1, length), np.arange(n)
+    for _ in range(8):  # stars of sets that share the most
+        if len(left) < 3:
+            break
+        lead = left[np.argmax(score[left])]
+        other = left[left != lead]
+        compare(np.full(len(other), lead), other)
+        own = labels()
+        left = left[own[left] != own[lead]]
+    own = labels()
+    ask = np.flatnonzero(own != np.bincount(own).argmax()) if n > 1 else np.zeros(0, np.int64)
+    need = np.where(size <= 0.8 * HELD, np.ceil(0.8 * length), np.ceil(0.57 * length)).astype(np.int64)
+    rarest = np.lexsort([token, count[token], row])  # each row's hashes, rarest first
+    by_token = np.argsort(token, kind="stable")
+    first = np.cumsum(count) - count
+    k = 0
+    while k < len(ask):
+        look, cost, stop = [], 0, k
+        while stop < len(ask) and (cost < CHUNK or stop == k):
+            m = ask[stop]
+            look.append(rarest[begin[m] : begin[m] + length[m] - need[m] + 1])
+            cost += int(count[token[look[-1]]].sum())
+            stop += 1
+        at = np.concatenate(look)
+        hits = count[token[at]]
+        other = row[by_token[np.repeat(first[token[at]] - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())]]
+        mine = np.repeat(row[at], hits)
+        own = sure.up
+        new = np.unique((np.minimum(mine, other) * n + np.maximum(mine, other))[own[mine] != own[other]])
+        compare(new // n, new % n)
+        k = stop
+    rows = np.flatnonzero(sure.up != np.arange(n))
+    i, j = np.array(unsure, np.int64).reshape(-1, 2).T
+    return np.concatenate([rows, i]), np.concatenate([sure.up[rows], j]), np.arange(len(rows) + len(i)) < len(rows)
+
+
+def _unit_links(batches):
+    """(src, dst, sure) of units, over rows (unit, fp, size, held) sorted by unit."""
+    parts: list[list] = [[], [], []]
+    now = None
+
+    def found():
+        fp, size = np.concatenate(parts[0]), np.concatenate(parts[1]).astype(np.int64)
+        fp, keep = np.unique(fp, return_index=True)  # a set that several blocks bring counts once
+        held = [parts[2][k] for k in keep.tolist()]
+        i, j, sure = set_links(size[keep], held) if len(fp) > 1 else (np.zeros(0, np.int64),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j]), pa.array(sure.astype(bool))], names=["src", "dst", "sure"])
+
+    for b in batches:
+        unit, fp, size = (b.column(k).to_numpy() for k in range(3))
+        flat, ends = b.column(3).flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(b.column(3)).to_numpy()))
+        cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)] if len(unit) else []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if unit[x] != now and parts[0]:
+                yield found()
+                parts = [[], [], []]
+            now = unit[x]
+            parts[0].append(fp[x:y])
+            parts[1].append(size[x:y])
+            parts[2] += [flat[ends[k] : ends[k + 1]].view(np.uint64).copy() for k in range(x, y)]
+    if parts[0]:
+        yield found()
+
+
+def _alike(docs: DataFrame, text_col: str, pairs: DataFrame, tables: Tables) -> DataFrame:
+    """The (src, dst) of ``pairs`` of sets larger than ``HELD`` (or nearly so) whose Jaccard is 0.8 or more, counted in full."""
+
+    def run(batches):
+        for b in batches:
+            for i, j in slices(b.column(0), SLICE):
+                sets = [shingles(t) for t in b.column(0).slice(i, j - i).to_pylist()]
+                fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+                ends = np.cumsum([0, *map(len, sets)])
+                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(fp), held], names=["fp", "held"])
 
-def _alike(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
-    """The (src, dst) of ``pairs`` whose sets have a Jaccard of 0.8 or more, counted exactly."""
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
-    sets = _shingle_sets(docs, text_col, wanted)
+    text = F.col(f"`{text_col}`")
+    large = docs.where(F.length(text) >= int(1.6 * HELD)).select(text.alias("text"))  # so many shingles take so many letters and spaces
+    found = large.mapInArrow(run, "fp long, held array<long>").join(wanted, "fp", "left_semi")
+    sets = tables.cut(found.groupBy("fp").agg(F.first("held").alias("held")))
     both = pairs.join(sets.select(F.col("fp").alias("dst"), F.col("held").alias("y")), "dst").join(sets.select(F.col("fp").alias("src"), F.col("held").alias("x")), "src")
-    return cut(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("src", "dst"))
+    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("src", "dst")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component, component_id) as of ``near_duplicates``, linked by a five-word Jaccard of 0.8 or more.
 
-    ``fp`` is the key of the shingle set, so equal sets are one from the start. In each bucket of a band
-    every set is first compared with the smallest, which costs a group of near copies pairs in
-    proportion to its members; then each pair of a bucket that is in two components still is compared.
+    ``fp`` is the key of the shingle set, so equal sets are one from the start, and sets that share no band with another leave
+    at once. A unit is the sets of one band key (beyond ``UNIT`` sets, of two blocks of them); it gives only
+    links that span its groups. Texts without words are one component; null is an empty text; a text of any length is read whole;
+    null and repeated ids keep a row each; an empty table gives no rows.
     """
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fps, sizes, keys = [], [], []
-            for t in b.column(1).to_pylist():
-                held = shingles(t)
-                fps.append(xxhash.xxh64_intdigest(held.tobytes(), 42))
-                sizes.append(len(held))
-                keys.append(band_keys(held).view(np.int64).tolist() if len(held) else [])
-            fp = np.array(fps, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "size", "keys"])
-
-    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = cut(frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, fp long, size int, keys array<long>"))
+            for i, j in slices(b.column(1), SLICE):
+                sets = [shingles(t) for t in b.column(1).slice(i, j - i).to_pylist()]
+                fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+                lists = []
+                for rows in ([band_keys(x) if len(x) else x for x in sets], [x[:HELD] for x in sets]):
+                    flat = np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), *lists], names=["id", "fp", "size", "keys", "held"])
+
+    frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    id_type = frame.schema["id"].dataType
+    prints = cut(frame.mapInArrow(run, T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("fp long, size int, keys array<long>, held array<long>").fields])))
     ids = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    members = prints.select("fp", "size", F.explode("keys").alias("key")).distinct()
-    shared = members.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(shared, "key").select("key", "fp", "size", "m"))
-    close = "9 * least({0}, {1}) >= 4 * ({0} + {1})"  # else their sizes alone rule a Jaccard of 0.8 out
-    first = cut(members.where("fp <> m.fp").where(close.format("size", "m.size")).select(F.col("m.fp").alias("src"), F.col("fp").alias("dst")).distinct())
-    edges = _alike(docs, text_col, first)
+    members = prints.select("fp", F.explode("keys").alias("key")).distinct()
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = tables.cut(members.join(shared, "key"))
+    blocks = F.ceil(F.col("n") / UNIT).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    units = members.withColumn("own", own).select("fp", "key", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    units = units.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
+    sets = prints.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("size").alias("size"), F.first("held").alias("held"))
+    dealt = units.join(sets, "fp").select("unit", "fp", "size", "held").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
+    found = tables.cut(dealt.mapInArrow(_unit_links, "src long, dst long, sure boolean"))
+    edges = found.where("sure").select("src", "dst")
+    unsure = tables.cut(found.where("not sure").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    if unsure.limit(1).count():
+        edges = edges.union(_alike(docs, text_col, unsure, tables))
     groups = connected_components(edges)
-    told = members.join(groups, members.fp == groups.node, "left").select("key", "fp", "size", F.coalesce("component", "fp").alias("component"))
-    mixed = told.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    told = cut(told.join(mixed, "key", "left_semi"))
-    other = told.select("key", *[F.col(c).alias(f"{c}_2") for c in ("fp", "size", "component")])
-    rest = told.join(other, "key").where("fp < fp_2 and component <> component_2").where(close.format("size", "size_2"))
-    rest = rest.select(F.col("fp").alias("src"), F.col("fp_2").alias("dst")).distinct().join(first, ["src", "dst"], "left_anti")
-    rest = cut(rest)
-    if rest.limit(1).count():
-        edges = edges.union(_alike(docs, text_col, rest))
-        groups = connected_components(edges)
+    tables.drop()
     of = ids.join(groups, ids.fp == groups.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     low = of.groupBy("component").agg(F.min("low").alias("component_id"))
     of = of.join(low, "component").select("fp", "component", "component_id")
-    return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component", "component_id")
+    return prints.select("id", "fp").join(of, "fp").select(F.col("id").alias(id_col), "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, mark=fingerprint) -> DataFrame:
-    """``docs`` without near duplicates: of each component of ``find`` the row with the smallest id stays.
+    """``docs`` without near duplicates: of each component of ``find`` the row with the smallest id stays, with all its columns.
 
-    ``mark`` gives the ``fp`` of ``find`` for a text.
-
-    Ids that are null (they come last) or repeated cannot name a row; then the fingerprint is compared
-    too, and of rows that still tie the smallest by all columns stays.
+    ``mark`` gives the ``fp`` of ``find`` for a text. Ids that are null (they come last) or repeated cannot name a row; then the fingerprint is compared
+    too, and of rows that still tie the smallest by all columns stays (columns that hold maps count as their JSON). Other
+    columns may have any name. An empty table stays empty.
     """
-    found = cut(find(docs, id_col, text_col))
-    best = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp")).alias("w"))
-    winners = best.select(F.col("w.id").alias("_id"), F.col("w.fp").alias("_fp"), F.col("component").alias("_component"))
-    unclear = found.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+    id_, fp_, component_, order_ = unused(docs.columns, "_id", "_fp", "_component", "_order")
+    own_id = F.col(f"`{id_col}`")
+    found = cut(find(docs.select(own_id, F.col(f"`{text_col}`")), id_col, text_col))
+    best = found.groupBy("component").agg(F.min(F.struct(own_id.isNull().alias("none"), own_id.alias("id"), "fp")).alias("w"))
+    winners = best.select(F.col("w.id").alias(id_), F.col("w.fp").alias(f"{fp_}w"), F.col("component").alias(component_))
+    unclear = found.groupBy(own_id).agg(F.count("*").alias("n")).where((F.col("n") > 1) | own_id.isNull())
     if not unclear.limit(1).count():
-        return docs.join(winners, F.col(id_col) == F.col("_id"), "left_semi")
+        return docs.join(winners.select(id_), own_id == F.col(id_), "left_semi")
     at, names = docs.columns.index(text_col), docs.columns
 
     def tag(batches):
         for b in batches:
-            fp = np.array([mark(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*names, "_row_fp"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _row_fp long"
-    rows = docs.mapInArrow(tag, schema).join(winners, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_fp") == F.col("_fp")))
-    return rows.groupBy("_component").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("_r")).select("_r.*")
+            for i, j in slices(b.column(at), SLICE):
+                part = b.slice(i, j - i)
+                fp = np.array([mark(t) for t in part.column(at).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], names=[*names, fp_])
+
+    rows = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField(fp_, T.LongType())]))
+    rows = rows.join(winners, own_id.eqNullSafe(F.col(id_)) & (F.col(fp_) == F.col(f"{fp_}w")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    key = F.struct(*[F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema])
+    return rows.groupBy(component_).agg(F.min_by(whole, key).alias(order_)).select(f"{order_}.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
