@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, read
+from ._common import Tables, cut, read, unused
 
-SLICES = 4096  # parts of a leaf's hash order that are summed before any row is ranked
+BITS, DEPTH = 8, 3  # of a leaf's order, 2**8 slices are summed at each of three levels before any row is ranked
 TOKEN = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,6 +65,16 @@ def shares(tree: dict, budget: int) -> dict[tuple, int]:
     return out
 
 
+def ordered(content: Column, seed: int, epoch: Column) -> Column:
+    """Place of a row in an epoch's order, from 0 below 2**63; rows of equal place follow by their content hash."""
+    return F.shiftrightunsigned(F.xxhash64(content, F.lit(seed), epoch), 1)
+
+
+def content_of(docs: DataFrame) -> Column:
+    """64-bit hash of a whole row; columns that hold maps count as their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema])
+
+
 def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float] | None = None, budget: float = 0.5, max_epochs: int = 2, seed: int = 17, tokens: Column | None = None, max_leaves: int = 100_000) -> DataFrame:
     """``docs`` (all columns) with ``mix_epoch`` and ``mix_tokens``: the rows that the mixture takes, once an epoch.
 
@@ -73,64 +83,68 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float]
     as a fraction up to 1 the share of all tokens; a leaf is read at most ``max_epochs`` times. In each epoch
     a leaf's rows come in a new seeded order of their content hash; it takes rows while the tokens
     before them are below its budget, so the row that crosses the line is taken whole. Rows without
-    tokens are taken while their leaf's epoch lasts. Equal rows tie and are taken in turn.
+    tokens (null or empty texts) are taken while their leaf's epoch lasts. Equal rows tie, and as many of them are taken as the
+    budget reaches. A text may be of any length; an empty table stays empty. Should the input have columns of the two added names, these get
+    underscores at their end until they differ.
 
-    Leaves are summed in slices of the hash order; only the slice that a budget ends in is ranked, so no leaf,
-    however large, meets in one task. The tree of leaf sums is resolved on the driver: it has a row a leaf,
+    Where a budget ends is found by sums over ever finer slices of the order (2 ** ``BITS`` a level, ``DEPTH`` levels), so no leaf,
+    however large, meets in one task; equal rows at the line are counted, and one of them repeated. The tree of leaf sums is resolved on the driver: it has a row a leaf,
     and more than ``max_leaves`` leaves are refused.
     """
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
     names = docs.columns
     tokens = tokens if tokens is not None else F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN)).cast("long")
     path = F.struct(*[F.coalesce(c.cast("string"), F.lit("\0null")).alias(k) for k, c in levels.items()])
-    content = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString()])
-    epochs = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))
-    keyed = cut(docs.select(path.alias("_leaf"), tokens.alias("_t"), content.alias("_h")))
-    leaves = keyed.groupBy("_leaf").agg(F.sum("_t").alias("t")).limit(max_leaves + 1).collect()
+    content = content_of(docs)
+    keyed = tables.cut(docs.select(path.alias("leaf"), tokens.alias("t"), content.alias("h")))
+    leaves = keyed.groupBy("leaf").agg(F.sum("t").alias("t")).limit(max_leaves + 1).collect()
     if len(leaves) > max_leaves:
         raise ValueError(f"more than {max_leaves} leaves")
     total = sum(r["t"] for r in leaves)
     goal = int(budget * total) if budget <= 1 else int(budget)
     weights = weights or {}
-    tree = {tuple(r["_leaf"]): (tuple(float(weights.get(tuple(r["_leaf"])[: d + 1], 1.0)) for d in range(len(levels))), r["t"] * max_epochs) for r in leaves}
-    own = shares(tree, goal)
-    size = {tuple(r["_leaf"]): r["t"] for r in leaves}
-    plan = [(*p, n // size[p] if size[p] else 0, n - (n // size[p]) * size[p] if size[p] else 0) for p, n in own.items()]
-    schema = ", ".join(f"`{k}` string" for k in levels) + ", _full long, _rest long"
-    plan = spark.createDataFrame(plan, schema).select(F.struct(*levels).alias("_leaf"), "_full", "_rest")
-    plan = F.broadcast(plan) if len(leaves) <= 20_000 else plan
-
-    def order(epoch: Column) -> Column:
-        return F.xxhash64("_h", F.lit(seed), epoch)
-
-    # The last epoch of each leaf is cut at its rest: find the slice of the hash order in which it ends.
-    slice_of = F.pmod(F.shiftrightunsigned(F.col("_u"), 16), F.lit(SLICES))
-    last = keyed.join(plan, "_leaf").where("_rest > 0").withColumn("_u", order(F.col("_full").cast("int")))
-    sums = last.groupBy("_leaf", slice_of.alias("_s")).agg(F.sum("_t").alias("_t"), F.max("_rest").alias("_rest"))
-    w = Window.partitionBy("_leaf").orderBy("_s")
-    ends = sums.withColumn("_before", F.sum("_t").over(w) - F.col("_t")).where("_before < _rest")
-    ends = cut(ends.groupBy("_leaf").agg(F.max_by(F.struct("_s", "_before"), "_s").alias("e")).select("_leaf", "e.*").withColumnRenamed("_s", "_end"))
-    # Rows of that slice are ranked one by one, by (hash, content).
-    edge = last.withColumn("_s", slice_of).join(F.broadcast(ends) if len(leaves) <= 20_000 else ends, "_leaf").where("_s = _end")
-    w = Window.partitionBy("_leaf").orderBy("_u", "_h")
-    same = edge.groupBy("_leaf", "_u", "_h").agg(F.sum("_t").alias("_t"), F.count("*").alias("_n"), F.max("_before").alias("_before"), F.max("_rest").alias("_rest"))
-    same = same.withColumn("_at", F.col("_before") + F.sum("_t").over(w) - F.col("_t")).where("_at < _rest")
-    limit = cut(same.groupBy("_leaf").agg(F.max_by(F.struct("_u", "_h", "_at", "_rest", "_t", "_n"), F.struct("_u", "_h")).alias("c"), F.max("_rest").alias("_r")))
-    limit = limit.select("_leaf", F.col("c._u").alias("_cu"), F.col("c._h").alias("_ch"), F.when(F.col("c._t") > 0, F.ceil((F.col("c._rest") - F.col("c._at")) / (F.col("c._t") / F.col("c._n")))).otherwise(F.col("c._n")).alias("_take"), F.col("c._n").alias("_n"))
-    bounds = plan.join(ends, "_leaf", "left").join(limit, "_leaf", "left")
-    bounds = F.broadcast(bounds) if len(leaves) <= 20_000 else bounds
-
-    rows = docs.select(*names, path.alias("_leaf"), tokens.alias("_t"), content.alias("_h"))
-    rows = rows.join(bounds, "_leaf").select("*", epochs.alias("mix_epoch")).withColumn("_u", order(F.col("mix_epoch"))).withColumn("_s", slice_of)
-    here = (F.col("_s") < F.col("_end")) | ((F.col("_s") == F.col("_end")) & (F.struct("_u", "_h") <= F.struct(F.col("_cu").alias("_u"), F.col("_ch").alias("_h"))))
-    rows = rows.where((F.col("mix_epoch") < F.col("_full")) | ((F.col("mix_epoch") == F.col("_full")) & F.coalesce(here, F.lit(False))))
-    # Equal rows at the very line: only as many as it takes.
-    tied = (F.col("mix_epoch") == F.col("_full")) & (F.col("_u") == F.col("_cu")) & (F.col("_h") == F.col("_ch")) & (F.col("_take") < F.col("_n"))
-    tied = F.coalesce(tied, F.lit(False))
-    out = [*[F.col(f"`{c}`") for c in names], F.col("mix_epoch"), F.col("_t").alias("mix_tokens")]
-    if limit.where("_take < _n").limit(1).count():
-        few = rows.where(tied).withColumn("_r", F.row_number().over(Window.partitionBy("_leaf").orderBy("_h"))).where("_r <= _take")
-        return rows.where(~tied).select(*out).union(few.select(*out))
+    tree = {tuple(r["leaf"]): (tuple(float(weights.get(tuple(r["leaf"])[: d + 1], 1.0)) for d in range(len(levels))), r["t"] * max_epochs) for r in leaves}
+    size = {tuple(r["leaf"]): r["t"] for r in leaves}
+    plan = [(*p, n // size[p] if size[p] else 0, n % size[p] if size[p] else 0) for p, n in shares(tree, goal).items()]
+    schema = ", ".join(f"`{k}` string" for k in levels) + ", `full epochs` long, `rest of one` long"
+    small = F.broadcast if len(leaves) <= 20_000 else lambda x: x  # a row a leaf
+    plan = spark.createDataFrame(plan, schema).select(F.struct(*[F.col(f"`{k}`") for k in levels]).alias("leaf"), F.col("full epochs").alias("full"), F.col("rest of one").alias("rest"))
+
+    # The last epoch of each leaf is cut at its rest: find the slice of the order in which it ends, level by level.
+    last = keyed.join(small(plan), "leaf").where("rest > 0").withColumn("v", ordered(F.col("h"), seed, F.col("full").cast("int")))
+    last = last.select("leaf", "t", "h", "v", "rest", F.lit(0).cast("long").alias("before"))
+    for level in range(1, DEPTH + 1):
+        slice_of = F.pmod(F.shiftrightunsigned(F.col("v"), 63 - BITS * level), F.lit(1 << BITS))
+        sums = last.groupBy("leaf", slice_of.alias("s")).agg(F.sum("t").alias("t"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        w = Window.partitionBy("leaf").orderBy("s")
+        ends = sums.withColumn("before", F.col("before") + F.sum("t").over(w) - F.col("t")).where("before < rest")
+        ends = tables.cut(ends.groupBy("leaf").agg(F.max_by(F.struct("s", "before"), "s").alias("e")).select("leaf", "e.*"))
+        last = last.drop("before").withColumn("s", slice_of).join(small(ends), ["leaf", "s"]).drop("s")
+    # What is left of the leaf, a handful of rows, is ranked one by one.
+    w = Window.partitionBy("leaf").orderBy("v", "h")
+    same = last.groupBy("leaf", "v", "h").agg(F.sum("t").alias("t"), F.count("*").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    same = same.withColumn("at", F.col("before") + F.sum("t").over(w) - F.col("t")).where("at < rest")
+    limit = same.groupBy("leaf").agg(F.max_by(F.struct("v", "h", "at", "rest", "t", "n"), F.struct("v", "h")).alias("c"))
+    take = F.when(F.col("c.t") > 0, F.ceil((F.col("c.rest") - F.col("c.at")) / (F.col("c.t") / F.col("c.n")))).otherwise(F.col("c.n"))
+    limit = cut(limit.select("leaf", "c.v", "c.h", take.cast("long").alias("take"), "c.n"))
+    tables.drop()
+
+    leaf_, t_, h_, v_, cut_, row_, epoch_, tokens_ = unused(names, "_leaf", "_t", "_h", "_v", "_cut", "_row", "mix_epoch", "mix_tokens")
+    bounds = plan.join(limit, "leaf", "left").select(F.col("leaf").alias(leaf_), F.struct("full", "v", "h", "take", "n").alias(cut_))
+    own = [F.col(f"`{c}`") for c in names]
+    rows = docs.select(*own, path.alias(leaf_), tokens.alias(t_), content.alias(h_)).join(small(bounds), leaf_)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias(epoch_)).withColumn(v_, ordered(F.col(h_), seed, F.col(epoch_)))
+    here = F.struct(F.col(v_).alias("v"), F.col(h_).alias("h"))
+    line = F.struct(F.col(f"{cut_}.v").alias("v"), F.col(f"{cut_}.h").alias("h"))
+    partly = (F.col(epoch_) == F.col(f"{cut_}.full")) & F.col(f"{cut_}.v").isNotNull()
+    rows = rows.where((F.col(epoch_) < F.col(f"{cut_}.full")) | (partly & (here <= line)))
+    tied = partly & (here == line) & (F.col(f"{cut_}.take") < F.col(f"{cut_}.n"))
+    out = [*own, F.col(epoch_), F.col(t_).alias(tokens_)]
+    if limit.where("take < n").limit(1).count():
+        # Equal rows at the very line: one stands for all, as often as it takes.
+        one = rows.where(tied).groupBy(leaf_).agg(F.first(F.struct(*out)).alias(row_), F.first(f"{cut_}.take").alias(t_))
+        few = one.select(row_, F.explode(F.sequence(F.lit(1).cast("long"), F.col(t_)))).select(f"{row_}.*")
+        return rows.where(~tied).select(*out).union(few)
     return rows.select(*out)
 
 
@@ -157,4 +171,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: 60 % of the tokens that are left, by target weights, no document twice."""
-    return mix(docs, levels(), WEIGHTS, budget=0.6, max_epochs=1).select(*docs.columns)
+    return mix(docs, levels(), WEIGHTS, budget=0.6, max_epochs=1).select(*[F.col(f"`{c}`") for c in docs.columns])
