@@ -73,7 +73,7 @@ def test_language_backoff(spark, docs, empty):
 
 def test_language_fit_without_letters(spark):
     model = langid.fit(spark.createDataFrame([("12 34", "x"), ("", "y")], "text string, lang string"))
-    assert model["langs"] == ["x", "y"] and not model["words"]
+    assert model["langs"] == ["x", "y"] and len(model["words"]) == 0
     assert langid.predict_one(model, "word")[1] == pytest.approx(0.5)
 
 
@@ -92,14 +92,14 @@ def test_line_dedup(docs, empty, broadcast_keys):
 
 
 def test_line_runs_levels(spark):
-    runs = linededup.LineRuns(spark, 4, fanout=2)
+    runs = linededup.LineRuns(spark, 4)
     for _ in range(5):
         runs.ingest(spark.createDataFrame([(k, -k, 1) for k in range(20)] + [(100, 1, 3)], "h1 long, h2 long, n long"))
     assert {r.h1 for r in runs.settle().collect()} == {*range(20), 100}
 
 
 def test_line_batches_grow(spark):
-    assert [linededup.batches_for(n) for n in (0, 10_000, 50_000, 250_000, 15_000_000)] == [4, 4, 9, 15, 33]
+    assert [linededup.batches_for(n) for n in (0, 10_000, 50_000, 250_000, 15_000_000)] == [4, 4, 6, 10, 22]
     runs, levels = linededup.LineRuns(spark, 10), set()
     for _ in range(9):
         runs.ingest(spark.createDataFrame([(k, -k, 1 + k) for k in range(12)], "h1 long, h2 long, n long"))
@@ -223,8 +223,9 @@ def test_imatch_of_a_group_of_a_third(spark, edited):
     texts = [*group, *[" ".join(word() for _ in range(80)) for _ in range(200)]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     lex = _common.cut(imatch.lexicon(docs))
-    got = dict(imatch.fingerprint_rows(docs, ["doc_id"], "text", lex, []).collect())
-    pairs = spark.createDataFrame([(got[96], got[k]) for k in range(97, 100)], "a array<long>, b array<long>")
+    got = {r.doc_id: (r.level, r.prints) for r in imatch.fingerprint_rows(docs, ["doc_id"], "text", lex).collect()}
+    print_ = "struct<level: int, prints: array<long>>"
+    pairs = spark.createDataFrame([(got[96], got[k]) for k in range(97, 100)], f"a {print_}, b {print_}")
     assert all(r[0] > 0.5 for r in pairs.select(imatch.likeness(pairs.a, pairs.b)).collect())
 
 
@@ -339,15 +340,47 @@ def test_shares():
     assert sum(mixing.shares(tree, 10_000).values()) == 210
 
 
-def test_mixing_takes_prefixes(spark, docs, empty):
-    got = mixing.mix(docs, mixing.levels(), mixing.WEIGHTS, budget=0.6, max_epochs=2)
-    assert got.columns == [*docs.columns, "mix_epoch", "mix_tokens"]
-    size = docs.selectExpr("sum(regexp_count(coalesce(text, ''), '[^\\\\x20\\\\x09-\\\\x0D]+'))").first()[0]
-    taken = got.agg({"mix_tokens": "sum"}).first()[0]
-    assert 0.6 * size - 1 <= taken <= 0.6 * size + 60 * 30
-    full = mixing.mix(docs, mixing.levels(), budget=10**9, max_epochs=2)
-    assert full.count() == 2 * docs.where("text is not null and trim(text) <> ''").count() or full.count() >= docs.count()
+def brute_mix(rows, weights, budget, epochs, places):
+    """Rows (leaf, tokens, key) taken by plain budgeting: ``places`` maps (key, epoch) to the order."""
+    size = {}
+    for leaf, t, _ in rows:
+        size[leaf] = size.get(leaf, 0) + t
+    tree = {p: (tuple(weights.get(p[: d + 1], 1.0) for d in range(len(p))), n * epochs) for p, n in size.items()}
+    out = []
+    for leaf, n in mixing.shares(tree, int(budget * sum(size.values()))).items():
+        for e in range(epochs):
+            spent = 0
+            for t, k in sorted(((t, k) for x, t, k in rows if x == leaf), key=lambda x: places[x[1], e]):
+                if n > 0 and (n >= (e + 1) * size[leaf] or n - e * size[leaf] > spent):  # a whole epoch, or its prefix
+                    out.append((k, e))
+                    spent += t
+    return sorted(out)
+
+
+@pytest.mark.parametrize("epochs", [1, 2])
+def test_mixing_against_brute_force(spark, docs, empty, epochs):
+    from pyspark.sql import functions as F
+
+    extra = docs.withColumns({c: F.lit(1) for c in ("_leaf", "_t", "_h", "_v", "_cut", "_row")}).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    got = mixing.mix(extra, mixing.levels(), mixing.WEIGHTS, budget=0.6, max_epochs=epochs)
+    assert got.columns == [*extra.columns, "mix_epoch", "mix_tokens"]
+    h = mixing.content_of(extra)
+    keyed = extra.select(*[c.alias(k) for k, c in mixing.levels().items()], "text", h.alias("h"), *[F.struct(mixing.ordered(h, 17, F.lit(e)), h).alias(f"p{e}") for e in range(epochs)]).collect()
+    count = lambda t: len(re.findall("[^\\x20\\x09-\\x0D]+", t or ""))
+    rows = [(tuple("\0null" if x is None else x for x in r[:3]), count(r.text), r.h) for r in keyed]
+    places = {(r.h, e): tuple(r[f"p{e}"]) for r in keyed for e in range(epochs)}
+    assert sorted(tuple(r) for r in got.select(mixing.content_of(extra), "mix_epoch").collect()) == brute_mix(rows, mixing.WEIGHTS, 0.6, epochs, places)
     assert mixing.mix(empty, mixing.levels()).count() == 0
+    twice = mixing.mix(got, mixing.levels(), max_epochs=1)
+    assert twice.columns == [*got.columns, "mix_epoch_", "mix_tokens_"]
+
+
+def test_mixing_of_equal_rows(spark):
+    """A leaf of one row, repeated: exactly as many are taken as the budget reaches."""
+    docs = spark.createDataFrame([("a b c", "en", "src0")] * 50 + [(None, "en", "src0")], "text string, lang string, source string")
+    got = mixing.mix(docs, mixing.levels(), budget=0.5, max_epochs=1)
+    assert got.where("text is not null").count() == 25
+    assert mixing.mix(docs, mixing.levels(), budget=10**9, max_epochs=2).where("text is not null").count() == 100
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
