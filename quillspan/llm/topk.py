@@ -1,22 +1,23 @@
 """Exact top-k inner products by columnar branch-and-bound.
 
 Candidates are held dimension by dimension. For a query, scores accumulate one block of dimensions after
-another; the mass left in the other blocks bounds what a candidate can still gain (Cauchy-Schwarz), and
-the survivors are compacted after each block against the k-th best score so far.
+another; the mass left in the other blocks bounds what a candidate can still gain or lose (Cauchy-Schwarz), and
+the survivors are compacted after each block against a floor: the k-th best score that the task has seen, raised by
+what the k best of the block's candidates have for certain.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import read
+from ._common import lean, read
 
 BLOCK = 16  # dimensions added at once
+CANDIDATES, QUERIES = 2048, 512  # met at once
 EXACT = 2.0**50  # below this, sums of whole numbers are exact in doubles
 
 
@@ -27,70 +28,83 @@ def quantised(embedding: Column) -> Column:
     return F.when(~F.coalesce(bad, F.lit(True)), F.transform(x, lambda v: F.floor(v * 64).cast("double")))
 
 
-def _matrix(column) -> np.ndarray:
-    rows = column.to_pylist()
-    width = max(map(len, rows), default=0)
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of lists as a matrix, shorter ones padded with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(n), int(n.max(initial=0))))
+    out[np.arange(out.shape[1]) < n[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """Yield (query number, ids, scores) of the k best candidates of each query, ties to the smaller id."""
-    width = max(queries.shape[1], vectors.shape[1])
-    q = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
-    v = np.ascontiguousarray(np.pad(vectors, ((0, 0), (0, width - vectors.shape[1]))).T)  # dimension by dimension
-    norms = np.sqrt((v * v).sum(axis=0)).max(initial=0) * np.sqrt((q * q).sum(axis=1)).max(initial=0)
-    if not norms < EXACT:  # such sums are not exact in doubles
-        yield from _search_whole_numbers(queries, query_ids, vectors, ids, k)
-        return
-    cuts = list(range(0, width, BLOCK))
-    mass_v = [np.sqrt((v[c:] ** 2).sum(axis=0)) for c in cuts] + [np.zeros(v.shape[1])]
-    mass_q = [np.sqrt((q[:, c:] ** 2).sum(axis=1)) for c in cuts] + [np.zeros(len(q))]
-    seed = min(len(ids), max(256, 4 * k))
-    first = q @ v[:, :seed]
-    start = q[:, : BLOCK] @ v[:BLOCK] if cuts else np.zeros((len(q), len(ids)))
-    for i in range(len(q)):
-        own = ids[:seed] != query_ids[i]
-        best = first[i][own]
-        floor = np.partition(best, -k)[-k] if len(best) >= k else -np.inf
-        alive, score = np.flatnonzero(ids != query_ids[i]), None
-        score = start[i][alive]
+class Best:
+    """The ``k`` best candidates of each query so far, ties to the smaller id; what a task has seen bounds what it still looks at."""
+
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int):
+        self.q, self.query_ids, self.k = queries, query_ids, k
+        self.ids = [np.zeros(0, np.int64)] * len(queries)
+        self.scores = [np.zeros(0, np.int64)] * len(queries)
+
+    def keep(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate([self.ids[i], ids]), np.concatenate([self.scores[i], scores])
+        order = np.lexsort([ids, -scores])[: self.k]
+        self.ids[i], self.scores[i] = ids[order], scores[order]
+
+    def look(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """Take candidates in: a few at a time, dimension block by dimension block."""
+        width = max(self.q.shape[1], vectors.shape[1])
+        q = np.pad(self.q, ((0, 0), (0, width - self.q.shape[1])))
+        vectors = np.pad(vectors, ((0, 0), (0, width - vectors.shape[1])))
+        norms = np.sqrt((vectors * vectors).sum(axis=1)).max(initial=0) * np.sqrt((q * q).sum(axis=1)).max(initial=0)
+        if not norms < EXACT:  # such sums are not exact in doubles
+            return self._look_whole_numbers(vectors, ids)
+        cuts = list(range(0, width, BLOCK)) or [0]
+        mass_q = [np.sqrt((q[:, c + BLOCK :] ** 2).sum(axis=1)) for c in cuts]
+        for at in range(0, len(ids), CANDIDATES):
+            own = ids[at : at + CANDIDATES]
+            v = np.ascontiguousarray(vectors[at : at + CANDIDATES].T)  # dimension by dimension
+            mass_v = [np.sqrt((v[c + BLOCK :] ** 2).sum(axis=0)) for c in cuts]
+            for first in range(0, len(q), QUERIES):
+                start = q[first : first + QUERIES, :BLOCK] @ v[:BLOCK]
+                for i in range(first, min(first + QUERIES, len(q))):
+                    self._bound(i, q[i], start[i - first], v, own, cuts, [m[i] for m in mass_q], mass_v)
+
+    def _bound(self, i, q, score, v, ids, cuts, mass_q, mass_v) -> None:
+        floor = float(self.scores[i][-1]) if len(self.scores[i]) == self.k else -np.inf
+        alive = np.flatnonzero(ids != self.query_ids[i])
+        score = score[alive]
         for n, c in enumerate(cuts):
             if n:
-                score = score + q[i, c : c + BLOCK] @ v[c : c + BLOCK, alive]
-            bound = score + mass_q[n + 1][i] * mass_v[n + 1][alive] * (1 + 1e-9) + 1e-6
-            stay = bound >= floor
-            alive, score = alive[stay], score[stay]
-        if len(alive) > k:
-            top = np.partition(score, -k)[-k]
-            stay = score >= top
+                score = score + q[c : c + BLOCK] @ v[c : c + BLOCK, alive]
+            left = mass_q[n] * mass_v[n][alive] * (1 + 1e-9) + 1e-6
+            if len(alive) > self.k:  # what the k best have for certain
+                floor = max(floor, np.partition(score - left, -self.k)[-self.k])
+            stay = score + left >= floor
             alive, score = alive[stay], score[stay]
-        order = np.lexsort([ids[alive], -score])[:k]
-        yield i, ids[alive][order], score[order].astype(np.int64)
-
+            if not len(alive):
+                return
+        self.keep(i, ids[alive], np.rint(score).astype(np.int64))
 
-def _search_whole_numbers(queries, query_ids, vectors, ids, k):
-    """The same for components too large for doubles; sums beyond a long are held at its ends."""
-    cells = [[int(x) for x in r] for r in vectors]
-    for i, row in enumerate(queries):
-        q = [int(x) for x in row]
-        scores = ((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, c, strict=False)))), j) for c, j in zip(cells, ids.tolist(), strict=True) if j != query_ids[i])
-        best = heapq.nsmallest(k, ((-s, j) for s, j in scores))
-        yield i, np.array([j for _, j in best], np.int64), np.array([-s for s, _ in best], np.int64)
+    def _look_whole_numbers(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """The same for components too large for doubles; sums beyond a long are held at its ends."""
+        cells = [[int(x) for x in r] for r in vectors]
+        for i, row in enumerate(self.q):
+            q = [int(x) for x in row]
+            pairs = [(j, max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(q, c, strict=False))))) for c, j in zip(cells, ids.tolist(), strict=True) if j != self.query_ids[i]]
+            self.keep(i, np.array([j for j, _ in pairs], np.int64), np.array([s for _, s in pairs], np.int64))
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block_rows: int = 16_384) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block_rows: int = 16_384, block_bytes: int = 1 << 25) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's ``k`` best candidates but itself; all inputs have (vec_id, v).
 
-    Queries are broadcast ``block_rows`` at a time (that bounds the broadcast) and meet every
+    Queries are broadcast ``block_rows`` at a time, or fewer, so that a broadcast has at most ``block_bytes`` bytes, and meet every
     candidate where it lies; only each task's ``k`` best a query are shuffled. Shorter vectors are padded
-    with zeros. Rows with the query's own id are no candidates of it; other repeated ids each count.
+    with zeros. Rows with the query's own id are no candidates of it; other repeated ids each count, and equal scores go by id. Empty
+    inputs give no rows.
     """
     spark = queries.sparkSession
-    total = queries.count()
-    blocks = max(1, -(-total // block_rows))
+    total, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-total // max(1, min(block_rows, block_bytes // (8 * max(1, width))))))
     found = None
     for n in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n)
@@ -99,12 +113,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block_rows: in
 
         def run(batches, shared=shared):
             query_ids, q = shared.value
+            best = Best(q, query_ids, k)
             for b in batches:
-                hits = list(search(q, query_ids, _matrix(b.column(1)), b.column(0).to_numpy(), k))
-                cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([np.full(len(j), query_ids[i]) for i, j, _ in hits], [j for _, j, _ in hits], [s for _, _, s in hits])]
+                best.look(_matrix(b.column(1)), b.column(0).to_numpy())
+            for at in range(0, len(q), QUERIES):
+                n = [len(x) for x in best.ids[at : at + QUERIES]]
+                cols = [np.repeat(query_ids[at : at + QUERIES], n), np.concatenate(best.ids[at : at + QUERIES]), np.concatenate(best.scores[at : at + QUERIES])]
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=["query_id", "vec_id", "score"])
 
-        hits = candidates.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+        hits = candidates.select("vec_id", "v").mapInArrow(lean(run), "query_id long, vec_id long, score long")
         found = hits if found is None else found.union(hits)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
