@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, read, slices
+from ._common import held_out, lean, read, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -67,7 +67,7 @@ def fit(labelled: DataFrame, max_docs_per_lang: int = 4000, max_words: int | Non
     pick = F.lit(False)
     for lang, p in share.items():
         pick = pick | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < int(p * 1_000_000)))
-    rows = labelled.where(pick).mapInArrow(_count_words, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    rows = labelled.where(pick).mapInArrow(lean(_count_words), "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     if max_words is not None:
         rows = rows.orderBy(F.desc("n"), "word", "lang").limit(max_words)
     got = rows.toArrow().combine_chunks().sort_by("word")
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(p)], names=["id", "lang_pred", "score"])
 
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(score, f"id {frame.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(lean(score), f"id {frame.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: dict, min_score: float = 0.3) -> DataFrame:
@@ -190,7 +190,7 @@ def keep_identified(docs: DataFrame, model: dict, min_score: float = 0.3) -> Dat
                 names, p = predict_texts(m, part.column(at).to_pylist())
                 yield part.filter(pa.array((np.array(names) != UNDETERMINED) & (p >= min_score)))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return docs.mapInArrow(lean(sift), docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

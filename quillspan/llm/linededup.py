@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ASCII_SPACE, Tables, cut, partitions, read, slices, unused
+from ._common import ASCII_SPACE, Tables, cut, lean, partitions, read, slices, unused
 
 KEY = ["h1", "h2"]
 SLICE = 1 << 23  # bytes of text taken apart at once
@@ -131,7 +131,7 @@ def frequent_keys(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k, np.int32)), pa.array(h1), pa.array(h2), pa.array(np.fromiter(c.values(), np.int64, len(c)))], names=["batch", "h1", "h2", "n"])
 
     tables, runs = Tables(spark), LineRuns(spark, min_docs)
-    rows = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "batch int, h1 long, h2 long, n long").repartition(runs.buckets, *KEY)
+    rows = docs.select(F.col(f"`{text_col}`")).mapInArrow(lean(count), "batch int, h1 long, h2 long, n long").repartition(runs.buckets, *KEY)
     rows = rows.groupBy("batch", *KEY).agg(F.sum("n").alias("n"))  # lies by key already
     every = tables.bucketed(rows.sortWithinPartitions("batch", *KEY), runs.buckets, KEY, "lines", deal=False)
     for k in range(n_batches):
@@ -182,7 +182,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
             for b in batches:
                 yield from rewrite(b, lambda i: heavy)
 
-        return docs.mapInArrow(by_broadcast, schema)
+        return docs.mapInArrow(lean(by_broadcast), schema)
 
     def spread(batches):
         for b in batches:
@@ -197,7 +197,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
 
     text = F.col(f"`{text_col}`")
     t1, t2 = F.xxhash64(text), F.xxhash64(text, F.lit(1))
-    lines = docs.select(t1.alias("t1"), t2.alias("t2"), text.alias("text")).mapInArrow(spread, "t1 long, t2 long, h1 long, h2 long")
+    lines = docs.select(t1.alias("t1"), t2.alias("t2"), text.alias("text")).mapInArrow(lean(spread), "t1 long, t2 long, h1 long, h2 long")
     hits = lines.join(keys, KEY).groupBy(F.col("t1").alias(t1_), F.col("t2").alias(t2_)).agg(F.collect_set(F.struct(*KEY)).alias(hits_))
     own = [F.col(f"`{c}`") for c in names]
     joined = docs.select(*own, t1.alias(t1_), t2.alias(t2_)).join(hits, [t1_, t2_], "left").select(*own, hits_)
@@ -207,7 +207,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
             sets = [{np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in hits or ()} for hits in b.column(len(names)).to_pylist()]
             yield from rewrite(b, lambda i, sets=sets: sets[i])
 
-    return joined.mapInArrow(by_join, schema)
+    return joined.mapInArrow(lean(by_join), schema)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read
+from ._common import lean, read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -368,7 +368,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, end - k), lists, *more], names=names)
 
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>" + ", text string" * decoded).withColumnRenamed("id", id_col)
+    return frame.mapInArrow(lean(run), f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>" + ", text string" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", path: str = MODEL) -> DataFrame:
@@ -380,7 +380,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", path: str = MODEL) -> Data
             yield pa.RecordBatch.from_arrays([*b.columns, decode_ids(table, b.column(1))], names=["id", "ids", "text"])
 
     frame = tokens.select(F.col(id_col).alias("id"), "ids")
-    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>, text string").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(lean(run), f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>, text string").withColumnRenamed("id", id_col)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

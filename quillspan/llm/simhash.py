@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Tables, connected_components, cut, partitions, read, slices, unused
+from ._common import Tables, connected_components, cut, lean, partitions, read, slices, unused
 
 STEP = 8  # binary levels that one step of a split on the cluster takes
 CHUNK = 1 << 20  # node pairs expanded at once
 SLICE = 1 << 22  # bytes of text hashed at once
 WORDS = 5  # words a shingle of the pipeline stage
-HELD = 512  # shingles of a set that travel with it: up to so many whole, of larger sets the smallest hashes
+HELD = 512  # shingles of a set that travel with it, as 32 bits each: up to so many whole, of larger sets the smallest hashes
 UNIT = 4096  # sets of a unit; larger units are met block by block
 BANDS, ROWS = 32, 5  # a pair of Jaccard 0.8 shares none of the bands with probability (1 - 0.8**5)**32 = 3e-6
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp)], names=["id", "fp"])
 
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(lean(run), f"id {frame.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
 def _levels(unit: np.ndarray, side: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
@@ -201,7 +201,7 @@ def link_stars(fps: DataFrame, budget: int = 3, max_unit: int = 16384) -> DataFr
             yield star(held)
 
     dealt = units.select("unit", "side", "key", "block").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(run, "src long, dst long")
+    return dealt.mapInArrow(lean(run), "src long, dst long")
 
 
 def _unrotate(key: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -280,19 +280,20 @@ class _Forest:
 def set_links(size: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, sure) that span the links of Jaccard 0.8 or more among sets of hashes.
 
-    ``held`` has each set's sorted hashes, of a set larger than ``HELD`` the smallest. Links of whole sets
-    are exact and come as stars. Pairs with a partly held set come unsure, to be compared in full, if the hashes that
+    ``held`` has the upper halves of each set's sorted hashes, of a set larger than ``HELD`` the smallest. Links of whole sets
+    are sure, and come as stars, if they would hold with one shared hash less (two halves may be equal by chance); a pair at that very line comes
+    unsure, to be compared in full. So do pairs with a partly held set, if the hashes that
     both would hold are 0.72 alike (4.6 deviations below 0.8); those above 0.88 only as far as they span.
     Any set that holds 0.8 of a set's hashes holds one of any fifth (and one more) of them: only the rarest of
     each set, within these sets, are looked up. Sets are first compared with a few that share the most, and those in the largest
     group after that are looked up no more, only found.
     """
-    n = len(size)
+    n, held = len(size), [np.unique(x) for x in held]
     tokens, token, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
     length = np.fromiter(map(len, held), np.int64, n)
     begin, row, total = np.cumsum(length) - length, np.repeat(np.arange(n), length), len(tokens) + 1
     code = row * total + token  # ascending
-    limit = np.where(size > length, token[begin + length - 1], total - 1)  # the last number is no token
+    limit = np.where(size > HELD, token[begin + length - 1], total - 1)  # the last number is no token
     sure, maybe, unsure = _Forest(n), _Forest(n), []
 
     def compare(i: np.ndarray, j: np.ndarray) -> None:
@@ -308,8 +309,10 @@ def set_links(size: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.
             end = np.minimum(limit[a], limit[b])
             within = [np.searchsorted(code, x * total + end, "right") - begin[x] for x in (a, b)]
             whole = end == total - 1
-            alike = whole & (9 * both >= 4 * (within[0] + within[1]))
+            alike = whole & (9 * (both - 1) >= 4 * (within[0] + within[1]))
             sure.join(a[alike], b[alike])
+            line = np.flatnonzero(whole & ~alike & (9 * both >= 4 * (within[0] + within[1])))
+            unsure.extend(zip(a[line].tolist(), b[line].tolist(), strict=True))
             share = both / np.maximum(1, within[0] + within[1] - both)
             near = np.flatnonzero(~whole & (share >= 0.72))
             for x in near[np.argsort(-share[near], kind="stable")].tolist():
@@ -383,13 +386,13 @@ def _unit_links(batches):
             now = unit[x]
             parts[0].append(fp[x:y])
             parts[1].append(size[x:y])
-            parts[2] += [flat[ends[k] : ends[k + 1]].view(np.uint64).copy() for k in range(x, y)]
+            parts[2] += [flat[ends[k] : ends[k + 1]].view(np.uint32).copy() for k in range(x, y)]
     if parts[0]:
         yield found()
 
 
 def _alike(docs: DataFrame, text_col: str, pairs: DataFrame, tables: Tables) -> DataFrame:
-    """The (src, dst) of ``pairs`` of sets larger than ``HELD`` (or nearly so) whose Jaccard is 0.8 or more, counted in full."""
+    """The (src, dst) of ``pairs`` whose Jaccard is 0.8 or more, counted in full."""
 
     def run(batches):
         for b in batches:
@@ -401,9 +404,7 @@ def _alike(docs: DataFrame, text_col: str, pairs: DataFrame, tables: Tables) ->
                 yield pa.RecordBatch.from_arrays([pa.array(fp), held], names=["fp", "held"])
 
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
-    text = F.col(f"`{text_col}`")
-    large = docs.where(F.length(text) >= int(1.6 * HELD)).select(text.alias("text"))  # so many shingles take so many letters and spaces
-    found = large.mapInArrow(run, "fp long, held array<long>").join(wanted, "fp", "left_semi")
+    found = docs.select(F.col(f"`{text_col}`")).mapInArrow(lean(run), "fp long, held array<long>").join(wanted, "fp", "left_semi")
     sets = tables.cut(found.groupBy("fp").agg(F.first("held").alias("held")))
     both = pairs.join(sets.select(F.col("fp").alias("dst"), F.col("held").alias("y")), "dst").join(sets.select(F.col("fp").alias("src"), F.col("held").alias("x")), "src")
     return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("src", "dst")
@@ -425,16 +426,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 sets = [shingles(t) for t in b.column(1).slice(i, j - i).to_pylist()]
                 fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
                 lists = []
-                for rows in ([band_keys(x) if len(x) else x for x in sets], [x[:HELD] for x in sets]):
-                    flat = np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)
+                for rows, signed in (([band_keys(x) if len(x) else x for x in sets], np.int64), ([(x[:HELD] >> np.uint64(32)).astype(np.uint32) for x in sets], np.int32)):
+                    flat = np.concatenate([rows[0][:0] if rows else np.zeros(0, signed), *rows]).view(signed)
                     lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), *lists], names=["id", "fp", "size", "keys", "held"])
 
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     id_type = frame.schema["id"].dataType
-    prints = cut(frame.mapInArrow(run, T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("fp long, size int, keys array<long>, held array<long>").fields])))
+    prints = cut(frame.mapInArrow(lean(run), T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("fp long, size int, keys array<long>, held array<int>").fields])))
     ids = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    members = prints.select("fp", F.explode("keys").alias("key")).distinct()
+    once = tables.cut(prints.groupBy("fp").agg(F.first("keys").alias("keys")))
+    members = once.select("fp", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = tables.cut(members.join(shared, "key"))
     blocks = F.ceil(F.col("n") / UNIT).cast("int")
@@ -443,7 +445,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     units = units.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
     sets = prints.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("size").alias("size"), F.first("held").alias("held"))
     dealt = units.join(sets, "fp").select("unit", "fp", "size", "held").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
-    found = tables.cut(dealt.mapInArrow(_unit_links, "src long, dst long, sure boolean"))
+    found = tables.cut(dealt.mapInArrow(lean(_unit_links), "src long, dst long, sure boolean"))
     edges = found.where("sure").select("src", "dst")
     unsure = tables.cut(found.where("not sure").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     if unsure.limit(1).count():
@@ -480,7 +482,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
                 fp = np.array([mark(t) for t in part.column(at).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], names=[*names, fp_])
 
-    rows = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField(fp_, T.LongType())]))
+    rows = docs.mapInArrow(lean(tag), T.StructType([*docs.schema.fields, T.StructField(fp_, T.LongType())]))
     rows = rows.join(winners, own_id.eqNullSafe(F.col(id_)) & (F.col(fp_) == F.col(f"{fp_}w")))
     whole = F.struct(*[F.col(f"`{c}`") for c in names])
     key = F.struct(*[F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema])

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Tables, free_shuffles, partitions, read, slices
+from ._common import Tables, free_shuffles, lean, partitions, read, slices
 
 GRAM, BLOCK, DIGITS = 32, 8, 8  # bytes of an anchor and of a later digit; later digits on each side
 PIECE = 1 << 21  # bytes handled at once, so that temporary arrays stay small
@@ -365,19 +365,19 @@ def repeated_spans(docs: DataFrame, window: int = 100, sample_share: float = 0.0
                     yield pa.RecordBatch.from_arrays([pa.array(unpack(blob, RUN)[0].astype(np.int64))], names=["g"])
 
     sample = texts.where(F.pmod(F.xxhash64("o", F.lit(7)), F.lit(10_000)) < int(sample_share * 10_000)).select("o", "r", "text")
-    counted = sample.mapInArrow(grams, "g long").groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") >= max(2.0, hot_records * sample_share)).orderBy(F.desc("c"), "g").limit(10_000)
+    counted = sample.mapInArrow(lean(grams), "g long").groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") >= max(2.0, hot_records * sample_share)).orderBy(F.desc("c"), "g").limit(10_000)
     hot = spark.sparkContext.broadcast(np.array([x["g"] for x in counted.collect()], np.uint64))
 
     def dealt(blobs):
         return blobs.repartitionById(width, "k").sortWithinPartitions("k", "kind")
 
-    records = texts.select("o", "r", "text").mapInArrow(lambda it: _first_runs(it, window, hot.value, n_to), BLOBS)
-    solved = tables.cut(dealt(records).mapInArrow(lambda it: _resolve(it, window, n_to), BLOBS), "passes")
-    to_open = dealt(solved.where("kind = 3")).mapInArrow(lambda it: _rows(it, 1), "o long, r long, spans binary")
+    records = texts.select("o", "r", "text").mapInArrow(lean(lambda it: _first_runs(it, window, hot.value, n_to)), BLOBS)
+    solved = tables.cut(dealt(records).mapInArrow(lean(lambda it: _resolve(it, window, n_to)), BLOBS), "passes")
+    to_open = dealt(solved.where("kind = 3")).mapInArrow(lean(lambda it: _rows(it, 1)), "o long, r long, spans binary")
     opened = texts.join(to_open.hint("merge"), ["o", "r"]).select("o", "r", "text", "spans")
-    windows = opened.mapInArrow(lambda it: _open(it, window, n_to), BLOBS)
-    later = dealt(windows).mapInArrow(lambda it: _later(it, n_to), BLOBS)
-    spans = dealt(solved.where("kind = 1").union(later)).mapInArrow(lambda it: _rows(it, window), "o long, r long, spans binary")
+    windows = opened.mapInArrow(lean(lambda it: _open(it, window, n_to)), BLOBS)
+    later = dealt(windows).mapInArrow(lean(lambda it: _later(it, n_to)), BLOBS)
+    spans = dealt(solved.where("kind = 1").union(later)).mapInArrow(lean(lambda it: _rows(it, window)), "o long, r long, spans binary")
 
     def finish(batches):
         for b in batches:
@@ -395,7 +395,7 @@ def repeated_spans(docs: DataFrame, window: int = 100, sample_share: float = 0.0
 
     whole = texts.join(spans.hint("merge"), ["o", "r"], "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return whole.mapInArrow(finish, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return whole.mapInArrow(lean(finish), f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
