@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Tables, partitions, read
+from ._common import Tables, free_shuffles, partitions, read
 
 DRAWS, LEVELS = 15, 3  # subsets drawn at each level, and levels that a text is hashed at
 
@@ -43,7 +43,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = 0.0005,
 
 
 def fingerprint_rows(rows: DataFrame, keys: list[str], text_col: str, lex: DataFrame, broadcast_terms: int = 1_000_000) -> DataFrame:
-    """``keys``, ``level`` and ``prints`` (``LEVELS`` x ``DRAWS`` 32-bit hashes, 0 for a subset without terms) of each row.
+    """``keys``, ``level`` and ``prints`` (``LEVELS`` x ``DRAWS`` 31-bit hashes, 0 for a subset without terms) of each row.
 
     ``keys`` identify a row, and rows should lie by some of them. A text's first level is the one whose subsets keep about two of as
     many distinct terms as it has, and all of the text's terms are looked at. A row without
@@ -60,13 +60,16 @@ def fingerprint_rows(rows: DataFrame, keys: list[str], text_col: str, lex: DataF
     hits = spread.join(lex, "term", "left").where(F.col("term").isNull() | (F.shiftrightunsigned("mask", 4 * DRAWS) >= F.col("level")))
     found = hits.groupBy(*keys, "level", "plain").agg(F.sort_array(F.collect_set(F.when(F.col("term").isNotNull(), F.struct("term", "mask")))).alias("own"))
 
+    def short(h: Column) -> Column:
+        return F.greatest(F.lit(1), h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+
     def one(j: int, k: int) -> Column:
         kept = F.transform(F.filter("own", lambda x: F.shiftrightunsigned(x["mask"], 4 * k).bitwiseAND(F.lit(15)) >= F.col("level") + j), lambda x: x["term"])
-        return F.when(F.size(kept) > 0, F.greatest(F.lit(1).cast("long"), F.xxhash64(kept).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.lit(0).cast("long"))
+        return F.when(F.size(kept) > 0, short(F.xxhash64(kept))).otherwise(0)
 
     own = F.array(*[one(j, k) for j in range(LEVELS) for k in range(DRAWS)])
     usable = F.exists("p", lambda x: x != 0)
-    same = F.array_repeat(F.greatest(F.lit(1).cast("long"), F.col("plain").bitwiseAND(F.lit(0xFFFFFFFF))), LEVELS * DRAWS)
+    same = F.array_repeat(short(F.col("plain")), LEVELS * DRAWS)
     return found.select(*keys, "level", "plain", own.alias("p")).select(*keys, "level", F.when(usable, F.col("p")).otherwise(same).alias("prints"))
 
 
@@ -122,7 +125,9 @@ def edited_likeness(docs: DataFrame, **band) -> DataFrame:
     rows = rows.select("doc_id", "o", (F.xxhash64("text") if several else F.lit(0)).cast("long").alias("h"), "text")
     lex = tables.cut(lexicon(rows, "text", **band))
     chain = successors(rows.select("o", "h", F.length("text").alias("n")), tables)
-    texts = rows.dropDuplicates(["o", "h"]) if several else rows
+    width = partitions(spark)
+    texts = tables.bucketed(rows.dropDuplicates(["o", "h"]) if several else rows, width, ["o", "h"], "texts")
+    free_shuffles(spark)
     half = F.floor(F.col("n") / 2).cast("int")
     wanted = chain.select(F.col("next_o").alias("o"), F.col("next_h").alias("h"), F.col("o").alias("to_o"), F.col("h").alias("to_h"), half.alias("k"))
     prefixes = texts.select("o", "h", "text").join(wanted.hint("merge"), ["o", "h"]).select(F.col("to_o").alias("o"), F.col("to_h").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("k")).alias("prefix"))
@@ -132,13 +137,16 @@ def edited_likeness(docs: DataFrame, **band) -> DataFrame:
     prefix = F.when(F.col("i") < F.col("c"), F.substring(F.col("text"), F.lit(1), half)).otherwise(F.col("prefix"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - half), prefix)
     versions = F.array(F.struct(F.lit(0).alias("edit"), F.col("text").alias("t"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("t"), F.sha2(F.col("edited"), 256).alias("sha")))
-    both = both.select("o", "h", "i", "c", "next_o", "next_h", "doc_id", F.col("n").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    keys = ["o", "h", "i", "c", "next_o", "next_h", "doc_id", "n_chars", "sha", "edit"]
-    prints = fingerprint_rows(both.select(*keys[:8], F.explode(versions).alias("v")).select(*keys[:8], "v.*"), keys, "t", lex)
-    pair = prints.groupBy(*keys[:8]).agg(F.max("sha").alias("sha"), *[F.max(F.when(F.col("edit") == e, F.struct("level", "prints"))).alias(f"v{e}") for e in (0, 1)])
-    pair = tables.cut(pair)
-    of_next = pair.where("i = 1").select(F.col("o").alias("next_o"), F.col("h").alias("next_h"), F.col("v0").alias("after"))
-    pair = pair.join(of_next, ["next_o", "next_h"], "left").withColumn("after", F.when(F.col("i") < F.col("c"), F.col("v0")).otherwise(F.col("after")))
+    both = both.select("o", "h", "i", "c", "doc_id", F.col("n").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    keys = ["o", "h", "i", "c", "doc_id", "n_chars", "sha", "edit"]
+    prints = fingerprint_rows(both.select(*keys[:6], F.explode(versions).alias("v")).select(*keys[:6], "v.*"), keys, "t", lex)
+    pair = prints.groupBy(*keys[:6]).agg(F.max("sha").alias("sha"), *[F.max(F.when(F.col("edit") == e, F.struct("level", "prints"))).alias(f"v{e}") for e in (0, 1)])
+    pair = tables.bucketed(pair, width, ["o", "h"], "prints", deal=False)
+    free_shuffles(spark)
+    # A text's print goes to the text before it.
+    after = pair.where("i = 1").select("o", "h", "v0").join(wanted.select("o", "h", "to_o", "to_h").hint("merge"), ["o", "h"])
+    after = after.select(F.col("to_o").alias("o"), F.col("to_h").alias("h"), F.col("v0").alias("after"))
+    pair = pair.join(after.hint("merge"), ["o", "h"]).withColumn("after", F.when(F.col("i") < F.col("c"), F.col("v0")).otherwise(F.col("after")))
     return pair.select(
         "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("v0")).alias("fingerprint"), as_text(F.col("v1")).alias("edited_fingerprint"),
         likeness(F.col("v0"), F.col("v1")).alias("near_edited"), likeness(F.col("v0"), F.col("after")).alias("near_next"),

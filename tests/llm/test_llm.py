@@ -224,7 +224,7 @@ def test_imatch_of_a_group_of_a_third(spark, edited):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     lex = _common.cut(imatch.lexicon(docs))
     got = {r.doc_id: (r.level, r.prints) for r in imatch.fingerprint_rows(docs, ["doc_id"], "text", lex).collect()}
-    print_ = "struct<level: int, prints: array<long>>"
+    print_ = "struct<level: int, prints: array<int>>"
     pairs = spark.createDataFrame([(got[96], got[k]) for k in range(97, 100)], f"a {print_}, b {print_}")
     assert all(r[0] > 0.5 for r in pairs.select(imatch.likeness(pairs.a, pairs.b)).collect())
 
