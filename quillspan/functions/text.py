@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 WH_WORDS = ("how", "what", "why", "when", "where", "who", "which")
 #: White space as Python's str.split takes it, inside a character class.
 _WHITE = r"\s\x0b\x1c-\x1f\x85   -     　"
+#: The block of code and the tags that are counted.
 _PRE = r"(?s)<pre[^>]*>.*?</pre>"
 
 

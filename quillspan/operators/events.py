@@ -31,27 +31,50 @@ def first_answers(others: DataFrame, first_days: int = 7) -> DataFrame:
     return others.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def eligible_questions(questions: DataFrame, answers: DataFrame, votes: DataFrame, users: DataFrame, first_days: int = 7) -> DataFrame:
-    """One row a question with an owner: answer flags, first and accepted answer facts. Accept votes are deduplicated."""
-    others = others_answers(answers, questions)
-    key = F.col("parent_question_id").alias("question_id")
-    ups = votes.where("vote_type_id = 2").groupBy(F.col("post_id").alias("answer_id")).agg(F.count("*").alias("ups"))
-    first = first_answers(others, first_days).join(ups, "answer_id", "left").select(key, F.col("creation_date").alias("first_ts"), F.col("score").alias("first_answer_score"), F.col("answer_id").alias("first_answer_id"), F.coalesce("ups", F.lit(0)).alias("first_answer_votes"))
-    soon = micros("creation_date") <= micros("q_ts") + first_days * DAY
-    flags = others.groupBy(key).agg(F.max((F.col("score") >= 0).cast("int")).alias("good"), F.max(((F.col("score") < 0) & soon).cast("int")).alias("down"))
-    own = answers.join(questions.select(F.col("question_id").alias("parent_question_id"), F.col("owner_user_id").alias("q_owner")), "parent_question_id").where("owner_user_id = q_owner").groupBy(key).agg(F.count("*").alias("self_n"))
-    accepted = others.join(questions.select(F.col("accepted_answer_id").alias("answer_id")).where("answer_id IS NOT NULL"), "answer_id")
-    vote = votes.where("vote_type_id = 1").groupBy(F.col("post_id").alias("answer_id")).agg(F.min("creation_date").alias("vote_ts"))
-    accepted = accepted.join(vote, "answer_id", "left").select(key, F.col("creation_date").alias("accepted_ts"), "vote_ts")
+def accept_votes(votes: DataFrame) -> DataFrame:
+    """(answer_id, accepts, vote_ts): accept votes (type 1) of each post, counted, and the earliest."""
+    return votes.where("vote_type_id = 1").groupBy(F.col("post_id").alias("answer_id")).agg(F.count("*").alias("accepts"), F.min("creation_date").alias("vote_ts"))
+
+
+def answer_facts(questions: DataFrame, answers: DataFrame, votes: DataFrame, first_days: int = 7) -> DataFrame:
+    """One row an answered question, in one grouped pass over the answers: flags, first answer, accepted answer.
+
+    Self-answers are told by the three-valued rule (see ``others_answers``). The first answer is that of
+    ``first_answers``, found as a minimum by (good and soon, time, id), so no question's answers are sorted.
+    """
+    q = questions.select(F.col("question_id").alias("parent_question_id"), F.col("owner_user_id").alias("q_owner"), F.col("creation_date").alias("q_ts"), "accepted_answer_id")
+    a = answers.join(accept_votes(votes), "answer_id", "left").join(q, "parent_question_id")
+    other = F.coalesce(F.expr("owner_user_id <> q_owner OR q_owner IS NULL"), F.lit(False))
+    good, soon = F.col("score") >= 0, micros("creation_date") <= micros("q_ts") + first_days * DAY
+    facts = F.struct(F.col("creation_date").alias("first_ts"), F.col("score").alias("first_answer_score"), F.col("answer_id").alias("first_answer_id"), F.coalesce("accepts", F.lit(0)).alias("first_answer_votes"), F.col("body_len_chars").alias("first_answer_body_len_chars"))
+    rank = F.struct((~(good & soon)).cast("int"), "creation_date", "answer_id")
+    accepted = F.col("answer_id") == F.col("accepted_answer_id")
+    flag = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
+    got = a.groupBy(F.col("parent_question_id").alias("question_id")).agg(
+        flag(other & good).alias("good"), flag(other & ~good & soon).alias("down"), flag(F.col("owner_user_id") == F.col("q_owner")).alias("own"),
+        F.min_by(F.when(other, facts), F.when(other, rank)).alias("first"),
+        F.max(F.when(other & accepted, F.struct(F.col("creation_date").alias("accepted_ts"), "vote_ts"))).alias("accepted"),
+    )
+    return got.select("question_id", "good", "down", "own", "first.*", "accepted.*")
+
+
+def eligible_questions(questions: DataFrame, answers: DataFrame, votes: DataFrame, users: DataFrame, first_days: int = 7, accepted_by_id: bool = False, one_per_user: bool = False, seed: int = 42) -> DataFrame:
+    """One row a question with an owner: answer flags, first and accepted answer facts. Accept votes are deduplicated.
+
+    ``accepted_by_id`` takes any accepted answer id as accepted (the one-question rule), ``one_per_user`` keeps one
+    question of each owner, by a seeded hash.
+    """
     out = questions.where("owner_user_id IS NOT NULL")
-    for side in (first, flags, own, accepted):
-        out = out.join(side, "question_id", "left")
+    if one_per_user:
+        out = out.withColumn("rn", F.row_number().over(Window.partitionBy("owner_user_id").orderBy(F.xxhash64("question_id", F.lit(seed)), "question_id"))).where("rn = 1").drop("rn")
+    out = out.join(answer_facts(questions, answers, votes, first_days), "question_id", "left")
     out = out.join(users.select(F.col("user_id").alias("owner_user_id"), "reputation"), "owner_user_id", "left")
     good = F.coalesce("good", F.lit(0))
+    has_accepted = F.col("accepted_answer_id").isNotNull() if accepted_by_id else F.col("accepted_ts").isNotNull()
     return out.select(
         "question_id", "owner_user_id", "creation_date", "tags", good.alias("has_answer"), F.when((good == 0) & (F.col("down") == 1), 1).otherwise(0).alias("has_unhelpful_answer"),
-        F.col("accepted_ts").isNotNull().cast("int").alias("has_accepted_answer"), (F.coalesce("self_n", F.lit(0)) > 0).cast("int").alias("has_self_answer"),
-        "first_ts", "first_answer_score", "first_answer_id", "first_answer_votes", "accepted_ts", "vote_ts", "view_count", "body_len_chars", "title_len_chars", "n_code_blocks", F.col("reputation").alias("owner_reputation"),
+        has_accepted.cast("int").alias("has_accepted_answer"), F.coalesce("own", F.lit(0)).alias("has_self_answer"),
+        "first_ts", "first_answer_score", "first_answer_id", "first_answer_votes", "first_answer_body_len_chars", "accepted_ts", "vote_ts", "view_count", "body_len_chars", "title_len_chars", "n_code_blocks", F.col("reputation").alias("owner_reputation"),
     )
 
 
@@ -74,40 +97,70 @@ def question_tags(questions: DataFrame, dictionary: DataFrame) -> DataFrame:
 def helps_between(units: DataFrame, answers: DataFrame, questions: DataFrame, closed: bool = False, drop_self_only: bool = False) -> DataFrame:
     """Answers that a unit's user gave to others' questions within [lo, hi) (or [lo, hi]).
 
-    ``units`` has unit_id, user_id, lo, hi. The interval join is an equi-join on the user with the range as
-    its condition. With ``drop_self_only`` a unit whose answers in the window are all to its own questions
-    gets no row; else it gets 0.
+    ``units`` has unit_id, user_id, lo, hi. The bounds are put among the user's answers, and running counts at the two bounds are
+    subtracted: a user's rows are sorted once, however many units the user has. With ``drop_self_only`` a unit whose answers
+    in the window are all to its own questions gets no row; else it gets 0.
     """
-    given = answers.join(questions.select(F.col("question_id").alias("parent_question_id"), F.col("owner_user_id").alias("asker")), "parent_question_id").select(F.col("owner_user_id").alias("user_id"), "answer_id", "creation_date", "asker")
-    inside = (F.col("creation_date") >= F.col("lo")) & ((F.col("creation_date") <= F.col("hi")) if closed else (F.col("creation_date") < F.col("hi")))
-    u, g = units.alias("u"), given.alias("g")
-    joined = u.join(g, (F.col("u.user_id") == F.col("g.user_id")) & inside, "left")
-    to_others = F.col("answer_id").isNotNull() & (F.col("asker").isNull() | (F.col("asker") != F.col("u.user_id")))
-    out = joined.groupBy("unit_id").agg(F.count(F.when(to_others, 1)).alias("helps"), F.count("answer_id").alias("seen"))
+    given = answers.join(questions.select(F.col("question_id").alias("parent_question_id"), F.col("owner_user_id").alias("asker")), "parent_question_id")
+    none = F.lit(None).cast("long")
+    # at equal times the lower bound comes before the answers, the upper one before (half-open) or after them (closed)
+    e = given.where("owner_user_id IS NOT NULL").select(F.col("owner_user_id").alias("user_id"), micros("creation_date").alias("us"), F.lit(1).alias("turn"), none.alias("unit_id"), F.lit(0).alias("sign"), F.expr("cast(coalesce(asker <> owner_user_id, true) as int)").alias("other"), F.lit(1).alias("any"))
+    marks = F.array(F.struct(micros("lo").alias("us"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")), F.struct(micros("hi").alias("us"), F.lit(2 if closed else 0).alias("turn"), F.lit(1).alias("sign")))
+    m = units.select("unit_id", "user_id", F.explode(marks).alias("m")).select("user_id", "m.us", "m.turn", "unit_id", "m.sign", F.lit(0).alias("other"), F.lit(0).alias("any"))
+    w = Window.partitionBy("user_id").orderBy("us", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    run = e.unionByName(m).select("unit_id", "sign", F.sum("other").over(w).alias("other"), F.sum("any").over(w).alias("any")).where("unit_id IS NOT NULL")
+    out = run.groupBy("unit_id").agg(F.greatest(F.lit(0), F.sum(F.col("sign") * F.col("other"))).alias("helps"), F.sum(F.col("sign") * F.col("any")).alias("seen"))
     out = out.where("seen = 0 OR helps > 0") if drop_self_only else out
     return out.select("unit_id", "helps")
 
 
-def event_log(eligible: DataFrame, questions: DataFrame, answers: DataFrame, votes: DataFrame) -> DataFrame:
-    """Tagged union of the past and present events of eligible askers: user_id, event, ts, ref_id, is_history."""
+def within(windows: DataFrame, events: DataFrame, lo: Column, hi: Column, at: Column, key: str = "user_id", width: int = 7 * DAY) -> DataFrame:
+    """Inner join of windows and events on ``key`` and lo <= at <= hi (microseconds).
+
+    Time is cut into spans of ``width``: a window is dealt to the few spans that it touches, an event lies in one. So the
+    equi-join has (key, span) as its key, and a user's old events meet none of the user's late windows.
+    """
+    spans = F.sequence(F.floor(lo / width), F.floor(hi / width))
+    w = windows.where(lo <= hi).withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_span", F.explode(spans))
+    e = events.withColumn("_at", at).withColumn("_span", F.floor(F.col("_at") / width))
+    return w.join(e, [key, "_span"]).where("_at >= _lo AND _at <= _hi").drop("_lo", "_hi", "_at", "_span")
+
+
+def window_answers(eligible: DataFrame, questions: DataFrame, answers: DataFrame, days: int = 7) -> DataFrame:
+    """(user_id, ts, question_id, answer_id): answers to others' questions within the closed window around each of the user's own."""
+    p = eligible.select(F.col("owner_user_id").alias("user_id"), "question_id", F.col("creation_date").alias("q_at"))
+    a = others_answers(answers, questions).where("owner_user_id IS NOT NULL").select(F.col("owner_user_id").alias("user_id"), "answer_id", F.col("creation_date").alias("ts"))
+    return within(p, a, micros("q_at") - days * DAY, micros("q_at") + days * DAY, micros("ts")).select("user_id", "ts", "question_id", "answer_id")
+
+
+def event_log(eligible: DataFrame, questions: DataFrame, answers: DataFrame, votes: DataFrame, days: int = 7) -> DataFrame:
+    """Tagged union of the past and present events of eligible askers: user_id, event, ts, ref_id, is_history.
+
+    ``ref_id`` is the question or answer of a past event, and the question of a present one. Answers and accepted answers
+    given to oneself are no events; one received from oneself is.
+    """
     askers = eligible.select(F.col("owner_user_id").alias("user_id")).distinct()
-    q = questions.select(F.col("owner_user_id").alias("user_id"), F.lit("Question").alias("event"), F.col("creation_date").alias("ts"), F.col("question_id").alias("ref_id"))
-    a = answers.select(F.col("owner_user_id").alias("user_id"), F.lit("Answer").alias("event"), F.col("creation_date").alias("ts"), F.col("answer_id").alias("ref_id"))
+    event = lambda df, who, name, ts, ref: df.select(F.col(who).alias("user_id"), F.lit(name).alias("event"), F.col(ts).alias("ts"), F.col(ref).alias("ref_id"))
     got = answers.join(questions.select(F.col("accepted_answer_id").alias("answer_id"), F.col("owner_user_id").alias("asker")), "answer_id")
-    vote = votes.where("vote_type_id = 1").groupBy(F.col("post_id").alias("answer_id")).agg(F.min("creation_date").alias("vote_ts"))
-    received = got.select(F.col("asker").alias("user_id"), F.lit("AcceptedAnswer").alias("event"), F.col("creation_date").alias("ts"), F.col("answer_id").alias("ref_id"))
-    provided = got.select(F.col("owner_user_id").alias("user_id"), F.lit("AcceptedAnswerPosted").alias("event"), F.col("creation_date").alias("ts"), F.col("answer_id").alias("ref_id"))
-    voted = got.join(vote, "answer_id").select(F.col("owner_user_id").alias("user_id"), F.lit("AcceptedAnswerVote").alias("event"), F.col("vote_ts").alias("ts"), F.col("answer_id").alias("ref_id"))
-    past = q.unionByName(a).unionByName(received).unionByName(provided).unionByName(voted).withColumn("is_history", F.lit(1))
+    past = event(questions, "owner_user_id", "Question", "creation_date", "question_id")
+    past = past.unionByName(event(others_answers(answers, questions), "owner_user_id", "Answer", "creation_date", "answer_id"))
+    past = past.unionByName(event(got, "asker", "AcceptedAnswer", "creation_date", "answer_id"))
+    past = past.unionByName(event(got.where("owner_user_id <> asker OR asker IS NULL"), "owner_user_id", "AcceptedAnswerPosted", "creation_date", "answer_id"))
+    past = past.unionByName(event(answers.join(accept_votes(votes), "answer_id"), "owner_user_id", "AcceptedAnswerVote", "vote_ts", "answer_id"))
     now = eligible.select(F.col("owner_user_id").alias("user_id"), F.explode(F.array(
-        F.struct(F.lit("Phase_One_Start").alias("event"), F.expr("creation_date - interval 7 days").alias("ts")),
+        F.struct(F.lit("Phase_One_Start").alias("event"), (F.col("creation_date") - F.make_dt_interval(F.lit(days))).alias("ts")),
         F.struct(F.lit("Phase_Two_Start").alias("event"), F.col("creation_date").alias("ts")),
-        F.struct(F.lit("Phase_Two_End").alias("event"), F.expr("creation_date + interval 7 days").alias("ts")))).alias("e"), F.col("question_id").alias("ref_id")).select("user_id", "e.event", "e.ts", "ref_id", F.lit(0).alias("is_history"))
-    return past.join(askers, "user_id", "left_semi").unionByName(now)
+        F.struct(F.lit("Phase_Two_End").alias("event"), (F.col("creation_date") + F.make_dt_interval(F.lit(days))).alias("ts")))).alias("e"), F.col("question_id").alias("ref_id")).select("user_id", "e.event", "e.ts", "ref_id")
+    now = now.unionByName(event(window_answers(eligible, questions, answers, days), "user_id", "Window_Answer", "ts", "question_id"))
+    return past.join(askers, "user_id", "left_semi").withColumn("is_history", F.lit(1)).unionByName(now.withColumn("is_history", F.lit(0)))
+
+
+HISTORY_KINDS = ("Question", "Answer", "AcceptedAnswer", "AcceptedAnswerVote", "AcceptedAnswerPosted")
+HISTORY_WINDOWS = {"AT": 0, "30D": 30, "14D": 14, "7D": 7, "3D": 3}
 
 
 def history_metrics(targets: DataFrame, log: DataFrame, windows: dict[str, int] | None = None, kinds: tuple[str, ...] = ("Question", "Answer", "AcceptedAnswer")) -> DataFrame:
-    """Counts of each kind strictly before each target's ``at``, over all time and trailing windows, and days since the first.
+    """Counts of each kind strictly before each target's ``at``, over all time and trailing windows, and days since the first question or answer.
 
     Targets (unit_id, user_id, at) are put among the events and counted by range frames over microseconds:
     a user's rows are sorted once, however many windows there are. No history gives zeros.
@@ -118,14 +171,17 @@ def history_metrics(targets: DataFrame, log: DataFrame, windows: dict[str, int]
     w = Window.partitionBy("user_id").orderBy("us")
     both = e.unionByName(t)
     cols = [F.coalesce(F.sum((F.col("event") == k).cast("long")).over(w.rangeBetween(Window.unboundedPreceding if not d else -d * DAY, -1)), F.lit(0)).alias(f"n_{k}_{name}") for k in kinds for name, d in windows.items()]
-    first = F.min(F.when(F.col("event").isNotNull(), F.col("us"))).over(w.rangeBetween(Window.unboundedPreceding, -1))
+    first = F.min(F.when(F.col("event").isin("Question", "Answer"), F.col("us"))).over(w.rangeBetween(Window.unboundedPreceding, -1))
     return both.select("unit_id", *cols, F.coalesce((F.col("us") - first) / DAY, F.lit(0.0)).alias("days_active")).where("unit_id IS NOT NULL")
 
 
 def experience_codes(metrics: DataFrame) -> DataFrame:
-    """0 none asked (given), 1 asked without an accepted answer, 2 with one."""
-    code = F.when(F.col("n_AcceptedAnswer_AT") > 0, 2).when(F.col("n_Question_AT") > 0, 1).otherwise(0)
-    return metrics.select("unit_id", code.alias("receiving"))
+    """Codes of what a user has received and given: 0 nothing asked (answered), 1 none accepted, 2 one accepted at least."""
+    code = lambda any_, accepted: F.when(F.col(any_) == 0, 0).when(F.col(accepted) == 0, 1).otherwise(2)
+    out = [code("n_Question_AT", "n_AcceptedAnswer_AT").alias("receiving")]
+    if "n_AcceptedAnswerPosted_AT" in metrics.columns:
+        out.append(code("n_Answer_AT", "n_AcceptedAnswerPosted_AT").alias("giving"))
+    return metrics.select("unit_id", *out)
 
 
 def activation(log: DataFrame, days: int = 7) -> DataFrame:

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .events import hours
+from .events import hours, micros, within
 
+#: Right-closed tenure buckets, in days.
 BUCKETS = ((7, "< 1 Week"), (30, "1 Week - 1 Month"), (180, "1 - 6 Months"), (365, "6 - 12 Months"), (1095, "1 - 3 Years"), (2190, "3 - 6 Years"))
 
 
@@ -20,10 +21,22 @@ def tenure_bucket(days):
     return out.otherwise("> 6 Years")
 
 
+def bucket_order(bucket):
+    """Place of a tenure bucket in their order; null for an unknown one."""
+    out = F.when(bucket == "> 6 Years", len(BUCKETS))
+    for i, (_, name) in enumerate(BUCKETS):
+        out = F.when(bucket == name, i).otherwise(out)
+    return out
+
+
+def recoded(processed: DataFrame, max_days: float = 7.0) -> DataFrame:
+    """Self-answered questions out, late answers recoded to untreated."""
+    return processed.where("has_self_answer = 0").withColumn("treated", F.when(F.col("response_days") > max_days, 0).otherwise(F.col("has_answer")))
+
+
 def prematch(processed: DataFrame, min_stratum: int = 300, max_days: float = 7.0) -> DataFrame:
     """Self-answered out, late answers recoded to untreated, complete cases, strata of a least size."""
-    df = processed.where("has_self_answer = 0").withColumn("treated", F.when(F.col("response_days") > max_days, 0).otherwise(F.col("has_answer")))
-    df = df.dropna(subset=["year", "main_tag", "score"])
+    df = recoded(processed, max_days).dropna(subset=["year", "main_tag", "score"])
     big = df.groupBy("year", "main_tag").agg(F.count("*").alias("n")).where(F.col("n") >= min_stratum)
     return df.join(big.drop("n"), ["year", "main_tag"], "left_semi")
 
@@ -32,27 +45,32 @@ def match(df: DataFrame, caliper: float = 0.05, k: int = 100) -> DataFrame:
     """1:1 matching with replacement within (year, main_tag, num_tags): (treated_id, control_id, distance, jaccard).
 
     Of the ``k`` nearest controls on ``score`` within the caliper, the one with the largest tag Jaccard, then
-    the smallest distance, then the smallest id. A stratum is one task's data; the scan for neighbours is a
-    binary search on its sorted scores. A treated unit without a control in the caliper has no row.
-    """
+    the smallest distance, then the smallest id. A treated unit without a control in the caliper has no row.
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, c = pdf[pdf.treated == 1], pdf[pdf.treated == 0].sort_values(["score", "question_id"], kind="stable")
-        out = []
-        cs, ids, tags = c.score.to_numpy(), c.question_id.to_numpy(), [set(x) for x in c.tag_ids]
-        for q, s, own in zip(t.question_id, t.score, (set(x) for x in t.tag_ids), strict=True):
-            lo, hi = np.searchsorted(cs, s - caliper - 1e-12), np.searchsorted(cs, s + caliper + 1e-12, side="right")
-            near = np.arange(lo, hi)
-            dist = np.abs(cs[near] - s)
-            near, dist = near[dist <= caliper], dist[dist <= caliper]
-            order = np.lexsort([ids[near], dist])[:k]
-            best = min(((-(len(own & tags[j]) / max(1, len(own | tags[j]))), d, ids[j]) for j, d in zip(near[order], dist[order], strict=True)), default=None)
-            if best:
-                out.append((q, best[2], best[1], -best[0]))
-        return pd.DataFrame(out, columns=["treated_id", "control_id", "distance", "jaccard"])
-
-    cols = df.select("year", "main_tag", "num_tags", "question_id", "treated", "score", "tag_ids")
-    return cols.groupBy("year", "main_tag", "num_tags").applyInPandas(pairs, "treated_id long, control_id long, distance double, jaccard double")
+    A stratum's controls are numbered by score once; a treated unit meets the blocks of ``k`` controls next to its own place
+    on either side, 4 k rows at most, so the join is linear in the units and a large stratum is spread over its blocks.
+    """
+    key = ["year", "main_tag", "num_tags"]
+    d = df.select(*key, "question_id", "treated", "score", "tag_ids")
+    by = Window.partitionBy(*key).orderBy("score", "treated_last", "id")
+    d = d.withColumn("treated_last", 1 - F.col("treated")).withColumn("id", F.col("question_id"))
+    place = F.sum(F.col("treated_last")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    falling = Window.partitionBy(*key).orderBy("score", "treated_last", F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("up", place).withColumn("down", F.sum("treated_last").over(falling))
+    # Above a unit come controls in (score, id) order, below it in (score, id descending) order: the nearer, then the smaller id.
+    control = d.where("treated = 0").select(*key, F.col("question_id").alias("control_id"), F.col("score").alias("c_score"), F.col("tag_ids").alias("c_tags"), F.explode(F.array(F.struct(F.lit(1).alias("side"), (F.col("up") - 1).alias("at")), F.struct(F.lit(0).alias("side"), (F.col("down") - 1).alias("at")))).alias("p"))
+    control = control.select(*key, "control_id", "c_score", "c_tags", "p.side", "p.at", F.floor(F.col("p.at") / k).alias("block"))
+    first = F.col("up")  # the number of controls below
+    block = lambda c: F.floor(c / k)
+    reach = F.array(*(F.struct(F.lit(side).alias("side"), block(c).alias("block")) for side, c in ((1, first), (1, first + k - 1), (0, first - 1), (0, first - k))))
+    treated = d.where("treated = 1").select(*key, F.col("question_id").alias("treated_id"), "score", "tag_ids", "up", F.explode(F.array_distinct(reach)).alias("b")).select(*key, "treated_id", "score", "tag_ids", "up", "b.side", "b.block")
+    near = ((F.col("side") == 1) & (F.col("at") >= F.col("up")) & (F.col("at") < F.col("up") + k)) | ((F.col("side") == 0) & (F.col("at") < F.col("up")) & (F.col("at") >= F.col("up") - k))
+    both = treated.join(control, [*key, "side", "block"]).where(near).withColumn("distance", F.abs(F.col("c_score") - F.col("score"))).where(F.col("distance") <= caliper)
+    nearest = both.withColumn("place", F.row_number().over(Window.partitionBy("treated_id").orderBy("distance", "control_id"))).where(F.col("place") <= k)
+    jaccard = F.coalesce(F.try_divide(F.size(F.array_intersect("tag_ids", "c_tags")), F.size(F.array_union("tag_ids", "c_tags"))), F.lit(0.0))
+    nearest = nearest.select("treated_id", "control_id", "distance", jaccard.alias("jaccard"))
+    best = nearest.groupBy("treated_id").agg(F.min_by(F.struct("control_id", "distance", "jaccard"), F.struct(-F.col("jaccard"), "distance", "control_id")).alias("m"))
+    return best.select("treated_id", "m.control_id", "m.distance", "m.jaccard")
 
 
 def propensity(df: DataFrame, covariates: list[str], by: list[str], penalty: float = 1.0, rounds: int = 30) -> DataFrame:
@@ -104,16 +122,26 @@ def study_windows(matched: DataFrame, users: DataFrame, pre_days: int = 2, post_
     return df.select("match_id", "question_id", F.col("owner_user_id").alias("user_id"), "treated", F.col("creation_date").alias("t0"), tenure.alias("tenure_days"), F.lit(-24.0 * pre_days).alias("t_start"), F.lit(0.0).alias("t_question"), (F.col("secs") / 3600).alias("t_answer"), (F.col("secs") / 3600 + 24.0 * post_days).alias("t_end"))
 
 
-def help_events(windows: DataFrame, answers: DataFrame, comments: DataFrame, edits: DataFrame, questions: DataFrame) -> DataFrame:
-    """Answers, comments and edits on others' posts by the asker within the closed window: (match_id, question_id, t_event, help_type)."""
+def help_events(windows: DataFrame, answers: DataFrame, comments: DataFrame, edits: DataFrame, questions: DataFrame, include_accepts: bool = False) -> DataFrame:
+    """Answers, comments and edits on others' posts by the asker within the closed window: (match_id, question_id, user_id, t_event, help_type).
+
+    With ``include_accepts`` the answer that the asker accepted on the matched question itself counts as a help of type accept.
+    """
     owner = questions.select(F.col("question_id").alias("post_id"), F.col("owner_user_id").alias("post_owner")).unionByName(answers.select(F.col("answer_id").alias("post_id"), F.col("owner_user_id").alias("post_owner")))
     acts = answers.select(F.col("owner_user_id").alias("user_id"), F.col("parent_question_id").alias("post_id"), F.col("creation_date").alias("ts"), F.lit("answer").alias("help_type"))
     acts = acts.unionByName(comments.select("user_id", "post_id", F.col("creation_date").alias("ts"), F.lit("comment").alias("help_type")))
     acts = acts.unionByName(edits.where("type_id IN (4, 5, 6)").select("user_id", "post_id", F.col("creation_date").alias("ts"), F.lit("edit").alias("help_type")))
-    acts = acts.join(owner, "post_id").where("post_owner <> user_id OR post_owner IS NULL")
-    w = windows.select("match_id", "question_id", "user_id", "t0", "t_start", "t_end")
-    t = hours(F.col("ts"), F.col("t0"))
-    return w.join(acts, "user_id").withColumn("t_event", t).where("t_event >= t_start AND t_event <= t_end").select("match_id", "question_id", "user_id", "t_event", "help_type")
+    acts = acts.where("user_id IS NOT NULL").join(owner, "post_id").where("post_owner <> user_id OR post_owner IS NULL").select("user_id", "ts", "help_type")
+    w = windows.where("t_end IS NOT NULL").select("match_id", "question_id", "user_id", "t0", "t_start", "t_end")
+    t, out = hours(F.col("ts"), F.col("t0")), ["match_id", "question_id", "user_id", "t_event", "help_type"]
+    inside = "t_event >= t_start AND t_event <= t_end"
+    at = lambda c: micros("t0") + F.floor(F.col(c) * 3.6e9)
+    found = within(w, acts, at("t_start") - 1, at("t_end") + 1, micros("ts")).withColumn("t_event", t).where(inside).select(*out)
+    if include_accepts:
+        own = questions.where("accepted_answer_id IS NOT NULL").select("question_id", F.col("owner_user_id").alias("user_id"), F.col("accepted_answer_id").alias("answer_id"))
+        own = own.join(answers.select("answer_id", F.col("creation_date").alias("ts")), "answer_id")
+        found = found.unionByName(w.join(own, ["question_id", "user_id"]).withColumn("t_event", t).withColumn("help_type", F.lit("accept")).where(inside).select(*out))
+    return found
 
 
 def intervals(windows: DataFrame, events: DataFrame) -> DataFrame:
@@ -131,71 +159,27 @@ def cut_intervals(df: DataFrame, at: float) -> DataFrame:
     return df.withColumn("p", F.explode(pieces)).select("match_id", "question_id", "p.start", "p.stop", "p.event")
 
 
-def covariates(df: DataFrame, windows: DataFrame) -> DataFrame:
-    """Phase dummies and interactions of interval rows, and log response time standardised over the interval rows."""
-    info = windows.select("match_id", "question_id", "treated", "t_answer", "tenure_days")
-    x = df.join(info, ["match_id", "question_id"]).withColumn("log_rt", F.log1p("t_answer"))
-    s = x.agg(F.avg("log_rt").alias("m"), F.stddev_samp("log_rt").alias("s"))
-    post_q, post = (F.col("start") >= 0).cast("int"), (F.col("start") >= F.col("t_answer")).cast("int")
-    x = x.crossJoin(F.broadcast(s)).withColumn("rt_std", F.coalesce(F.try_divide(F.col("log_rt") - F.col("m"), F.nullif("s", F.lit(0.0))), F.lit(0.0)))
-    return x.select("match_id", "question_id", "start", "stop", "event", "treated", post_q.alias("post_question"), (post_q * F.col("treated")).alias("treated_post_question"), post.alias("post"), (post * F.col("treated")).alias("treated_active"), (F.col("rt_std") * post).alias("rt_post"), (F.col("rt_std") * post * F.col("treated")).alias("rt_active"), tenure_bucket(F.col("tenure_days")).alias("tenure_bucket"))
-
-
-def collapsed(df: DataFrame, covs: list[str], grid: float = 1.0) -> DataFrame:
-    """Interval rows on the grid (half-even), empty ones dropped, with equal patterns counted once."""
-    g = df.withColumn("start", F.rint(F.col("start") / grid) * grid).withColumn("stop", F.rint(F.col("stop") / grid) * grid).where("start < stop")
-    return g.groupBy("start", "stop", "event", *covs).agg(F.count("*").alias("n"))
-
-
-def cox(df: DataFrame, covs: list[str], ties: str = "efron", penalty: float = 1e-6, rounds: int = 50, grid: float = 1.0, min_events: int = 10) -> list[dict] | None:
-    """Cox fit of time-varying intervals: the cluster counts equal rows, Newton's method runs on the counts.
+def covariates(df: DataFrame, windows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Phase dummies and interactions of interval rows; ``keep`` names further columns of the windows.
 
-    On a one-hour grid indicator covariates leave a few thousand patterns however many rows there are.
-    Returns a row a covariate (coef, se, z, p, hr, lo, hi), or None with fewer than ``min_events`` events.
+    Log response time is standardised once, over the treated rows with a positive response time, and its three
+    interactions share that scale; controls have 0 in all of them. A scale that is absent or 0 counts as 1.
+    ``rt_tertile`` is 1 to 3 for treated rows by the thirds of their response times (linear interpolation), else 0.
     """
-    t = collapsed(df, covs, grid).toPandas()
-    if t.empty or t.n[t.event == 1].sum() < min_events:
-        return None
-    x, n = t[covs].to_numpy(float), t.n.to_numpy(float)
-    x = x - (n @ x) / n.sum()
-    return summary(covs, *newton(t.start.to_numpy(float), t.stop.to_numpy(float), t.event.to_numpy(), x, n, ties, penalty, rounds))
-
-
-def newton(start, stop, event, x, n, ties="efron", penalty=1e-6, rounds=50):
-    """Coefficients and covariance by Newton's method on the (Efron or Breslow) partial likelihood."""
-    p = x.shape[1]
-    b, times = np.zeros(p), np.unique(stop[event == 1])
-    for _ in range(rounds):
-        r = n * np.exp(np.clip(x @ b, -30, 30))
-        g, h = -penalty * n.sum() * b, penalty * n.sum() * np.eye(p)
-        for t in times:
-            risk, dead = (start < t) & (stop >= t), (stop == t) & (event == 1)
-            d = n[dead].sum()
-            s0, s1, s2 = r[risk].sum(), r[risk] @ x[risk], (x[risk] * r[risk][:, None]).T @ x[risk]
-            e0, e1, e2 = r[dead].sum(), r[dead] @ x[dead], (x[dead] * r[dead][:, None]).T @ x[dead]
-            g = g + n[dead] @ x[dead]
-            f = np.arange(int(d)) / d if ties == "efron" else np.zeros(int(d))
-            z0 = s0 - f * e0
-            m = (s1[None] - f[:, None] * e1[None]) / z0[:, None]
-            g = g - m.sum(axis=0)
-            h = h + s2 * (1 / z0).sum() - e2 * (f / z0).sum() - m.T @ m
-        step = np.linalg.solve(h + 1e-9 * np.eye(p), g)
-        b = b + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return b, np.linalg.inv(h + 1e-9 * np.eye(p))
-
-
-def summary(names, b, v) -> list[dict]:
-    from math import erfc, exp, sqrt
-
-    return [{"term": k, "coef": float(c), "se": (s := sqrt(v[i, i])), "z": float(c / s), "p": erfc(abs(c / s) / sqrt(2)), "hr": exp(c), "lo": exp(c - 1.96 * s), "hi": exp(c + 1.96 * s)} for i, (k, c) in enumerate(zip(names, b, strict=True))]
-
-
-def combination(names: list[str], terms: dict[str, float], b, v) -> dict:
-    """A weighted sum of coefficients with its delta-method error."""
-    w = np.array([terms.get(k, 0.0) for k in names])
-    return summary(["combination"], np.array([w @ b]), np.array([[w @ v @ w]]))[0]
+    info = windows.select("match_id", "question_id", "treated", "t_question", "t_answer", "tenure_days", *keep)
+    x = df.join(info, ["match_id", "question_id"]).withColumn("rt", F.when(F.col("treated") == 1, F.col("t_answer") - F.col("t_question")))
+    x = x.withColumn("log_rt", F.when(F.col("treated") == 1, F.log1p(F.greatest("rt", F.lit(0.0)))).otherwise(0.0))
+    scale = F.when(F.col("rt") > 0, F.col("log_rt"))
+    s = x.agg(F.coalesce(F.avg(scale), F.lit(0.0)).alias("m"), F.coalesce(F.nullif(F.stddev_samp(scale), F.lit(0.0)), F.lit(1.0)).alias("s"), F.percentile("rt", F.lit(1 / 3)).alias("t1"), F.percentile("rt", F.lit(2 / 3)).alias("t2"))
+    one = lambda c: c.cast("int")
+    treated, post_q, post = F.col("treated"), one(F.col("start") >= F.col("t_question")), one(F.col("start") >= F.col("t_answer"))
+    x = x.crossJoin(F.broadcast(s)).withColumn("rt_std", F.when(treated == 1, (F.col("log_rt") - F.col("m")) / F.col("s")).otherwise(0.0))
+    tertile = F.when(F.col("rt").isNull(), 0).when(F.col("rt") <= F.col("t1"), 1).when(F.col("rt") <= F.col("t2"), 2).otherwise(3)
+    x = x.select("match_id", "question_id", "start", "stop", "event", "treated", post_q.alias("post_question"), (post_q * treated).alias("treated_post_question"), F.coalesce(post, F.lit(0)).alias("post"), (F.coalesce(post, F.lit(0)) * treated).alias("treated_active"), F.col("rt_std").alias("rt_treated"), F.coalesce(F.col("rt"), F.lit(0.0)).alias("response_hours"), tertile.alias("rt_tertile"), tenure_bucket(F.col("tenure_days")).alias("tenure_bucket"), *keep)
+    x = x.withColumn("rt_active", F.col("rt_treated") * F.col("treated_active")).withColumn("rt_post_question", F.col("rt_treated") * F.col("treated_post_question"))
+    for k in (2, 3):
+        x = x.withColumn(f"treated_bin{k}", one((F.col("rt_tertile") == k) & (F.col("treated_active") == 1)))
+    return x
 
 
 def poisson_weights(ids: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import study as S
+from ..sources.files import stored, work_folder
 from ..sources.testdata import duck, qa_tables, run, text
 
 QUERIES: dict = {}
@@ -42,18 +43,20 @@ FIRST = f"""first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p
 ELIGIBLE = f"""{OTHERS}, {FIRST},
 flags AS (SELECT parent_question_id, max(CASE WHEN score >= 0 THEN 1 ELSE 0 END) AS good, max(CASE WHEN score < 0 AND {SOON} THEN 1 ELSE 0 END) AS down FROM others GROUP BY parent_question_id),
 selfs AS (SELECT a.parent_question_id, count(*) AS n FROM answers a JOIN questions q ON a.parent_question_id = q.question_id WHERE a.owner_user_id = q.owner_user_id GROUP BY a.parent_question_id),
-ups AS (SELECT post_id, count(*) AS n FROM votes WHERE vote_type_id = 2 GROUP BY post_id),
+ups AS (SELECT post_id, count(*) AS n FROM votes WHERE vote_type_id = 1 GROUP BY post_id),
 acc AS (SELECT o.parent_question_id, o.creation_date AS accepted_ts, v.vote_ts FROM others o JOIN questions q ON q.accepted_answer_id = o.answer_id
   LEFT JOIN (SELECT post_id, min(creation_date) AS vote_ts FROM votes WHERE vote_type_id = 1 GROUP BY post_id) v ON v.post_id = o.answer_id),
 eligible AS (SELECT q.question_id, q.owner_user_id, q.creation_date, q.tags, coalesce(f.good, 0) AS has_answer, CASE WHEN coalesce(f.good, 0) = 0 AND f.down = 1 THEN 1 ELSE 0 END AS has_unhelpful_answer,
   CASE WHEN acc.accepted_ts IS NULL THEN 0 ELSE 1 END AS has_accepted_answer, CASE WHEN coalesce(s.n, 0) > 0 THEN 1 ELSE 0 END AS has_self_answer,
-  first.creation_date AS first_ts, first.score AS first_answer_score, first.answer_id AS first_answer_id, CASE WHEN first.answer_id IS NULL THEN NULL ELSE coalesce(ups.n, 0) END AS first_answer_votes,
+  first.creation_date AS first_ts, first.score AS first_answer_score, first.answer_id AS first_answer_id, CASE WHEN first.answer_id IS NULL THEN NULL ELSE coalesce(ups.n, 0) END AS first_answer_votes, first.body_len_chars AS first_answer_body_len_chars,
   acc.accepted_ts, acc.vote_ts, q.view_count, q.body_len_chars, q.title_len_chars, q.n_code_blocks, u.reputation AS owner_reputation
   FROM questions q LEFT JOIN first ON first.parent_question_id = q.question_id LEFT JOIN flags f ON f.parent_question_id = q.question_id LEFT JOIN selfs s ON s.parent_question_id = q.question_id
   LEFT JOIN ups ON ups.post_id = first.answer_id LEFT JOIN acc ON acc.parent_question_id = q.question_id LEFT JOIN users u ON u.user_id = q.owner_user_id WHERE q.owner_user_id IS NOT NULL)"""
 TAGS = """tagrows AS (SELECT question_id, unnest(string_split(regexp_replace(tags, '^<|>$', '', 'g'), '><')) AS tag_name FROM questions),
 dict AS (SELECT row_number() OVER (ORDER BY tag_name) AS tag_id, tag_name, count(*) AS tag_frequency FROM tagrows GROUP BY tag_name),
 qtags AS (SELECT question_id, list(tag_id ORDER BY tag_id) AS tag_ids FROM tagrows JOIN dict USING (tag_name) GROUP BY question_id)"""
+#: Neighbours that the match looks at: fewer than the usual 100, so that the small tables reach the rule.
+NEAREST = 5
 #: The matching input: a closed-form score stands for the propensity, so that SQL can check the match.
 PROCESSED = f"""{ELIGIBLE}, {TAGS},
 processed AS (SELECT e.question_id, e.owner_user_id, e.creation_date, year(e.creation_date) AS year, t.tag_ids, t.tag_ids[1] AS main_tag, len(t.tag_ids) AS num_tags, e.has_answer, e.has_self_answer,
@@ -64,7 +67,8 @@ pre AS (SELECT r.* FROM recoded r JOIN (SELECT year, main_tag FROM recoded GROUP
 MATCHED = f"""{PROCESSED},
 cand AS (SELECT t.question_id AS treated_id, c.question_id AS control_id, abs(c.score - t.score) AS distance, len(list_intersect(t.tag_ids, c.tag_ids)) / CAST(len(list_distinct(list_concat(t.tag_ids, c.tag_ids))) AS DOUBLE) AS jaccard
   FROM pre t JOIN pre c ON t.treated = 1 AND c.treated = 0 AND t.year = c.year AND t.main_tag = c.main_tag AND t.num_tags = c.num_tags AND abs(c.score - t.score) <= 0.05),
-pairs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY treated_id ORDER BY jaccard DESC, distance, control_id) AS rn FROM cand) x WHERE rn = 1)"""
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY treated_id ORDER BY distance, control_id) AS place FROM cand) x WHERE place <= {NEAREST}),
+pairs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY treated_id ORDER BY jaccard DESC, distance, control_id) AS rn FROM near) x WHERE rn = 1)"""
 WINDOWS = f"""{MATCHED},
 sides AS (SELECT treated_id AS match_id, treated_id AS question_id, 1 AS treated FROM pairs UNION ALL SELECT treated_id, control_id, 0 FROM pairs),
 windows AS (SELECT s.match_id, s.question_id, p.owner_user_id AS user_id, s.treated, p.creation_date AS t0, greatest(0, date_diff('day', CAST(u.registration_date AS DATE), CAST(p.creation_date AS DATE))) AS tenure_days,
@@ -83,13 +87,21 @@ ivals AS (SELECT * FROM (SELECT match_id, question_id, t AS start, lead(t) OVER
 us = lambda c: E.micros(c).alias(c)
 
 
+def kept(t, name: str, make):
+    """A frame that several steps of one query need, written once between them, as the study's own stages are."""
+    if name not in t:
+        t.setdefault("folder", work_folder(t["questions"].sparkSession))
+        t[name] = stored(make(), t["folder"], name)
+    return t[name]
+
+
 def eligible(t):
-    return E.eligible_questions(t["questions"], t["answers"], t["votes"], t["users"])
+    return kept(t, "eligible", lambda: E.eligible_questions(t["questions"], t["answers"], t["votes"], t["users"]))
 
 
-@query("eligible_questions", f"WITH {ELIGIBLE} SELECT question_id, owner_user_id, {{epoch:creation_date}} AS creation_date, has_answer, has_unhelpful_answer, has_accepted_answer, has_self_answer, {{epoch:first_ts}} AS first_ts, first_answer_score, first_answer_id, first_answer_votes, {{epoch:accepted_ts}} AS accepted_ts, {{epoch:vote_ts}} AS vote_ts, view_count, owner_reputation FROM eligible")
+@query("eligible_questions", f"WITH {ELIGIBLE} SELECT question_id, owner_user_id, {{epoch:creation_date}} AS creation_date, has_answer, has_unhelpful_answer, has_accepted_answer, has_self_answer, {{epoch:first_ts}} AS first_ts, first_answer_score, first_answer_id, first_answer_votes, first_answer_body_len_chars, {{epoch:accepted_ts}} AS accepted_ts, {{epoch:vote_ts}} AS vote_ts, view_count, owner_reputation FROM eligible")
 def q_eligible(t) -> DataFrame:
-    return eligible(t).select("question_id", "owner_user_id", us("creation_date"), "has_answer", "has_unhelpful_answer", "has_accepted_answer", "has_self_answer", us("first_ts"), "first_answer_score", "first_answer_id", "first_answer_votes", us("accepted_ts"), us("vote_ts"), "view_count", "owner_reputation")
+    return eligible(t).select("question_id", "owner_user_id", us("creation_date"), "has_answer", "has_unhelpful_answer", "has_accepted_answer", "has_self_answer", us("first_ts"), "first_answer_score", "first_answer_id", "first_answer_votes", "first_answer_body_len_chars", us("accepted_ts"), us("vote_ts"), "view_count", "owner_reputation")
 
 
 @query("tag_dictionary", f"WITH {TAGS} SELECT tag_id, tag_name, tag_frequency FROM dict")
@@ -102,29 +114,36 @@ def q_tags(t) -> DataFrame:
     return E.question_tags(t["questions"], E.tag_dictionary(t["questions"])).select("question_id", F.array_join(F.col("tag_ids").cast("array<string>"), ",").alias("tag_ids"))
 
 
-HELPS = "SELECT e.question_id AS unit_id, count(CASE WHEN q.question_id IS NOT NULL AND (q.owner_user_id IS NULL OR q.owner_user_id <> e.owner_user_id) THEN 1 END) AS helps, count(a.answer_id) AS seen FROM eligible e LEFT JOIN answers a ON a.owner_user_id = e.owner_user_id AND a.creation_date >= e.creation_date AND a.creation_date {} e.creation_date + {{days:30}} LEFT JOIN questions q ON q.question_id = a.parent_question_id GROUP BY e.question_id"
+HELPS = "SELECT u.unit_id, count(CASE WHEN q.question_id IS NOT NULL AND (q.owner_user_id IS NULL OR q.owner_user_id <> u.user_id) THEN 1 END) AS helps, count(a.answer_id) AS seen FROM u LEFT JOIN answers a ON a.owner_user_id = u.user_id AND a.creation_date >= u.lo AND a.creation_date {} u.hi LEFT JOIN questions q ON q.question_id = a.parent_question_id GROUP BY u.unit_id"
+TO_ANSWER = "u AS (SELECT question_id AS unit_id, owner_user_id AS user_id, creation_date AS lo, first_ts AS hi FROM eligible WHERE first_ts IS NOT NULL)"
+AROUND = "u AS (SELECT question_id AS unit_id, owner_user_id AS user_id, creation_date - {days:7} AS lo, creation_date + {days:7} AS hi FROM eligible)"
+
 
+def units_to_answer(t):
+    return eligible(t).where("first_ts IS NOT NULL").select(F.col("question_id").alias("unit_id"), F.col("owner_user_id").alias("user_id"), F.col("creation_date").alias("lo"), F.col("first_ts").alias("hi"))
 
-def units(t):
-    return eligible(t).select(F.col("question_id").alias("unit_id"), F.col("owner_user_id").alias("user_id"), F.col("creation_date").alias("lo"), F.expr("creation_date + interval 30 days").alias("hi"))
 
+def units_around(t):
+    return eligible(t).select(F.col("question_id").alias("unit_id"), F.col("owner_user_id").alias("user_id"), F.expr("creation_date - interval 7 days").alias("lo"), F.expr("creation_date + interval 7 days").alias("hi"))
 
-@query("helps_half_open", f"WITH {ELIGIBLE} SELECT unit_id, helps FROM ({HELPS.format('<')}) x")
+
+@query("helps_half_open", f"WITH {ELIGIBLE}, {TO_ANSWER} SELECT unit_id, helps FROM ({HELPS.format('<')}) x")
 def q_helps(t) -> DataFrame:
-    return E.helps_between(units(t), t["answers"], t["questions"])
+    return E.helps_between(units_to_answer(t), t["answers"], t["questions"])
 
 
-@query("helps_closed_drop_self_only", f"WITH {ELIGIBLE} SELECT unit_id, helps FROM ({HELPS.format('<=')}) x WHERE seen = 0 OR helps > 0")
+@query("helps_closed_drop_self_only", f"WITH {ELIGIBLE}, {AROUND} SELECT unit_id, helps FROM ({HELPS.format('<=')}) x WHERE seen = 0 OR helps > 0")
 def q_helps_closed(t) -> DataFrame:
-    return E.helps_between(units(t), t["answers"], t["questions"], closed=True, drop_self_only=True)
+    return E.helps_between(units_around(t), t["answers"], t["questions"], closed=True, drop_self_only=True)
 
 
 LOG = f"""{ELIGIBLE}, got AS (SELECT a.answer_id, a.owner_user_id, a.creation_date, q.owner_user_id AS asker FROM answers a JOIN questions q ON q.accepted_answer_id = a.answer_id),
-past AS (SELECT owner_user_id AS user_id, 'Question' AS event, creation_date AS ts, question_id AS ref_id FROM questions UNION ALL SELECT owner_user_id, 'Answer', creation_date, answer_id FROM answers
-  UNION ALL SELECT asker, 'AcceptedAnswer', creation_date, answer_id FROM got UNION ALL SELECT owner_user_id, 'AcceptedAnswerPosted', creation_date, answer_id FROM got
-  UNION ALL SELECT g.owner_user_id, 'AcceptedAnswerVote', v.ts, g.answer_id FROM got g JOIN (SELECT post_id, min(creation_date) AS ts FROM votes WHERE vote_type_id = 1 GROUP BY post_id) v ON v.post_id = g.answer_id),
+past AS (SELECT owner_user_id AS user_id, 'Question' AS event, creation_date AS ts, question_id AS ref_id FROM questions UNION ALL SELECT owner_user_id, 'Answer', creation_date, answer_id FROM others
+  UNION ALL SELECT asker, 'AcceptedAnswer', creation_date, answer_id FROM got UNION ALL SELECT owner_user_id, 'AcceptedAnswerPosted', creation_date, answer_id FROM got WHERE owner_user_id <> asker OR asker IS NULL
+  UNION ALL SELECT a.owner_user_id, 'AcceptedAnswerVote', v.ts, a.answer_id FROM answers a JOIN (SELECT post_id, min(creation_date) AS ts FROM votes WHERE vote_type_id = 1 GROUP BY post_id) v ON v.post_id = a.answer_id),
 log AS (SELECT *, 1 AS is_history FROM past WHERE user_id IN (SELECT owner_user_id FROM eligible)
-  UNION ALL SELECT owner_user_id, 'Phase_One_Start', creation_date - {{days:7}}, question_id, 0 FROM eligible UNION ALL SELECT owner_user_id, 'Phase_Two_Start', creation_date, question_id, 0 FROM eligible UNION ALL SELECT owner_user_id, 'Phase_Two_End', creation_date + {{days:7}}, question_id, 0 FROM eligible)"""
+  UNION ALL SELECT owner_user_id, 'Phase_One_Start', creation_date - {{days:7}}, question_id, 0 FROM eligible UNION ALL SELECT owner_user_id, 'Phase_Two_Start', creation_date, question_id, 0 FROM eligible UNION ALL SELECT owner_user_id, 'Phase_Two_End', creation_date + {{days:7}}, question_id, 0 FROM eligible
+  UNION ALL SELECT e.owner_user_id, 'Window_Answer', o.creation_date, e.question_id, 0 FROM eligible e JOIN others o ON o.owner_user_id = e.owner_user_id AND o.creation_date BETWEEN e.creation_date - {{days:7}} AND e.creation_date + {{days:7}})"""
 
 
 def log_of(t):
@@ -142,8 +161,14 @@ def q_breakdown(t) -> DataFrame:
 
 
 _D = 86_400_000_000
-HISTORY = f"""{LOG}, target AS (SELECT question_id AS unit_id, owner_user_id AS user_id, {{epoch:creation_date}} - 7 * {_D} AS at FROM eligible), ev AS (SELECT user_id, event, {{epoch:ts}} AS us FROM log WHERE is_history = 1),
-metrics AS (SELECT t.unit_id, """ + ", ".join(f"count(CASE WHEN e.event = '{k}' {c} THEN 1 END) AS n_{k}_{w}" for k in ("Question", "Answer", "AcceptedAnswer") for w, c in (("AT", ""), ("30D", f"AND e.us >= t.at - 30 * {_D}"), ("7D", f"AND e.us >= t.at - 7 * {_D}"))) + f", coalesce((t.at - min(e.us)) / CAST({_D} AS DOUBLE), 0) AS days_active FROM target t LEFT JOIN ev e ON e.user_id = t.user_id AND e.us < t.at GROUP BY t.unit_id, t.at)"
+def history(kinds, windows) -> str:
+    """Common tables up to ``metrics``: brute-force counts before each question's first phase."""
+    counts = ", ".join(f"count(CASE WHEN e.event = '{k}' {f'AND e.us >= t.at - {d} * {_D}' if d else ''} THEN 1 END) AS n_{k}_{w}" for k in kinds for w, d in windows.items())
+    return f"""{LOG}, target AS (SELECT question_id AS unit_id, owner_user_id AS user_id, {{epoch:creation_date}} - 7 * {_D} AS at FROM eligible), ev AS (SELECT user_id, event, {{epoch:ts}} AS us FROM log WHERE is_history = 1),
+metrics AS (SELECT t.unit_id, {counts}, coalesce((t.at - min(CASE WHEN e.event IN ('Question', 'Answer') THEN e.us END)) / CAST({_D} AS DOUBLE), 0) AS days_active FROM target t LEFT JOIN ev e ON e.user_id = t.user_id AND e.us < t.at GROUP BY t.unit_id, t.at)"""
+
+
+HISTORY = history(("Question", "Answer", "AcceptedAnswer"), {"AT": 0, "30D": 30, "7D": 7})
 
 
 def metrics_of(t):
@@ -167,6 +192,10 @@ def q_activation(t) -> DataFrame:
 
 
 def processed(t):
+    return kept(t, "processed", lambda: _processed(t))
+
+
+def _processed(t):
     tags = E.question_tags(t["questions"], E.tag_dictionary(t["questions"]))
     e = eligible(t).join(tags, "question_id")
     h = E.hours(F.col("first_ts"), F.col("creation_date"))
@@ -179,10 +208,14 @@ def pre(t):
 
 
 def pairs_of(t):
-    return S.match(pre(t), caliper=0.05, k=10**9)
+    return kept(t, "pairs", lambda: S.match(pre(t), caliper=0.05, k=NEAREST))
 
 
 def windows_of(t):
+    return kept(t, "windows", lambda: _windows(t))
+
+
+def _windows(t):
     p = processed(t)
     pairs = pairs_of(t)
     sides = pairs.select(F.col("treated_id").alias("match_id"), F.explode(F.array(F.struct(F.col("treated_id").alias("question_id"), F.lit(1).alias("treated")), F.struct(F.col("control_id").alias("question_id"), F.lit(0).alias("treated")))).alias("s")).select("match_id", "s.*")
@@ -190,7 +223,7 @@ def windows_of(t):
 
 
 def helps_of(t, w):
-    return S.help_events(w, t["answers"], t["comments"], t["edits"], t["questions"])
+    return kept(t, "helps", lambda: S.help_events(w, t["answers"], t["comments"], t["edits"], t["questions"]))
 
 
 @query("prematch_strata", f"WITH {PROCESSED} SELECT year, main_tag, count(*) AS n, CAST(sum(treated) AS BIGINT) AS n_treated FROM pre GROUP BY year, main_tag")
@@ -239,7 +272,7 @@ def q_help_events(t) -> DataFrame:
 
 def intervals_of(t):
     w = windows_of(t)
-    return S.intervals(w, helps_of(t, w)), w
+    return kept(t, "intervals", lambda: S.intervals(w, helps_of(t, w))), w
 
 
 @query("intervals", f"WITH {INTERVALS} SELECT match_id, question_id, round(start, 6) AS start, round(stop, 6) AS stop, event FROM ivals")
@@ -276,25 +309,13 @@ def q_churn(t) -> DataFrame:
     return cells.unionByName(cells.groupBy("treated").agg(F.sum("n").alias("n"), F.sum("silent").alias("silent")).withColumn("bucket", F.lit("All")))
 
 
-@query("absolute_effects", f"WITH {INTERVALS}, r AS (SELECT CAST(sum(event) AS DOUBLE) / count(DISTINCT i.match_id) AS rate FROM ivals i JOIN windows w ON w.match_id = i.match_id AND w.question_id = i.question_id WHERE w.treated = 0 AND i.start >= 0) SELECT hr, round(rate, 9) AS rate, round(rate * (hr - 1), 9) AS ard, round(rate * (hr - 1) * 1000, 6) AS per_1k, CASE WHEN rate * (hr - 1) > 0 THEN round(1 / (rate * (hr - 1)), 6) END AS nnt FROM r, (SELECT unnest([0.95, 1.0, 1.05, 1.2]::DOUBLE[]) AS hr) h")
+@query("absolute_effects", f"WITH {INTERVALS}, r AS (SELECT CAST(sum(event) AS DOUBLE) / count(DISTINCT i.match_id) AS rate FROM ivals i JOIN windows w ON w.match_id = i.match_id AND w.question_id = i.question_id WHERE w.treated = 0 AND i.start >= 0) SELECT hr, round(rate, 9) AS rate, round(rate * (hr - 1), 9) + 0 AS ard, round(rate * (hr - 1) * 1000, 6) + 0 AS per_1k, CASE WHEN rate * (hr - 1) > 0 THEN round(1 / (rate * (hr - 1)), 6) END AS nnt FROM r, (SELECT unnest([0.95, 1.0, 1.05, 1.2]::DOUBLE[]) AS hr) h")
 def q_effects(t) -> DataFrame:
     i, w = intervals_of(t)
     r = S.covariates(i, w).where("treated = 0 AND start >= 0").agg((F.sum("event") / F.countDistinct("match_id")).alias("rate"))
     r = r.select("rate", F.explode(F.array(*map(F.lit, (0.95, 1.0, 1.05, 1.2)))).alias("hr"))
     x = r.select("hr", "rate", *S.absolute_effect(F.col("rate"), F.col("hr")))
-    return x.select("hr", F.round("rate", 9).alias("rate"), F.round("ard", 9).alias("ard"), F.round("per_1k", 6).alias("per_1k"), F.round("nnt", 6).alias("nnt"))
-
-
-def _cox_rows(spark: SparkSession, fit) -> DataFrame:
-    schema = "term string, coef double, se double, z double, p double, hr double, lo double, hi double"
-    return spark.createDataFrame([tuple(r.values()) for r in fit or []], schema)
-
-
-@query("cox_model_a")
-def q_cox(t) -> DataFrame:
-    i, w = intervals_of(t)
-    covs = ["treated", "post_question", "treated_post_question", "post", "treated_active"]
-    return _cox_rows(i.sparkSession, S.cox(S.covariates(i, w), covs, penalty=1e-4))
+    return x.select("hr", F.round("rate", 9).alias("rate"), (F.round("ard", 9) + F.lit(0.0)).alias("ard"), (F.round("per_1k", 6) + F.lit(0.0)).alias("per_1k"), F.round("nnt", 6).alias("nnt"))
 
 
 @query("propensity_by_stratum")
@@ -302,11 +323,6 @@ def q_propensity(t) -> DataFrame:
     return S.propensity(pre(t), ["body_len_chars", "title_len_chars"], ["year", "main_tag"])
 
 
-@query("pair_bootstrap_weights")
-def q_bootstrap(t) -> DataFrame:
-    return S.poisson_weights(pairs_of(t), "treated_id", 20).groupBy("replicate").agg(F.sum("weight").alias("pairs"), F.count("*").alias("distinct_pairs"))
-
-
 ORACLE["pooled_rates"] = f"SELECT bin, CAST(sum(n_obs) AS BIGINT) AS n_obs, round(sum(rate * n_obs) / sum(n_obs), 9) AS rate, round(sqrt(sum((se * n_obs) * (se * n_obs))) / sum(n_obs), 9) AS se FROM ({ORACLE['binned_rates']}) x GROUP BY bin"
 
 
@@ -369,13 +385,6 @@ def q_bounds(t) -> DataFrame:
     return x.select("scope", "fraction", "treated_n", "control_n", *(F.round(c, 8).alias(c) for c in ("treated_rate", "adjusted_rate", "observed_ratio", "adjusted_ratio", "attenuation")))
 
 
-@query("clustered_ols")
-def q_ols(t) -> DataFrame:
-    rows = S.demeaned(t["answers"].where("owner_user_id IS NOT NULL"), "owner_user_id", ["score", "body_len_chars"])
-    fit = S.clustered_ols(rows, "score", ["body_len_chars"], "owner_user_id")
-    return t["answers"].sparkSession.createDataFrame([tuple(r.values()) for r in fit], "term string, coef double, se double, n bigint, clusters bigint")
-
-
 # Plain relational operators: the same SQL in both engines.
 sql_query("filter_equality_in", "SELECT post_id, vote_type_id, count(*) AS n FROM votes WHERE vote_type_id IN (1, 2) GROUP BY post_id, vote_type_id")
 sql_query("edit_history_filter", "SELECT type_id, count(*) AS n, count(DISTINCT user_id) AS users FROM edits WHERE type_id IN (4, 5, 6) AND user_id IS NOT NULL GROUP BY type_id")
@@ -388,24 +397,19 @@ SELECT coalesce(q.y, a.y) AS y, coalesce(q.m, a.m) AS m, coalesce(q.n, 0) AS que
 sql_query("grouping_sets", "SELECT year(creation_date) AS y, n_code_blocks AS blocks, count(*) AS n, round(avg(view_count), 6) AS views FROM questions GROUP BY GROUPING SETS ((year(creation_date), n_code_blocks), (n_code_blocks))")
 sql_query("conditional_counts", "SELECT owner_user_id, count(*) AS n, count(DISTINCT CASE WHEN score >= 0 THEN parent_question_id END) AS good_questions, cast(sum(CASE WHEN score < 0 THEN 1 ELSE 0 END) AS bigint) AS bad FROM answers GROUP BY owner_user_id")
 sql_query("column_profile", "SELECT avg(view_count) AS m, stddev_samp(view_count) AS s, min(view_count) AS lo, max(view_count) AS hi, percentile_cont(0.25) WITHIN GROUP (ORDER BY view_count) AS q25, percentile_cont(0.5) WITHIN GROUP (ORDER BY view_count) AS q50, percentile_cont(0.75) WITHIN GROUP (ORDER BY view_count) AS q75 FROM questions".replace("avg(view_count)", "round(avg(view_count), 6)").replace("stddev_samp(view_count)", "round(stddev_samp(view_count), 6)"))
-sql_query("null_profile", "SELECT count(*) AS n, cast(sum(CASE WHEN owner_user_id IS NULL THEN 1 ELSE 0 END) AS bigint) AS owner_null, cast(sum(CASE WHEN accepted_answer_id IS NULL THEN 1 ELSE 0 END) AS bigint) AS accepted_null FROM questions")
 sql_query("distribution_percent", "SELECT n_code_blocks, count(*) AS n, round(100e0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM questions GROUP BY n_code_blocks")
-sql_query("top_tags_by_frequency", "SELECT owner_user_id, count(*) AS n FROM answers WHERE owner_user_id IS NOT NULL GROUP BY owner_user_id ORDER BY n DESC, owner_user_id LIMIT 10")
 sql_query("dense_rank_answers", "SELECT owner_user_id, answer_id, dense_rank() OVER (PARTITION BY owner_user_id ORDER BY creation_date) AS seq FROM answers WHERE owner_user_id IS NOT NULL")
 sql_query("cumulative_sums", "SELECT owner_user_id, answer_id, cast(sum(score) OVER (PARTITION BY owner_user_id ORDER BY creation_date, answer_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS total FROM answers")
 sql_query("demeaned", "SELECT answer_id, round(score - avg(score) OVER (PARTITION BY owner_user_id), 6) AS dev FROM answers")
 sql_query("keep_last_upsert", "SELECT user_id, comment_id FROM (SELECT user_id, comment_id, row_number() OVER (PARTITION BY user_id ORDER BY creation_date DESC, comment_id DESC) AS rn FROM comments) x WHERE rn = 1")
-sql_query("first_bounty_period", "SELECT question_id, {epoch:min(bounty_start)} AS bounty_start FROM bounties GROUP BY question_id")
 sql_query("bounty_flags", """SELECT a.answer_id, coalesce(max(CASE WHEN a.creation_date >= b.bounty_start AND a.creation_date <= b.bounty_end THEN 1 ELSE 0 END), 0) AS is_bounty,
  CASE WHEN a.creation_date < min(b.bounty_start) THEN 1 ELSE 0 END AS before_bounty,
  CASE WHEN max(CASE WHEN a.creation_date > b.bounty_end THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN a.creation_date >= b.bounty_start AND a.creation_date <= b.bounty_end THEN 1 ELSE 0 END) = 0 THEN 1 ELSE 0 END AS after_bounty
  FROM answers a LEFT JOIN bounties b ON b.question_id = a.parent_question_id GROUP BY a.answer_id, a.creation_date""")
 sql_query("exactly_both_values", "SELECT owner_user_id FROM (SELECT owner_user_id, CASE WHEN score >= 0 THEN 1 ELSE 0 END AS v FROM answers WHERE owner_user_id IS NOT NULL) x GROUP BY owner_user_id HAVING count(DISTINCT v) = 2 AND min(v) = 0 AND max(v) = 1")
 sql_query("threshold_cohort", "SELECT answer_id, score FROM (SELECT *, max(score) OVER (PARTITION BY owner_user_id) AS top FROM answers) x WHERE top >= 38 AND score <= 5")
-sql_query("start_of_site_exclusion", "SELECT q.question_id FROM questions q, (SELECT min(creation_date) AS t FROM questions) s WHERE q.creation_date >= s.t + {days:7}")
 sql_query("post_ownership_union", "SELECT p.kind, count(*) AS n, count(c.comment_id) AS comments FROM (SELECT question_id AS post_id, 'q' AS kind FROM questions UNION ALL SELECT answer_id, 'a' FROM answers) p LEFT JOIN comments c ON c.post_id = p.post_id GROUP BY p.kind")
 sql_query("phase_fill", "SELECT k.owner_user_id, p.phase, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT owner_user_id FROM answers WHERE owner_user_id IS NOT NULL) k CROSS JOIN (SELECT 0 AS phase UNION ALL SELECT 1) p LEFT JOIN (SELECT owner_user_id, CASE WHEN score >= 20 THEN 1 ELSE 0 END AS phase, count(*) AS n FROM answers GROUP BY owner_user_id, CASE WHEN score >= 20 THEN 1 ELSE 0 END) c ON c.owner_user_id = k.owner_user_id AND c.phase = p.phase")
-sql_query("loss_funnel", "SELECT 1 AS step, count(*) AS n FROM questions UNION ALL SELECT 2, count(*) FROM questions WHERE owner_user_id IS NOT NULL UNION ALL SELECT 3, count(*) FROM questions WHERE owner_user_id IS NOT NULL AND accepted_answer_id IS NOT NULL")
 sql_query("relative_week", "SELECT a.answer_id, cast(floor(datediff_days / 7.0) AS int) AS week FROM (SELECT a0.answer_id, ({epoch:a0.creation_date} - {epoch:u.registration_date}) / 86400000000.0 AS datediff_days FROM answers a0 JOIN users u ON u.user_id = a0.owner_user_id) a")
 sql_query("one_question_per_user", "SELECT owner_user_id, question_id FROM (SELECT owner_user_id, question_id, row_number() OVER (PARTITION BY owner_user_id ORDER BY (question_id * 7919) % 1000003, question_id) AS rn FROM questions WHERE owner_user_id IS NOT NULL) x WHERE rn = 1")
 sql_query("eligible_counts", "SELECT count(*) AS all_questions, count(DISTINCT owner_user_id) AS one_per_user FROM questions WHERE owner_user_id IS NOT NULL")

@@ -1,45 +1,30 @@
 """The XML dump reader, the text metrics and the sinks on hand-made files."""
 
-import html
-import re
-
 import pytest
 
 from quillspan.functions import text
 from quillspan.sources import dump
 
-BODIES = [
-    "<p>Why does <code>x</code> fail?  It is   broken. See <a href='u'>docs</a>!</p><pre><code>a &lt; b\n</code></pre><pre class='k'>&amp;&amp;</pre>",
-    "<ul><li>one</li></ul><ol><li>thoroughly longwords</li></ol><blockquote>q &nbsp; z</blockquote><img src='i'><pre>unclosed",
-    "plain words only",
-    "<p></p>",
-    "   ",
-]
-
-
-def count(pattern, s):
-    return len(re.findall(pattern, s))
-
-
-def by_hand(body):
-    """The metrics computed with Python's own string functions."""
-    blocks = re.findall("(?s)<pre[^>]*>.*?</pre>", body)
-    code = sum(len(html.unescape(re.sub("<[^>]+>", "", b))) for b in blocks)
-    rest = re.sub("(?s)<pre[^>]*>.*?</pre>", " ", body)
-    prose = html.unescape(re.sub("<[^>]+>", " ", rest))
-    w = prose.split()
-    return {"body_len_chars": len(" ".join(w)) + code, "body_len_words": len(w), "n_code_blocks": len(blocks), "n_inline_code": count(r"<code[\s>]", rest), "n_paragraphs": count(r"<p[\s>]", rest), "n_links": count(r"<a[\s>]", rest), "n_images": count(r"<img[\s>]", rest), "n_lists": count(r"<[uo]l[\s>]", rest), "n_blockquotes": count(r"<blockquote[\s>]", rest), "code_len_chars": code, "n_sentences": count("[.!?]+", prose), "n_long_words": sum(len(x) > 6 for x in w), "avg_word_len_chars": round(len("".join(w)) / len(w), 2) if w else 0.0}
+#: Bodies with the metrics that they must have, counted by eye.
+BODIES = {
+    "<p>See <code>x</code> now!</p><pre><code>a &lt; b</code></pre>": {"body_len_chars": 10 + 5, "body_len_words": 3, "n_code_blocks": 1, "n_inline_code": 1, "n_paragraphs": 1, "n_links": 0, "code_len_chars": 5, "n_sentences": 1, "n_long_words": 0, "avg_word_len_chars": 2.67},
+    "<ul><li>one</li></ul><ol><li>thoroughly longwords</li></ol><blockquote>q &amp; z</blockquote><img src='i'><a href='u'>d</a>": {"body_len_words": 7, "n_lists": 2, "n_blockquotes": 1, "n_images": 1, "n_links": 1, "n_long_words": 2, "n_code_blocks": 0, "code_len_chars": 0, "n_paragraphs": 0},
+    "plain words only": {"body_len_chars": 16, "body_len_words": 3, "n_sentences": 0, "avg_word_len_chars": 4.67},
+    "<p></p>": {"body_len_chars": 0, "body_len_words": 0, "n_paragraphs": 1, "avg_word_len_chars": 0.0},
+    "   ": {"body_len_chars": 0, "body_len_words": 0},
+    "<pre>one</pre> and <pre class='k'>&amp;&amp;</pre>": {"n_code_blocks": 2, "code_len_chars": 5, "body_len_chars": 8, "body_len_words": 1},
+    "<pre>unclosed": {"n_code_blocks": 0, "body_len_chars": 8},
+}
 
 
 def test_body_metrics(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(i, b) for i, b in enumerate([*BODIES, "", None])], "i long, b string")
-    got = {r.i: r.asDict() for r in df.select("i", *(v.alias(k) for k, v in text.body_metrics(F.col("b")).items())).collect()}
-    for i, b in enumerate(BODIES):
-        want = by_hand(b)
-        assert {k: got[i][k] for k in want} == pytest.approx(want)
-    assert all(got[i][k] is None for i in (5, 6) for k in want)
+    got = [r.asDict() for r in df.select("i", *(v.alias(k) for k, v in text.body_metrics(F.col("b")).items())).orderBy("i").collect()]
+    for r, want in zip(got, BODIES.values(), strict=False):
+        assert {k: r[k] for k in want} == pytest.approx(want)
+    assert all(v is None for r in got[len(BODIES):] for k, v in r.items() if k != "i")
 
 
 def test_title_metrics(spark):
