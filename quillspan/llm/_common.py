@@ -59,9 +59,22 @@ def _leave(spark: SparkSession, path: str) -> None:
         remove(spark, path)
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path for a written table in this application's folder."""
-    return f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _MADE.append(f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextlib.contextmanager
+def scratch_removed(spark: SparkSession):
+    """Remove the scratch tables that are made inside, once what reads them has been written elsewhere."""
+    first = len(_MADE)
+    yield
+    remove(spark, *_MADE[first:])
+    del _MADE[first:]
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
