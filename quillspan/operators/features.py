@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored, work_folder
 from .events import DAY, hours, micros
 
 
 def dense_ids(df: DataFrame, keys: list[str], name: str = "event_id") -> DataFrame:
     """Distinct ``keys`` with their dense rank by all keys, from 1.
 
-    Keys are dealt by range and ranked within each range; only the ranges' counts go through one task.
+    Keys are dealt by range, written, and ranked within each range; only the ranges' counts go through one task.
     """
-    x = df.select(*keys).distinct()
-    x = x.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).persist()  # one dealing for both uses
+    x = df.select(*keys).distinct().repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
+    x = stored(x, work_folder(df.sparkSession), "ranges")  # one dealing serves both uses
     sizes = x.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     ranked = x.withColumn("_r", F.row_number().over(Window.partitionBy("_range").orderBy(*keys))).join(F.broadcast(before), "_range")
@@ -139,7 +140,7 @@ def pre_post(units: DataFrame, before: float = -48.0, after: float = 48.0) -> Da
     """Two intervals a unit, before and after its time 0, with the events counted in ``n_before`` and ``n_after``."""
     piece = lambda a, b, post, n: F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(post).alias("post"), (F.col(n) > 0).cast("int").alias("event"))
     own = [c for c in units.columns if c not in ("n_before", "n_after")]
-    return units.select(*own, F.explode(F.array(piece(before, 0.0, 0, "n_before"), piece(0.0, after, 1, "n_after"))).alias("p")).select(*own, "p.start", "p.stop", "p.post", "p.event")
+    return units.select(*own, F.inline(F.array(piece(before, 0.0, 0, "n_before"), piece(0.0, after, 1, "n_after"))))
 
 
 def before_site_phase(log: DataFrame, questions: DataFrame, days: int = 7) -> DataFrame:

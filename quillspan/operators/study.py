@@ -206,6 +206,13 @@ def absolute_effect(rate, hr):
     return ard.alias("ard"), (ard * 1000).alias("per_1k"), F.when(ard > 0, 1 / ard).alias("nnt")
 
 
+def absolute_interval(rate, lo, hi):
+    """The same for a hazard ratio's interval: it is inverted for the number needed to treat, and only if it lies above 1 altogether."""
+    low, high = rate * (lo - 1), rate * (hi - 1)
+    both = (low > 0) & (high > 0)
+    return low.alias("ard_lo"), high.alias("ard_hi"), F.when(both, 1 / high).alias("nnt_lo"), F.when(both, 1 / low).alias("nnt_hi")
+
+
 def score_codings(score):
     """Codings of a score: inverse hyperbolic sine and indicators of 1-2, 3-9 and 10 or more; a null score is null in all."""
     bins = ((score >= 1) & (score <= 2), (score >= 3) & (score <= 9), score >= 10)
@@ -228,11 +235,16 @@ def selection_bounds(units: DataFrame, fractions: list[float]) -> DataFrame:
     return x.withColumn("adjusted_ratio", F.col("treated_rate") / F.nullif("adjusted_rate", F.lit(0.0))).withColumn("attenuation", F.col("adjusted_ratio") / F.nullif("observed_ratio", F.lit(0.0)))
 
 
-def pooled_rates(rates: DataFrame) -> DataFrame:
-    """Rates of each bin over all arms, weighted by units, with the pooled error."""
+def with_models(bounds: DataFrame, models: DataFrame) -> DataFrame:
+    """Bounds beside the hazard ratios (scope, model, hr, ci_lo, ci_hi, se, p) of their scope; scopes without a model go."""
+    return bounds.join(models, "scope")
+
+
+def pooled_rates(rates: DataFrame, by: tuple[str, ...] = ("bin",)) -> DataFrame:
+    """Rates of each bin (or by other columns) over all other groups, weighted by units, with the pooled error."""
     n = F.sum("n_obs")
     se = F.sqrt(F.sum(F.col("se") * F.col("n_obs") * F.col("se") * F.col("n_obs"))) / n
-    return rates.groupBy("bin").agg(n.cast("bigint").alias("n_obs"), (F.sum(F.col("rate") * F.col("n_obs")) / n).alias("rate"), se.alias("se"))
+    return rates.groupBy(*by).agg(n.cast("bigint").alias("n_obs"), (F.sum(F.col("rate") * F.col("n_obs")) / n).alias("rate"), se.alias("se"))
 
 
 def normalised_rates(rates: DataFrame, first: int) -> DataFrame:
@@ -256,14 +268,14 @@ def demeaned(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return x.select(*(c for c in df.columns if c not in columns), *((F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns))
 
 
-def clustered_ols(df: DataFrame, y: str, xs: list[str], cluster: str, small: bool = True) -> list[dict]:
-    """Least squares with errors clustered by ``cluster``; an intercept is a column of ``xs``.
+def clustered_ols(df: DataFrame, y: str, xs: list[str], cluster: str | list[str], small: bool = True) -> list[dict]:
+    """Least squares with errors clustered by one column or several together; an intercept is a column of ``xs``.
 
     Two aggregations with map-side combine: the cross products give the coefficients, then the sums of
     scores a cluster give the sandwich. Only matrices of the size of ``xs`` reach the driver. Rows with a
     null are left out; collinear columns share their effect (pseudo-inverse).
     """
-    d = df.select(*(F.col(c).cast("double").alias(c) for c in [y, *xs]), F.col(cluster).alias("_g")).dropna()
+    d = df.select(*(F.col(c).cast("double").alias(c) for c in [y, *xs]), F.struct(*([cluster] if isinstance(cluster, str) else cluster)).alias("_g")).dropna(subset=[y, *xs])
     k = len(xs)
     cross = d.agg(*(F.sum(F.col(a) * F.col(b)) for i, a in enumerate(xs) for b in xs[i:]), *(F.sum(F.col(a) * F.col(y)) for a in xs), F.count("*")).first()
     n, a = cross[-1], np.zeros((k, k))

@@ -9,7 +9,8 @@ from ..operators import events as E
 from ..operators import features as X
 from ..operators import rates as R
 from ..operators import study as S
-from .queries import AROUND, BUCKET, ELIGIBLE, HISTORY, INTERVALS, LOG, MATCHED, PROCESSED, QUERIES, TAGS, WINDOWS, _D, eligible, helps_of, history, intervals_of, kept, log_of, pairs_of, pre, processed, query, sql_query, us, windows_of
+from ..sources.testdata import qa_tables
+from .queries import AROUND, BUCKET, ELIGIBLE, HISTORY, INTERVALS, LOG, MATCHED, ORACLE, PROCESSED, QUERIES, TAGS, WINDOWS, _D, eligible, helps_of, history, intervals_of, kept, log_of, pairs_of, pre, processed, q_bounds, query, sql_query, us, windows_of
 
 r6 = lambda *names: {n: F.round(n, 6) for n in names}
 CUTOFF = "1998-01-01"  # the fixture's questions end in 1998
@@ -389,6 +390,35 @@ def q_outcome_counts(t) -> DataFrame:
 
 
 
+@query("absolute_effect_intervals", f"WITH {INTERVALS}, r AS (SELECT CAST(sum(event) AS DOUBLE) / count(DISTINCT i.match_id) AS rate FROM ivals i JOIN windows w ON w.match_id = i.match_id AND w.question_id = i.question_id WHERE w.treated = 0 AND i.start >= 0), h AS (SELECT * FROM (VALUES (1.05::DOUBLE, 1.01::DOUBLE, 1.09::DOUBLE), (1.02, 0.98, 1.06), (0.9, 0.8, 0.95)) x(hr, lo, hi)) SELECT hr, round(rate * (lo - 1), 9) + 0 AS ard_lo, round(rate * (hi - 1), 9) + 0 AS ard_hi, CASE WHEN rate * (lo - 1) > 0 AND rate * (hi - 1) > 0 THEN round(1 / (rate * (hi - 1)), 6) END AS nnt_lo, CASE WHEN rate * (lo - 1) > 0 AND rate * (hi - 1) > 0 THEN round(1 / (rate * (lo - 1)), 6) END AS nnt_hi FROM r, h")
+def q_effect_intervals(t) -> DataFrame:
+    i, w = intervals_of(t)
+    r = S.covariates(i, w).where("treated = 0 AND start >= 0").agg((F.sum("event") / F.countDistinct("match_id")).alias("rate"))
+    h = r.sparkSession.createDataFrame([(1.05, 1.01, 1.09), (1.02, 0.98, 1.06), (0.9, 0.8, 0.95)], "hr double, lo double, hi double")
+    x = r.crossJoin(h).select("hr", *S.absolute_interval(F.col("rate"), F.col("lo"), F.col("hi")))
+    return x.select("hr", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("ard_lo", "ard_hi")], *[F.round(c, 6).alias(c) for c in ("nnt_lo", "nnt_hi")])
+
+
+ORACLE["selection_bounds_with_models"] = f"SELECT b.*, m.model, m.hr FROM ({ORACLE['selection_bounds']}) b JOIN (SELECT * FROM (VALUES ('< 1 Week', 'A', 1.05::DOUBLE), ('> 6 Years', 'A', 0.99), ('> 6 Years', 'B', 1.01), ('nowhere', 'A', 1.0)) x(scope, model, hr)) m ON m.scope = b.scope"
+
+
+def q_bounds_models(t) -> DataFrame:
+    models = t["questions"].sparkSession.createDataFrame([("< 1 Week", "A", 1.05), ("> 6 Years", "A", 0.99), ("> 6 Years", "B", 1.01), ("nowhere", "A", 1.0)], "scope string, model string, hr double")
+    return S.with_models(q_bounds(t), models)
+
+
+QUERIES["selection_bounds_with_models"] = lambda spark, sf_dir: q_bounds_models(qa_tables(spark, sf_dir))
+ORACLE["pooled_over_buckets"] = f"SELECT treated, bin, CAST(sum(n_obs) AS BIGINT) AS n_obs, round(sum(rate * n_obs) / sum(n_obs), 7) AS rate, round(sqrt(sum((se * n_obs) * (se * n_obs))) / sum(n_obs), 7) AS se FROM ({ORACLE['rates_by_bucket']}) x GROUP BY treated, bin"
+
+
+def q_pooled_buckets(t) -> DataFrame:
+    r = S.pooled_rates(q_rates_bucket(t), ("treated", "bin"))
+    return r.select("treated", "bin", "n_obs", F.round("rate", 7).alias("rate"), F.round("se", 7).alias("se"))
+
+
+QUERIES["pooled_over_buckets"] = lambda spark, sf_dir: q_pooled_buckets(qa_tables(spark, sf_dir))
+
+
 # Fits: SQL checks their inputs above; tests compare the fits themselves with plain ones.
 FIT = "sample string, spec string, term string, coef double, se double, z double, p double, hr double, ci_lo double, ci_hi double, n_rows bigint, n_events bigint"
 
@@ -510,7 +540,8 @@ def q_regressions(t) -> DataFrame:
     """Clustered least squares within users, a clustered logit by (question, user), and the effect as a percentage of the mean."""
     f, spark = _fits(), t["answers"].sparkSession
     a = t["answers"].where("owner_user_id IS NOT NULL").withColumns({"one": F.lit(1.0), "log_body": F.log1p(F.col("body_len_chars").cast("double")), "good": (F.col("score") > 0).cast("int")})
-    ols = S.clustered_ols(S.demeaned(a, "owner_user_id", ["score", "log_body"]), "score", ["log_body"], "owner_user_id")
+    ols = S.clustered_ols(S.demeaned(a, "owner_user_id", ["score", "log_body"]), "score", ["log_body"], ["owner_user_id"])
+    ols += [{**r, "term": f"{r['term']} (question, user)"} for r in S.clustered_ols(a, "score", ["one", "log_body"], ["parent_question_id", "owner_user_id"])]
     logit = f.logit(a, "good", ["one", "log_body"], ["parent_question_id", "owner_user_id"])
     mean = a.agg(F.avg("good")).first()[0]
     effect = f.effect_percent(logit, {"log_body": 1.0}, mean)

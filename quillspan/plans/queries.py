@@ -300,10 +300,10 @@ def q_rates(t) -> DataFrame:
     return S.binned_rates(w, helps_of(t, w)).withColumn("rate", F.round("rate", 12)).withColumn("se", F.round("se", 12))
 
 
-@query("churn_grouping_sets", f"WITH {WINDOWS}, z AS (SELECT w.*, {BUCKET} AS bucket, (SELECT count(*) FROM helps h WHERE h.match_id = w.match_id AND h.question_id = w.question_id AND h.t_event > 0) AS after FROM windows w) SELECT coalesce(bucket, 'All') AS bucket, treated, count(*) AS n, CAST(sum(CASE WHEN after = 0 THEN 1 ELSE 0 END) AS BIGINT) AS silent FROM z GROUP BY GROUPING SETS ((bucket, treated), (treated))")
+@query("churn_grouping_sets", f"WITH {WINDOWS}, z AS (SELECT w.*, {BUCKET} AS bucket, (SELECT count(*) FROM helps h WHERE h.match_id = w.match_id AND h.question_id = w.question_id AND h.t_event >= 0) AS after FROM windows w) SELECT coalesce(bucket, 'All') AS bucket, treated, count(*) AS n, CAST(sum(CASE WHEN after = 0 THEN 1 ELSE 0 END) AS BIGINT) AS silent FROM z GROUP BY GROUPING SETS ((bucket, treated), (treated))")
 def q_churn(t) -> DataFrame:
     w = windows_of(t)
-    h = helps_of(t, w).where("t_event > 0").groupBy("match_id", "question_id").agg(F.count("*").alias("after"))
+    h = helps_of(t, w).where("t_event >= 0").groupBy("match_id", "question_id").agg(F.count("*").alias("after"))
     z = w.join(h, ["match_id", "question_id"], "left").withColumn("bucket", S.tenure_bucket(F.col("tenure_days")))
     cells = z.groupBy("bucket", "treated").agg(F.count("*").alias("n"), F.sum(F.col("after").isNull().cast("int")).alias("silent"))
     return cells.unionByName(cells.groupBy("treated").agg(F.sum("n").alias("n"), F.sum("silent").alias("silent")).withColumn("bucket", F.lit("All")))
@@ -373,13 +373,13 @@ def q_codings(t) -> DataFrame:
 FRACTIONS = (0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 1.0)  # fixed values
 
 
-@query("selection_bounds", f"""WITH {WINDOWS}, z AS (SELECT w.treated, {BUCKET} AS scope, (SELECT count(*) FROM helps h WHERE h.match_id = w.match_id AND h.question_id = w.question_id AND h.t_event > 0) AS n FROM windows w),
+@query("selection_bounds", f"""WITH {WINDOWS}, z AS (SELECT w.treated, {BUCKET} AS scope, (SELECT count(*) FROM helps h WHERE h.match_id = w.match_id AND h.question_id = w.question_id AND h.t_event >= 0) AS n FROM windows w),
 c AS (SELECT scope, sum(CASE WHEN treated = 1 THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN treated = 1 THEN n ELSE 0 END) AS te, sum(CASE WHEN treated = 0 THEN 1 ELSE 0 END) AS cn, sum(CASE WHEN treated = 0 THEN n ELSE 0 END) AS ce, sum(CASE WHEN treated = 0 AND n = 0 THEN 1 ELSE 0 END) AS cz FROM z GROUP BY scope),
 r AS (SELECT scope, fraction, tn, cn, te / CAST(tn AS DOUBLE) AS tr, ce / CAST(cn AS DOUBLE) AS cr, (ce + fraction * cz) / CAST(cn AS DOUBLE) AS ar FROM c, (SELECT CAST(unnest([{', '.join(map(str, FRACTIONS))}]) AS DOUBLE) AS fraction) f WHERE tn > 0 AND cn > 0)
 SELECT scope, fraction, CAST(tn AS BIGINT) AS treated_n, CAST(cn AS BIGINT) AS control_n, round(tr, 8) AS treated_rate, round(ar, 8) AS adjusted_rate, round(tr / nullif(cr, 0), 8) AS observed_ratio, round(tr / nullif(ar, 0), 8) AS adjusted_ratio, round(tr / nullif(ar, 0) / nullif(tr / nullif(cr, 0), 0), 8) AS attenuation FROM r""")
 def q_bounds(t) -> DataFrame:
     w = windows_of(t)
-    h = helps_of(t, w).where("t_event > 0").groupBy("match_id", "question_id").agg(F.count("*").alias("n"))
+    h = helps_of(t, w).where("t_event >= 0").groupBy("match_id", "question_id").agg(F.count("*").alias("n"))
     units_ = w.join(h, ["match_id", "question_id"], "left").select(S.tenure_bucket(F.col("tenure_days")).alias("scope"), "treated", F.coalesce("n", F.lit(0)).alias("n"))
     x = S.selection_bounds(units_, list(FRACTIONS))
     return x.select("scope", "fraction", "treated_n", "control_n", *(F.round(c, 8).alias(c) for c in ("treated_rate", "adjusted_rate", "observed_ratio", "adjusted_ratio", "attenuation")))
