@@ -138,9 +138,9 @@ def fill_both_ways(df: DataFrame, group: list[str], order: str, column: str) ->
 
 def pre_post(units: DataFrame, before: float = -48.0, after: float = 48.0) -> DataFrame:
     """Two intervals a unit, before and after its time 0, with the events counted in ``n_before`` and ``n_after``."""
-    piece = lambda a, b, post, n: F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(post).alias("post"), (F.col(n) > 0).cast("int").alias("event"))
     own = [c for c in units.columns if c not in ("n_before", "n_after")]
-    return units.select(*own, F.inline(F.array(piece(before, 0.0, 0, "n_before"), piece(0.0, after, 1, "n_after"))))
+    piece = lambda a, b, post, n: units.select(*own, F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(post).alias("post"), (F.col(n) > 0).cast("int").alias("event"))
+    return piece(before, 0.0, 0, "n_before").unionByName(piece(0.0, after, 1, "n_after"))
 
 
 def before_site_phase(log: DataFrame, questions: DataFrame, days: int = 7) -> DataFrame:
