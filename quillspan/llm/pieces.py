@@ -348,7 +348,8 @@ def decode_ids(table: pa.Array, ids: pa.ListArray) -> pa.Array:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, decoded: bool = False) -> DataFrame:
     """(id, ids) of every whole text, and with ``decoded`` the text that the ids decode to. Null or empty text has no token.
 
-    The ids are those of the library for the same file. A text's own U+2581 is taken for a space, as
+    Repeated rows keep a row each, a text may be of any length (a unit of over ``LONG_UNIT`` characters is relaxed edge by edge), an
+    empty table gives no rows, and other columns play no part. The ids are those of the library for the same file. A text's own U+2581 is taken for a space, as
     there; every other text is restored exactly by :func:`decode`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))

@@ -39,7 +39,11 @@ NAMES = ["log_chars", "log_words", "mean_word", "distinct", "upper", "digit", "s
 
 
 def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` and the statistics of every whole text, as columns s_<name>."""
+    """``keep`` and the statistics of every whole text, as columns s_<name>.
+
+    A null text is an empty one, whose shares are 0; a text may be of any length; equal texts have equal statistics, repeated rows
+    a row each; an empty table gives no rows. Input columns of any name are fine, as only ``keep`` and the text are read.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*keep, text.alias("text"), F.array_remove(F.split(text, r"\s+"), "").alias("words"))
     return rows.select(*keep, *[c.alias(f"s_{k}") for k, c in statistics().items()])
@@ -129,7 +133,8 @@ def compiled(model: dict) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, **options) -> dict:
     """Fit on labelled rows; about ``max_rows`` of them, chosen by a hash of the id, bound the sample.
 
-    Null labels are ignored; an id labelled both ways counts with each label.
+    Null labels and ids, and labels of no document, are ignored; an id labelled both ways counts with each label, and a repeated document with each row.
+    An empty table gives the model that scores 0.5 everywhere. Rows are put in the order of their statistics, so equal tables give equal models.
     """
     labels = labels.where("quality in (0, 1)").select("doc_id", "quality").distinct()
     n = labels.count()

@@ -160,7 +160,10 @@ def _split(units: DataFrame, heavy: DataFrame, depth: int, budget: int) -> DataF
 
 
 def link_stars(fps: DataFrame, budget: int = 3, max_unit: int = 16384) -> DataFrame:
-    """(src, dst) spanning the graph of distinct fingerprints ``fp`` at most ``budget`` (up to 3) bits apart."""
+    """(src, dst) spanning the graph of distinct fingerprints ``fp`` at most ``budget`` (up to 3) bits apart.
+
+    A fingerprint that stands alone has no row; an empty input gives none. Units of more than ``max_unit`` members are dealt to pairs of their child nodes.
+    """
     if not 0 <= budget <= 3:
         raise ValueError("four blocks find pairs of up to 3 differing bits")
     spark = fps.sparkSession
