@@ -35,7 +35,7 @@ SPECS = {
 #: Response-time bins, left-closed, in hours.
 RT_EDGES = [0, 0.25, 0.5, 1, 2, 4, 8, 12, 24, 72, float("inf")]
 RT_LABELS = ["0-15 min", "15-30 min", "30-60 min", "1-2 hr", "2-4 hr", "4-8 hr", "8-12 hr", "12-24 hr", "1-3 days", ">3 days"]
-#: Help types of each outcome that the composite is taken apart into.
+#: The outcomes that the composite is taken apart into, and their help types.
 OUTCOMES = {
     "answers_only": ["answer"],
     "comments_only": ["comment"],

@@ -66,10 +66,10 @@ def test_files(spark, tmp_path):
     base = f"file://{tmp_path}"
     df = spark.createDataFrame([("a & b_c", 1.5, None), ("x%", None, "t")], "name string, v double, s string")
     df.write.parquet(f"{base}/in/posts_questions.parquet")
-    assert files.resolve_input(spark, f"{base}/in", "questions").endswith("posts_questions.parquet")
+    assert files.resolve_input(spark, f"{base}/in", "posts_questions").endswith("posts_questions.parquet")
     df.write.parquet(f"{base}/in/posts_questions_revision.parquet")
-    assert files.resolve_input(spark, f"{base}/in", "questions").endswith("posts_questions_revision.parquet")
-    assert not files.input_exists(spark, f"{base}/in", "answers") and not files.input_exists(spark, f"{base}/in", "nothing")
+    assert files.resolve_input(spark, f"{base}/in", "posts_questions").endswith("posts_questions_revision.parquet")
+    assert not files.input_exists(spark, f"{base}/in", "posts_answers") and not files.input_exists(spark, f"{base}/in", "nothing")
     with pytest.raises(KeyError):
         files.resolve_input(spark, base, "nothing")
     files.write_text(spark, f"{base}/t.tex", files.latex_table(df, {"v": ".2f"}))
