@@ -178,27 +178,48 @@ def _search(key: np.ndarray, sa: np.ndarray, depth: int, lo: np.ndarray, hi: np.
 
 
 PLAIN = 1 << 24  # PLAIN + code point stands for a character that is no piece
-MEMO_PAIRS, CACHE_UNITS, LONG_UNIT = 200_000, 200_000, 64
-
-
-def _fits(model: dict, memo: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether each pair of neighbouring tokens stays apart; ``memo`` keeps up to MEMO_PAIRS answers."""
-    keys = (left << 32 | right).tolist()
-    known = list(map(memo.get, keys))
-    if None in known:
-        if len(memo) > MEMO_PAIRS:
-            memo.clear()
-        for i, f in enumerate(known):
-            if f is None:
-                k = keys[i]
-                f = memo.get(k)
-                if f is None:
-                    f = memo[k] = compatible(model, _name(model, k >> 32), _name(model, k & 0xFFFFFFFF))
-                known[i] = f
-    return np.array(known, bool)
-
-
-def _relax(model: dict, memo: dict, at: np.ndarray, end: np.ndarray, ids: np.ndarray, cuts: np.ndarray, token: np.ndarray, back: np.ndarray) -> None:
+MEMO_PAIRS, MEMO_NEW, CACHE_UNITS, LONG_UNIT = 1_000_000, 20_000, 200_000, 64
+
+
+class Memo:
+    """Whether pairs of neighbouring tokens stay apart: up to MEMO_PAIRS answers as sorted arrays, and the latest in a dictionary."""
+
+    def __init__(self):
+        self.keys, self.fits, self.new = np.zeros(0, np.int64), np.zeros(0, bool), {}
+
+    def one(self, model: dict, key: int) -> bool:
+        f = self.new.get(key)
+        if f is None and len(self.keys) and self.keys[at := min(int(np.searchsorted(self.keys, key)), len(self.keys) - 1)] == key:
+            return bool(self.fits[at])
+        if f is None:
+            f = self.new[key] = compatible(model, _name(model, key >> 32), _name(model, key & 0xFFFFFFFF))
+        return f
+
+    def ask(self, model: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        out, known = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[at] == keys
+            out[known] = self.fits[at[known]]
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            todo, which = np.unique(keys[rest], return_inverse=True)
+            out[rest] = np.fromiter((self.one(model, k) for k in todo.tolist()), bool, len(todo))[which]
+            self.settle()
+        return out
+
+    def settle(self) -> None:
+        if len(self.new) <= MEMO_NEW:
+            return
+        full = len(self.keys) > MEMO_PAIRS  # then it starts afresh
+        keys = np.concatenate([self.keys[:0] if full else self.keys, np.fromiter(self.new, np.int64, len(self.new))])
+        fits = np.concatenate([self.fits[:0] if full else self.fits, np.fromiter(self.new.values(), bool, len(self.new))])
+        self.keys, first = np.unique(keys, return_index=True)
+        self.fits, self.new = fits[first], {}
+
+
+def _relax(model: dict, memo: Memo, at: np.ndarray, end: np.ndarray, ids: np.ndarray, cuts: np.ndarray, token: np.ndarray, back: np.ndarray) -> None:
     """Relax edges in runs of equal offset in their units (``cuts`` bounds the runs): within one, no two edges share an end."""
     best = None if model["merges"] else np.where(token == -2, 0.0, -np.inf)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -209,7 +230,7 @@ def _relax(model: dict, memo: dict, at: np.ndarray, end: np.ndarray, ids: np.nda
             p, q, t, left = p[ok], q[ok], t[ok], left[ok]
             inner = np.flatnonzero(left != -2)
             ok = np.ones(len(p), bool)
-            ok[inner] = _fits(model, memo, left[inner], t[inner])
+            ok[inner] = memo.ask(model, left[inner], t[inner])
         else:
             sums = best[p] + np.where(t < PLAIN, model["scores"][np.minimum(t, len(model["scores"]) - 1)], -1e6)
             ok = sums > best[q]
@@ -217,7 +238,7 @@ def _relax(model: dict, memo: dict, at: np.ndarray, end: np.ndarray, ids: np.nda
         token[q[ok]], back[q[ok]] = t[ok], p[ok]
 
 
-def _relax_long(model: dict, memo: dict, at: np.ndarray, end: np.ndarray, ids: np.ndarray, token: np.ndarray, back: np.ndarray) -> None:
+def _relax_long(model: dict, memo: Memo, at: np.ndarray, end: np.ndarray, ids: np.ndarray, token: np.ndarray, back: np.ndarray) -> None:
     """The same, edge by edge in order of position: a long unit has too few edges an offset for whole-array steps."""
     score, best = model["scores"], {}
     for p, q, t in zip(at.tolist(), end.tolist(), ids.tolist(), strict=True):
@@ -228,17 +249,12 @@ def _relax_long(model: dict, memo: dict, at: np.ndarray, end: np.ndarray, ids: n
                 best[q], token[q], back[q] = total, t, p
         elif left != -1 and token[q] == -1:
             if left != -2:
-                fits = memo.get(left << 32 | t)
-                if fits is None:
-                    if len(memo) > MEMO_PAIRS:
-                        memo.clear()
-                    fits = memo[left << 32 | t] = compatible(model, _name(model, left), _name(model, t))
-                if not fits:
+                if not memo.one(model, left << 32 | t):
                     continue
             token[q], back[q] = t, p
 
 
-def segment(model: dict, memo: dict, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def segment(model: dict, memo: Memo, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of the units one after the other, and their number a unit."""
     at, length, ids, starts, codes = edges(units, model["vocab"])
     bare = np.ones(len(codes), bool)
@@ -259,6 +275,7 @@ def segment(model: dict, memo: dict, units: list[str]) -> tuple[np.ndarray, np.n
     many = np.flatnonzero(long)
     many = many[np.argsort(at[many], kind="stable")]
     _relax_long(model, memo, at[many], end[many], ids[many], token, back)
+    memo.settle()
     used, here = np.zeros(len(token), bool), starts[1:] - 1
     first = starts[:-1]
     while len(here):  # one step back in every unit that has not reached its start
@@ -291,10 +308,10 @@ def _name(model: dict, token: int) -> str:
 def encode_texts(model: dict, texts: list[str | None], cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of the texts one after the other, and their number a text.
 
-    ``cache`` keeps the tokens of up to CACHE_UNITS units that a call meets twice, and compared pairs.
+    ``cache`` keeps the tokens of up to CACHE_UNITS units that a call meets twice, and the pairs compared so far.
     """
     if not cache:
-        cache |= {"slot": {}, "flat": np.zeros(0, np.int32), "size": np.zeros(0, np.int64), "memo": {}}
+        cache |= {"slot": {}, "flat": np.zeros(0, np.int32), "size": np.zeros(0, np.int64), "memo": Memo()}
     units: list[str] = []
     per_text = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
