@@ -167,20 +167,37 @@ def slices(column: pa.Array, limit: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
+def modest_batches(spark: SparkSession, rows: int = 4000) -> None:
+    """Whole texts go to workers ``rows`` a batch unless the session asks for another number than Spark's default.
+
+    A batch is held several times over, by the executor and by its worker; the number changes no result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
+def _hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(run):
-    """``run`` for ``mapInArrow``; when a task ends, its worker hands the memory that it no longer uses back to the system.
+    """``run`` for ``mapInArrow``; its worker hands the memory that it no longer uses back to the system, now and then and when a task ends.
 
     Workers outlive stages, and what one stage left in their heaps would count against the next.
     """
 
     def wrapped(batches):
         try:
-            yield from run(batches)
+            for k, out in enumerate(run(batches), 1):
+                yield out
+                if k % 8 == 0:
+                    _hand_back()
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            _hand_back()
 
     return wrapped
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, lean, read, slices
+from ._common import held_out, lean, modest_batches, read, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -164,6 +164,7 @@ def predict_one(model: dict, text: str | None) -> tuple[str, float]:
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row, repeated rows too; the whole text is read. Other columns play no part."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -179,6 +180,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 def keep_identified(docs: DataFrame, model: dict, min_score: float = 0.3) -> DataFrame:
     """Rows of ``docs``, unchanged and with all their columns, whose language is determined with at least ``min_score``."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

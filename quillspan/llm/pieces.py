@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lean, read
+from ._common import lean, modest_batches, read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -369,6 +369,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     empty table gives no rows, and other columns play no part. The ids are those of the library for the same file. A text's own U+2581 is taken for a space, as
     there; every other text is restored exactly by :func:`decode`.
     """
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     names = ["id", "ids", "text"][: 2 + decoded]
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Tables, connected_components, cut, lean, partitions, read, slices, unused
+from ._common import Tables, connected_components, cut, lean, modest_batches, partitions, read, slices, unused
 
 STEP = 8  # binary levels that one step of a split on the cluster takes
 CHUNK = 1 << 20  # node pairs expanded at once
@@ -302,8 +302,8 @@ def set_links(size: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.
     def compare(i: np.ndarray, j: np.ndarray) -> None:
         ok = 9 * np.minimum(size[i], size[j]) >= 4 * (size[i] + size[j])
         i, j = i[ok], j[ok]
-        for k in range(0, len(i), 8192):
-            a, b = i[k : k + 8192], j[k : k + 8192]
+        for k in range(0, len(i), 1024):  # half a million hashes at once at most
+            a, b = i[k : k + 1024], j[k : k + 1024]
             pair = np.repeat(np.arange(len(a)), length[a])
             at = np.repeat(begin[a] - (np.cumsum(length[a]) - length[a]), length[a]) + np.arange(len(pair))
             want = b[pair] * total + token[at]
@@ -422,6 +422,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     null and repeated ids keep a row each; an empty table gives no rows.
     """
     spark, tables = docs.sparkSession, Tables(docs.sparkSession)
+    modest_batches(spark)
 
     def run(batches):
         for b in batches:
