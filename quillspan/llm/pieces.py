@@ -25,7 +25,7 @@ from ._common import lean, modest_batches, read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_UNITS, BATCH_CHARS = 40_000, 1_000_000
+BATCH_UNITS, BATCH_CHARS = 15_000, 500_000
 
 
 def load(path: str = MODEL) -> dict:
@@ -178,7 +178,7 @@ def _search(key: np.ndarray, sa: np.ndarray, depth: int, lo: np.ndarray, hi: np.
 
 
 PLAIN = 1 << 24  # PLAIN + code point stands for a character that is no piece
-MEMO_PAIRS, MEMO_NEW, CACHE_UNITS, LONG_UNIT = 1_000_000, 20_000, 200_000, 64
+MEMO_PAIRS, MEMO_NEW, CACHE_UNITS, LONG_UNIT = 1_000_000, 10_000, 100_000, 64
 
 
 class Memo:
