@@ -42,7 +42,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from ._common import Tables, read, remove, scratch
+from ._common import Tables, cut, read, remove, scratch
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, content_type string, content_length long, headers map<string,string>, payload binary, file string, offset long"
 #: Fixed values of the WARC 1.1 format: header names of the columns, and the revisit profile.
@@ -461,14 +461,15 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     """Records of pages: of equal payloads of at least ``least`` bytes that with the smallest id is the response, and the others revisit it.
 
     Null text is an empty payload. Repeated rows of the smallest id are responses all of them; a null id is larger than any other, and pages without any id are responses.
-    First ids are found by partial minima a digest; only digests that occur more than once are joined back, so payloads move
-    only if those are many (then by a join that splits hot digests).
+    First ids are found by partial minima a digest; only digests that occur more than once are written and joined back. The planner knows that table's size: payloads
+    move only if it is too large to be broadcast under the session's threshold (then by a join that splits hot digests).
     """
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{uri_col}`").cast("string").alias("target_uri"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     urn = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), F.substring("digest", 1, 16), F.lit(">"))
     large = rows.where(F.octet_length("payload") >= least)
     firsts = large.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("d", "first")
+    firsts = cut(firsts)
     x = rows.join(firsts, (F.col("digest") == F.col("d")) & (F.octet_length("payload") >= least), "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return x.select(
