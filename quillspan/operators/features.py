@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import stored, work_folder
 from .events import DAY, hours, micros
+from .quantiles import clipped_scale, wide_quantiles
 
 
 def dense_ids(df: DataFrame, keys: list[str], name: str = "event_id") -> DataFrame:
@@ -74,19 +75,19 @@ def with_tag_shares(df: DataFrame, shares: DataFrame, outcome: str) -> DataFrame
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls replaced by the column's exact median; one row of medians is broadcast."""
-    m = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
+    """Nulls replaced by the column's exact median; one row of medians is broadcast. A column of nulls stays as it is."""
+    m = wide_quantiles(df, columns, [0.5], lambda c, q: f"_m_{c}")
     x = df.crossJoin(F.broadcast(m))
     return x.withColumns({c: F.coalesce(F.col(c).cast("double"), f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
-def winsorised(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Columns clipped at their exact quantiles, then centred and divided by their deviation (unless it is 0)."""
-    edges = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_q_{c}") for c in columns])
-    x = df.crossJoin(F.broadcast(edges)).withColumns({c: F.least(F.greatest(F.col(c).cast("double"), F.col(f"_q_{c}")[0]), F.col(f"_q_{c}")[1]) for c in columns}).drop(*[f"_q_{c}" for c in columns])
-    scale = x.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns])
-    x = x.crossJoin(F.broadcast(scale))
-    return x.withColumns({c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.col(c)) for c in columns}).drop(*[f"_{k}_{c}" for c in columns for k in "ms"])
+def winsorised(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95, keys: list[str] | None = None) -> DataFrame:
+    """Columns clipped at their exact quantiles, then centred and divided by their deviation (unless it is 0); with ``keys`` each group by its own."""
+    scale = clipped_scale(df, columns, low, high, keys)
+    x = df.join(F.broadcast(scale), keys, "left") if keys else df.crossJoin(F.broadcast(scale))  # a row a group
+    clipped = {c: F.least(F.greatest(F.col(c).cast("double"), F.col(f"_lo_{c}")), F.col(f"_hi_{c}")) for c in columns}
+    scaled = {c: F.when(F.col(c).isNotNull(), F.when(F.col(f"_s_{c}") > 0, (v - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(v)) for c, v in clipped.items()}
+    return x.withColumns(scaled).drop(*[f"_{k}_{c}" for c in columns for k in ("lo", "hi", "m", "s")])
 
 
 def finite(df: DataFrame, required: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Model fits: time-varying Cox models over interval rows, their variants and resamples, and regressions from sums.
 
-A fit needs the rows only through sums. Rows are collapsed to patterns (start, stop, event, covariates); if these are few
-they are fitted on the driver, else each Newton step is one aggregation on the cluster to a row a time of the grid.
+A fit needs the rows only through sums. Rows are collapsed to patterns (start, stop, event, covariates). A single model of few patterns (a checked
+bound) is fitted on the driver; larger ones, and all models of a family together, are fitted on the cluster (see ``hazards``).
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from dataclasses import dataclass, field
 from math import erfc, exp, isfinite, lgamma, log, sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import winsorised
+from . import hazards
+from .features import response_bins, winsorised
+from .hazards import NoFit
 
 MAIN = ["treated", "post_question", "treated_post_question", "post", "treated_active"]
 SPEED_TERMS = ["rt_treated", "rt_active", "rt_post_question"]
@@ -60,6 +62,15 @@ class Fit:
     n_rows: int
     n_events: int
     meta: dict = field(default_factory=dict)
+    robust: np.ndarray | None = None  # covariance clustered by pair, where asked for
+
+    def robust_se(self, weights: dict[str, float] | str) -> float | None:
+        """Clustered error of a term or a weighted sum of terms; None without one or if a term is absent."""
+        weights = {weights: 1.0} if isinstance(weights, str) else weights
+        if self.robust is None or not set(weights) <= set(self.names):
+            return None
+        w = np.array([weights.get(k, 0.0) for k in self.names])
+        return sqrt(max(0.0, float(w @ self.robust @ w)))
 
     def row(self, weights: dict[str, float] | str, prefix: str = "") -> dict:
         """Estimate, error, p value, hazard ratio and interval of a term or of a weighted sum of terms; nulls if a term is absent."""
@@ -130,116 +141,144 @@ def _cluster_sums(rows: DataFrame, covs: list[str]):
     return sums
 
 
-def newton(sums, p: int, total: float, ties: str = "efron", penalty: float = 0.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and covariance by Newton's method on the Efron (or Breslow) partial likelihood.
+class NotConverged(ValueError):
+    """The penalised likelihood has no maximum that the search could reach."""
+
+
+def newton(sums, p: int, total: float, ties: str = "efron", penalty: float = 0.0, rounds: int = 60, free: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and covariance by Newton's method with halved steps on the Efron (or Breslow) partial likelihood.
 
     ``sums(b)`` gives the times and, a row a time, the moments (risk, risk x, risk x x') of rows that start there, stop there, and have their
-    event there, and the events' (count, x).
+    event there, and the events' (count, x). A likelihood that still grows after ``rounds`` raises ``NotConverged``; ``free`` tells which covariates are
+    estimated and, on return, which could be.
     """
-    b, up = np.zeros(p), np.triu_indices(p)
+    s = hazards.Search(p, penalty * total, np.ones(p, bool) if free is None else free)
     for _ in range(rounds):
-        times, begin, end, dead, fixed = sums(b)
-        # at risk at t: started before t, not stopped before t
-        risk = np.cumsum(begin, axis=0) - begin - (np.cumsum(end, axis=0) - end)
-        g, h = -penalty * total * b, penalty * total * np.eye(p)
-
-        def square(v):
-            m = np.zeros((p, p))
-            m[up] = v
-            return m + np.triu(m, 1).T
-
-        for t in np.flatnonzero(fixed[:, 0] > 0):
-            d = fixed[t, 0]
-            f = np.arange(round(d)) / d if ties == "efron" else np.zeros(round(d))
-            s0, s1, s2 = risk[t, 0], risk[t, 1 : p + 1], square(risk[t, p + 1 :])
-            e0, e1, e2 = dead[t, 0], dead[t, 1 : p + 1], square(dead[t, p + 1 :])
-            z = 1 / np.maximum(s0 - f * e0, 1e-300)
-            z1, zf, zff = z.sum(), (f * z).sum(), (f * f * z * z).sum()
-            g = g + fixed[t, 1:] - s1 * z1 + e1 * zf
-            zz, zzf = (z * z).sum(), (f * z * z).sum()
-            h = h + s2 * z1 - e2 * zf - (np.outer(s1, s1) * zz - (np.outer(s1, e1) + np.outer(e1, s1)) * zzf + np.outer(e1, e1) * zff)
-        step = np.linalg.solve(h + 1e-9 * np.eye(p), g)
-        b = b + np.clip(step, -2, 2)
-        if np.abs(step).max(initial=0) < 1e-9:
+        _, *parts = sums(s.point)
+        s.take(*hazards.likelihood(*parts, p, ties))
+        if s.done:
             break
-    return b, np.linalg.inv(h + 1e-9 * np.eye(p))
+    if s.done != "converged":
+        raise NotConverged(s.done or "no convergence")
+    if free is not None:
+        free[:] = s.free
+    return s.best, hazards.inverse(s.info)
+
+
+def _fit(covs, free, b, v, n_rows, n_events, robust=None, **meta) -> Fit:
+    """A fit of the covariates that are not constant; the others are named in its ``meta``."""
+    at = np.flatnonzero(free)
+    dropped = [c for c, f in zip(covs, free, strict=True) if not f]
+    pick = lambda m: None if m is None else m[np.ix_(at, at)]
+    return Fit([covs[i] for i in at], b[at], pick(v), int(n_rows), int(n_events), {**meta, "dropped": dropped}, pick(robust))
+
+
+def fit_models(df: DataFrame, covs: list[str], models: Column, grid: float = 1.0, penalty: float | None = None, ties: str = "efron", min_rows: int = 100, min_events: int = 10, cluster: str | None = None, weight: str | None = None, rounds: int = 60, extra: dict[str, Column] | None = None) -> dict[str, Fit | NoFit]:
+    """A fit, or the reason why there is none, for each model; ``models`` gives an array of the models that a row belongs to.
+
+    All models' steps run together (see ``hazards``). Continuous covariates (but the speed terms) are clipped and scaled within each model; constant ones
+    are left out of its fit. ``extra`` are covariates that depend on the model, as columns that may name ``_model``. With ``cluster`` the fit has clustered errors
+    too; ``weight`` counts a row that often. Rows that lack a covariate are left out.
+    """
+    penalty = default_penalty(covs, grid) if penalty is None else penalty
+    extra = extra or {}
+    scaled = [c for c in covs if c in SCALED]
+    given = [c for c in covs if c not in extra]
+    own = [c for c in dict.fromkeys([cluster, weight]) if c]
+    base = on_grid(df.withColumn("_models", models), grid).dropna(subset=given).where(F.size("_models") > 0)
+    base = base.select("_models", "start", "stop", "event", *dict.fromkeys([*given, *own]))
+    count = (F.sum(weight) if weight else F.count("*")).alias("n")
+    if scaled or extra or cluster:
+        rows = base.withColumn("_model", F.explode("_models")).drop("_models").withColumns(extra)
+        rows = winsorised(rows, scaled, keys=["_model"]) if scaled else rows
+        patterns_ = rows.groupBy("_model", "start", "stop", "event", *covs).agg(count)
+    else:
+        patterns_ = base.groupBy("_models", "start", "stop", "event", *covs).agg(count).withColumn("_model", F.explode("_models"))
+    together = hazards.Models(patterns_, covs, ties)
+    try:
+        found = hazards.search(together, penalty, min_rows, min_events, rounds)
+        points = {m: s.best for m, s in found.items() if isinstance(s, hazards.Search)}
+        meat = hazards.clustered_meat(rows, together, points, cluster, weight) if cluster and points else {}
+        out: dict[str, Fit | NoFit] = {}
+        for m, s in found.items():
+            if isinstance(s, NoFit):
+                out[m] = s
+                continue
+            stats, v = together.stats[m], hazards.inverse(s.info)
+            out[m] = _fit(covs, s.free, s.best, v, stats.rows, stats.events, v @ meat[m] @ v if m in meat else None)
+        return out
+    finally:
+        together.close()
 
 
-def cox(df: DataFrame, covs: list[str], grid: float = 1.0, penalty: float | None = None, ties: str = "efron", min_rows: int = 100, min_events: int = 10, max_patterns: int = 200_000, collapsed: bool = False) -> Fit | None:
-    """Cox fit of interval rows, or None with fewer rows or events than the guards ask for.
+def cox(df: DataFrame, covs: list[str], grid: float = 1.0, penalty: float | None = None, ties: str = "efron", min_rows: int = 100, min_events: int = 10, max_patterns: int = 200_000, collapsed: bool = False, cluster: str | None = None) -> Fit | None:
+    """Cox fit of interval rows, or None with fewer rows or events than the guards ask for, without convergence, or of separated data.
 
-    Continuous covariates (but the speed terms) are clipped at their 5th and 95th percentiles and scaled first. With
-    ``collapsed`` the input is already a table of patterns.
+    Continuous covariates (but the speed terms) are clipped at their 5th and 95th percentiles and scaled first, constant ones left out. With
+    ``collapsed`` the input is already a table of patterns. ``cluster`` adds errors clustered by that column.
     """
     penalty = default_penalty(covs, grid) if penalty is None else penalty
     if collapsed:
         rows = df
+    elif cluster:
+        return fit_models(df, covs, F.array(F.lit("All")), grid, penalty, ties, min_rows, min_events, cluster).get("All") or None
     else:
         scaled = [c for c in covs if c in SCALED]
         base = on_grid(df, grid).dropna(subset=covs)
         rows = patterns(winsorised(base, scaled) if scaled else base, covs, grid)
     rows = rows.select("start", "stop", "event", "n", *covs).persist()
     try:
-        n_patterns, n_rows, n_events, *means = rows.agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * F.col("event")), *[F.sum(F.col("n") * F.col(c)) / F.sum("n") for c in covs]).first()
+        x = [F.col(c).cast("double") for c in covs]
+        n_patterns, n_rows, n_events, *stats = rows.agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * F.col("event")), *[F.sum(F.col("n") * c) / F.sum("n") for c in x], *[F.max(c) - F.min(c) for c in x]).first()
         if not n_rows or n_rows < min_rows or n_events < min_events:
             return None
+        means, range_ = stats[: len(covs)], np.array(stats[len(covs) :], float)
         centred = rows.select("start", "stop", "event", "n", *[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(covs, means, strict=True)])
         if n_patterns <= max_patterns:
             t = centred.toPandas()
             sums = _driver_sums(t.start.to_numpy(float), t.stop.to_numpy(float), t.event.to_numpy(), t[covs].to_numpy(float), t.n.to_numpy(float))
         else:
             sums = _cluster_sums(centred, covs)
-        b, v = newton(sums, len(covs), float(n_rows), ties, penalty)
-        return Fit(covs, b, v, int(n_rows), int(n_events), {"patterns": n_patterns})
+        free = range_ > hazards.FLAT
+        try:
+            b, v = newton(sums, len(covs), float(n_rows), ties, penalty, free=free)
+        except NotConverged:
+            return None
+        if (np.abs(b) * range_ > hazards.STEEP).any():
+            return None
+        return _fit(covs, free, b, v, n_rows, n_events, patterns=n_patterns)
     finally:
         rows.unpersist()
 
 
-def cox_of(t, covs: list[str], penalty: float, ties: str = "efron", min_rows: int = 100, min_events: int = 10) -> Fit | None:
-    """The same fit of patterns that are on the driver (a pandas frame)."""
-    n, events = t.n.sum(), t.n[t.event == 1].sum()
-    if len(t) == 0 or n < min_rows or events < min_events:
-        return None
-    x, w = t[covs].to_numpy(float), t.n.to_numpy(float)
-    x = x - (w @ x) / w.sum()
-    b, v = newton(_driver_sums(t.start.to_numpy(float), t.stop.to_numpy(float), t.event.to_numpy(), x, w), len(covs), float(n), ties, penalty)
-    return Fit(covs, b, v, int(n), int(events))
-
-
-def stratified(df: DataFrame, by: str, specs: dict[str, list[str]], grid: float = 1.0) -> list[tuple[str, str, Fit | None]]:
-    """A fit of each specification in each value of ``by`` and over all ("All"); indicator models of all strata come from one aggregation."""
+def stratified(df: DataFrame, by: str, specs: dict[str, list[str]], grid: float = 1.0, cluster: str | None = None) -> list[tuple[str, str, Fit | NoFit]]:
+    """A fit of each specification in each value of ``by`` and over all ("All"), a specification's models together."""
+    member = F.when(F.col(by).isNotNull(), F.array(F.col(by).cast("string"), F.lit("All"))).otherwise(F.array(F.lit("All")))
     out = []
-    strata = sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect())
     for name, covs in specs.items():
-        if CONTINUOUS & set(covs):
-            out += [(s, name, cox(df if s == "All" else df.where(F.col(by) == s), covs, grid)) for s in [*strata, "All"]]
-            continue
-        t = patterns(df, covs, grid, [by]).toPandas()
-        out += [(s, name, cox_of(t if s == "All" else t[t[by] == s], covs, default_penalty(covs, grid))) for s in [*strata, "All"]]
+        got = fit_models(df, covs, member, grid, cluster=cluster)
+        out += [(s, name, got[s]) for s in sorted(got, key=lambda s: (s == "All", s))]
     return out
 
 
-def response_time_fits(df: DataFrame, covs: list[str] | None = None, grid: float = 1.0) -> list[tuple[str, Fit | None]]:
+def response_time_fits(df: DataFrame, covs: list[str] | None = None, grid: float = 1.0, cluster: str | None = None) -> list[tuple[str, Fit | NoFit]]:
     """A fit for each response-time bin: all controls with the treated units that were answered in the bin."""
-    from .features import response_bins
-
-    covs = covs or MAIN
-    binned = df.withColumn("rt_bin", F.when(F.col("treated") == 1, response_bins(F.col("response_hours"), RT_EDGES, RT_LABELS)))
-    if CONTINUOUS & set(covs):
-        return [(label, cox(binned.where((F.col("treated") == 0) | (F.col("rt_bin") == label)), covs, grid)) for label in RT_LABELS]
-    t = patterns(binned, covs, grid, ["rt_bin"]).toPandas()
-    return [(label, cox_of(t[(t.treated == 0) | (t.rt_bin == label)], covs, default_penalty(covs, grid))) for label in RT_LABELS]
+    own = response_bins(F.col("response_hours"), RT_EDGES, RT_LABELS)
+    member = F.when(F.col("treated") == 0, F.array(*map(F.lit, RT_LABELS))).when(own.isNotNull(), F.array(own)).otherwise(F.array().cast("array<string>"))
+    got = fit_models(df, covs or MAIN, member, grid, cluster=cluster)
+    return [(label, got.get(label, NoFit("no rows"))) for label in RT_LABELS]
 
 
-def pair_bootstrap(df: DataFrame, weights: DataFrame, covs: list[str] | None = None, grid: float = 1.0, chunk: int = 50) -> list[tuple[int, Fit | None]]:
+def pair_bootstrap(df: DataFrame, weights: DataFrame, covs: list[str] | None = None, grid: float = 1.0, chunk: int = 50) -> list[tuple[int, Fit | NoFit]]:
     """A fit for each replicate of pair weights (match_id, replicate, weight), joined to the interval rows and collapsed, ``chunk`` replicates at a time."""
     covs = covs or MAIN
     numbers = sorted(r[0] for r in weights.select("replicate").distinct().collect())
     rows, out = on_grid(df, grid).select("match_id", "start", "stop", "event", *covs).persist(), []
     for k in range(0, len(numbers), chunk):
         now = numbers[k : k + chunk]
-        t = patterns(rows.join(weights.where(F.col("replicate").isin(now)), "match_id"), covs, grid, ["replicate"], "weight").toPandas()
-        out += [(r, cox_of(t[t.replicate == r], covs, default_penalty(covs, grid))) for r in now]
+        drawn = rows.join(weights.where(F.col("replicate").between(now[0], now[-1])), "match_id")
+        got = fit_models(drawn, covs, F.array(F.col("replicate").cast("string")), grid, weight="weight")
+        out += [(r, got.get(str(r), NoFit("no rows"))) for r in now]
     rows.unpersist()
     return out
 
@@ -254,10 +293,14 @@ def percentile_interval(values: list[float]) -> dict:
 
 
 def logit(df: DataFrame, y: str, xs: list[str], cluster: list[str] | None = None, penalty: float = 0.0, rounds: int = 30) -> Fit | None:
-    """Logistic regression from sums: each step is one aggregation. Errors are clustered by the columns of ``cluster`` if given; the intercept is a column of ``xs``."""
+    """Logistic regression from sums: each step is one aggregation. Errors are clustered by the columns of ``cluster`` if given; the intercept is a column of ``xs``.
+
+    The ridge penalty leaves columns alone that are the same in every row, such as the intercept.
+    """
     p, up = len(xs), np.triu_indices(len(xs))
     d = df.select(F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(xs)], *[F.col(c).alias(f"_g{i}") for i, c in enumerate(cluster or [])]).dropna().persist()
     x, b, n, h = [F.col(f"_x{i}") for i in range(p)], np.zeros(p), 0, None
+    ridge = penalty * np.array([float(v or 0) > 0 for v in d.agg(*[F.max(c) - F.min(c) for c in x]).first()]) if penalty else np.zeros(p)
 
     def mean(b):
         return 1 / (1 + F.exp(-sum((c * float(v) for c, v in zip(x, b, strict=True)), F.lit(0.0))))
@@ -271,8 +314,8 @@ def logit(df: DataFrame, y: str, xs: list[str], cluster: list[str] | None = None
             return None
         h = np.zeros((p, p))
         h[up] = got[2 + p :]
-        h = h + np.triu(h, 1).T + penalty * np.eye(p)
-        step = np.linalg.pinv(h) @ (np.array(got[2 : 2 + p], float) - penalty * b)
+        h = h + np.triu(h, 1).T + np.diag(ridge)
+        step = np.linalg.pinv(h) @ (np.array(got[2 : 2 + p], float) - ridge * b)
         b = b + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from ..sources.files import stored, work_folder
 
 
-def cumulative_counts(values: DataFrame, keys: list[str], value: str, folder: str | None = None) -> DataFrame:
+def cumulative_counts(values: DataFrame, keys: list[str], value: str, folder: str | None = None, weight: str | None = None) -> DataFrame:
     """``keys``, ``value``, ``n`` (its rows), ``before`` (rows of the group with a smaller value) and ``total`` (rows of the group).
 
-    Rows are first counted a distinct value, with partial counts where they lie, so equal values weigh no more than one. The counts
+    With ``weight`` a row stands for that many (a whole number). Rows are first counted a distinct value, with partial counts where they lie, so equal values weigh no more than one. The counts
     are dealt out by ranges of (keys, value) and written; sums a range go before running sums within each. Nulls
     are the smallest value (for quantiles leave them out); NaN is the largest and -0.0 equals 0.0, as in all of Spark's ordering. No rows give no rows.
     """
     spark, name = values.sparkSession, uuid.uuid4().hex
     folder = folder or work_folder(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = values.groupBy(*keys, value).agg(F.count("*").alias("n")).repartitionByRange(parts, *keys, value).sortWithinPartitions(*keys, value)
+    counts = values.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("n")).repartitionByRange(parts, *keys, value).sortWithinPartitions(*keys, value)
     counts = stored(counts.withColumn("_range", F.shiftright(F.monotonically_increasing_id(), 33)), folder, f"counts-{name}")
     sums = counts.groupBy(*keys, "_range").agg(F.sum("n").alias("_sum"))  # a row a range and group
     group = Window.partitionBy(*keys)
@@ -31,31 +31,53 @@ def cumulative_counts(values: DataFrame, keys: list[str], value: str, folder: st
     return joined.select(*[f"c.{k}" for k in [*keys, value, "n"]], (F.col("_offset") + F.col("_running")).alias("before"), "total")
 
 
-def quantiles(rows: DataFrame, columns: list[str], shares: list[float], keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
-    """Exact interpolated quantiles of numeric ``columns`` a group: ``keys``, ``column``, ``share`` and ``value`` in doubles.
+def melted(rows: DataFrame, columns: list[str], keys: list[str], weight: str | None = None) -> DataFrame:
+    """A row a value: ``keys``, ``column``, ``value`` in doubles (nulls left out) and the weight."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    own = [*keys, *([weight] if weight else [])]
+    return rows.select(*own, F.explode(pairs).alias("_x")).select(*own, "_x.*").where("value is not null")
 
-    Equal to Spark's ``percentile`` bit for bit. Nulls do not count; a group and column without values has no row.
-    """
-    keys = keys or []
-    melted = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_x")).select(*keys, "_x.*").where("value is not null")
-    counts = cumulative_counts(melted, [*keys, "column"], "value", folder)
+
+def at_shares(counts: DataFrame, shares: list[float], keys: list[str]) -> DataFrame:
+    """``keys``, ``share`` and ``value``: the interpolated quantiles of counts that ``cumulative_counts`` made."""
     wanted = counts.withColumn("share", F.explode(F.array(*[F.lit(float(q)) for q in shares])))
     at = F.col("share") * (F.col("total") - 1)
     low, high = F.floor(at), F.ceil(at)
     end = F.col("before") + F.col("n")
     within = lambda i: (F.col("before") <= i) & (i < end)
-    ends = wanted.where(within(low) | within(high)).groupBy(*keys, "column", "share").agg(
+    ends = wanted.where(within(low) | within(high)).groupBy(*keys, "share").agg(
         F.max("total").alias("total"), F.min(F.when(within(low), F.col("value"))).alias("_low"), F.min(F.when(within(high), F.col("value"))).alias("_high")
-    )
-    return ends.select(*keys, "column", "share", F.when((low == high) | (F.col("_low") == F.col("_high")), F.col("_low")).otherwise((high - at) * F.col("_low") + (at - low) * F.col("_high")).alias("value"))
+    )
+    return ends.select(*keys, "share", F.when((low == high) | (F.col("_low") == F.col("_high")), F.col("_low")).otherwise((high - at) * F.col("_low") + (at - low) * F.col("_high")).alias("value"))
+
+
+def quantiles(rows: DataFrame, columns: list[str], shares: list[float], keys: list[str] | None = None, folder: str | None = None, weight: str | None = None) -> DataFrame:
+    """Exact interpolated quantiles of numeric ``columns`` a group: ``keys``, ``column``, ``share`` and ``value`` in doubles.
+
+    Equal to Spark's ``percentile`` bit for bit. Nulls do not count; a group and column without values has no row.
+    """
+    by = [*(keys or []), "column"]
+    return at_shares(cumulative_counts(melted(rows, columns, keys or [], weight), by, "value", folder, weight), shares, by)
 
 
-def wide_quantiles(rows: DataFrame, columns: list[str], shares: list[float], name=lambda c, q: f"{c}_q{q:g}", keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
+def wide_quantiles(rows: DataFrame, columns: list[str], shares: list[float], name=lambda c, q: f"{c}_q{q:g}", keys: list[str] | None = None, folder: str | None = None, weight: str | None = None) -> DataFrame:
     """The same with a row a group and a column a (column, share); groups without any value are absent, and without ``keys`` there is always one row."""
-    got = quantiles(rows, columns, shares, keys, folder)
+    got = quantiles(rows, columns, shares, keys, folder, weight)
+    picked = lambda c, q: F.max(F.when((F.col("column") == c) & (F.col("share") == float(q)), F.col("value"))).alias(name(c, q))
+    return got.groupBy(*(keys or [])).agg(*[picked(c, q) for c in columns for q in shares])
+
 
-    def pick(c: str, q: float) -> Column:
-        return F.max(F.when((F.col("column") == c) & (F.col("share") == float(q)), F.col("value"))).alias(name(c, q))
+def clipped_scale(rows: DataFrame, columns: list[str], low: float, high: float, keys: list[str] | None = None) -> DataFrame:
+    """A row a group: of each column its two quantiles (``_lo_``, ``_hi_``) and the mean and deviation of the column clipped at them (``_m_``, ``_s_``).
 
-    wanted = [pick(c, q) for c in columns for q in shares]
-    return got.groupBy(*keys).agg(*wanted) if keys else got.agg(*wanted)
+    One pass over the rows counts their values; all else is taken from the counts.
+    """
+    keys, folder = keys or [], work_folder(rows.sparkSession)
+    by = [*keys, "column"]
+    counts = stored(cumulative_counts(melted(rows, columns, keys), by, "value", folder), folder, f"ranked-{uuid.uuid4().hex}")
+    ends = at_shares(counts, [low, high], by).groupBy(*by).agg(F.max(F.when(F.col("share") == low, F.col("value"))).alias("lo"), F.max(F.when(F.col("share") == high, F.col("value"))).alias("hi"))
+    x = counts.join(ends, by).withColumn("v", F.least(F.greatest("value", "lo"), F.col("hi")))
+    means = x.groupBy(*by).agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("m"))
+    square = F.sum(F.col("n") * (F.col("v") - F.col("m")) * (F.col("v") - F.col("m")))
+    stats = x.join(means, by).groupBy(*by, "lo", "hi", "m").agg(F.sqrt(F.try_divide(square, F.sum("n") - 1)).alias("s"))
+    return stats.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col(k))).alias(f"_{k}_{c}") for c in columns for k in ("lo", "hi", "m", "s")])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .events import DAY, accept_votes, micros, others_answers, within
 from .features import response_bins
 from .fits import OUTCOMES, RT_EDGES, RT_LABELS
+from .quantiles import wide_quantiles
 from .study import tenure_bucket
 
 KEY = ["match_id", "question_id"]
@@ -36,16 +37,23 @@ def _counted(windows: DataFrame, events: DataFrame) -> DataFrame:
     return windows.join(events.groupBy(*KEY).agg(F.count("*").alias("n")), KEY, "left").fillna(0, ["n"])
 
 
+def _response(windows: DataFrame) -> DataFrame:
+    return windows.withColumn("rt", F.when((F.col("treated") == 1) & (F.col("t_answer") > F.col("t_question")), F.col("t_answer") - F.col("t_question")))
+
+
 def descriptives(windows: DataFrame, events: DataFrame) -> DataFrame:
     """One row of counts, and mean, deviation and median of helps, tenure and (treated, positive) response time."""
-    rt = F.when((F.col("treated") == 1) & (F.col("t_answer") > F.col("t_question")), F.col("t_answer") - F.col("t_question"))
-    cols = [f(c).alias(f"{k}_{a}") for k, c in (("helps", F.col("n")), ("tenure", F.col("tenure_days")), ("rt", rt)) for a, f in (("mean", F.avg), ("sd", F.stddev_samp), ("median", F.median))]
-    return _counted(windows, events).agg(F.count("*").alias("n_questions"), F.count_distinct("user_id").alias("n_users"), (F.avg("treated") * 100).alias("pct_treated"), *cols)
+    named = {"helps": "n", "tenure": "tenure_days", "rt": "rt"}
+    x = _response(_counted(windows, events))
+    one = x.agg(F.count("*").alias("n_questions"), F.count_distinct("user_id").alias("n_users"), (F.avg("treated") * 100).alias("pct_treated"), *[f(c).alias(f"{k}_{a}") for k, c in named.items() for a, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    medians = wide_quantiles(x, list(named.values()), [0.5], lambda c, q: f"{dict(zip(named.values(), named, strict=True))[c]}_median")
+    return one.crossJoin(F.broadcast(medians))
 
 
 def descriptives_by_bucket(windows: DataFrame) -> DataFrame:
-    rt = F.when((F.col("treated") == 1) & (F.col("t_answer") > F.col("t_question")), F.col("t_answer") - F.col("t_question"))
-    return windows.groupBy(tenure_bucket(F.col("tenure_days")).alias("bucket")).agg(F.count("*").alias("n"), F.avg(rt).alias("rt_mean"), F.median(rt).alias("rt_median"), F.count(rt).alias("rt_n"))
+    x = _response(windows.withColumn("bucket", tenure_bucket(F.col("tenure_days"))))
+    medians = wide_quantiles(x, ["rt"], [0.5], lambda c, q: "rt_median", ["bucket"])
+    return x.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("rt").alias("rt_mean"), F.count("rt").alias("rt_n")).join(F.broadcast(medians), "bucket", "left")  # a row a bucket
 
 
 def love_plot(balance: DataFrame) -> DataFrame:

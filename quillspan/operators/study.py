@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .events import hours, micros, within
+from .quantiles import wide_quantiles
 
 #: Right-closed tenure buckets, in days.
 BUCKETS = ((7, "< 1 Week"), (30, "1 Week - 1 Month"), (180, "1 - 6 Months"), (365, "6 - 12 Months"), (1095, "1 - 3 Years"), (2190, "3 - 6 Years"))
@@ -166,11 +167,19 @@ def covariates(df: DataFrame, windows: DataFrame, keep: tuple[str, ...] = ()) ->
     interactions share that scale; controls have 0 in all of them. A scale that is absent or 0 counts as 1.
     ``rt_tertile`` is 1 to 3 for treated rows by the thirds of their response times (linear interpolation), else 0.
     """
-    info = windows.select("match_id", "question_id", "treated", "t_question", "t_answer", "tenure_days", *keep)
-    x = df.join(info, ["match_id", "question_id"]).withColumn("rt", F.when(F.col("treated") == 1, F.col("t_answer") - F.col("t_question")))
-    x = x.withColumn("log_rt", F.when(F.col("treated") == 1, F.log1p(F.greatest("rt", F.lit(0.0)))).otherwise(0.0))
-    scale = F.when(F.col("rt") > 0, F.col("log_rt"))
-    s = x.agg(F.coalesce(F.avg(scale), F.lit(0.0)).alias("m"), F.coalesce(F.nullif(F.stddev_samp(scale), F.lit(0.0)), F.lit(1.0)).alias("s"), F.percentile("rt", F.lit(1 / 3)).alias("t1"), F.percentile("rt", F.lit(2 / 3)).alias("t2"))
+    key = ["match_id", "question_id"]
+    rt = F.when(F.col("treated") == 1, F.col("t_answer") - F.col("t_question"))
+    log_rt = F.when(F.col("treated") == 1, F.log1p(F.greatest("rt", F.lit(0.0)))).otherwise(0.0)
+    info = windows.select(*key, "treated", "t_question", "t_answer", "tenure_days", *keep).withColumn("rt", rt).withColumn("log_rt", log_rt)
+    # statistics of interval rows, from unit rows that stand for their intervals
+    units = df.groupBy(*key).agg(F.count("*").alias("_k")).join(info.where("rt IS NOT NULL").select(*key, "rt", "log_rt"), key)
+    k, v = F.col("_k"), F.when(F.col("rt") > 0, F.col("log_rt"))
+    n, m = F.sum(F.when(F.col("rt") > 0, k)), F.sum(k * v) / F.sum(F.when(F.col("rt") > 0, k))
+    means = units.agg(m.alias("m"))
+    spread = units.crossJoin(F.broadcast(means)).agg(F.max("m").alias("m"), F.sqrt(F.try_divide(F.sum(k * (v - F.col("m")) * (v - F.col("m"))), F.nullif(n - 1, F.lit(0)))).alias("s"))
+    thirds = wide_quantiles(units, ["rt"], [1 / 3, 2 / 3], lambda c, q: "t1" if q < 0.5 else "t2", weight="_k")
+    s = spread.crossJoin(F.broadcast(thirds)).select(F.coalesce("m", F.lit(0.0)).alias("m"), F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1.0)).alias("s"), "t1", "t2")
+    x = df.join(info, key)
     one = lambda c: c.cast("int")
     treated, post_q, post = F.col("treated"), one(F.col("start") >= F.col("t_question")), one(F.col("start") >= F.col("t_answer"))
     x = x.crossJoin(F.broadcast(s)).withColumn("rt_std", F.when(treated == 1, (F.col("log_rt") - F.col("m")) / F.col("s")).otherwise(0.0))
