@@ -137,11 +137,18 @@ def fill_both_ways(df: DataFrame, group: list[str], order: str, column: str) ->
     return df.withColumn(column, F.coalesce(F.last(column, ignorenulls=True).over(back), F.first(column, ignorenulls=True).over(ahead)))
 
 
-def pre_post(units: DataFrame, before: float = -48.0, after: float = 48.0) -> DataFrame:
-    """Two intervals a unit, before and after its time 0, with the events counted in ``n_before`` and ``n_after``."""
-    own = [c for c in units.columns if c not in ("n_before", "n_after")]
-    piece = lambda a, b, post, n: units.select(*own, F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(post).alias("post"), (F.col(n) > 0).cast("int").alias("event"))
-    return piece(before, 0.0, 0, "n_before").unionByName(piece(0.0, after, 1, "n_after"))
+def pre_post(units: DataFrame, events: DataFrame, key: tuple[str, ...] = ("match_id", "question_id")) -> DataFrame:
+    """Two intervals a unit, up to its (pseudo-)answer time and from there on: (t_start, t_answer) without an event, (t_answer, t_end) with one if it has any within.
+
+    ``units`` has t_start, t_answer and t_end, ``events`` their t_event; both ends of the second interval belong to it. Units without an answer time have no rows.
+    """
+    key = list(key)
+    own = [c for c in units.columns if c not in ("t_start", "t_answer", "t_end")]
+    w = units.where("t_answer IS NOT NULL")
+    n = events.join(w.select(*key, "t_answer", "t_end"), key).where("t_event >= t_answer AND t_event <= t_end").groupBy(*key).agg(F.count("*").alias("_n"))
+    piece = lambda a, b, post, event: F.struct(F.col(a).alias("start"), F.col(b).alias("stop"), F.lit(post).alias("post"), event.cast("int").alias("event"))
+    pieces = F.array(piece("t_start", "t_answer", 0, F.lit(0)), piece("t_answer", "t_end", 1, F.col("_n").isNotNull()))
+    return w.join(n, key, "left").select(*own, F.explode(pieces).alias("_p")).select(*own, "_p.*")
 
 
 def before_site_phase(log: DataFrame, questions: DataFrame, days: int = 7) -> DataFrame:

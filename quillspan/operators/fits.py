@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from . import hazards
 from .features import response_bins, winsorised
 from .hazards import NoFit
+from .quantiles import wide_quantiles
 
 MAIN = ["treated", "post_question", "treated_post_question", "post", "treated_active"]
 SPEED_TERMS = ["rt_treated", "rt_active", "rt_post_question"]
@@ -96,26 +97,8 @@ def patterns(df: DataFrame, covs: list[str], grid: float = 1.0, by: list[str] |
     return g.groupBy(*(by or []), "start", "stop", "event", *covs).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
 
 
-def _pairs(p: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(p) for j in range(i, p)]
-
-
-def _driver_sums(start, stop, event, x, n):
-    """A function of the coefficients that gives the sums by time; see ``_newton``."""
-    times = np.unique(np.concatenate([start, stop]))
-    a, z, dead = np.searchsorted(times, start), np.searchsorted(times, stop), event == 1
-    moments = np.column_stack([np.ones(len(x)), x, *(x[:, i] * x[:, j] for i, j in _pairs(x.shape[1]))])
-
-    def by(at, v):
-        return np.stack([np.bincount(at, c, len(times)) for c in v.T], axis=1) if v.shape[1] else np.zeros((len(times), 0))
-
-    fixed = by(z[dead], np.column_stack([n[dead], n[dead, None] * x[dead]]))
-
-    def sums(b):
-        r = (n * np.exp(np.clip(x @ b, -30, 30)))[:, None] * moments
-        return times, by(a, r), by(z, r), by(z[dead], r[dead]), fixed
-
-    return sums
+_pairs = hazards.pairs_of
+_driver_sums = hazards.local_sums
 
 
 def _cluster_sums(rows: DataFrame, covs: list[str]):
@@ -173,7 +156,7 @@ def _fit(covs, free, b, v, n_rows, n_events, robust=None, **meta) -> Fit:
     return Fit([covs[i] for i in at], b[at], pick(v), int(n_rows), int(n_events), {**meta, "dropped": dropped}, pick(robust))
 
 
-def fit_models(df: DataFrame, covs: list[str], models: Column, grid: float = 1.0, penalty: float | None = None, ties: str = "efron", min_rows: int = 100, min_events: int = 10, cluster: str | None = None, weight: str | None = None, rounds: int = 60, extra: dict[str, Column] | None = None) -> dict[str, Fit | NoFit]:
+def fit_models(df: DataFrame, covs: list[str], models: Column, grid: float = 1.0, penalty: float | None = None, ties: str = "efron", min_rows: int = 100, min_events: int = 10, cluster: str | None = None, weight: str | None = None, rounds: int = 60, extra: dict[str, Column] | None = None, max_local: int = 200_000) -> dict[str, Fit | NoFit]:
     """A fit, or the reason why there is none, for each model; ``models`` gives an array of the models that a row belongs to.
 
     All models' steps run together (see ``hazards``). Continuous covariates (but the speed terms) are clipped and scaled within each model; constant ones
@@ -194,7 +177,7 @@ def fit_models(df: DataFrame, covs: list[str], models: Column, grid: float = 1.0
         patterns_ = rows.groupBy("_model", "start", "stop", "event", *covs).agg(count)
     else:
         patterns_ = base.groupBy("_models", "start", "stop", "event", *covs).agg(count).withColumn("_model", F.explode("_models"))
-    together = hazards.Models(patterns_, covs, ties)
+    together = hazards.Models(patterns_, covs, ties, max_local)
     try:
         found = hazards.search(together, penalty, min_rows, min_events, rounds)
         points = {m: s.best for m, s in found.items() if isinstance(s, hazards.Search)}
@@ -269,6 +252,21 @@ def response_time_fits(df: DataFrame, covs: list[str] | None = None, grid: float
     return [(label, got.get(label, NoFit("no rows"))) for label in RT_LABELS]
 
 
+def cohort_fits(df: DataFrame, split_year: int, covs: list[str] | None = None, min_year: int = 2008) -> dict[str, Fit | NoFit]:
+    """A fit before and from ``split_year``, over all and of newcomers.
+
+    The split falls back to the median question year if one side would be empty, and to ``min_year`` if there is no year at all.
+    """
+    low, high = df.agg(F.min("question_year"), F.max("question_year")).first()
+    if low is None:
+        split_year = min_year
+    elif not low < split_year <= high:
+        split_year = int(np.ceil(wide_quantiles(df, ["question_year"], [0.5], lambda c, q: c).first()[0]))
+    side = F.when(F.col("question_year") < split_year, F.lit(f"before {split_year}")).otherwise(F.lit(f"from {split_year}"))
+    fresh = F.when(F.col("tenure_bucket") == "< 1 Week", F.array(side, F.concat(side, F.lit(", newcomers")))).otherwise(F.array(side))
+    return fit_models(df.where("question_year IS NOT NULL"), covs or MAIN, fresh)
+
+
 def pair_bootstrap(df: DataFrame, weights: DataFrame, covs: list[str] | None = None, grid: float = 1.0, chunk: int = 50) -> list[tuple[int, Fit | NoFit]]:
     """A fit for each replicate of pair weights (match_id, replicate, weight), joined to the interval rows and collapsed, ``chunk`` replicates at a time."""
     covs = covs or MAIN

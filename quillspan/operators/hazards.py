@@ -2,7 +2,8 @@
 
 Rows are collapsed to patterns (model, start, stop, event, covariates) that stay on the cluster. A step is one aggregation for all models: coefficients
 travel as a row a model, sums come back by (model, time), and a model's times, whose number the time grid bounds, are reduced to its
-likelihood, gradient and information. Only those reach the driver, which decides on each model's next point.
+likelihood, gradient and information. Only those reach the driver, which decides on each model's next point. Where all patterns together are few (a checked
+bound) the driver takes them and does the same sums itself.
 """
 
 from __future__ import annotations
@@ -42,19 +43,44 @@ def square(v: np.ndarray, p: int) -> np.ndarray:
     return m + np.triu(m, 1).T
 
 
-def tie_sums(d: float, s0: float, e0: float, efron: bool) -> dict[str, float]:
-    """Over the events k = 0 .. d-1 of a time, with f = k / d (0 for Breslow) and z = 1 / (s0 - f e0): sums of log(1/z), z, fz, z z, f z z, f f z z."""
-    n = round(d)
-    if not efron or n <= LONG_TIES:
-        f, weight = (np.arange(n) / d if efron else np.zeros(min(n, 1))), (1.0 if efron else float(n))
-        parts = _tie_terms(f, s0, e0)
-        return {k: weight * float(v.sum()) for k, v in parts.items()}
-    nodes, weights = np.polynomial.legendre.leggauss(64)  # d * integral, and half of what the two ends differ by
+def tie_sums(d: np.ndarray, s0: np.ndarray, e0: np.ndarray, efron: bool) -> dict[str, np.ndarray]:
+    """Over the events k = 0 .. d-1 of each time, with f = k / d (0 for Breslow) and z = 1 / (s0 - f e0): sums of log(1/z), z, fz, z z, f z z, f f z z."""
+    n, out = np.rint(d).astype(np.int64), {}
+    if not efron:
+        parts = _tie_terms(np.zeros(len(d)), s0, e0)
+        return {k: n * v for k, v in parts.items()}
+    long_ones = n > LONG_TIES
+    for at in np.flatnonzero(long_ones):
+        out[int(at)] = _integral(d[at], s0[at], e0[at])
+    short = np.flatnonzero(~long_ones & (n > 0))
+    sums = {k: np.zeros(len(d)) for k in ("log", "z", "fz", "zz", "fzz", "ffzz")}
+    for first, last in _runs(n[short]):
+        at = short[first:last]
+        begin = np.concatenate([[0], np.cumsum(n[at])[:-1]])
+        f = (np.arange(n[at].sum()) - np.repeat(begin, n[at])) / np.repeat(d[at], n[at])
+        for k, v in _tie_terms(f, np.repeat(s0[at], n[at]), np.repeat(e0[at], n[at])).items():
+            sums[k][at] = np.add.reduceat(v, begin)
+    for at, parts in out.items():
+        for k, v in parts.items():
+            sums[k][at] = v
+    return sums
+
+
+def _runs(n: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of times with about ten times ``LONG_TIES`` events together."""
+    ends = np.cumsum(n) // (10 * LONG_TIES)
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(n)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+def _integral(d: float, s0: float, e0: float) -> dict[str, float]:
+    """The sums of one time with very many events: d times the integral over f, and half of what its two ends differ by."""
+    nodes, weights = np.polynomial.legendre.leggauss(64)
     inner, ends = _tie_terms((nodes + 1) / 2, s0, e0), _tie_terms(np.array([0.0, 1.0]), s0, e0)
     return {k: d * float(v @ weights) / 2 + (ends[k][0] - ends[k][1]) / 2 for k, v in inner.items()}
 
 
-def _tie_terms(f: np.ndarray, s0: float, e0: float) -> dict[str, np.ndarray]:
+def _tie_terms(f: np.ndarray, s0, e0) -> dict[str, np.ndarray]:
     left = np.maximum(s0 - f * e0, 1e-300)
     z = 1 / left
     return {"log": np.log(left), "z": z, "fz": f * z, "zz": z * z, "fzz": f * z * z, "ffzz": f * f * z * z}
@@ -71,18 +97,20 @@ def likelihood(begin, end, dead, fixed, p: int, ties: str = "efron") -> tuple[fl
 
     ``begin``, ``end`` and ``dead`` hold (r, r x, r x x') of rows that start there, stop there and have their event there, ``fixed`` the events' (number, x).
     """
-    # at risk at t: started before t, not stopped before t
-    risk = np.cumsum(begin, axis=0) - begin - (np.cumsum(end, axis=0) - end)
-    logs, g, h, mass = 0.0, np.zeros(p), np.zeros((p, p)), np.zeros(p)
-    for t in np.flatnonzero(fixed[:, 0] > 0):
-        s0, s1, s2 = risk[t, 0], risk[t, 1 : p + 1], square(risk[t, p + 1 :], p)
-        e0, e1, e2 = dead[t, 0], dead[t, 1 : p + 1], square(dead[t, p + 1 :], p)
-        k = tie_sums(fixed[t, 0], s0, e0, ties == "efron")
-        logs -= k["log"]
-        g += fixed[t, 1:] - s1 * k["z"] + e1 * k["fz"]
-        mass += np.diag(s2) * k["z"]
-        h += s2 * k["z"] - e2 * k["fz"] - (np.outer(s1, s1) * k["zz"] - (np.outer(s1, e1) + np.outer(e1, s1)) * k["fzz"] + np.outer(e1, e1) * k["ffzz"])
-    return logs, g, h, fixed[:, 1:].sum(axis=0), mass
+    at, (s, e, k) = _with_events(begin, end, dead, fixed, ties)
+    s1, e1 = s[:, 1 : p + 1], e[:, 1 : p + 1]
+    g = (fixed[at, 1:] - s1 * k["z"][:, None] + e1 * k["fz"][:, None]).sum(axis=0)
+    crossed = (s1 * k["fzz"][:, None]).T @ e1
+    h = square(k["z"] @ s[:, p + 1 :] - k["fz"] @ e[:, p + 1 :], p) - ((s1 * k["zz"][:, None]).T @ s1 - crossed - crossed.T + (e1 * k["ffzz"][:, None]).T @ e1)
+    mass = np.diag(square(k["z"] @ s[:, p + 1 :], p)).copy()
+    return -float(k["log"].sum()), g, h, fixed[:, 1:].sum(axis=0), mass
+
+
+def _with_events(begin, end, dead, fixed, ties: str):
+    """Times with events, their sums at risk (started before, not stopped before) and of the events, and the sums over ties."""
+    at = np.flatnonzero(fixed[:, 0] > 0)
+    risk = (np.cumsum(begin, axis=0) - begin - (np.cumsum(end, axis=0) - end))[at]
+    return at, (risk, dead[at], tie_sums(fixed[at, 0], risk[:, 0], dead[at, 0], ties == "efron"))
 
 
 def hazard_rows(begin, end, dead, fixed, p: int, ties: str = "efron") -> np.ndarray:
@@ -90,18 +118,32 @@ def hazard_rows(begin, end, dead, fixed, p: int, ties: str = "efron") -> np.ndar
 
     xbar is (s1 - f e1) z, so every sum follows from those of ``tie_sums``.
     """
-    risk = np.cumsum(begin, axis=0) - begin - (np.cumsum(end, axis=0) - end)
+    at, (s, e, k) = _with_events(begin, end, dead, fixed, ties)
+    s1, e1, col = s[:, 1 : p + 1], e[:, 1 : p + 1], lambda name: k[name][:, None]
     out = np.zeros((len(fixed), 2 * (1 + p) + p))
-    for t in np.flatnonzero(fixed[:, 0] > 0):
-        d, s0, s1, e0, e1 = fixed[t, 0], risk[t, 0], risk[t, 1 : p + 1], dead[t, 0], dead[t, 1 : p + 1]
-        k = tie_sums(d, s0, e0, ties == "efron")
-        out[t, 0], out[t, 1 : 1 + p] = k["z"], s1 * k["zz"] - e1 * k["fzz"]
-        out[t, 1 + p], out[t, 2 + p : 2 + 2 * p] = k["fz"], s1 * k["fzz"] - e1 * k["ffzz"]
-        out[t, 2 + 2 * p :] = (s1 * k["z"] - e1 * k["fz"]) / d
+    out[at] = np.hstack([col("z"), s1 * col("zz") - e1 * col("fzz"), col("fz"), s1 * col("fzz") - e1 * col("ffzz"), (s1 * col("z") - e1 * col("fz")) / fixed[at, :1]])
     out[:, : 1 + p] = np.cumsum(out[:, : 1 + p], axis=0)
     return out
 
 
+def local_sums(start, stop, event, x, n):
+    """A function of the coefficients that gives the times and the sums by time of rows at hand."""
+    times = np.unique(np.concatenate([start, stop]))
+    a, z, dead = np.searchsorted(times, start), np.searchsorted(times, stop), event == 1
+    moments = np.column_stack([np.ones(len(x)), x, *(x[:, i] * x[:, j] for i, j in pairs_of(x.shape[1]))])
+
+    def by(at, v):
+        return np.stack([np.bincount(at, c, len(times)) for c in v.T], axis=1) if v.shape[1] else np.zeros((len(times), 0))
+
+    fixed = by(z[dead], np.column_stack([n[dead], n[dead, None] * x[dead]]))
+
+    def sums(b):
+        r = (n * np.exp(np.clip(x @ b, -CLIP, CLIP)))[:, None] * moments
+        return times, by(a, r), by(z, r), by(z[dead], r[dead]), fixed
+
+    return sums
+
+
 @dataclass
 class Search:
     """Newton's method with halved steps on one penalised likelihood; ``point`` is where the likelihood is wanted next."""
@@ -160,13 +202,19 @@ def grouped(value: Column, count: Column, covs: list[Column]) -> list[Column]:
 class Models:
     """Patterns of many models with the same covariates, and their sums at given points."""
 
-    def __init__(self, patterns: DataFrame, covs: list[str], ties: str = "efron"):
-        """``patterns`` has _model, start, stop, event, n and the covariates."""
+    def __init__(self, patterns: DataFrame, covs: list[str], ties: str = "efron", max_local: int = 200_000):
+        """``patterns`` has _model, start, stop, event, n and the covariates. Up to ``max_local`` of them, all models together, are summed on the driver; more stay where they are."""
         self.covs, self.ties, self.p, self.spark = covs, ties, len(covs), patterns.sparkSession
         self.patterns = patterns.select(F.col("_model").cast("string").alias("_model"), "start", "stop", "event", F.col("n").cast("double").alias("n"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(covs)]).persist()
         x = [F.col(f"_x{i}") for i in range(self.p)]
-        got = self.patterns.groupBy("_model").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("event")).alias("events"), F.array(*[F.sum(F.col("n") * c) / F.sum("n") for c in x]).alias("mean"), F.array(*[F.max(c) - F.min(c) for c in x]).alias("range"))
+        got = self.patterns.groupBy("_model").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("event")).alias("events"), F.count("*").alias("patterns"), F.array(*[F.sum(F.col("n") * c) / F.sum("n") for c in x]).alias("mean"), F.array(*[F.max(c) - F.min(c) for c in x]).alias("range"))
         self.stats = {r._model: r for r in got.collect()}  # a row a model
+        self.local = None
+        if sum(r.patterns for r in self.stats.values()) <= max_local:
+            xs = [f"_x{i}" for i in range(self.p)]
+            centred = lambda m, f: f[xs].to_numpy(float) - np.array(self.stats[m]["mean"], float)
+            held = self.patterns.toPandas()
+            self.local = {m: local_sums(f.start.to_numpy(float), f.stop.to_numpy(float), f.event.to_numpy(), centred(m, f), f.n.to_numpy(float)) for m, f in held.groupby("_model")}
 
     def _sums(self, points: dict[str, np.ndarray]) -> DataFrame:
         """Sums by (model, time, kind): 0 starts, 1 stops, 2 events."""
@@ -196,6 +244,8 @@ class Models:
     def at(self, points: dict[str, np.ndarray]) -> dict[str, tuple]:
         """(logs, gradient, information, events' x) of each model at its point."""
         p, ties = self.p, self.ties
+        if self.local is not None:
+            return {m: likelihood(*self.local[m](b)[1:], p, ties) for m, b in points.items()}
 
         def reduce(model, times, *sums):
             logs, g, h, events, mass = likelihood(*sums, p, ties)
@@ -211,6 +261,8 @@ class Models:
         def reduce(model, times, *sums):
             return pd.DataFrame({"_model": model, "t": times, "v": hazard_rows(*sums, p, ties).tolist()})
 
+        if self.local is not None:
+            return self.spark.createDataFrame(pd.concat([reduce(m, *self.local[m](b)) for m, b in points.items()]), "_model string, t double, v array<double>")
         return self._reduced(points, reduce, "_model string, t double, v array<double>")
 
     def close(self) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .events import hours, micros, within
+from .features import dense_ids
 from .quantiles import wide_quantiles
 
 #: Right-closed tenure buckets, in days.
@@ -124,15 +125,18 @@ def study_windows(matched: DataFrame, users: DataFrame, pre_days: int = 2, post_
 
 
 def help_events(windows: DataFrame, answers: DataFrame, comments: DataFrame, edits: DataFrame, questions: DataFrame, include_accepts: bool = False) -> DataFrame:
-    """Answers, comments and edits on others' posts by the asker within the closed window: (match_id, question_id, user_id, t_event, help_type).
+    """Helps of the asker within the closed window: (match_id, question_id, user_id, t_event, help_type).
 
+    An answer counts unless it is to the asker's own question (one whose question has no owner, or is not there, counts). A comment counts on a
+    question, an edit (of title, body or tags) on a question or an answer, each only if the post has an owner and it is another user.
     With ``include_accepts`` the answer that the asker accepted on the matched question itself counts as a help of type accept.
     """
-    owner = questions.select(F.col("question_id").alias("post_id"), F.col("owner_user_id").alias("post_owner")).unionByName(answers.select(F.col("answer_id").alias("post_id"), F.col("owner_user_id").alias("post_owner")))
-    acts = answers.select(F.col("owner_user_id").alias("user_id"), F.col("parent_question_id").alias("post_id"), F.col("creation_date").alias("ts"), F.lit("answer").alias("help_type"))
-    acts = acts.unionByName(comments.select("user_id", "post_id", F.col("creation_date").alias("ts"), F.lit("comment").alias("help_type")))
-    acts = acts.unionByName(edits.where("type_id IN (4, 5, 6)").select("user_id", "post_id", F.col("creation_date").alias("ts"), F.lit("edit").alias("help_type")))
-    acts = acts.where("user_id IS NOT NULL").join(owner, "post_id").where("post_owner <> user_id OR post_owner IS NULL").select("user_id", "ts", "help_type")
+    q = questions.select(F.col("question_id").alias("post_id"), F.col("owner_user_id").alias("post_owner"))
+    posts = q.unionByName(answers.select(F.col("answer_id").alias("post_id"), F.col("owner_user_id").alias("post_owner")))
+    act = lambda df, who, kind: df.select(F.col(who).alias("user_id"), F.col("creation_date").alias("ts"), F.lit(kind).alias("help_type"))
+    given = answers.where("owner_user_id IS NOT NULL").withColumnRenamed("parent_question_id", "post_id").join(q, "post_id", "left").where("post_owner IS NULL OR owner_user_id <> post_owner")
+    acts = act(given, "owner_user_id", "answer").unionByName(act(comments.join(q, "post_id").where("user_id <> post_owner"), "user_id", "comment"))
+    acts = acts.unionByName(act(edits.where("type_id IN (4, 5, 6)").join(posts, "post_id").where("user_id <> post_owner"), "user_id", "edit"))
     w = windows.where("t_end IS NOT NULL").select("match_id", "question_id", "user_id", "t0", "t_start", "t_end")
     t, out = hours(F.col("ts"), F.col("t0")), ["match_id", "question_id", "user_id", "t_event", "help_type"]
     inside = "t_event >= t_start AND t_event <= t_end"
@@ -199,6 +203,37 @@ def poisson_weights(ids: DataFrame, key: str, replicates: int, seed: int = 42) -
     return ids.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("weight", w).where("weight > 0")
 
 
+def multinomial_weights(ids: DataFrame, key: str, replicates: int, seed: int = 42, draws: int | None = None, block: int = 4096, first: int = 0) -> DataFrame:
+    """Pair bootstrap: how often each distinct id is drawn in each replicate, (key, replicate, weight > 0), in exactly ``draws`` draws with replacement (as many as ids by default).
+
+    Ids are numbered by ranges and dealt in blocks. A replicate's draws are split down a binary tree of blocks by conditional binomials whose seeds name
+    (replicate, node), so that a block walks from the root by itself and all blocks agree on what they share; within a block the draw is multinomial.
+    """
+    numbered = dense_ids(ids.select(key).where(F.col(key).isNotNull()), [key], "_n")
+    total = numbered.count()
+    draws, blocks = total if draws is None else draws, -(-total // block)
+    kind = numbered.schema[key].dataType.simpleString()
+
+    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("_n")
+        at, out = int(own["_b"].iloc[0]), []
+        size = lambda lo, hi: min(hi * block, total) - lo * block
+        for r in range(first, first + replicates):
+            lo, hi, n = 0, blocks, draws
+            while hi - lo > 1 and n:
+                mid = (lo + hi) // 2
+                left = int(np.random.default_rng([seed, r, lo, hi]).binomial(n, size(lo, mid) / size(lo, hi)))
+                lo, hi, n = (lo, mid, left) if at < mid else (mid, hi, n - left)
+            if not n:
+                continue
+            w = np.random.default_rng([seed, r, at, at]).multinomial(n, np.full(len(own), 1 / len(own)))
+            some = np.flatnonzero(w)
+            out.append(pd.DataFrame({key: own[key].to_numpy()[some], "replicate": np.int32(r), "weight": w[some]}))
+        return pd.concat(out) if out else pd.DataFrame({key: own[key].iloc[:0], "replicate": np.zeros(0, np.int32), "weight": np.zeros(0, np.int64)})
+
+    return numbered.withColumn("_b", F.floor((F.col("_n") - 1) / block)).groupBy("_b").applyInPandas(drawn, f"{key} {kind}, replicate int, weight long")
+
+
 def binned_rates(windows: DataFrame, events: DataFrame, width: float = 12.0, low: float = -48.0, high: float = 48.0) -> DataFrame:
     """Events a unit-hour by arm and bin, empty bins included, with the Poisson error."""
     n = windows.groupBy("treated").agg(F.count("*").alias("n_obs"))

@@ -9,6 +9,7 @@ from ..operators import events as E
 from ..operators import features as X
 from ..operators import rates as R
 from ..operators import study as S
+from ..operators.quantiles import wide_quantiles
 from ..sources.testdata import qa_tables
 from .queries import AROUND, BUCKET, ELIGIBLE, HISTORY, INTERVALS, LOG, MATCHED, ORACLE, PROCESSED, QUERIES, TAGS, WINDOWS, _D, eligible, helps_of, history, intervals_of, kept, log_of, pairs_of, pre, processed, q_bounds, query, sql_query, us, windows_of
 
@@ -148,18 +149,14 @@ def q_fill(t) -> DataFrame:
     return X.fill_both_ways(t["answers"], ["parent_question_id"], "answer_id", "owner_user_id").select("answer_id", "owner_user_id")
 
 
-_SIDE = f"""{WINDOWS}, n AS (SELECT w.match_id, w.question_id, w.treated, count(CASE WHEN h.t_event < 0 THEN 1 END) AS b, count(CASE WHEN h.t_event >= 0 THEN 1 END) AS a FROM windows w LEFT JOIN helps h ON h.match_id = w.match_id AND h.question_id = w.question_id GROUP BY w.match_id, w.question_id, w.treated)"""
+_SIDE = f"""{WINDOWS}, n AS (SELECT w.match_id, w.question_id, w.treated, w.t_start, w.t_answer, w.t_end, count(h.t_event) AS a FROM windows w LEFT JOIN helps h ON h.match_id = w.match_id AND h.question_id = w.question_id AND h.t_event >= w.t_answer AND h.t_event <= w.t_end
+  WHERE w.t_answer IS NOT NULL GROUP BY ALL)"""
 
 
-def sides_of(t):
-    w, h = windows_of(t), helps_of(t, windows_of(t))
-    n = h.groupBy("match_id", "question_id").agg(F.count(F.when(F.col("t_event") < 0, 1)).alias("n_before"), F.count(F.when(F.col("t_event") >= 0, 1)).alias("n_after"))
-    return w.select("match_id", "question_id", "treated").join(n, ["match_id", "question_id"], "left").fillna(0, ["n_before", "n_after"])
-
-
-@query("pre_post_intervals", f"WITH {_SIDE} SELECT match_id, question_id, treated, -48.0 AS start, 0.0 AS stop, 0 AS post, CASE WHEN b > 0 THEN 1 ELSE 0 END AS event FROM n UNION ALL SELECT match_id, question_id, treated, 0.0, 48.0, 1, CASE WHEN a > 0 THEN 1 ELSE 0 END FROM n")
+@query("pre_post_intervals", f"WITH {_SIDE} SELECT match_id, question_id, treated, round(t_start, 6) AS start, round(t_answer, 6) AS stop, 0 AS post, 0 AS event FROM n UNION ALL SELECT match_id, question_id, treated, round(t_answer, 6), round(t_end, 6), 1, CASE WHEN a > 0 THEN 1 ELSE 0 END FROM n")
 def q_pre_post(t) -> DataFrame:
-    return X.pre_post(sides_of(t))
+    w = windows_of(t).select("match_id", "question_id", "treated", "t_start", "t_answer", "t_end")
+    return X.pre_post(w, helps_of(t, windows_of(t))).withColumns(r6("start", "stop"))
 
 
 @query("start_of_site_exclusion", f"WITH {LOG} SELECT event, is_history, count(*) AS n FROM log l WHERE is_history = 1 OR ref_id NOT IN (SELECT ref_id FROM log WHERE event = 'Phase_One_Start' AND ts < (SELECT min(creation_date) FROM questions) + {{days:7}}) GROUP BY event, is_history")
@@ -420,12 +417,20 @@ QUERIES["pooled_over_buckets"] = lambda spark, sf_dir: q_pooled_buckets(qa_table
 
 
 # Fits: SQL checks their inputs above; tests compare the fits themselves with plain ones.
-FIT = "sample string, spec string, term string, coef double, se double, z double, p double, hr double, ci_lo double, ci_hi double, n_rows bigint, n_events bigint"
+FIT = "sample string, spec string, term string, coef double, se double, z double, p double, hr double, ci_lo double, ci_hi double, n_rows bigint, n_events bigint, se_robust double, reason string"
+NONE = dict.fromkeys(range(7)).values()
 
 
 def fit_rows(spark, fitted, terms=None) -> DataFrame:
-    """A row a term of each (sample, spec, fit); guards give none."""
-    rows = [(sample, spec, k, *f.row(k).values(), f.n_rows, f.n_events) for sample, spec, f in fitted if f is not None for k in (terms or f.names) if k in f.names]
+    """A row a term of each (sample, spec, fit); a model without a fit has one row with the reason."""
+    rows = []
+    for sample, spec, f in fitted:
+        if f is None:
+            rows.append((sample, spec, None, *NONE, None, None, None, "no fit"))
+        elif not f:
+            rows.append((sample, spec, None, *NONE, f.n_rows, f.n_events, None, f.reason))
+        else:
+            rows += [(sample, spec, k, *f.row(k).values(), f.n_rows, f.n_events, f.robust_se(k), None) for k in (terms or f.names) if k in f.names]
     return spark.createDataFrame(rows, FIT)
 
 
@@ -453,66 +458,107 @@ X_QUALITY = ("has_accepted_answer", "first_answer_score", "first_answer_body_len
 
 @query("cox_models")
 def q_cox(t) -> DataFrame:
-    """Models A and B over all pairs, with the sum of the two treated indicators of A."""
+    """Models A and B over all pairs with errors clustered by pair, and the sum of the two treated indicators of A."""
     f, m = _fits(), model_of(t)
-    found = [("All", k, f.cox(m, f.SPECS[k])) for k in ("A", "B")]
+    found = [("All", k, f.cox(m, f.SPECS[k], cluster="match_id")) for k in ("A", "B")]
     a = found[0][2]
     out = fit_rows(m.sparkSession, found)
     if a is None:
         return out
     both = {"treated_post_question": 1.0, "treated_active": 1.0}
-    return out.unionByName(m.sparkSession.createDataFrame([("All", "A", "treated_post_question + treated_active", *a.row(both).values(), a.n_rows, a.n_events)], FIT))
+    return out.unionByName(m.sparkSession.createDataFrame([("All", "A", "treated_post_question + treated_active", *a.row(both).values(), a.n_rows, a.n_events, a.robust_se(both), None)], FIT))
 
 
 @query("cox_by_tenure")
 def q_cox_tenure(t) -> DataFrame:
-    m = model_of(t)
-    return fit_rows(m.sparkSession, _fits().stratified(m, "tenure_bucket", {"A": _fits().MAIN}))
+    """Models A and B in each tenure bucket and over all, with clustered errors; buckets without a fit say why."""
+    m, f = model_of(t), _fits()
+    return fit_rows(m.sparkSession, f.stratified(m, "tenure_bucket", {k: f.SPECS[k] for k in ("A", "B")}, cluster="match_id"))
 
 
 @query("cox_by_response_time")
 def q_cox_bins(t) -> DataFrame:
-    m = model_of(t)
-    return fit_rows(m.sparkSession, [(label, "A", f) for label, f in _fits().response_time_fits(m)])
+    """Model A, plain and with answer quality, in each response-time bin."""
+    m, f = model_of(t), _fits()
+    return fit_rows(m.sparkSession, [(label, k, x) for k in ("A", "quality") for label, x in f.response_time_fits(m, f.SPECS[k])])
+
+
+NEWCOMER = F.col("tenure_bucket") == "< 1 Week"
 
 
 @query("cox_robustness")
 def q_cox_robust(t) -> DataFrame:
-    """The arrival term under observable controls, answer quality, score codings, in newcomers and by cohort."""
+    """The arrival term under observable controls, answer quality and score codings; the same for newcomers; and cohorts, over all and of newcomers."""
     f, m = _fits(), model_of(t)
-    found = [("All", k, f.cox(m, f.SPECS[k])) for k in ("observable", "quality", "speed_length", "speed_score", "speed_asinh", "speed_bins")]
-    samples = {"newcomers": F.col("tenure_bucket") == "< 1 Week", "before 1996": F.col("question_year") < 1996, "from 1996": F.col("question_year") >= 1996}
-    found += [(k, "A", f.cox(m.where(c), f.MAIN)) for k, c in samples.items()]
+    found = [("All", k, f.cox(m, f.SPECS[k])) for k in ("speed_asinh", "speed_bins", "speed_length", "speed_score", "speed_quality")]
+    member = F.when(NEWCOMER, F.array(F.lit("All"), F.lit("newcomers"))).otherwise(F.array(F.lit("All")))
+    found += [(s, k, x) for k in ("observable", "quality") for s, x in f.fit_models(m, f.SPECS[k], member).items()]
+    found += [(s, "A", x) for s, x in f.cohort_fits(m, 1996).items()]
     return fit_rows(m.sparkSession, found, ["treated_active", "rt_active"])
 
 
 @query("cox_placebos")
 def q_cox_placebos(t) -> DataFrame:
-    """Intervals cut 24 hours before the question, with a treated term from there on; and the view-count split of unanswered questions."""
+    """Newcomers' intervals cut 24 hours before the question, with a term of the treated from there up to the question; and the view-count split of unanswered questions."""
     f, (i, w) = _fits(), intervals_of(t)
-    cut = S.covariates(S.cut_intervals(i, -24.0), w).withColumn("treated_pre", ((F.col("start") >= -24) & (F.col("treated") == 1)).cast("int"))
-    views = sides_of(t).where("treated = 0").join(t["questions"].select("question_id", "view_count"), "question_id")
-    median = views.agg(F.median("view_count").alias("m"))
-    split = X.pre_post(views.crossJoin(F.broadcast(median)).withColumn("high_view", (F.col("view_count") >= F.col("m")).cast("int")).withColumn("n_before", F.lit(0)))
+    fresh = S.covariates(S.cut_intervals(i, -24.0), w).where(NEWCOMER)
+    cut = fresh.withColumn("treated_pre", ((F.col("start") >= -24) & (F.col("start") < 0) & (F.col("treated") == 1)).cast("int"))
+    found = [("newcomers", k, f.cox(cut, [*covs, "treated_pre"])) for k, covs in (("pre-period A", f.SPECS["A"]), ("pre-period B", f.SPECS["B"]))]
+    views = w.where("treated = 0").select("match_id", "question_id", "t_start", "t_answer", "t_end").join(t["questions"].select("question_id", "view_count"), "question_id")
+    median = wide_quantiles(views, ["view_count"], [0.5], lambda c, q: "m")
+    split = X.pre_post(views.crossJoin(F.broadcast(median)).withColumn("high_view", (F.col("view_count") >= F.col("m")).cast("int")).drop("view_count", "m"), helps_of(t, w))
     split = split.withColumn("high_view_post", F.col("high_view") * F.col("post"))
-    return fit_rows(i.sparkSession, [("All", "pre-period", f.cox(cut, [*f.MAIN, "treated_pre"])), ("unanswered", "views", f.cox(split, ["post", "high_view", "high_view_post"]))])
+    return fit_rows(i.sparkSession, [*found, ("unanswered", "views", f.cox(split, ["post", "high_view", "high_view_post"], cluster="match_id"))])
 
 
 @query("cox_by_outcome")
 def q_cox_outcome(t) -> DataFrame:
-    """Model A with the events of each set of help types."""
+    """Model A with the events of each set of help types; all sets' models run together."""
     f, w = _fits(), windows_of(t)
     h = kept(t, "helps_all", lambda: S.help_events(w, t["answers"], t["comments"], t["edits"], t["questions"], include_accepts=True))
-    return fit_rows(w.sparkSession, [(k, "A", f.cox(S.covariates(S.intervals(w, h.where(F.col("help_type").isin(types))), w), f.MAIN)) for k, types in f.OUTCOMES.items()])
+    sets = [S.covariates(S.intervals(w, h.where(F.col("help_type").isin(types))), w).withColumn("outcome", F.lit(k)) for k, types in f.OUTCOMES.items()]
+    rows = sets[0]
+    for s in sets[1:]:
+        rows = rows.unionByName(s)
+    return fit_rows(w.sparkSession, [(k, "A", x) for k, x in f.fit_models(rows, f.MAIN, F.array("outcome")).items()])
+
+
+REPLICATES = 100
 
 
 @query("pair_bootstrap")
 def q_bootstrap(t) -> DataFrame:
-    """Deviation and percentiles of the arrival and waiting terms over replicates of Poisson pair weights."""
+    """Deviation and percentiles of the arrival and waiting terms over multinomial draws of pairs, over all and for newcomers."""
+    f, m, rows = _fits(), model_of(t), []
+    for scope, part in (("All", m), ("newcomers", m.where(NEWCOMER))):
+        fitted = f.pair_bootstrap(part, S.multinomial_weights(part, "match_id", REPLICATES))
+        rows += [(scope, k, *f.percentile_interval([x.row(k)["coef"] for _, x in fitted if x]).values()) for k in ("treated_active", "treated_post_question")]
+    return m.sparkSession.createDataFrame(rows, "scope string, term string, n int, sd double, lo double, hi double")
+
+
+@query("bootstrap_draws", f"WITH {MATCHED} SELECT r AS replicate, count(*) AS drawn FROM pairs, (SELECT unnest(range(20)) AS r) x GROUP BY r")
+def q_draws(t) -> DataFrame:
+    """Each replicate draws as many pairs as there are."""
+    draws = S.multinomial_weights(pairs_of(t), "treated_id", 20)
+    return draws.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.sum("weight").alias("drawn"))
+
+
+@query("effects_of_models")
+def q_model_effects(t) -> DataFrame:
+    """Absolute effects of the fitted arrival ratios of model A, by tenure bucket, on the bucket's own rate of controls after the question."""
+    f, m = _fits(), model_of(t)
+    models = fit_rows(m.sparkSession, f.stratified(m, "tenure_bucket", {"A": f.MAIN}), ["treated_active"]).where("term IS NOT NULL").select(F.col("sample").alias("scope"), "hr", "ci_lo", "ci_hi")
+    base = m.where("treated = 0 AND start >= 0").withColumn("scope", F.explode(F.array("tenure_bucket", F.lit("All")))).groupBy("scope").agg((F.sum("event") / F.count_distinct("match_id")).alias("rate"))
+    x = base.join(models, "scope")
+    return x.select("scope", "rate", "hr", "ci_lo", "ci_hi", *S.absolute_effect(F.col("rate"), F.col("hr")), *S.absolute_interval(F.col("rate"), F.col("ci_lo"), F.col("ci_hi")))
+
+
+@query("bounds_of_models")
+def q_model_bounds(t) -> DataFrame:
+    """Selection bounds beside the fitted ratios of models A and B of their tenure bucket."""
     f, m = _fits(), model_of(t)
-    fitted = f.pair_bootstrap(m, S.poisson_weights(pairs_of(t).withColumnRenamed("treated_id", "match_id"), "match_id", 20))
-    rows = [(k, *f.percentile_interval([x.row(k)["coef"] for _, x in fitted if x is not None]).values()) for k in ("treated_active", "treated_post_question")]
-    return m.sparkSession.createDataFrame(rows, "term string, n int, sd double, lo double, hi double")
+    models = fit_rows(m.sparkSession, f.stratified(m, "tenure_bucket", {k: f.SPECS[k] for k in ("A", "B")}), ["treated_active"]).where("term IS NOT NULL")
+    return S.with_models(q_bounds(t), models.select(F.col("sample").alias("scope"), F.col("spec").alias("model"), "hr", "ci_lo", "ci_hi", "se", "p"))
 
 
 @query("match_on_propensity")

@@ -75,9 +75,11 @@ windows AS (SELECT s.match_id, s.question_id, p.owner_user_id AS user_id, s.trea
   -48.0 AS t_start, 0.0 AS t_question, round_even(r.response_hours * 3600, 0) / 3600 AS t_answer, round_even(r.response_hours * 3600, 0) / 3600 + 48.0 AS t_end
   FROM sides s JOIN processed p ON p.question_id = s.question_id JOIN processed r ON r.question_id = s.match_id LEFT JOIN users u ON u.user_id = p.owner_user_id),
 owners AS (SELECT question_id AS post_id, owner_user_id AS post_owner FROM questions UNION ALL SELECT answer_id, owner_user_id FROM answers),
-acts AS (SELECT owner_user_id AS user_id, parent_question_id AS post_id, creation_date AS ts, 'answer' AS help_type FROM answers UNION ALL SELECT user_id, post_id, creation_date, 'comment' FROM comments UNION ALL SELECT user_id, post_id, creation_date, 'edit' FROM edits),
-helps AS (SELECT w.match_id, w.question_id, w.user_id, ({{epoch:a.ts}} - {{epoch:w.t0}}) / 3.6e9 AS t_event, a.help_type FROM windows w JOIN acts a ON a.user_id = w.user_id JOIN owners o ON o.post_id = a.post_id
-  WHERE (o.post_owner <> a.user_id OR o.post_owner IS NULL) AND ({{epoch:a.ts}} - {{epoch:w.t0}}) / 3.6e9 BETWEEN w.t_start AND w.t_end)"""
+acts AS (SELECT a.owner_user_id AS user_id, a.creation_date AS ts, 'answer' AS help_type FROM answers a LEFT JOIN questions q ON q.question_id = a.parent_question_id WHERE q.owner_user_id IS NULL OR a.owner_user_id <> q.owner_user_id
+  UNION ALL SELECT c.user_id, c.creation_date, 'comment' FROM comments c JOIN questions q ON q.question_id = c.post_id WHERE q.owner_user_id IS NOT NULL AND c.user_id <> q.owner_user_id
+  UNION ALL SELECT e.user_id, e.creation_date, 'edit' FROM edits e JOIN owners o ON o.post_id = e.post_id WHERE e.type_id IN (4, 5, 6) AND o.post_owner IS NOT NULL AND e.user_id <> o.post_owner),
+helps AS (SELECT w.match_id, w.question_id, w.user_id, ({{epoch:a.ts}} - {{epoch:w.t0}}) / 3.6e9 AS t_event, a.help_type FROM windows w JOIN acts a ON a.user_id = w.user_id
+  WHERE ({{epoch:a.ts}} - {{epoch:w.t0}}) / 3.6e9 BETWEEN w.t_start AND w.t_end)"""
 INTERVALS = f"""{WINDOWS},
 marks AS (SELECT match_id, question_id, t_start AS t, 0 AS e FROM windows UNION ALL SELECT match_id, question_id, t_question, 0 FROM windows UNION ALL SELECT match_id, question_id, t_answer, 0 FROM windows
   UNION ALL SELECT match_id, question_id, t_end, 0 FROM windows UNION ALL SELECT match_id, question_id, t_event, 1 FROM helps),

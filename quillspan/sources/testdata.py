@@ -1,7 +1,8 @@
 """The driver's star-schema tables as question-and-answer tables.
 
 One SQL text a table serves Spark and DuckDB: only the few places where the dialects differ are filled
-in. Times are timestamps without a zone.
+in. Times are timestamps without a zone. Ids of answers lie above those of questions, as both are posts; comments are on
+questions (some without an owner) and on answers.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ _DUCK = {"minutes": "to_minutes(cast({} as bigint))", "days": "to_days(cast({} a
 
 TABLES = {
     "answers0": """
-SELECT l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_tax, l_discount) AS answer_id,
+SELECT 1000000000000000 + l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_tax, l_discount) AS answer_id,
   l_orderkey AS parent_question_id, CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE (l_partkey * 7 + l_suppkey * 13) % 997 END AS owner_user_id,
   cast(l_quantity AS int) - 10 AS score, o_orderdate + {minutes:(o_orderkey * 7919) % 1440 + (l_partkey * 7919 + l_suppkey * 1047 + l_orderkey * 31) % 20160} AS creation_date,
   cast(floor(l_extendedprice / 10) AS bigint) AS body_len_chars, l_returnflag AS flag, l_linestatus AS status, cast(floor(l_discount * 100 + 0.5) AS bigint) AS discount
@@ -37,7 +38,9 @@ UNION ALL SELECT answer_id, 2, creation_date + {days:2}, NULL FROM answers0 WHER
 UNION ALL SELECT parent_question_id, 8, creation_date, discount * 50 FROM answers0 WHERE discount > 8""",
     "users": """
 SELECT c_custkey AS user_id, cast('1994-06-01' AS timestamp_ntz) + {days:c_custkey * 37 % 1200} AS registration_date, cast(floor(c_acctbal) AS bigint) AS reputation FROM customer WHERE c_custkey % 50 <> 7""",
-    "comments": "SELECT answer_id * 10 AS comment_id, parent_question_id AS post_id, (owner_user_id * 3) % 997 AS user_id, creation_date + {minutes:answer_id % 600} AS creation_date, answer_id % 3 AS score FROM answers0 WHERE answer_id % 5 = 0",
+    "comments": """
+SELECT answer_id * 10 AS comment_id, parent_question_id AS post_id, (owner_user_id * 3) % 997 AS user_id, creation_date + {minutes:answer_id % 600} AS creation_date, answer_id % 3 AS score FROM answers0 WHERE answer_id % 5 = 0
+UNION ALL SELECT answer_id * 10 + 2, answer_id, (owner_user_id * 3) % 997, creation_date + {minutes:answer_id % 700}, answer_id % 3 FROM answers0 WHERE answer_id % 11 = 0""",
     "edits": "SELECT answer_id * 10 + 1 AS edit_id, 4 + answer_id % 3 AS type_id, answer_id AS post_id, (owner_user_id * 5) % 997 AS user_id, creation_date + {minutes:answer_id % 900} AS creation_date FROM answers0 WHERE answer_id % 7 = 0 AND owner_user_id IS NOT NULL",
     "bounties": """
 SELECT o_orderkey AS question_id, o_orderdate + {days:2} AS bounty_start, o_orderdate + {days:9} AS bounty_end FROM orders WHERE o_orderkey % 10 = 0

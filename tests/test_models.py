@@ -85,9 +85,12 @@ def test_many_models_equal_single_ones(spark):
     covs = ["treated", "post", "x"]
     got = {s: f for s, _, f in fits.stratified(df, "bucket", {"m": covs}, cluster="match_id")}
     assert list(got) == ["a", "b", "All"]
+    member = F.array("bucket", F.lit("All"))
+    spread = fits.fit_models(df, covs, member, cluster="match_id", max_local=0)
     for s, part in (("a", df.where("bucket = 'a'")), ("b", df.where("bucket = 'b'")), ("All", df)):
         one = fits.cox(part, covs, min_rows=1, cluster="match_id")
         assert got[s].coef == pytest.approx(one.coef.tolist(), abs=1e-8) and np.allclose(got[s].robust, one.robust) and got[s].n_rows == one.n_rows
+        assert spread[s].coef == pytest.approx(one.coef.tolist(), abs=1e-8) and np.allclose(spread[s].robust, one.robust) and np.allclose(spread[s].cov, one.cov)
     twice = fits.fit_models(df.withColumn("w", F.lit(2)), covs, F.array(F.lit("m")), weight="w", cluster="match_id", penalty=0.0)["m"]
     once = fits.fit_models(df, covs, F.array(F.lit("m")), cluster="match_id", penalty=0.0)["m"]
     assert twice.n_rows == 2 * once.n_rows and np.allclose(twice.cov, once.cov / 2, rtol=0.1)
@@ -128,9 +131,13 @@ def test_halved_steps_reach_the_maximum():
 
 @pytest.mark.parametrize("efron", [True, False])
 def test_sums_over_long_ties(monkeypatch, efron):
-    exact = hazards.tie_sums(90_000, 1000.0, 300.0, efron)
+    d, s0, e0 = np.array([90_000.0, 1, 3, 0, 700]), np.array([1000.0, 5, 4, 1, 90]), np.array([300.0, 5, 1, 0, 89])
+    exact = hazards.tie_sums(d, s0, e0, efron)
+    for t in range(5):
+        left = s0[t] - (np.arange(int(d[t])) / max(d[t], 1) if efron else np.zeros(int(d[t]))) * e0[t]
+        assert exact["z"][t] == pytest.approx((1 / left).sum()) and exact["log"][t] == pytest.approx(np.log(left).sum())
     monkeypatch.setattr(hazards, "LONG_TIES", 1000)
-    near = hazards.tie_sums(90_000, 1000.0, 300.0, efron)
+    near = hazards.tie_sums(d, s0, e0, efron)
     assert all(near[k] == pytest.approx(v, rel=1e-9) for k, v in exact.items())
 
 
