@@ -17,6 +17,7 @@ from . import hazards
 from .features import response_bins, winsorised
 from .hazards import NoFit
 from .quantiles import wide_quantiles
+from .scores import mixed_model
 
 MAIN = ["treated", "post_question", "treated_post_question", "post", "treated_active"]
 SPEED_TERMS = ["rt_treated", "rt_active", "rt_post_question"]
@@ -390,22 +391,16 @@ def individual_effects_test(df: DataFrame, y: str, xs: list[str], unit: str) ->
 
 
 def hausman(df: DataFrame, y: str, xs: list[str], unit: str) -> dict:
-    """Hausman's test of the within against the random-effects estimate (quasi-demeaned by each unit's variance ratio)."""
+    """Hausman's test of the within estimate against the random-intercept model fitted by maximum likelihood (see ``mixed_model``)."""
     from .study import demeaned
 
-    d = df.select(unit, *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna().withColumn("one", F.lit(1.0))
-    within = least_squares(demeaned(d, unit, [y, *xs]), y, xs)
-    means = d.groupBy(unit).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in (y, *xs)])
-    units, inverse = means.agg(F.count("*"), F.avg(1 / F.col("_n"))).first()
-    between = least_squares(means.withColumn("one", F.lit(1.0)), f"_m_{y}", ["one", *[f"_m_{c}" for c in xs]])
-    s2 = within["rss"] / max(1, within["n"] - units - len(xs))
-    u2 = max(0.0, between["rss"] / max(1, units - len(xs) - 1) - s2 * (inverse or 0))
-    theta = 1 - F.sqrt(F.lit(s2) / (F.lit(s2) + F.col("_n") * F.lit(u2))) if s2 > 0 else F.lit(0.0)
-    quasi = d.join(means, unit).select(*[(F.col(c) - theta * F.col(f"_m_{c}")).alias(c) for c in (y, *xs)], (1 - theta).alias("one"))
-    random = least_squares(quasi, y, ["one", *xs])
-    diff, v = within["coef"] - random["coef"][1:], within["cov"] - random["cov"][1:, 1:]
-    stat = float(diff @ np.linalg.pinv(v) @ diff)
-    return {"units": units, "chi2": stat, "df": len(xs), "p": chi2_upper(stat, len(xs))}
+    d = df.select(unit, *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna()
+    within, random = least_squares(demeaned(d, unit, [y, *xs]), y, xs), mixed_model(d, y, xs, unit)
+    diff = within["coef"] - random["coef"][1:]
+    rest = within["rss"] / max(1, within["n"] - random["units"] - len(xs))  # the within transformation costs a degree of freedom a unit
+    v = within["cov"] * rest * max(1, within["n"] - within["k"]) / max(within["rss"], 1e-300) - random["cov"][1:, 1:]
+    stat = max(0.0, float(diff @ np.linalg.pinv(v) @ diff))
+    return {"units": random["units"], "chi2": stat, "df": len(xs), "p": chi2_upper(stat, len(xs)), "unit_variance": random["unit"], "residual_variance": random["residual"]}
 
 
 def effect_percent(fit: Fit, weights: dict[str, float], mean: float) -> dict:

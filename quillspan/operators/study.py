@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from .events import hours, micros, within
 from .features import dense_ids
 from .quantiles import wide_quantiles
+from .scores import propensity
 
 #: Right-closed tenure buckets, in days.
 BUCKETS = ((7, "< 1 Week"), (30, "1 Week - 1 Month"), (180, "1 - 6 Months"), (365, "6 - 12 Months"), (1095, "1 - 3 Years"), (2190, "3 - 6 Years"))
 
 
+__all__ = ["propensity"]
+
+
 def tenure_bucket(days):
     """Right-closed buckets; null days fall in the last, as SQL's ELSE does."""
     out = F.when(days <= BUCKETS[0][0], BUCKETS[0][1])
@@ -75,29 +79,6 @@ def match(df: DataFrame, caliper: float = 0.05, k: int = 100) -> DataFrame:
     return best.select("treated_id", "m.control_id", "m.distance", "m.jaccard")
 
 
-def propensity(df: DataFrame, covariates: list[str], by: list[str], penalty: float = 1.0, rounds: int = 30) -> DataFrame:
-    """Ridge logistic score of ``treated`` in each stratum on globally standardised covariates; one-class strata are left out."""
-    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in covariates for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    z = df.crossJoin(F.broadcast(stats)).select(*by, "question_id", "treated", *[F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.nullif(F.col(f"s_{c}"), F.lit(0.0))), F.lit(0.0)).alias(c) for c in covariates])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.treated.to_numpy(float)
-        if y.min() == y.max():
-            return pd.DataFrame({"question_id": [], "score": []}).astype({"question_id": "int64", "score": "float64"})
-        x = np.hstack([np.ones((len(pdf), 1)), pdf[covariates].to_numpy(float)])
-        ridge, b = np.eye(x.shape[1]) * penalty, np.zeros(x.shape[1])
-        ridge[0, 0] = 0
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-x @ b))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-12 * np.eye(len(b)), x.T @ (y - p) - ridge @ b)
-            b = b + step
-            if np.abs(step).max() < 1e-10:
-                break
-        return pd.DataFrame({"question_id": pdf.question_id, "score": 1 / (1 + np.exp(-x @ b))})
-
-    return z.groupBy(*by).applyInPandas(fit, "question_id long, score double")
-
-
 def balance(df: DataFrame, pairs: DataFrame, covariates: list[str]) -> DataFrame:
     """Standardised mean differences before and after matching, over the unmatched pooled deviation."""
     t, c = (F.col("treated") == 1), (F.col("treated") == 0)
