@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import json
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def _file_system(spark: SparkSession, path: str):
 def work_folder(spark: SparkSession) -> str:
     """A new folder for one query's files: in the shared folder of ``spark.checkpoint.dir``, or a temporary one in a local session.
 
-    All of them lie in a folder of the application, which is removed when the driver's Python ends.
+    All of them lie in a folder of the application, which is removed when the session is stopped from Python or, without that, when the driver's Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
@@ -30,19 +31,35 @@ def work_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.gettempdir()
     own = f"{base.rstrip('/')}/quillspan-files-{spark.sparkContext.applicationId}"
-    if own not in _OWN:
-        _OWN.add(own)
-        atexit.register(_leave, spark, own)
+    removed_with_session(spark, own)
     return f"{own}/{uuid.uuid4().hex}"
 
 
-_OWN: set[str] = set()
+_OWN: dict[str, set[str]] = {}
 
 
-def _leave(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:  # else the session was stopped before
-        fs, p = _file_system(spark, path)
-        fs.delete(p, True)
+def removed_with_session(spark: SparkSession, path: str) -> None:
+    """Have ``path`` deleted before the session's context stops, while its file system can still be reached, or at the end of Python."""
+    sc = spark.sparkContext
+    own = _OWN.get(sc.applicationId)
+    if own is None:
+        own = _OWN[sc.applicationId] = set()
+        stop = sc.stop
+
+        def leave() -> None:
+            if sc._jsc is not None:
+                for p in sorted(own):
+                    fs, q = _file_system(spark, p)
+                    fs.delete(q, True)
+            own.clear()
+
+        def stop_clean() -> None:
+            leave()
+            stop()
+
+        sc.stop = stop_clean  # SparkSession.stop() calls it too
+        atexit.register(leave)
+    own.add(path)
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -57,47 +74,113 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _names(spark: SparkSession, folder: str) -> set[str]:
+    fs, p = _file_system(spark, folder)
+    return {s.getPath().getName() for s in fs.listStatus(p)} if fs.exists(p) else set()
+
+
 def resolve_input(spark: SparkSession, folder: str, key: str, inputs: dict[str, str] = INPUTS) -> str:
-    """Path of a logical input in ``folder``, of any file system that Spark reads: the revised file if there is one, else the canonical.
+    """Where a logical input lies in ``folder``: the folder is listed once, and a table whose stem ends in ``_revision`` goes before the plain one.
 
-    A KeyError for an unknown key, a FileNotFoundError if there is neither file.
+    A KeyError for an unknown key, a FileNotFoundError if there is neither.
     """
-    if key not in inputs:
-        raise KeyError(f"unknown input {key}; known: {sorted(inputs)}")
-    names = [f"{inputs[key]}{suffix}.parquet" for suffix in ("_revision", "")]
-    for name in names:
-        if exists(spark, path := f"{folder.rstrip('/')}/{name}"):
-            return path
-    raise FileNotFoundError(f"no input for {key} in {folder}: tried {', '.join(names)}")
+    stem = inputs[key]
+    preference = {f"{stem}_revision.parquet": 0, f"{stem}.parquet": 1}
+    there = sorted(_names(spark, folder) & preference.keys(), key=preference.__getitem__)
+    if not there:
+        raise FileNotFoundError(f"{folder} has none of {', '.join(preference)}")
+    return f"{folder.rstrip('/')}/{there[0]}"
 
 
 def input_exists(spark: SparkSession, folder: str, key: str, inputs: dict[str, str] = INPUTS) -> bool:
-    try:
-        resolve_input(spark, folder, key, inputs)
-    except (KeyError, FileNotFoundError):
-        return False
-    return True
+    return bool(_names(spark, folder) & {f"{inputs[key]}{end}.parquet" for end in ("", "_revision")}) if key in inputs else False
 
 
 def write_atomic(df: DataFrame, path: str, form: str = "parquet", **options) -> str:
-    """Write beside ``path``, then rename: readers see the old table or the new one, never a part."""
+    """Write beside ``path``, then rename: a reader never sees a part of a table. An old table is moved aside first and deleted last, so a crash loses neither.
+
+    Between the two renames a reader finds no table; where readers must not wait for writers, use ``publish``.
+    """
     spark, temporary = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
     df.write.format(form).options(**options).save(temporary)
     fs, target = _file_system(spark, path)
     _, source = _file_system(spark, temporary)
-    if fs.exists(target):
-        fs.delete(target, True)
+    _, aside = _file_system(spark, f"{temporary}.old")
+    old = fs.exists(target)
+    if old and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(source, target):
+        if old:
+            fs.rename(aside, target)
         raise OSError(f"could not rename {temporary} to {path}")
+    if old:
+        fs.delete(aside, True)
     return path
 
 
+VERSION = "version="
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.removeprefix(VERSION)) for n in _names(spark, path) if n.startswith(VERSION))
+
+
+def publish(df: DataFrame, path: str, keep_seconds: float = 3600.0, attempts: int = 20) -> int:
+    """Write ``df`` as the next version of the table at ``path`` and return its number.
+
+    A version is staged in a hidden folder and appears by one rename to a name that was free, so readers see whole versions alone and a crash leaves the last one in
+    place. Of two writers one takes the next number. Versions other than the newest, and forgotten stages, are deleted once they are ``keep_seconds`` old, so that running readers of them can end.
+    """
+    spark, stage = df.sparkSession, f"{path.rstrip('/')}/_stage-{uuid.uuid4().hex}"
+    df.write.parquet(stage)
+    fs, source = _file_system(spark, stage)
+    for _ in range(attempts):
+        number = max(_versions(spark, path), default=0) + 1
+        claim = _file_system(spark, f"{path.rstrip('/')}/_claim-{number}")[1]
+        if not fs.createNewFile(claim):  # another writer is at this number
+            time.sleep(0.05)
+            if number > max(_versions(spark, path), default=0) and time.time() * 1000 - _modified(fs, claim) > 60_000:
+                fs.delete(claim, False)  # it never finished
+            continue
+        target = _file_system(spark, f"{path.rstrip('/')}/{VERSION}{number}")[1]
+        if not fs.exists(target) and fs.rename(source, target):
+            fs.delete(claim, False)
+            _clean(spark, path, number, keep_seconds)
+            return number
+        fs.delete(claim, False)
+    raise OSError(f"could not publish {path}")
+
+
+def _modified(fs, p) -> int:
+    try:
+        return fs.getFileStatus(p).getModificationTime()
+    except Exception:  # it went meanwhile
+        return 1 << 62
+
+
+def _clean(spark: SparkSession, path: str, newest: int, keep_seconds: float) -> None:
+    fs, base = _file_system(spark, path)
+    for s in fs.listStatus(base):
+        name, old = s.getPath().getName(), time.time() * 1000 - s.getModificationTime() > keep_seconds * 1000
+        if old and (name.startswith("_stage-") or (name.startswith(VERSION) and int(name.removeprefix(VERSION)) < newest)):
+            fs.delete(s.getPath(), True)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that ``publish`` writes. A FileNotFoundError if there is none."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path.rstrip('/')}/{VERSION}{versions[-1]}")
+
+
 def cached(spark: SparkSession, path: str, make, key: dict | None = None) -> DataFrame:
     """The table at ``path`` if it was written with the same ``key``, else ``make()`` written there atomically and read again."""
     fs, note = _file_system(spark, f"{path.rstrip('/')}.key.json")
     want = json.dumps(key or {}, sort_keys=True)
     if exists(spark, path) and fs.exists(note) and spark.read.text(note.toString(), wholetext=True).first()[0].strip() == want:
         return spark.read.parquet(path)
+    fs.delete(note, False)  # a table without a note is made again
     write_atomic(make(), path)
     write_text(spark, note.toString(), want)
     return spark.read.parquet(path)
