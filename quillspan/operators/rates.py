@@ -174,26 +174,43 @@ def merged(a: DataFrame, b: DataFrame, on: list[str], a_name: str, b_name: str)
     return named(a, a_name).join(named(b, b_name), on)
 
 
-def answer_rows(answers: DataFrame, questions: DataFrame, bounties: DataFrame, votes: DataFrame, users: DataFrame) -> DataFrame:
-    """One row an answer to another's question: response minutes, place among the answerer's answers, bounty flags, amount, tenure.
+def answer_rows(answers: DataFrame, questions: DataFrame, bounties: DataFrame, votes: DataFrame, users: DataFrame, badges: DataFrame | None = None, badge: str = "Autobiographer") -> DataFrame:
+    """One row an answer to another's question: response minutes, place among the answerer's answers, bounty flags, amount, tenure, and whether the answerer had the badge.
 
     An answer is under a bounty that is open when it comes (both ends included), before it if it comes before the question's first, and after
-    it if one has ended and none is open.
+    it if one has ended and none is open; ``ever_bounty`` tells of any bounty of its question. The amount is that of the answer's own bounty start vote (the largest), or 0.
+    A badge counts from the time of its first award on.
     """
     a = others_answers(answers, questions).join(questions.select(F.col("question_id").alias("parent_question_id"), "accepted_answer_id"), "parent_question_id")
     b = a.select("answer_id", "parent_question_id", "creation_date").join(bounties.withColumnRenamed("question_id", "parent_question_id"), "parent_question_id")
     open_ = (F.col("creation_date") >= F.col("bounty_start")) & (F.col("creation_date") <= F.col("bounty_end"))
-    b = b.groupBy("answer_id").agg(F.max(open_.cast("int")).alias("active"), F.min("bounty_start").alias("first"), F.max((F.col("creation_date") > F.col("bounty_end")).cast("int")).alias("ended"))
-    amount = votes.where("vote_type_id = 8").groupBy(F.col("post_id").alias("parent_question_id")).agg(F.max("bounty_amount").alias("amount"))
-    x = a.join(b, "answer_id", "left").join(amount, "parent_question_id", "left").join(users.select(F.col("user_id").alias("owner_user_id"), "registration_date"), "owner_user_id", "left")
+    b = b.groupBy("answer_id").agg(F.max(open_.cast("int")).alias("active"), F.min("bounty_start").alias("first"), F.max((F.col("creation_date") > F.col("bounty_end")).cast("int")).alias("ended"), F.count("*").alias("ever"))
+    amount = votes.where("vote_type_id = 8").groupBy(F.col("post_id").alias("answer_id")).agg(F.max("bounty_amount").alias("amount"))
+    x = a.join(b, "answer_id", "left").join(amount, "answer_id", "left").join(users.select(F.col("user_id").alias("owner_user_id"), "registration_date"), "owner_user_id", "left")
+    if badges is None:
+        x = x.withColumn("awarded", F.lit(None).cast("timestamp_ntz"))
+    else:
+        x = x.join(badges.where(F.col("name") == badge).groupBy(F.col("user_id").alias("owner_user_id")).agg(F.min("awarded").alias("awarded")), "owner_user_id", "left")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return x.select(
         "answer_id", F.col("parent_question_id").alias("question_id"), F.col("owner_user_id").alias("answerer"), F.col("q_owner").alias("asker"), ((micros("creation_date") - micros("q_ts")) / 6e7).alias("minutes"),
         F.dense_rank().over(Window.partitionBy("owner_user_id").orderBy("creation_date")).alias("sequence"), F.coalesce("active", F.lit(0)).alias("is_bounty"), flag(F.col("creation_date") < F.col("first")).alias("before_bounty"),
-        flag((F.col("ended") == 1) & (F.col("active") == 0)).alias("after_bounty"), "amount", F.datediff("creation_date", "registration_date").alias("tenure_days"), flag(F.col("accepted_answer_id") == F.col("answer_id")).alias("accepted"),
+        flag((F.col("ended") == 1) & (F.col("active") == 0)).alias("after_bounty"), flag(F.col("ever") > 0).alias("ever_bounty"), F.coalesce("amount", F.lit(0)).alias("amount"), F.datediff("creation_date", "registration_date").alias("tenure_days"),
+        flag(F.col("accepted_answer_id") == F.col("answer_id")).alias("accepted"), flag(F.col("awarded") <= F.col("creation_date")).alias("had_badge"),
     )
 
 
+def missing_bounties(votes: DataFrame, bounties: DataFrame) -> DataFrame:
+    """Posts with a bounty start vote (type 8) that the bounty timeline lacks."""
+    started = votes.where("vote_type_id = 8 AND post_id IS NOT NULL").select(F.col("post_id").alias("question_id")).distinct()
+    return started.join(bounties.select("question_id"), "question_id", "left_anti")
+
+
+def with_missing_bounty(rows: DataFrame, missing: DataFrame) -> DataFrame:
+    """``rows`` with ``missing_bounty``: whether their question is one of those."""
+    return rows.join(missing.select("question_id").distinct().withColumn("missing_bounty", F.lit(True)), "question_id", "left").fillna(False, ["missing_bounty"])
+
+
 def accept_phases(questions: DataFrame, answers: DataFrame, votes: DataFrame) -> DataFrame:
     """Phase two of an accepted answer: its own time if it was accepted on the same date, else the vote's; acceptance counts a day after the vote."""
     a = questions.select("question_id", F.col("accepted_answer_id").alias("answer_id")).join(answers.select("answer_id", "creation_date"), "answer_id").join(accept_votes(votes), "answer_id")

@@ -80,15 +80,26 @@ def match(df: DataFrame, caliper: float = 0.05, k: int = 100) -> DataFrame:
 
 
 def balance(df: DataFrame, pairs: DataFrame, covariates: list[str]) -> DataFrame:
-    """Standardised mean differences before and after matching, over the unmatched pooled deviation."""
+    """Means of both arms and standardised mean differences before and after matching, over the unmatched pooled deviation."""
     t, c = (F.col("treated") == 1), (F.col("treated") == 0)
     side = pairs.select(F.explode(F.array(F.col("treated_id"), F.col("control_id"))).alias("question_id"))
     matched = side.join(df.select("question_id", "treated", *covariates), "question_id")
     agg = lambda d, tag: d.agg(*[f(F.when(s, F.col(v))).alias(f"{tag}{n}{a}_{v}") for v in covariates for n, f in (("m", F.avg), ("v", F.var_samp)) for a, s in (("1", t), ("0", c))])
     one = agg(df, "u").crossJoin(agg(matched, "a"))
-    rows = [F.struct(F.lit(v).alias("covariate"), F.sqrt((F.col(f"uv1_{v}") + F.col(f"uv0_{v}")) / 2).alias("sd"), (F.col(f"um1_{v}") - F.col(f"um0_{v}")).alias("before"), (F.col(f"am1_{v}") - F.col(f"am0_{v}")).alias("after")) for v in covariates]
+    means = {"treated_unmatched": "um1", "control_unmatched": "um0", "treated_matched": "am1", "control_matched": "am0"}
+    rows = [F.struct(F.lit(v).alias("covariate"), F.sqrt((F.col(f"uv1_{v}") + F.col(f"uv0_{v}")) / 2).alias("sd"), *[F.col(f"{k}_{v}").cast("double").alias(n) for n, k in means.items()]) for v in covariates]
     out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    return out.select("covariate", F.try_divide("before", F.nullif("sd", F.lit(0.0))).alias("smd_unmatched"), F.try_divide("after", F.nullif("sd", F.lit(0.0))).alias("smd_matched"))
+    smd = lambda k: F.try_divide(F.col(f"treated_{k}") - F.col(f"control_{k}"), F.nullif("sd", F.lit(0.0))).alias(f"smd_{k}")
+    return out.select("covariate", *means, smd("unmatched"), smd("matched"))
+
+
+def prematch_record(pool: DataFrame, covariates: list[str]) -> DataFrame:
+    """One row that describes a matching pool: its years, rows by arm, strata, and each covariate's mean and deviation (a constant one's counts as 1)."""
+    arm = lambda k: F.count_if(F.col("treated") == k)
+    spread = lambda c: F.coalesce(F.nullif(F.stddev_samp(c), F.lit(0.0)), F.lit(1.0))
+    one = pool.agg(F.sort_array(F.collect_set("year")).alias("years"), F.count("*").alias("n_rows"), arm(1).alias("n_treated"), arm(0).alias("n_control"), *[F.struct(F.lit(c).alias("covariate"), F.avg(c).alias("mean"), spread(c).alias("sd")).alias(f"_z{i}") for i, c in enumerate(covariates)])
+    strata = pool.select("year", "main_tag").distinct().agg(F.count("*").alias("n_strata"))
+    return one.crossJoin(strata).select("years", "n_rows", "n_treated", "n_control", "n_strata", F.array(*[f"_z{i}" for i in range(len(covariates))]).alias("z"))
 
 
 def control_reuse(pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -252,9 +253,14 @@ def q_stable(t) -> DataFrame:
     return R.stable_control_rates(windows_of(t), helps_of(t, windows_of(t))).select("bin", "hours", "events", F.round("rate", 9).alias("rate"))
 
 
-@query("bin_edges", "SELECT unnest([-10.0, -6.0, -2.0, 0.0, 4.0, 8.0]::DOUBLE[]) AS edge")
+_SPAN = "span AS (SELECT min(t_start) AS lo, max(t_end) AS hi FROM windows)"
+
+
+@query("bin_edges", f"WITH {WINDOWS}, {_SPAN}, k AS (SELECT unnest(range(2000)) AS k) SELECT DISTINCT edge FROM (SELECT lo + 4.0 * k AS edge FROM span, k WHERE lo + 4.0 * k < 0 UNION ALL SELECT 4.0 * k FROM span, k WHERE 4.0 * k < hi + 2.0 AND k <= floor((hi + 2.0) / 4.0)) x")
 def q_edges(t) -> DataFrame:
-    return t["questions"].sparkSession.createDataFrame([(float(e),) for e in R.bin_edges(-10.0, 9.0, 4.0)], "edge double")
+    """Edges over the whole span of the study windows."""
+    low, high = windows_of(t).agg(F.min("t_start"), F.max("t_end")).first()
+    return t["questions"].sparkSession.createDataFrame([(float(e),) for e in R.bin_edges(low, high, 4.0)], "edge double")
 
 
 @query("rates_by_bucket", f"""WITH {WINDOWS}, z AS (SELECT *, {BUCKET} AS bucket FROM windows), g AS (SELECT bucket, treated, count(*) AS n_obs FROM z GROUP BY bucket, treated), b AS (SELECT CAST(unnest(range(24)) AS INTEGER) AS bin), c AS (SELECT z.bucket, z.treated, CAST(least(floor((h.t_event + 48) / 4), 23) AS INTEGER) AS bin, count(*) AS c FROM helps h JOIN z ON z.match_id = h.match_id AND z.question_id = h.question_id WHERE h.t_event >= -48 AND h.t_event <= 48 GROUP BY ALL)
@@ -322,11 +328,11 @@ def q_accepts(t) -> DataFrame:
     return S.help_events(windows_of(t), t["answers"], t["comments"], t["edits"], t["questions"], include_accepts=True).groupBy("help_type").agg(F.count("*").alias("n"))
 
 
-@query("ordered_output", f"SELECT CAST(row_number() OVER (ORDER BY owner_user_id NULLS FIRST, ord, question_id) AS INTEGER) AS place, question_id, bucket FROM (SELECT question_id, owner_user_id, {BUCKET.replace('tenure_days', 'view_count')} AS bucket, CASE WHEN view_count <= 7 THEN 0 WHEN view_count <= 30 THEN 1 WHEN view_count <= 180 THEN 2 WHEN view_count <= 365 THEN 3 WHEN view_count <= 1095 THEN 4 WHEN view_count <= 2190 THEN 5 ELSE 6 END AS ord FROM questions WHERE question_id % 50 = 0) x")
+@query("ordered_output", f"SELECT CAST(row_number() OVER (ORDER BY owner_user_id NULLS FIRST, ord, question_id) AS INTEGER) AS place, question_id, bucket FROM (SELECT question_id, owner_user_id, {BUCKET.replace('tenure_days', 'view_count')} AS bucket, CASE WHEN view_count <= 7 THEN 0 WHEN view_count <= 30 THEN 1 WHEN view_count <= 180 THEN 2 WHEN view_count <= 365 THEN 3 WHEN view_count <= 1095 THEN 4 WHEN view_count <= 2190 THEN 5 ELSE 6 END AS ord FROM questions ) x")
 def q_ordered(t) -> DataFrame:
-    q = t["questions"].where("question_id % 50 = 0").withColumn("bucket", S.tenure_bucket(F.col("view_count")))
-    order = [F.asc_nulls_first("owner_user_id"), S.bucket_order(F.col("bucket")), "question_id"]
-    return q.orderBy(*order).select(F.row_number().over(Window.orderBy(*order)).alias("place"), "question_id", "bucket")
+    """Places in the global order, by ranges: no task sees more than its range."""
+    q = t["questions"].withColumn("bucket", S.tenure_bucket(F.col("view_count"))).withColumn("ord", S.bucket_order(F.col("bucket")))
+    return X.dense_ids(q, ["owner_user_id", "ord", "question_id", "bucket"], "place").select(F.col("place").cast("int").alias("place"), "question_id", "bucket")
 
 
 @query("result_merge", f"WITH {PROCESSED}, a AS (SELECT year, count(*) AS n FROM processed GROUP BY year), b AS (SELECT year, count(*) AS n FROM pre GROUP BY year) SELECT a.year, a.n AS n_base, b.n AS n_quality FROM a JOIN b ON a.year = b.year")
@@ -352,14 +358,27 @@ def q_finite(t) -> DataFrame:
 
 
 ANSWER_ROWS = """SELECT a.answer_id, a.parent_question_id AS question_id, a.owner_user_id AS answerer, q.owner_user_id AS asker, ({epoch:a.creation_date} - {epoch:q.creation_date}) / 6e7 AS minutes, dense_rank() OVER (PARTITION BY a.owner_user_id ORDER BY a.creation_date) AS sequence,
-  coalesce(b.active, 0) AS is_bounty, CASE WHEN a.creation_date < b.first THEN 1 ELSE 0 END AS before_bounty, CASE WHEN b.ended = 1 AND b.active = 0 THEN 1 ELSE 0 END AS after_bounty, v.amount, date_diff('day', CAST(u.registration_date AS DATE), CAST(a.creation_date AS DATE)) AS tenure_days, CASE WHEN q.accepted_answer_id = a.answer_id THEN 1 ELSE 0 END AS accepted
+  coalesce(b.active, 0) AS is_bounty, CASE WHEN a.creation_date < b.first THEN 1 ELSE 0 END AS before_bounty, CASE WHEN b.ended = 1 AND b.active = 0 THEN 1 ELSE 0 END AS after_bounty, CASE WHEN b.answer_id IS NULL THEN 0 ELSE 1 END AS ever_bounty, coalesce(v.amount, 0) AS amount, CASE WHEN g.awarded <= a.creation_date THEN 1 ELSE 0 END AS had_badge, date_diff('day', CAST(u.registration_date AS DATE), CAST(a.creation_date AS DATE)) AS tenure_days, CASE WHEN q.accepted_answer_id = a.answer_id THEN 1 ELSE 0 END AS accepted
   FROM answers a JOIN questions q ON q.question_id = a.parent_question_id LEFT JOIN (SELECT a2.answer_id, max(CASE WHEN a2.creation_date BETWEEN b2.bounty_start AND b2.bounty_end THEN 1 ELSE 0 END) AS active, min(b2.bounty_start) AS first, max(CASE WHEN a2.creation_date > b2.bounty_end THEN 1 ELSE 0 END) AS ended FROM answers a2 JOIN bounties b2 ON b2.question_id = a2.parent_question_id GROUP BY a2.answer_id) b ON b.answer_id = a.answer_id
-  LEFT JOIN (SELECT post_id, max(bounty_amount) AS amount FROM votes WHERE vote_type_id = 8 GROUP BY post_id) v ON v.post_id = q.question_id LEFT JOIN users u ON u.user_id = a.owner_user_id WHERE a.owner_user_id <> q.owner_user_id OR q.owner_user_id IS NULL"""
+  LEFT JOIN (SELECT post_id, max(bounty_amount) AS amount FROM votes WHERE vote_type_id = 8 GROUP BY post_id) v ON v.post_id = a.answer_id LEFT JOIN users u ON u.user_id = a.owner_user_id LEFT JOIN (SELECT user_id, min(awarded) AS awarded FROM badges WHERE name = 'Autobiographer' GROUP BY user_id) g ON g.user_id = a.owner_user_id WHERE a.owner_user_id <> q.owner_user_id OR q.owner_user_id IS NULL"""
 
 
-@query("answer_centred_rows", f"SELECT answer_id, question_id, answerer, asker, round(minutes, 6) AS minutes, sequence, is_bounty, before_bounty, after_bounty, amount, CAST(tenure_days AS INTEGER) AS tenure_days, accepted FROM ({ANSWER_ROWS}) x")
+@query("answer_centred_rows", f"SELECT answer_id, question_id, answerer, asker, round(minutes, 6) AS minutes, sequence, is_bounty, before_bounty, after_bounty, ever_bounty, amount, had_badge, CAST(tenure_days AS INTEGER) AS tenure_days, accepted FROM ({ANSWER_ROWS}) x")
 def q_answer_rows(t) -> DataFrame:
-    return R.answer_rows(t["answers"], t["questions"], t["bounties"], t["votes"], t["users"]).withColumn("minutes", F.round("minutes", 6))
+    return R.answer_rows(t["answers"], t["questions"], t["bounties"], t["votes"], t["users"], t["badges"]).withColumn("minutes", F.round("minutes", 6))
+
+
+MISSING = "missing AS (SELECT DISTINCT v.post_id AS question_id FROM votes v LEFT JOIN bounties b ON b.question_id = v.post_id WHERE v.vote_type_id = 8 AND b.question_id IS NULL)"
+
+
+@query("missing_bounty_ids", f"WITH {MISSING} SELECT question_id FROM missing")
+def q_missing_ids(t) -> DataFrame:
+    return R.missing_bounties(t["votes"], t["bounties"])
+
+
+@query("missing_bounty_flag", f"WITH {MISSING} SELECT q.question_id, q.owner_user_id, m.question_id IS NOT NULL AS missing_bounty FROM questions q LEFT JOIN missing m ON m.question_id = q.question_id")
+def q_missing_flag(t) -> DataFrame:
+    return R.with_missing_bounty(t["questions"].select("question_id", "owner_user_id"), R.missing_bounties(t["votes"], t["bounties"]))
 
 
 @query("accept_phases", "SELECT q.question_id, CASE WHEN CAST(v.ts AS DATE) = CAST(a.creation_date AS DATE) THEN {epoch:a.creation_date} ELSE {epoch:v.ts} END AS phase_two_start, {epoch:v.ts} + 86400000000 AS effective FROM questions q JOIN answers a ON a.answer_id = q.accepted_answer_id JOIN (SELECT post_id, min(creation_date) AS ts FROM votes WHERE vote_type_id = 1 GROUP BY post_id) v ON v.post_id = a.answer_id")
@@ -569,16 +588,23 @@ def q_match_propensity(t) -> DataFrame:
     return S.match(p.drop("score").join(score, "question_id"), caliper=0.05, k=100)
 
 
-@query("pooled_propensity")
-def q_pooled_propensity(t) -> DataFrame:
-    """Histogram by arm of one logistic model's scores, for the support plot."""
-    f = _fits()
-    p = X.winsorised(pre(t), ["body_len_chars", "title_len_chars"]).withColumn("one", F.lit(1.0))
-    fit = f.logit(p, "treated", ["one", "body_len_chars", "title_len_chars"], penalty=1.0)
+def pooled_scores(t) -> DataFrame:
+    """(question_id, treated, score) of one ridge logit over the pool, on z-scores; the intercept is free."""
+    from ..operators import scores
+
+    f, covs = _fits(), ["body_len_chars", "title_len_chars"]
+    p = kept(t, "pooled", lambda: scores.standardised(pre(t).select("question_id", "treated", *covs), covs).withColumn("one", F.lit(1.0)))
+    fit = f.logit(p, "treated", ["one", *covs], penalty=1.0)
     if fit is None:
-        return p.sparkSession.createDataFrame([], "treated int, bin int, n bigint")
+        return p.where("false").select("question_id", "treated", F.lit(0.0).alias("score"))
     eta = sum((F.col(c) * float(b) for c, b in zip(fit.names, fit.coef, strict=True)), F.lit(0.0))
-    return p.select("treated", F.least(F.floor(20 / (1 + F.exp(-eta))), F.lit(19)).cast("int").alias("bin")).groupBy("treated", "bin").agg(F.count("*").alias("n"))
+    return p.select("question_id", "treated", (1 / (1 + F.exp(-eta))).alias("score"))
+
+
+@query("pooled_propensity")
+def q_pooled_propensity(t) -> DataFrame:
+    """Histogram by arm of one logistic model's scores."""
+    return pooled_scores(t).groupBy("treated", F.least(F.floor(F.col("score") * 20), F.lit(19)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("regressions")
@@ -603,7 +629,7 @@ def q_effect_tests(t) -> DataFrame:
     return a.sparkSession.createDataFrame([("F", test["f"], float(test["df1"]), float(test["df2"]), test["p"]), ("Hausman", h["chi2"], float(h["df"]), None, h["p"])], "test string, statistic double, df1 double, df2 double, p double")
 
 
-ORACLE_ROUND = "SELECT question_id, owner_user_id, tags, view_count FROM questions WHERE question_id % 7 = 0"
+ORACLE_ROUND = "SELECT question_id, owner_user_id, tags, view_count FROM questions"
 
 
 def _files(t, name: str) -> str:
@@ -613,7 +639,7 @@ def _files(t, name: str) -> str:
 
 
 def _few(t) -> DataFrame:
-    return t["questions"].where("question_id % 7 = 0").select("question_id", "owner_user_id", "tags", "view_count")
+    return t["questions"].select("question_id", "owner_user_id", "tags", "view_count")
 
 
 @query("csv_round_trip", ORACLE_ROUND)
@@ -673,22 +699,67 @@ def q_latex(t) -> DataFrame:
     return files.read_latex_rows(spark, path, ["tag_name", "tag_frequency"]).where("tag_name <> 'tag_name'")
 
 
+def _lines(df: DataFrame):
+    quoted = lambda c: F.concat(F.lit(f' {c}="'), F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
+    return F.concat(F.lit("<row"), *[F.coalesce(quoted(c), F.lit("")) for c in df.columns], F.lit(" />"))
+
+
 def _dump(t, kind: str, df: DataFrame) -> DataFrame:
-    """``df`` written as a dump file, a row element a row, and read by the dump reader."""
+    """``df`` written as dump files, a document a task with a row element a line, and read by the dump reader."""
     from ..sources import dump
 
-    spark, path = df.sparkSession, _files(t, f"{kind}.xml")
-    quoted = lambda c: F.concat(F.lit(f' {c}="'), F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'))
-    line = F.concat(F.lit("<row"), *[F.coalesce(quoted(c), F.lit("")) for c in df.columns], F.lit(" />"))
-    parts = df.select(F.pmod(F.xxhash64("Id"), F.lit(4)).alias("part"), line.alias("line")).groupBy("part").agg(F.array_join(F.collect_list("line"), "\n").alias("lines"))
-    parts.select("part", F.concat(F.lit("<rows>\n"), "lines", F.lit("\n</rows>")).alias("value")).write.partitionBy("part").text(path)  # a document a file
-    return dump.read_xml(spark, f"{path}/*", kind)
+    def document(batches):
+        yield pa.RecordBatch.from_pydict({"value": ["<rows>"]})
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["value"])
+        yield pa.RecordBatch.from_pydict({"value": ["</rows>"]})
+
+    path = _files(t, f"{kind}.xml")
+    df.select(_lines(df).alias("value")).mapInArrow(document, "value string").write.text(path)
+    return dump.read_xml(df.sparkSession, path, kind)
+
 
+BODY = {"pre": '<pre class="x"><code>x < 1 & y</code></pre>', "post": '<ul><li>one</li></ul><blockquote>said <a href="u">so</a> <img src="i"> <code>y</code></blockquote>'}
+_CHARS, _K = "(40 + len(CAST(question_id AS VARCHAR)))", "(question_id % 4)"
+_BODY_SQL = {
+    "body_len_chars": f"{_CHARS} + 12 + 9 * {_K}", "body_len_words": "13", "n_code_blocks": _K, "n_inline_code": "1", "n_paragraphs": "1", "n_links": "1", "n_images": "1", "n_lists": "1", "n_blockquotes": "1",
+    "code_len_chars": f"9 * {_K}", "n_sentences": "2", "n_long_words": "1 + CASE WHEN len(CAST(question_id AS VARCHAR)) > 6 THEN 1 ELSE 0 END",
+}
 
-@query("xml_posts", "SELECT question_id AS Id, 1 AS PostTypeId, owner_user_id AS OwnerUserId, tags AS Tags, CAST(view_count AS INTEGER) AS ViewCount, CAST(6 + len(CAST(question_id AS VARCHAR)) AS INTEGER) AS title_len_chars, 2 AS title_len_words, 1 AS title_is_question FROM questions")
+
+@query("xml_posts", "SELECT question_id AS Id, 1 AS PostTypeId, owner_user_id AS OwnerUserId, tags AS Tags, CAST(view_count AS INTEGER) AS ViewCount, CAST(6 + len(CAST(question_id AS VARCHAR)) AS INTEGER) AS title_len_chars, 2 AS title_len_words, 1 AS title_is_question, " + ", ".join(f"CASE WHEN question_id % 9 > 0 THEN CAST({v} AS INTEGER) END AS {k}" for k, v in _BODY_SQL.items()) + f", CASE WHEN question_id % 9 > 0 THEN round({_CHARS} / 13.0, 2) END AS avg_word_len_chars FROM questions")
 def q_xml_posts(t) -> DataFrame:
-    q = t["questions"].select(F.col("question_id").alias("Id"), F.lit(1).alias("PostTypeId"), F.col("owner_user_id").alias("OwnerUserId"), F.col("tags").alias("Tags"), F.col("view_count").alias("ViewCount"), F.concat(F.lit("What "), F.col("question_id"), F.lit("?")).alias("Title"))
-    return _dump(t, "posts", q).select("Id", "PostTypeId", "OwnerUserId", "Tags", "ViewCount", "title_len_chars", "title_len_words", "title_is_question")
+    """Questions with titles and bodies: the sixteen metrics, whose values the body's making implies; every ninth has no body."""
+    body = F.concat(F.lit("<p>Why is item "), F.col("question_id"), F.lit(" broken? It fails &amp; stops.</p>"), F.expr("repeat('<pre class=\"x\"><code>x &lt; 1 &amp; y</code></pre>', cast(question_id % 4 as int))"), F.lit(BODY["post"]))
+    q = t["questions"].select(F.col("question_id").alias("Id"), F.lit(1).alias("PostTypeId"), F.col("owner_user_id").alias("OwnerUserId"), F.col("tags").alias("Tags"), F.col("view_count").alias("ViewCount"), F.concat(F.lit("What "), F.col("question_id"), F.lit("?")).alias("Title"), F.when(F.col("question_id") % 9 > 0, body).alias("Body"))
+    return _dump(t, "posts", q).select("Id", "PostTypeId", "OwnerUserId", "Tags", "ViewCount", "title_len_chars", "title_len_words", "title_is_question", *_BODY_SQL, "avg_word_len_chars")
+
+
+_DAMAGE = "CASE WHEN post_id % 10 = 3 THEN 'not XML' WHEN post_id % 10 = 4 THEN 'not a row' WHEN post_id % 10 = 5 THEN 'no Id' WHEN post_id % 10 = 6 THEN 'value' END"
+
+
+def _damaged(t) -> str:
+    """Votes as dump files in which some rows break off, are no rows, lack their Id or have a value that does not parse."""
+    path, v = _files(t, "damaged.xml"), t["votes"].select(F.col("post_id").alias("Id"), F.col("post_id").alias("PostId"), F.col("vote_type_id").cast("string").alias("VoteTypeId"))
+    kind = F.col("PostId") % 10
+    line = F.when(kind == 3, F.regexp_replace(_lines(v), ".{6}$", "")).when(kind == 4, "stray text").when(kind == 5, F.regexp_replace(_lines(v), '^<row Id="[0-9]*"', "<row")).when(kind == 6, F.regexp_replace(_lines(v), 'VoteTypeId="', 'VoteTypeId="x')).otherwise(_lines(v))
+    v.select(line.alias("value")).write.text(path)
+    return path
+
+
+@query("xml_kept_rows", f"SELECT post_id AS PostId, vote_type_id AS VoteTypeId, count(*) AS n FROM votes WHERE {_DAMAGE} IS NULL GROUP BY ALL")
+def q_xml_kept(t) -> DataFrame:
+    """What a damaged dump still gives (rows whose vote type does not parse are not of a kind that is kept)."""
+    from ..sources import dump
+
+    return dump.read_xml_kept(t["votes"].sparkSession, _damaged(t), "votes")[0].groupBy("PostId", "VoteTypeId").agg(F.count("*").alias("n"))
+
+
+@query("xml_broken_rows", f"SELECT {_DAMAGE} AS reason, CASE WHEN post_id % 10 = 6 THEN 'VoteTypeId' END AS columns, count(*) AS n FROM votes WHERE {_DAMAGE} IS NOT NULL GROUP BY ALL")
+def q_xml_broken(t) -> DataFrame:
+    from ..sources import dump
+
+    return dump.read_xml_kept(t["votes"].sparkSession, _damaged(t), "votes")[1].groupBy("reason", "columns").agg(F.count("*").alias("n"))
 
 
 @query("xml_votes", "SELECT post_id AS PostId, vote_type_id AS VoteTypeId, {epoch:creation_date} AS CreationDate FROM votes WHERE vote_type_id IN (1, 2, 3, 8, 9)")
@@ -716,10 +787,20 @@ def q_xml_edits(t) -> DataFrame:
     return _dump(t, "edits", e.unionByName(more)).select("Id", "PostHistoryTypeId", "PostId", "UserId")
 
 
-@query("xml_badges", "SELECT user_id AS Id, user_id AS UserId, 'Autobiographer' AS Name, CAST(1 + user_id % 3 AS INTEGER) AS Class FROM users")
+@query("xml_badges", "SELECT badge_id AS Id, user_id AS UserId, name AS Name, {epoch:awarded} AS Date, CAST(class AS INTEGER) AS Class FROM badges")
 def q_xml_badges(t) -> DataFrame:
-    b = t["users"].select(F.col("user_id").alias("Id"), F.col("user_id").alias("UserId"), F.lit("Autobiographer").alias("Name"), (1 + F.col("user_id") % 3).alias("Class"))
-    return _dump(t, "badges", b).select("Id", "UserId", "Name", "Class")
+    b = t["badges"].select(F.col("badge_id").alias("Id"), F.col("user_id").alias("UserId"), F.col("name").alias("Name"), F.date_format("awarded", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("Date"), F.col("class").alias("Class"))
+    return _dump(t, "badges", b).select("Id", "UserId", "Name", us("Date"), "Class")
+
+
+@query("prematch_record", f"WITH {PROCESSED} SELECT (SELECT string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) FROM (SELECT DISTINCT year AS y FROM pre) a) AS years, count(*) AS n_rows, count(CASE WHEN treated = 1 THEN 1 END) AS n_treated, count(CASE WHEN treated = 0 THEN 1 END) AS n_control, (SELECT count(*) FROM (SELECT DISTINCT year, main_tag FROM pre) b) AS n_strata, round(avg(body_len_chars), 6) AS mean, round(stddev_samp(body_len_chars), 6) AS sd FROM pre")
+def q_record(t) -> DataFrame:
+    """The record of the matching pool, written beside it as JSON and read back."""
+    from ..sources import dump
+
+    r = dump.write_record(S.prematch_record(pre(t), ["body_len_chars", "title_len_chars"]), _files(t, "prematch.json"))
+    z = F.col("z")[0]
+    return r.select(F.array_join(F.col("years").cast("array<string>"), ",").alias("years"), "n_rows", "n_treated", "n_control", "n_strata", F.round(z["mean"], 6).alias("mean"), F.round(z["sd"], 6).alias("sd"))
 
 
 @query("typed_columns", "SELECT question_id AS QuestionId, owner_user_id AS OwnerUserId, {epoch:creation_date} AS CreationDate, CAST(view_count AS VARCHAR) AS Score FROM questions")
@@ -730,11 +811,69 @@ def q_typed(t) -> DataFrame:
     return dump.typed(raw).withColumn("CreationDate", E.micros("CreationDate"))
 
 
-@query("schema_report", "SELECT CAST(position AS INTEGER) AS position, name, type FROM (VALUES (0, 'answer_id', 'bigint'), (1, 'parent_question_id', 'bigint'), (2, 'owner_user_id', 'bigint'), (3, 'score', 'int'), (4, 'body_len_chars', 'bigint')) x(position, name, type)")
+_ANSWER_TYPES = {"answer_id": "bigint", "parent_question_id": "bigint", "owner_user_id": "bigint", "score": "int", "body_len_chars": "bigint"}
+
+
+@query("schema_report", " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS name, '{k}' AS type, count(*) AS rows, count(*) - count({c}) AS nulls FROM answers" for i, (c, k) in enumerate(_ANSWER_TYPES.items())))
 def q_schema(t) -> DataFrame:
+    """Columns with their types, rows and nulls."""
     from ..sources import files
 
-    return files.schema_report(t["answers"].drop("creation_date")).select("position", "name", "type")
+    a = t["answers"].drop("creation_date")
+    counts = R.null_profile(a).select("name", F.col("n").alias("rows"), "nulls")
+    return files.schema_report(a).join(counts, "name").select("position", "name", "type", "rows", "nulls")
+
+
+_SESSIONS = """SELECT user_id, {epoch:min(ts)} AS started, {epoch:max(ts)} AS ended, count(*) AS n, round(sum(value), 6) AS total FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+    SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT event_id, ts, user_id, value FROM events WHERE ts IS NOT NULL) d) e) f GROUP BY user_id, s"""
+
+
+def _sessions(df: DataFrame) -> DataFrame:
+    return df.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n", F.round("total", 6).alias("total"))
+
+
+@query("event_sessions", _SESSIONS)
+def q_sessions(t) -> DataFrame:
+    from ..streaming import sessions
+
+    return _sessions(sessions.sessions(t["events"]))
+
+
+@query("event_sessions_streamed", _SESSIONS)
+def q_sessions_streamed(t) -> DataFrame:
+    """The same from a stream with a watermark that is fed in slices and started again on its checkpoint."""
+    from ..streaming import sessions
+
+    return _sessions(sessions.streamed(t["events"], _files(t, "stream")))
+
+
+CURVES = f"""{MATCHED}, sc AS (SELECT 'control' AS curve, score FROM pre WHERE treated = 0 UNION ALL SELECT 'treated', score FROM pre WHERE treated = 1 UNION ALL SELECT 'matched control', p.score FROM pairs m JOIN pre p ON p.question_id = m.control_id),
+st AS (SELECT curve, count(*) AS n, min(score) AS lo, max(score) AS hi, stddev_samp(score) * pow(count(*), -0.2) AS h FROM sc GROUP BY curve),
+ce AS (SELECT curve, (least(floor(score * 4096), 4095) + 0.5) / 4096 AS x, count(*) AS c FROM sc GROUP BY ALL),
+gr AS (SELECT curve, n, h, k AS point, lo - 3 * h + k * (hi - lo + 6 * h) / 49 AS at FROM st, (SELECT CAST(unnest(range(50)) AS INTEGER) AS k) x)"""
+
+
+def curves_of(scored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Scores by curve: controls and treated of the pool, and the controls of the pairs."""
+    arm = F.when(F.col("treated") == 1, "treated").otherwise("control")
+    return scored.select(arm.alias("curve"), "score").unionByName(pairs.select(F.col("control_id").alias("question_id")).join(scored, "question_id").select(F.lit("matched control").alias("curve"), "score"))
+
+
+@query("support_curves", f"WITH {CURVES} SELECT g.curve, g.point, round(g.at, 6) AS score, round(sum(c.c * exp(-((g.at - c.x) / g.h) * ((g.at - c.x) / g.h) / 2)) / (any_value(g.n) * any_value(g.h) * sqrt(2 * pi())), 6) AS density FROM gr g JOIN ce c ON c.curve = g.curve GROUP BY g.curve, g.point, g.at")
+def q_support(t) -> DataFrame:
+    """Densities of the closed-form score."""
+    from ..operators import scores
+
+    return scores.support_curves(curves_of(pre(t).select("question_id", "treated", "score"), pairs_of(t)), points=50).select("curve", "point", F.round("score", 6).alias("score"), F.round("density", 6).alias("density"))
+
+
+@query("support_of_model")
+def q_support_model(t) -> DataFrame:
+    """Densities of one pooled model's scores on plain z-scores, the model that the support plot uses."""
+    from ..operators import scores
+
+    return scores.support_curves(curves_of(pooled_scores(t), pairs_of(t)))
 
 
 __all__ = ["QUERIES"]

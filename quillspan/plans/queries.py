@@ -253,13 +253,15 @@ def q_reuse(t) -> DataFrame:
     return S.control_reuse(pairs_of(t)).select("controls", "max_reuse", *[F.round(c, 9).alias(c) for c in ("mean_reuse", "share_reused", "effective_n")])
 
 
-_SMD = "SELECT '{0}' AS covariate, (SELECT sqrt((var_samp({0}) FILTER (treated = 1) + var_samp({0}) FILTER (treated = 0)) / 2) FROM pre) AS sd, (SELECT avg({0}) FILTER (treated = 1) - avg({0}) FILTER (treated = 0) FROM pre) AS b, (SELECT avg(p.{0}) FILTER (s.treated = 1) - avg(p.{0}) FILTER (s.treated = 0) FROM side s JOIN pre p ON p.question_id = s.question_id) AS a"
+_ARMS = ", ".join(f"(SELECT avg(p.{{0}}) FILTER (p.treated = {k}) FROM pre p) AS {n}_unmatched, (SELECT avg(p.{{0}}) FILTER (s.treated = {k}) FROM side s JOIN pre p ON p.question_id = s.question_id) AS {n}_matched" for k, n in ((1, "treated"), (0, "control")))
+_SMD = "SELECT '{0}' AS covariate, (SELECT sqrt((var_samp({0}) FILTER (treated = 1) + var_samp({0}) FILTER (treated = 0)) / 2) FROM pre) AS sd, " + _ARMS
+_MEANS = ("treated_unmatched", "control_unmatched", "treated_matched", "control_matched")
 
 
-@query("balance", f"WITH {MATCHED}, side AS (SELECT treated_id AS question_id, 1 AS treated FROM pairs UNION ALL SELECT control_id, 0 FROM pairs) SELECT covariate, round(b / sd, 8) AS smd_unmatched, round(a / sd, 8) AS smd_matched FROM ({' UNION ALL '.join(_SMD.format(c) for c in ('body_len_chars', 'title_len_chars', 'score'))}) x")
+@query("balance", f"WITH {MATCHED}, side AS (SELECT treated_id AS question_id, 1 AS treated FROM pairs UNION ALL SELECT control_id, 0 FROM pairs) SELECT covariate, {', '.join(f'round({m}, 6) AS {m}' for m in _MEANS)}, round((treated_unmatched - control_unmatched) / sd, 8) AS smd_unmatched, round((treated_matched - control_matched) / sd, 8) AS smd_matched FROM ({' UNION ALL '.join(_SMD.format(c) for c in ('body_len_chars', 'title_len_chars', 'score'))}) x")
 def q_balance(t) -> DataFrame:
     b = S.balance(pre(t), pairs_of(t), ["body_len_chars", "title_len_chars", "score"])
-    return b.select("covariate", F.round("smd_unmatched", 8).alias("smd_unmatched"), F.round("smd_matched", 8).alias("smd_matched"))
+    return b.select("covariate", *[F.round(m, 6).alias(m) for m in _MEANS], F.round("smd_unmatched", 8).alias("smd_unmatched"), F.round("smd_matched", 8).alias("smd_matched"))
 
 
 @query("study_windows", f"WITH {WINDOWS} SELECT match_id, question_id, user_id, treated, CAST(tenure_days AS BIGINT) AS tenure_days, round(t_answer, 6) AS t_answer, round(t_end, 6) AS t_end FROM windows")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import body_metrics, title_metrics
+from .files import write_text
 
 #: Attributes of each file's rows and their types.
 FIELDS = {
@@ -30,12 +31,40 @@ def read_xml(spark: SparkSession, path: str, kind: str) -> DataFrame:
     schema = T.StructType([T.StructField(f"_{n}", T.StringType()) for n in names])
     rows = spark.read.format("xml").option("rowTag", "row").option("mode", "PERMISSIVE").schema(schema).load(path)
     df = rows.select(*(F.col(f"_{f.split()[0]}").try_cast(f.split()[1]).alias(f.split()[0]) for f in FIELDS[kind].split(", ")))
-    if kind in KEPT:
-        df = df.where(KEPT[kind])
-    if kind == "posts":
-        more = body_metrics(F.col("Body")) | title_metrics(F.col("Title"))
-        df = df.select(*(c for c in df.columns if c not in ("Body", "Title")), *(v.alias(k) for k, v in more.items()))
-    return df
+    return _kept(df, kind)
+
+
+def read_xml_kept(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a dump that may be damaged, and what is broken in it: (file, block, line, reason, columns, text).
+
+    A dump has a row element a line. A line that is no row element, or breaks off, is set aside whole ("not a row", "not XML"), as is a row without an Id ("no Id"); a row with values
+    that do not parse stays, with nulls, and is also noted with their columns ("value"). ``line`` counts the lines of the task's part of the file, which begins at byte ``block``.
+    The XML declaration and the outer element's two tags are no damage, nor are rows that the table does not keep.
+    """
+    fields = [f.split() for f in FIELDS[kind].split(", ")]
+    schema = T.StructType([*(T.StructField(f"_{n}", T.StringType()) for n, _ in fields), T.StructField("_broken", T.StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"))
+    text = F.trim(F.regexp_replace("value", "^\ufeff", ""))
+    outer = (text == "") | text.startswith("<?xml") | text.rlike(r"^</?[A-Za-z]+\s*>$")
+    x = lines.withColumn("_t", text).where(~outer).withColumn("_row", F.col("_t").rlike(r"^<row\b"))
+    whole = F.col("_row") & F.col("_t").rlike(r"(/>|</row\s*>)$")
+    x = x.withColumn("_x", F.when(whole, F.from_xml("_t", schema, {"rowTag": "row", "attributePrefix": "_", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})))
+    values = {n: F.col(f"_x._{n}").try_cast(k) for n, k in fields}
+    bad = F.filter(F.array(*[F.when(F.col(f"_x._{n}").isNotNull() & v.isNull(), F.lit(n)) for n, v in values.items()]), lambda c: c.isNotNull())
+    reason = F.when(~F.col("_row"), "not a row").when(~whole | F.col("_x._broken").isNotNull(), "not XML").when(values["Id"].isNull(), "no Id").when(F.size(bad) > 0, "value")
+    x = x.select("file", "block", "_at", "_t", reason.alias("reason"), bad.alias("columns"), *[v.alias(n) for n, v in values.items()])
+    good = x.where("reason IS NULL OR reason = 'value'").select(*values)
+    broken = x.where("reason IS NOT NULL").select("file", "block", (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("line"), "reason", F.when(F.col("reason") == "value", F.array_join("columns", ",")).alias("columns"), F.col("_t").alias("text"))
+    return _kept(good, kind), broken
+
+
+def _kept(df: DataFrame, kind: str) -> DataFrame:
+    """The rows that a table keeps; posts carry the metrics of their texts in place of the texts."""
+    df = df.where(KEPT[kind]) if kind in KEPT else df
+    if kind != "posts":
+        return df
+    more = body_metrics(F.col("Body")) | title_metrics(F.col("Title"))
+    return df.select(*(c for c in df.columns if c not in ("Body", "Title")), *(v.alias(k) for k, v in more.items()))
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -62,6 +91,15 @@ def write_by_hash(df: DataFrame, out: str, key: str, parts: int, salt: int = 1)
 
 
 def write_by_year(df: DataFrame, out: str, date: str) -> DataFrame:
-    """One folder a year; returns the rows a year, as the sink's record."""
+    """One folder a year; returns the rows a year, as the sink's record. Rows of a year lie in as many files as tasks had some."""
     df.withColumn("year", F.year(date)).write.mode("overwrite").partitionBy("year").parquet(out)
     return df.sparkSession.read.parquet(out).groupBy("year").agg(F.count("*").alias("n"))
+
+
+def write_record(record: DataFrame, path: str) -> DataFrame:
+    """A table's record, one row, as a JSON text beside it; read back with the record's own types."""
+    row = record.limit(2).select(F.to_json(F.struct(*record.columns)).alias("j")).collect()
+    if len(row) != 1:
+        raise ValueError("a record is one row")
+    write_text(record.sparkSession, path, row[0].j + "\n")
+    return record.sparkSession.read.schema(record.schema).json(path)

@@ -35,9 +35,14 @@ FROM orders LEFT JOIN (SELECT parent_question_id, min(answer_id) AS accepted_ans
     "votes": """
 SELECT a.answer_id AS post_id, 1 AS vote_type_id, a.creation_date + {days:1} AS creation_date, cast(NULL AS bigint) AS bounty_amount FROM answers0 a JOIN questions q ON q.accepted_answer_id = a.answer_id
 UNION ALL SELECT answer_id, 2, creation_date + {days:2}, NULL FROM answers0 WHERE status = 'O'
-UNION ALL SELECT parent_question_id, 8, creation_date, discount * 50 FROM answers0 WHERE discount > 8""",
+UNION ALL SELECT parent_question_id, 8, creation_date, discount * 50 FROM answers0 WHERE discount > 8
+UNION ALL SELECT answer_id, 8, creation_date + {days:3}, discount * 25 FROM answers0 WHERE discount = 7""",
     "users": """
 SELECT c_custkey AS user_id, cast('1994-06-01' AS timestamp_ntz) + {days:c_custkey * 37 % 1200} AS registration_date, cast(floor(c_acctbal) AS bigint) AS reputation FROM customer WHERE c_custkey % 50 <> 7""",
+    "badges": """
+SELECT user_id * 10 AS badge_id, user_id, 'Autobiographer' AS name, registration_date + {days:user_id % 900} AS awarded, 1 + user_id % 3 AS class FROM users WHERE user_id % 3 <> 0
+UNION ALL SELECT user_id * 10 + 1, user_id, 'Autobiographer', registration_date + {days:user_id % 700 + 50}, 1 FROM users WHERE user_id % 5 = 0
+UNION ALL SELECT user_id * 10 + 2, user_id, 'Teacher', registration_date, 2 FROM users""",
     "comments": """
 SELECT answer_id * 10 AS comment_id, parent_question_id AS post_id, (owner_user_id * 3) % 997 AS user_id, creation_date + {minutes:answer_id % 600} AS creation_date, answer_id % 3 AS score FROM answers0 WHERE answer_id % 5 = 0
 UNION ALL SELECT answer_id * 10 + 2, answer_id, (owner_user_id * 3) % 997, creation_date + {minutes:answer_id % 700}, answer_id % 3 FROM answers0 WHERE answer_id % 11 = 0""",

@@ -55,3 +55,15 @@ def test_xml_and_sinks(spark, tmp_path):
     assert sorted(map(tuple, dump.write_by_year(posts, str(tmp_path / "y"), "CreationDate").collect())) == [(2020, 1), (2021, 1)]
     raw = spark.createDataFrame([("5", "2020-01-01 00:00:00", "x"), ("no", None, "y")], "OwnerId string, creation_date string, note string")
     assert dict(dump.typed(raw).dtypes) == {"OwnerId": "bigint", "creation_date": "timestamp_ntz", "note": "string"}
+
+
+def test_damaged_dump(spark, tmp_path):
+    lines = ["﻿<?xml version='1.0'?>", "<votes>", """ <row Id="1" PostId="5" VoteTypeId="2" />""", """<row Id="2" PostId="5" Vote""", """<row Id="3" PostId="x" VoteTypeId="1"></row>""", """<row PostId="5" VoteTypeId="1" />""", "noise", """<row Id="9" PostId="1" VoteTypeId="7" />""", """<row Id="4" PostId="6 & 7" VoteTypeId="1" />""", """<rowling Id="8" />""", "", "</votes>"]
+    (tmp_path / "a.xml").write_text("\n".join(lines))
+    (tmp_path / "b.xml").write_text("")
+    good, broken = dump.read_xml_kept(spark, f"file://{tmp_path}", "votes")
+    assert sorted((r.Id, r.PostId) for r in good.collect()) == [(1, 5), (3, None)]
+    got = sorted((r.line, r.reason, r["columns"], r.text) for r in broken.collect())
+    assert [(r[0], r[1], r[2]) for r in got] == [(3, "not XML", None), (4, "value", "PostId"), (5, "no Id", None), (6, "not a row", None), (8, "not XML", None), (9, "not a row", None)]
+    assert got[3][3] == "noise" and all(r.file.endswith("a.xml") and r.block == 0 for r in broken.collect())
+    assert dump.read_xml_kept(spark, f"file://{tmp_path}/b.xml", "posts")[0].count() == 0
