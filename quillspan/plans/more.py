@@ -502,7 +502,7 @@ def q_cox_bins(t) -> DataFrame:
     return fit_rows(m.sparkSession, [(label, k, x) for k in ("A", "quality") for label, x in f.response_time_fits(m, f.SPECS[k])])
 
 
-NEWCOMER = F.col("tenure_bucket") == "< 1 Week"
+NEWCOMER = "tenure_bucket = '< 1 Week'"
 
 
 @query("cox_robustness")
@@ -510,7 +510,7 @@ def q_cox_robust(t) -> DataFrame:
     """The arrival term under observable controls, answer quality and score codings; the same for newcomers; and cohorts, over all and of newcomers."""
     f, m = _fits(), model_of(t)
     found = [("All", k, f.cox(m, f.SPECS[k])) for k in ("speed_asinh", "speed_bins", "speed_length", "speed_score", "speed_quality")]
-    member = F.when(NEWCOMER, F.array(F.lit("All"), F.lit("newcomers"))).otherwise(F.array(F.lit("All")))
+    member = F.when(F.expr(NEWCOMER), F.array(F.lit("All"), F.lit("newcomers"))).otherwise(F.array(F.lit("All")))
     found += [(s, k, x) for k in ("observable", "quality") for s, x in f.fit_models(m, f.SPECS[k], member).items()]
     found += [(s, "A", x) for s, x in f.cohort_fits(m, 1996).items()]
     return fit_rows(m.sparkSession, found, ["treated_active", "rt_active"])
