@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
@@ -17,6 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import removed_with_session
+
 # Worker functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__package__.split(".")[0]])
 
@@ -43,22 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession) -> str:
-    """This application's own folder in the shared one; it is removed when the driver's Python ends."""
+    """This application's own folder in the shared one; it is removed when the session stops, or else when the driver's Python ends."""
     path = f"{shared_dir(spark).rstrip('/')}/quillspan-{spark.sparkContext.applicationId}"
-    if path not in _OWN:
-        _OWN.add(path)
-        atexit.register(_leave, spark, path)
+    removed_with_session(spark, path)
     return path
 
 
-_OWN: set[str] = set()
-
-
-def _leave(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:  # else the session was stopped before
-        remove(spark, path)
-
-
 _MADE: list[str] = []
 
 
@@ -140,12 +131,6 @@ def unused(names: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def refuse_clash(df: DataFrame, *added: str) -> None:
-    """An input column of the name of a result column cannot be kept: say so at once."""
-    if both := {c.lower() for c in df.columns} & {a.lower() for a in added}:
-        raise ValueError(f"rename the input's columns {sorted(both)}: the result has columns of these names")
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -156,6 +141,11 @@ def held_out(doc_id: Column | str) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
+def chance(*columns: str) -> Column:
+    """A number from 0 to below 1 by a hash of the columns, in steps of 2**-53, so that any share of any number of rows can be asked for."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(2.0**53)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -170,10 +160,11 @@ def slices(column: pa.Array, limit: int) -> list[tuple[int, int]]:
 def modest_batches(spark: SparkSession, rows: int = 4000) -> None:
     """Whole texts go to workers ``rows`` a batch unless the session asks for another number than Spark's default.
 
-    A batch is held several times over, by the executor and by its worker; the number changes no result.
+    A batch is held several times over, by the executor and by its worker; the number changes no result. A number that the session or its configuration sets
+    itself, whatever it is, stays. The setting is read when a lazy plan runs, so it cannot be taken back here.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(name):
         spark.conf.set(name, str(rows))
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, lean, modest_batches, read, slices
+from ._common import chance, held_out, lean, modest_batches, read, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -66,7 +66,7 @@ def fit(labelled: DataFrame, max_docs_per_lang: int = 4000, max_words: int | Non
         return {"langs": []}
     pick = F.lit(False)
     for lang, p in share.items():
-        pick = pick | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < int(p * 1_000_000)))
+        pick = pick | ((F.col("lang") == lang) & (chance("text", "lang") < p))
     rows = labelled.where(pick).mapInArrow(lean(_count_words), "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     if max_words is not None:
         rows = rows.orderBy(F.desc("n"), "word", "lang").limit(max_words)
@@ -179,7 +179,10 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: dict, min_score: float = 0.3) -> DataFrame:
-    """Rows of ``docs``, unchanged and with all their columns, whose language is determined with at least ``min_score``."""
+    """Rows of ``docs``, unchanged and with all their columns, whose language is determined with at least ``min_score``.
+
+    Null, empty and letterless texts go, whatever else the row holds; a text of any length is read whole; repeated rows are judged alike, and an empty table stays empty.
+    """
     modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -204,5 +207,5 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language cannot be told are rejected."""
+    """Pipeline stage: documents whose language cannot be told (as in ``keep_identified``) are rejected."""
     return keep_identified(docs, fit(docs.select("doc_id", "text", "lang").where(~held_out("doc_id"))))

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, read
+from ._common import chance, held_out, read
 
 
 def statistics() -> dict[str, Column]:
@@ -99,7 +99,8 @@ def lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tu
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.002, seed: int = 7) -> dict:
     """Rules and weights from statistics ``x`` (rows by NAMES) and labels ``y`` in 0, 1.
 
-    Without rows the score is 0.5 everywhere; with one class alone it is that class's smoothed share.
+    Without rows the score is 0.5 everywhere; with one class alone it is that class's smoothed share. Of splits with equal gain the first drawn wins,
+    and of rules that hold for the same rows the first grown; both follow from ``seed`` and the order of the rows.
     """
     prior = (y.sum() + 0.5) / (len(y) + 1)
     base = float(np.log(prior / (1 - prior)))
@@ -139,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, **options)
     labels = labels.where("quality in (0, 1)").select("doc_id", "quality").distinct()
     n = labels.count()
     if n > max_rows:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(max_rows / n * 1_000_000))
+        labels = labels.where(chance("doc_id") < max_rows / n)
     rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
     got = with_statistics(rows, ["quality"]).toArrow()
     x = np.stack([got.column(f"s_{k}").to_numpy() for k in NAMES], axis=1).astype(float) if got.num_rows else np.zeros((0, len(NAMES)))
