@@ -178,7 +178,7 @@ def _search(key: np.ndarray, sa: np.ndarray, depth: int, lo: np.ndarray, hi: np.
 
 
 PLAIN = 1 << 24  # PLAIN + code point stands for a character that is no piece
-MEMO_PAIRS, MEMO_NEW, CACHE_UNITS, LONG_UNIT = 1_000_000, 10_000, 100_000, 64
+MEMO_PAIRS, MEMO_NEW, CACHE_UNITS, LONG_UNIT, WHOLE = 1_000_000, 10_000, 100_000, 64, 50_000
 
 
 class Memo:
@@ -238,14 +238,14 @@ def _relax(model: dict, memo: Memo, at: np.ndarray, end: np.ndarray, ids: np.nda
         token[q[ok]], back[q[ok]] = t[ok], p[ok]
 
 
-def _relax_long(model: dict, memo: Memo, at: np.ndarray, end: np.ndarray, ids: np.ndarray, token: np.ndarray, back: np.ndarray) -> None:
-    """The same, edge by edge in order of position: a long unit has too few edges an offset for whole-array steps."""
-    score, best = model["scores"], {}
+def _relax_long(model: dict, memo: Memo, at: np.ndarray, end: np.ndarray, ids: np.ndarray, token: np.ndarray, back: np.ndarray, best: np.ndarray | None) -> None:
+    """The same, edge by edge in order of position: a long unit has too few edges an offset for whole-array steps. ``best`` holds the sums of a unigram model."""
+    score = model["scores"]
     for p, q, t in zip(at.tolist(), end.tolist(), ids.tolist(), strict=True):
         left = int(token[p])
         if not model["merges"]:
-            total = (0.0 if left == -2 else best.get(p, -np.inf)) + (score[t] if t < PLAIN else -1e6)
-            if total > best.get(q, -np.inf):
+            total = (0.0 if left == -2 else best[p]) + (score[t] if t < PLAIN else -1e6)
+            if total > best[q]:
                 best[q], token[q], back[q] = total, t, p
         elif left != -1 and token[q] == -1:
             if left != -2:
@@ -254,8 +254,8 @@ def _relax_long(model: dict, memo: Memo, at: np.ndarray, end: np.ndarray, ids: n
             token[q], back[q] = t, p
 
 
-def segment(model: dict, memo: Memo, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of the units one after the other, and their number a unit."""
+def _all_edges(model: dict, units: list[str]) -> tuple[np.ndarray, ...]:
+    """(begin, end, token) of every edge, one-character edges for characters that are no piece included, and the unit starts and codes."""
     at, length, ids, starts, codes = edges(units, model["vocab"])
     bare = np.ones(len(codes), bool)
     bare[at[length == 1]] = False
@@ -263,7 +263,58 @@ def segment(model: dict, memo: Memo, units: list[str]) -> tuple[np.ndarray, np.n
     spots = np.flatnonzero(bare)
     at = np.concatenate([at, spots])
     end = at + np.concatenate([length, np.ones(len(spots), np.int64)])
-    ids = np.concatenate([ids, PLAIN + codes[spots].astype(np.int64)])
+    return at, end, np.concatenate([ids, PLAIN + codes[spots].astype(np.int64)]), starts, codes
+
+
+def _spelt(model: dict, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of tokens, characters that are no piece as their bytes (or the unknown token), and the number of ids a token."""
+    times, plain = np.ones(len(found), np.int64), np.flatnonzero(found >= PLAIN)
+    raw = {t: _raw(model, t) for t in np.unique(found[plain]).tolist()}
+    for i in plain.tolist():
+        times[i] = len(raw[int(found[i])])
+    flat = np.repeat(found, times)
+    spots = np.cumsum(times) - times
+    for i in plain.tolist():
+        flat[spots[i] : spots[i] + times[i]] = raw[int(found[i])]
+    return flat.astype(np.int32), times
+
+
+def segment_long(model: dict, memo: Memo, unit: str) -> np.ndarray:
+    """Token ids of one very long unit: edges are made for ``WHOLE`` characters at a time (and what a piece reaches beyond), so that memory beside 16 bytes a character does not grow with it."""
+    n, reach = len(unit), int(model["vocab"][0][-1]) if len(model["vocab"][0]) else 1
+    token, back = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int64)
+    best = None if model["merges"] else np.full(n + 1, -np.inf)
+    token[0] = -2
+    for a in range(0, n, WHOLE):
+        at, end, ids, _, _ = _all_edges(model, [unit[a : a + WHOLE + reach]])
+        own = np.flatnonzero(at < WHOLE)
+        own = own[np.argsort(at[own], kind="stable")]
+        _relax_long(model, memo, a + at[own], a + end[own], ids[own], token, back, best)
+        memo.settle()
+    used, here = np.zeros(n + 1, bool), n
+    while here > 0:
+        used[here] = True
+        here = int(back[here])
+    return _spelt(model, token[np.flatnonzero(used)])[0]
+
+
+def segment(model: dict, memo: Memo, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the units one after the other, and their number a unit."""
+    long = [i for i, u in enumerate(units) if len(u) > WHOLE]
+    if not long:
+        return _segment(model, memo, units)
+    apart = set(long)
+    short = [i for i in range(len(units)) if i not in apart]
+    flat, size = _segment(model, memo, [units[i] for i in short]) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    own = [segment_long(model, memo, units[i]) for i in long]
+    slot = np.empty(len(units), np.int64)
+    slot[[*short, *long]] = np.arange(len(units))
+    size = np.concatenate([size, np.array([len(x) for x in own], np.int64)])
+    return _gather(np.concatenate([flat, *own]), size, slot), size[slot]
+
+
+def _segment(model: dict, memo: Memo, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    at, end, ids, starts, codes = _all_edges(model, units)
     unit = np.repeat(np.arange(len(units)), np.diff(starts))
     token, back = np.full(len(codes) + 1, -1, np.int64), np.zeros(len(codes) + 1, np.int64)
     token[starts[:-1]] = -2  # a unit begins here
@@ -274,7 +325,7 @@ def segment(model: dict, memo: Memo, units: list[str]) -> tuple[np.ndarray, np.n
     _relax(model, memo, at[few], end[few], ids[few], np.concatenate([[0], np.cumsum(np.bincount(offset, minlength=1))]), token, back)
     many = np.flatnonzero(long)
     many = many[np.argsort(at[many], kind="stable")]
-    _relax_long(model, memo, at[many], end[many], ids[many], token, back)
+    _relax_long(model, memo, at[many], end[many], ids[many], token, back, None if model["merges"] else np.full(len(token), -np.inf))
     memo.settle()
     used, here = np.zeros(len(token), bool), starts[1:] - 1
     first = starts[:-1]
@@ -284,16 +335,8 @@ def segment(model: dict, memo: Memo, units: list[str]) -> tuple[np.ndarray, np.n
         used[here] = True
         here = back[here]
     ends = np.flatnonzero(used)
-    found, owner = token[ends], unit[ends - 1]
-    times = np.ones(len(found), np.int64)
-    for i in np.flatnonzero(found >= PLAIN).tolist():  # its bytes, or the unknown token
-        times[i] = len(_raw(model, found[i]))
-    flat = np.repeat(found, times)
-    if (flat >= PLAIN).any():
-        spots = np.cumsum(times) - times
-        for i in np.flatnonzero(found >= PLAIN).tolist():
-            flat[spots[i] : spots[i] + times[i]] = _raw(model, found[i])
-    return flat.astype(np.int32), np.bincount(owner, times, len(units)).astype(np.int64)
+    flat, times = _spelt(model, token[ends])
+    return flat, np.bincount(unit[ends - 1], times, len(units)).astype(np.int64)
 
 
 def _raw(model: dict, token: int) -> list[int]:
@@ -365,7 +408,7 @@ def decode_ids(table: pa.Array, ids: pa.ListArray) -> pa.Array:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, decoded: bool = False) -> DataFrame:
     """(id, ids) of every whole text, and with ``decoded`` the text that the ids decode to. Null or empty text has no token.
 
-    Repeated rows keep a row each, a text may be of any length (a unit of over ``LONG_UNIT`` characters is relaxed edge by edge), an
+    Repeated rows keep a row each, a text may be of any length (a unit of over ``LONG_UNIT`` characters is relaxed edge by edge, one of over ``WHOLE`` in pieces), an
     empty table gives no rows, and other columns play no part. The ids are those of the library for the same file. A text's own U+2581 is taken for a space, as
     there; every other text is restored exactly by :func:`decode`.
     """
@@ -391,7 +434,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", path: str = MODEL) -> DataFrame:
-    """(id, ids, text) with the text of every row's ids."""
+    """(id, ids, text) with the text of every row's ids.
+
+    Null and empty lists give ''; bytes that are no UTF-8 give U+FFFD; lists may be of any length, repeated rows keep a row each, an empty table gives no rows. An id that the
+    vocabulary lacks is an error.
+    """
     table = decoder(load(path))
 
     def run(batches):

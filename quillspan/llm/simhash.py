@@ -32,6 +32,7 @@ SLICE = 1 << 22  # bytes of text hashed at once
 WORDS = 5  # words a shingle of the pipeline stage
 HELD = 512  # shingles of a set that travel with it, as 32 bits each: up to so many whole, of larger sets the smallest hashes
 UNIT = 4096  # sets of a unit; larger units are met block by block
+LEADERS = 4  # sets of a large unit that meet all of its blocks
 BANDS, ROWS = 32, 5  # a pair of Jaccard 0.8 shares none of the bands with probability (1 - 0.8**5)**32 = 3e-6
 
 
@@ -413,11 +414,35 @@ def _alike(docs: DataFrame, text_col: str, pairs: DataFrame, tables: Tables) ->
     return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("src", "dst")
 
 
+def _large_units(large: DataFrame, linked, tables: Tables):
+    """Links of keys with more than ``UNIT`` sets (fp, key, n): stars first, then what these leave open.
+
+    A key's sets are dealt to blocks, and a few leading sets go to every block. Sets that this joins to a leader's group need not meet each other; each of the
+    others meets every block. So a key whose sets are mostly one group costs its sets a few times, however many they are, and no link between groups is missed.
+    """
+    blocks = F.ceil(F.col("n") / UNIT).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    leads = large.groupBy("key", "n").agg(F.array(*[F.min(F.struct(F.xxhash64("fp", F.lit(s)).alias("h"), "fp"))["fp"] for s in range(LEADERS)]).alias("leads"))
+    leads = tables.cut(leads)
+    everywhere = leads.select(F.explode(F.array_distinct("leads")).alias("fp"), "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"))
+    unit = F.xxhash64("key", "own").alias("unit")
+    stars_ = linked(large.withColumn("own", own).select("fp", unit).union(everywhere.select("fp", unit)))
+    yield stars_
+    groups = tables.cut(connected_components(stars_.where("sure").select("src", "dst")))
+    of = large.join(groups, large.fp == groups.node, "left").select("fp", "key", "n", F.coalesce("component", "fp").alias("group"))
+    heads = leads.select("key", F.col("leads")[0].alias("node")).join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("head"))
+    open_ = tables.cut(of.join(heads, "key").where(F.col("group") != F.col("head")).select("fp", "key", "n"))
+    left = open_.groupBy("key").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("parts"))
+    there = open_.join(left, "key").select("fp", "key", F.pmod(F.xxhash64("fp", F.lit(LEADERS)), "parts").alias("part"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"))
+    every = large.withColumn("own", own).join(left, "key").select("fp", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
+    yield linked(there.union(every).select("fp", F.xxhash64("key", "part", "own").alias("unit")))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component, component_id) as of ``near_duplicates``, linked by a five-word Jaccard of 0.8 or more.
 
     ``fp`` is the key of the shingle set, so equal sets are one from the start, and sets that share no band with another leave
-    at once. A unit is the sets of one band key (beyond ``UNIT`` sets, of two blocks of them); it gives only
+    at once. A unit is the sets of one band key (beyond ``UNIT`` sets, see ``_large_units``); it gives only
     links that span its groups. Texts without words are one component; null is an empty text; a text of any length is read whole;
     null and repeated ids keep a row each; an empty table gives no rows.
     """
@@ -443,13 +468,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = once.select("fp", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = tables.cut(members.join(shared, "key"))
-    blocks = F.ceil(F.col("n") / UNIT).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    units = members.withColumn("own", own).select("fp", "key", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    units = units.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
-    sets = prints.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("size").alias("size"), F.first("held").alias("held"))
-    dealt = units.join(sets, "fp").select("unit", "fp", "size", "held").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
-    found = tables.cut(dealt.mapInArrow(lean(_unit_links), "src long, dst long, sure boolean"))
+    sets = tables.cut(prints.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("size").alias("size"), F.first("held").alias("held")))
+
+    def linked(units: DataFrame) -> DataFrame:
+        """Links within units (unit, fp), written."""
+        dealt = units.join(sets, "fp").select("unit", "fp", "size", "held").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
+        return tables.cut(dealt.mapInArrow(lean(_unit_links), "src long, dst long, sure boolean"))
+
+    found = linked(members.where(F.col("n") <= UNIT).select("fp", F.xxhash64("key").alias("unit")))
+    large = members.where(F.col("n") > UNIT)
+    if large.limit(1).count():
+        for units in _large_units(large, linked, tables):
+            found = found.union(units)
     edges = found.where("sure").select("src", "dst")
     unsure = tables.cut(found.where("not sure").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     if unsure.limit(1).count():
