@@ -13,6 +13,7 @@ from .operators import events as E
 from .operators import features as X
 from .operators import fits, rates
 from .operators import study as S
+from .operators.quantiles import wide_quantiles
 from .sources import dump, files
 
 
@@ -120,25 +121,36 @@ def model_rows(spark: SparkSession, study: str, output: str, sample: int | None
 
 
 def _results(spark: SparkSession, fitted, output: str, name: str) -> str:
-    schema = "sample string, spec string, term string, coef double, se double, z double, p double, hr double, ci_lo double, ci_hi double, n_rows bigint, n_events bigint"
-    rows = [(s, k, t, *f.row(t).values(), f.n_rows, f.n_events) for s, k, f in fitted if f is not None for t in f.names]
+    """A row a term of each fit; a model without one has a row with the reason."""
+    schema = "sample string, spec string, term string, coef double, se double, z double, p double, hr double, ci_lo double, ci_hi double, n_rows bigint, n_events bigint, se_robust double, reason string"
+    rows = []
+    for s, k, f in fitted:
+        if f:
+            rows += [(s, k, t, *f.row(t).values(), f.n_rows, f.n_events, f.robust_se(t), None) for t in f.names]
+        else:
+            rows.append((s, k, *[None] * 8, *((f.n_rows, f.n_events) if f is not None else (None, None)), None, f.reason if f is not None else "no fit"))
     return files.write_csv(spark.createDataFrame(rows, schema).coalesce(1), f"{output.rstrip('/')}/{name}.csv")
 
 
-def cox_models(spark: SparkSession, rows: str, output: str) -> dict[str, str]:
-    """Models A and B pooled and by tenure bucket, and model A by response-time bin."""
-    m, specs = spark.read.parquet(rows), {k: fits.SPECS[k] for k in ("A", "B")}
-    out = {"tenure": _results(spark, fits.stratified(m, "tenure_bucket", specs), output, "results_tenure")}
-    out["bins"] = _results(spark, [(s, "A", f) for s, f in fits.response_time_fits(m)], output, "results_bins")
+def cox_models(spark: SparkSession, rows: str, output: str, cluster: bool = True) -> dict[str, str]:
+    """Models A and B pooled and by tenure bucket, and model A by response-time bin, with errors clustered by pair unless ``cluster`` is off."""
+    m, specs, by = spark.read.parquet(rows), {k: fits.SPECS[k] for k in ("A", "B")}, "match_id" if cluster else None
+    out = {"tenure": _results(spark, fits.stratified(m, "tenure_bucket", specs, cluster=by), output, "results_tenure")}
+    out["bins"] = _results(spark, [(s, "A", f) for s, f in fits.response_time_fits(m, cluster=by)], output, "results_bins")
     return out
 
 
-def bootstrap(spark: SparkSession, rows: str, output: str, scope: str | None = None, replicates: int = 100, seed: int = 42, first: int = 0) -> str:
-    """Replicates ``first`` to ``first + replicates`` of the pair bootstrap, of all rows or one tenure bucket, kept by (scope, replicate) when run again."""
+def bootstrap(spark: SparkSession, rows: str, output: str, scope: str | None = None, replicates: int = 100, seed: int = 42, first: int = 0, max_pairs: int | None = None) -> str:
+    """Replicates ``first`` to ``first + replicates`` of the pair bootstrap, of all rows or one tenure bucket, kept by (scope, replicate) when run again.
+
+    A replicate draws as many pairs as there are, with replacement; ``max_pairs`` first takes that many pairs at random.
+    """
     m = spark.read.parquet(rows)
     m = m if scope is None else m.where(F.col("tenure_bucket") == scope)
-    weights = S.poisson_weights(m, "match_id", first + replicates, seed).where(F.col("replicate") >= first)
-    new = [(scope or "All", r, *[f.row(t)["coef"] for t in ("treated_active", "treated_post_question")]) for r, f in fits.pair_bootstrap(m, weights) if f is not None]
+    if max_pairs is not None:
+        m = m.join(X.sample_ids(m, "match_id", max_pairs, seed), "match_id", "left_semi")
+    weights = S.multinomial_weights(m, "match_id", replicates, seed, first=first)
+    new = [(scope or "All", r, *[f.row(t)["coef"] for t in ("treated_active", "treated_post_question")]) for r, f in fits.pair_bootstrap(m, weights) if f]
     df, path = spark.createDataFrame(new, "scope string, replicate int, treated_active double, treated_post_question double"), f"{output.rstrip('/')}/bootstrap.parquet"
     if files.exists(spark, path):
         df = df.unionByName(spark.read.parquet(path).join(df.select("scope", "replicate"), ["scope", "replicate"], "left_anti"))
@@ -148,14 +160,18 @@ def bootstrap(spark: SparkSession, rows: str, output: str, scope: str | None = N
 def merge_bootstrap(spark: SparkSession, path: str) -> DataFrame:
     """Deviation and percentiles of the replicates of each scope and term."""
     b = spark.read.parquet(path).select("scope", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("coef")) for t in ("treated_active", "treated_post_question")])).alias("r")).select("scope", "r.*")
-    return b.groupBy("scope", "term").agg(F.count("coef").alias("n"), F.stddev_samp("coef").alias("sd"), F.percentile("coef", F.lit(0.025)).alias("lo"), F.percentile("coef", F.lit(0.975)).alias("hi"))
+    return b.groupBy("scope", "term").agg(F.count("coef").alias("n"), F.stddev_samp("coef").alias("sd"), F.percentile("coef", F.lit(0.025)).alias("lo"), F.percentile("coef", F.lit(0.975)).alias("hi"))  # a row a replicate
+
 
+ROBUSTNESS = {"observable": ["A", "observable"], "quality": ["B", "speed_length", "speed_score", "speed_quality"], "score_coding": ["speed_score", "speed_asinh", "speed_bins"], "newcomer": ["A", "observable", "B", "speed_length", "speed_score", "speed_quality"], "rt_bins_quality": ["quality"]}
+NEWCOMER = "tenure_bucket = '< 1 Week'"
 
-ROBUSTNESS = {"observable": ["A", "observable"], "quality": ["B", "speed_length", "speed_score", "speed_quality"], "score_coding": ["speed_score", "speed_asinh", "speed_bins"], "newcomer": ["A", "observable"], "rt_bins_quality": ["quality"]}
 
+def robustness(spark: SparkSession, rows: str, output: str, only: str = "all", study: str | None = None) -> dict[str, str]:
+    """The robustness families: observable controls, answer quality, score codings, newcomers, response-time bins with quality.
 
-def robustness(spark: SparkSession, rows: str, output: str, only: str = "all") -> dict[str, str]:
-    """The robustness families: observable controls, answer quality, score codings, newcomers, response-time bins with quality."""
+    With the folder of the ``study`` also ``composite`` (the outcome taken apart) and, only if it is asked for by name, the view-count ``placebo``.
+    """
     m, out = spark.read.parquet(rows), {}
     for name, specs in ROBUSTNESS.items():
         if only not in ("all", name):
@@ -163,18 +179,49 @@ def robustness(spark: SparkSession, rows: str, output: str, only: str = "all") -
         if name == "rt_bins_quality":
             fitted = [(s, "quality", f) for s, f in fits.response_time_fits(m, fits.SPECS["quality"])]
         else:
-            part = m.where("tenure_bucket = '< 1 Week'") if name == "newcomer" else m
+            part = m.where(NEWCOMER) if name == "newcomer" else m
             fitted = [("newcomers" if name == "newcomer" else "All", k, fits.cox(part, fits.SPECS[k])) for k in specs]
         out[name] = _results(spark, fitted, output, f"results_{name}")
+    if study is not None and only in ("all", "composite"):
+        w, h = _read(spark, study, "study_timelines", "study_events")
+        sets = [S.covariates(S.intervals(w, h.where(F.col("help_type").isin(kinds))), w).withColumn("outcome", F.lit(k)) for k, kinds in fits.OUTCOMES.items()]
+        whole = sets[0]
+        for s in sets[1:]:
+            whole = whole.unionByName(s)
+        out["composite"] = _results(spark, [(k, "A", f) for k, f in fits.fit_models(whole, fits.MAIN, F.array("outcome")).items()], output, "results_composite")
+    if study is not None and only == "placebo":
+        w, h = _read(spark, study, "study_timelines", "study_events")
+        views = w.where("treated = 0").select("match_id", "question_id", "t_start", "t_answer", "t_end", "view_count")
+        views = views.crossJoin(F.broadcast(wide_quantiles(views, ["view_count"], [0.5], lambda c, q: "m")))
+        split = X.pre_post(views.withColumn("high_view", (F.col("view_count") >= F.col("m")).cast("int")).drop("view_count", "m"), h).withColumn("high_view_post", F.col("high_view") * F.col("post"))
+        out["placebo"] = _results(spark, [("unanswered", "views", fits.cox(split, ["post", "high_view", "high_view_post"], cluster="match_id"))], output, "results_placebo")
     return out
 
 
 def cohorts(spark: SparkSession, rows: str, output: str, split_year: int = 2020) -> str:
-    """Model A before and from ``split_year``, over all and for newcomers."""
-    m, out = spark.read.parquet(rows), []
-    for name, side in (("before", F.col("question_year") < split_year), ("from", F.col("question_year") >= split_year)):
-        out += [(f"{name} {split_year}", "A", fits.cox(m.where(side), fits.MAIN)), (f"{name} {split_year}, newcomers", "A", fits.cox(m.where(side & (F.col("tenure_bucket") == "< 1 Week")), fits.MAIN))]
-    return _results(spark, out, output, "results_cohorts")
+    """Model A before and from ``split_year`` (or the year that stands in for it, see ``fits.cohort_fits``), over all and for newcomers."""
+    fitted = fits.cohort_fits(spark.read.parquet(rows), split_year)
+    return _results(spark, [(s, "A", f) for s, f in fitted.items()], output, "results_cohorts")
+
+
+def selection(spark: SparkSession, study: str, rows: str, output: str, fractions: list[float] | None = None) -> str:
+    """Selection bounds of the event-rate ratio after the question, over all and by tenure bucket, beside the fitted arrival ratios of models A and B."""
+    w, h = _read(spark, study, "study_timelines", "study_events")
+    n = h.where("t_event >= 0").groupBy("match_id", "question_id").agg(F.count("*").alias("n"))
+    units = w.join(n, ["match_id", "question_id"], "left").fillna(0, ["n"]).withColumn("scope", F.explode(F.array(S.tenure_bucket(F.col("tenure_days")), F.lit("All"))))
+    found = fits.stratified(spark.read.parquet(rows), "tenure_bucket", {k: fits.SPECS[k] for k in ("A", "B")})
+    keep = ("hr", "ci_lo", "ci_hi", "se", "p")
+    models = [(s, k, *[f.row("treated_active")[c] for c in keep]) for s, k, f in found if f]
+    table = spark.createDataFrame(models, "scope string, model string, hr double, ci_lo double, ci_hi double, se double, p double")
+    return files.write_csv(S.with_models(S.selection_bounds(units, fractions or [0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 1.0]), table).coalesce(1), f"{output.rstrip('/')}/results_selection.csv")
+
+
+def preperiod_placebo(spark: SparkSession, study: str, output: str, at: float = -24.0) -> str:
+    """Models A and B of newcomers with intervals cut at ``at`` hours and a term of the treated from there up to the question."""
+    w, h = _read(spark, study, "study_timelines", "study_events")
+    x = S.covariates(S.cut_intervals(S.intervals(w, h), at), w).where(NEWCOMER)
+    x = x.withColumn("treated_pre", ((F.col("start") >= at) & (F.col("start") < 0) & (F.col("treated") == 1)).cast("int"))
+    return _results(spark, [("newcomers", k, fits.cox(x, [*fits.SPECS[k], "treated_pre"])) for k in ("A", "B")], output, "results_preperiod")
 
 
 def help_rates(spark: SparkSession, study: str, output: str, bin_hours: float = 4.0, adoption_bin_hours: float = 2.0, adoption_max_hours: float = 24.0) -> dict[str, str]:

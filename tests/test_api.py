@@ -42,6 +42,12 @@ def test_stages(spark, built):
         boot = api.bootstrap(spark, rows, f"{base}/out", replicates=2)
     assert read(boot).groupBy("scope", "replicate").count().where("count > 1").count() == 0
     assert api.merge_bootstrap(spark, boot).columns == ["scope", "term", "n", "sd", "lo", "hi"]
+    more = [api.selection(spark, f"{base}/study", rows, f"{base}/out"), api.preperiod_placebo(spark, f"{base}/study", f"{base}/out")]
+    more += [api.robustness(spark, rows, f"{base}/out", only=k, study=f"{base}/study")[k] for k in ("composite", "placebo")]
+    head = [spark.read.csv(p, header=True).columns for p in more]
+    assert head[0][:2] == ["scope", "fraction"] and all(h[:3] == ["sample", "spec", "term"] and h[-1] == "reason" for h in head[1:])
+    some = api.bootstrap(spark, rows, f"{base}/some", replicates=1, first=3, max_pairs=5)
+    assert {r.replicate for r in read(some).collect()} <= {3}
     assert set(api.help_rates(spark, f"{base}/study", f"{base}/out")) == {"binned", "adoption", "stable"}
 
 
