@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Tables, free_shuffles, partitions, read
+from ._common import Tables, cut, free_shuffles, partitions, read
 
 DRAWS, LEVELS = 15, 3  # subsets drawn at each level, and levels that a text is hashed at
 
@@ -22,7 +22,7 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = 0.0005, max_share: float = 0.5, min_docs: int = 2) -> DataFrame:
+def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = 0.0005, max_share: float = 0.5, min_docs: int = 2, broadcast_copies: int = 1_000_000) -> DataFrame:
     """(h, mask) of every term found in ``min_share`` to ``max_share`` of the distinct texts of all rows.
 
     A text with many copies counts once and so keeps its terms; the band's top lies well above a third,
@@ -31,11 +31,20 @@ def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = 0.0005,
     level, up to 15, at which the drawing's subset keeps the term (a level keeps each term with half the chance of the one before), and above them the
     largest of these. As a share of at least ``min_share`` of the rows is asked for, the lexicon has at most (mean distinct terms
     of a row) / ``min_share`` terms, however many rows there are.
+
+    Texts are told apart by 128-bit hashes. Only those with copies move to be made one; up to ``broadcast_copies`` such hashes (16 bytes each) are
+    broadcast to find them, and with more all texts move by their hash.
     """
     text = F.col(f"`{text_col}`")
-    hashes = [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
-    total = docs.select(*hashes).distinct().count()
-    counts = docs.select(*hashes, text.alias("t")).dropDuplicates(["k1", "k2"]).select(F.explode(terms(F.col("t"))).alias("t")).groupBy(F.xxhash64("t").alias("h")).agg(F.count("*").alias("n"))
+    keyed = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.alias("t"))
+    keys = cut(keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies")))
+    total, several = keys.agg(F.count("*"), F.count_if(F.col("copies") > 1)).first()
+    if several <= broadcast_copies:
+        copied = F.broadcast(keys.where("copies > 1").select("k1", "k2"))
+        once = keyed.join(copied, ["k1", "k2"], "left_anti").unionByName(keyed.join(copied, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    else:
+        once = keyed.dropDuplicates(["k1", "k2"])
+    counts = once.select(F.explode(terms(F.col("t"))).alias("t")).groupBy(F.xxhash64("t").alias("h")).agg(F.count("*").alias("n"))
     band = counts.where((F.col("n") >= max(min_docs, min_share * total)) & (F.col("n") <= max_share * total))
     chance = lambda k: (F.shiftrightunsigned(F.xxhash64("h", F.lit(k)), 11) + 0.5) / F.lit(2.0**53)
     drawn = [F.least(F.lit(15), F.floor(-F.log2(chance(k)))).cast("long") for k in range(DRAWS)]

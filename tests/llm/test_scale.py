@@ -115,3 +115,13 @@ def test_training_with_doubled_labels_and_nulls(spark):
     model = quality.train(docs, labels)
     score = {r.doc_id: r.s for r in quality.with_statistics(docs, ["doc_id"]).select("doc_id", quality.compiled(model).alias("s")).collect()}
     assert score[11] > 0.5 > score[10]
+
+
+def test_lexicon_counts_each_text_once(spark):
+    from quillspan.llm import imatch
+
+    rows = [("a b c",)] * 50 + [("b c d",)] * 2 + [("c d e f",), ("c", ), (None,), ("",), ("",)]
+    df = spark.createDataFrame(rows, "text string").repartition(3)
+    got = [{r.h: r["mask"] for r in imatch.lexicon(df, "text", 0.0, 1.0, 2, limit).collect()} for limit in (10, 0)]
+    h = {r.t: r.h for r in spark.createDataFrame([(t,) for t in "abcdef"], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    assert got[0] == got[1] and set(got[0]) == {h["b"], h["c"], h["d"]}
