@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored, work_folder
 from .events import hours, micros, within
 from .features import dense_ids
-from .quantiles import wide_quantiles
+from .quantiles import cumulative_counts, wide_quantiles
 from .scores import propensity
 
 #: Right-closed tenure buckets, in days.
@@ -53,23 +54,25 @@ def match(df: DataFrame, caliper: float = 0.05, k: int = 100) -> DataFrame:
     Of the ``k`` nearest controls on ``score`` within the caliper, the one with the largest tag Jaccard, then
     the smallest distance, then the smallest id. A treated unit without a control in the caliper has no row.
 
-    A stratum's controls are numbered by score once; a treated unit meets the blocks of ``k`` controls next to its own place
-    on either side, 4 k rows at most, so the join is linear in the units and a large stratum is spread over its blocks.
+    A stratum's controls are numbered by score once, over ranges of (stratum, score, id), so that a large stratum is many tasks; a treated unit meets the blocks of
+    ``k`` controls next to its own place on either side, 4 k rows at most, so the join is linear in the units.
     """
     key = ["year", "main_tag", "num_tags"]
-    d = df.select(*key, "question_id", "treated", "score", "tag_ids")
-    by = Window.partitionBy(*key).orderBy("score", "treated_last", "id")
-    d = d.withColumn("treated_last", 1 - F.col("treated")).withColumn("id", F.col("question_id"))
-    place = F.sum(F.col("treated_last")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    falling = Window.partitionBy(*key).orderBy("score", "treated_last", F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("up", place).withColumn("down", F.sum("treated_last").over(falling))
+    spot = F.struct("score", (1 - F.col("treated")).alias("last"), F.col("question_id").alias("id"))
+    ranked = cumulative_counts(df.select(*key, spot.alias("v"), (1 - F.col("treated")).alias("_w")), key, "v", weight="_w")
+    ranked = ranked.select(*key, F.col("v.id").alias("question_id"), F.col("v.score").alias("score"), (1 - F.col("v.last")).alias("treated"), (F.col("before") + F.col("n")).alias("up"), "before", "n")
+    ranked = stored(ranked, work_folder(df.sparkSession), "ranked")
     # Above a unit come controls in (score, id) order, below it in (score, id descending) order: the nearer, then the smaller id.
-    control = d.where("treated = 0").select(*key, F.col("question_id").alias("control_id"), F.col("score").alias("c_score"), F.col("tag_ids").alias("c_tags"), F.explode(F.array(F.struct(F.lit(1).alias("side"), (F.col("up") - 1).alias("at")), F.struct(F.lit(0).alias("side"), (F.col("down") - 1).alias("at")))).alias("p"))
+    ties = ranked.where("n > 0").groupBy(*key, "score").agg(F.min("before").alias("_below"), F.count("*").alias("_tied"))
+    tags = df.select("question_id", F.col("tag_ids").alias("c_tags"))
+    control = ranked.where("treated = 0").join(ties, [*key, "score"]).withColumn("down", 2 * F.col("_below") + F.col("_tied") + 1 - F.col("up")).join(tags, "question_id")
+    sides = F.array(F.struct(F.lit(1).alias("side"), (F.col("up") - 1).alias("at")), F.struct(F.lit(0).alias("side"), (F.col("down") - 1).alias("at")))
+    control = control.select(*key, F.col("question_id").alias("control_id"), F.col("score").alias("c_score"), "c_tags", F.explode(sides).alias("p"))
     control = control.select(*key, "control_id", "c_score", "c_tags", "p.side", "p.at", F.floor(F.col("p.at") / k).alias("block"))
     first = F.col("up")  # the number of controls below
     block = lambda c: F.floor(c / k)
     reach = F.array(*(F.struct(F.lit(side).alias("side"), block(c).alias("block")) for side, c in ((1, first), (1, first + k - 1), (0, first - 1), (0, first - k))))
-    treated = d.where("treated = 1").select(*key, F.col("question_id").alias("treated_id"), "score", "tag_ids", "up", F.explode(F.array_distinct(reach)).alias("b")).select(*key, "treated_id", "score", "tag_ids", "up", "b.side", "b.block")
+    treated = ranked.where("treated = 1").join(df.select("question_id", "tag_ids"), "question_id").select(*key, F.col("question_id").alias("treated_id"), "score", "tag_ids", "up", F.explode(F.array_distinct(reach)).alias("b")).select(*key, "treated_id", "score", "tag_ids", "up", "b.side", "b.block")
     near = ((F.col("side") == 1) & (F.col("at") >= F.col("up")) & (F.col("at") < F.col("up") + k)) | ((F.col("side") == 0) & (F.col("at") < F.col("up")) & (F.col("at") >= F.col("up") - k))
     both = treated.join(control, [*key, "side", "block"]).where(near).withColumn("distance", F.abs(F.col("c_score") - F.col("score"))).where(F.col("distance") <= caliper)
     nearest = both.withColumn("place", F.row_number().over(Window.partitionBy("treated_id").orderBy("distance", "control_id"))).where(F.col("place") <= k)
