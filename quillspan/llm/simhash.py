@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component`` is the smallest fingerprint reachable and ``component_id`` the smallest non-null id
     reachable. Equal fingerprints (also those of texts without words, which are all zero) are in one
-    component. Repeated rows and repeated ids keep a row each.
+    component. Repeated rows and repeated ids keep a row each; null is an empty text, a text of any length is read whole, an empty table gives no rows.
     """
     prints = cut(fingerprints(docs, id_col, text_col, n))
     ids = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
@@ -524,5 +524,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of texts linked by a five-word Jaccard of 0.8 or more one document stays, with its columns unchanged."""
+    """Pipeline stage: of texts linked by a five-word Jaccard of 0.8 or more one document stays, with its columns unchanged (nulls, ties and repeats as in ``keep_one``)."""
     return keep_one(docs, find=near_copies, mark=set_key)

@@ -99,7 +99,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block_rows: in
 
     Queries are broadcast ``block_rows`` at a time, or fewer, so that a broadcast has at most ``block_bytes`` bytes, and meet every
     candidate where it lies; only each task's ``k`` best a query are shuffled. Shorter vectors are padded
-    with zeros. Rows with the query's own id are no candidates of it; other repeated ids each count, and equal scores go by id. Empty
+    with zeros; rows whose vector is null are to be left out before. Rows with the query's own id are no candidates of it; other repeated ids each count, and equal scores go by id. Empty
     inputs give no rows.
     """
     spark = queries.sparkSession
