@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import lean, read
+from ._common import cut, partitions, read
 
 BLOCK = 16  # dimensions added at once
 CANDIDATES, QUERIES = 2048, 512  # met at once
@@ -97,32 +97,35 @@ class Best:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block_rows: int = 16_384, block_bytes: int = 1 << 25) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's ``k`` best candidates but itself; all inputs have (vec_id, v).
 
-    Queries are broadcast ``block_rows`` at a time, or fewer, so that a broadcast has at most ``block_bytes`` bytes, and meet every
-    candidate where it lies; only each task's ``k`` best a query are shuffled. Shorter vectors are padded
+    Queries and candidates are dealt at random to blocks of at most about ``block_rows`` rows and ``block_bytes`` bytes, and each block of queries meets each block of candidates in one task;
+    of a meeting only each query's ``k`` best go on. Nothing passes the driver but counts. Shorter vectors are padded
     with zeros; rows whose vector is null are to be left out before. Rows with the query's own id are no candidates of it; other repeated ids each count, and equal scores go by id. Empty
     inputs give no rows.
     """
-    spark = queries.sparkSession
-    total, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    blocks = max(1, -(-total // max(1, min(block_rows, block_bytes // (8 * max(1, width))))))
-    found = None
-    for n in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n)
-        got = part.select("vec_id", "v").toArrow()
-        shared = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), _matrix(got.column("v"))))
-
-        def run(batches, shared=shared):
-            query_ids, q = shared.value
-            best = Best(q, query_ids, k)
-            for b in batches:
-                best.look(_matrix(b.column(1)), b.column(0).to_numpy())
-            for at in range(0, len(q), QUERIES):
-                n = [len(x) for x in best.ids[at : at + QUERIES]]
-                cols = [np.repeat(query_ids[at : at + QUERIES], n), np.concatenate(best.ids[at : at + QUERIES]), np.concatenate(best.scores[at : at + QUERIES])]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=["query_id", "vec_id", "score"])
-
-        hits = candidates.select("vec_id", "v").mapInArrow(lean(run), "query_id long, vec_id long, score long")
-        found = hits if found is None else found.union(hits)
+    queries, candidates = (cut(df.select("vec_id", "v", F.rand(9).alias("_u"))) for df in (queries, candidates))  # a written draw is the same wherever a plan puts it
+    width = F.coalesce(F.max(F.size("v")), F.lit(0))
+    (n_q, w_q), (n_c, w_c) = (df.agg(F.count("*"), width).first() for df in (queries, candidates))
+    rows = max(1, min(block_rows, block_bytes // (8 * max(1, w_q, w_c))))
+    q_blocks = max(1, -(-n_q // rows))
+    c_blocks = max(-(-n_c // rows), min(partitions(queries.sparkSession), -(-n_c // CANDIDATES)), 1)  # as many tasks as there are partitions, if there are rows for them
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        block = F.floor(F.col("_u") * blocks).cast("int").alias(own)
+        return df.select("vec_id", "v", block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
+        column = lambda t: _matrix(t.column("v"))
+        query_ids = q.column("vec_id").to_numpy()
+        best = Best(column(q), query_ids, k)
+        if c.num_rows and q.num_rows:
+            best.look(column(c), c.column("vec_id").to_numpy())
+        n = [len(x) for x in best.ids]
+        none = [np.zeros(0, np.int64)]
+        cols = {"query_id": np.repeat(query_ids, n), "vec_id": np.concatenate([*none, *best.ids]), "score": np.concatenate([*none, *best.scores])}
+        return pa.table({name: pa.array(x.astype(np.int64)) for name, x in cols.items()})
+
+    left, right = dealt(queries, "_q", q_blocks, "_c", c_blocks), dealt(candidates, "_c", c_blocks, "_q", q_blocks)
+    found = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(meet, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
