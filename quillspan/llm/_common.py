@@ -115,6 +115,16 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle_executors(spark: SparkSession) -> None:
+    """Have the executors collect their garbage now, before a stage that needs room beside Spark's heap.
+
+    Heap that earlier stages grew goes back to the system, and with it buffers outside the heap whose owners are gone. A task a core asks for it, so an
+    executor may be missed or asked twice; either changes no result.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a written table, which stays until the application ends."""
     return Tables(df.sparkSession).cut(df)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ASCII_SPACE, Tables, cut, lean, partitions, read, slices, unused
+from ._common import ASCII_SPACE, Tables, cut, lean, partitions, read, settle_executors, slices, unused
 
 KEY = ["h1", "h2"]
 SLICE = 1 << 23  # bytes of text taken apart at once
@@ -233,6 +233,7 @@ FROM lines l LEFT JOIN frequent f ON l.k = f.k GROUP BY doc_id
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: frequent lines leave the texts; ``n_chars`` follows (null for a null text); every document stays, with its own columns, repeated ones too (as in ``drop_frequent_lines``)."""
+    settle_executors(spark)
     out = drop_frequent_lines(docs, min_docs=10, min_chars=1)
     columns = [F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns)

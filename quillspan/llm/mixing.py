@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Tables, cut, read, unused
+from ._common import Tables, cut, read, unused, settle_executors
 
 BITS, DEPTH = 8, 3  # of a leaf's order, 2**8 slices are summed at each of three levels before any row is ranked
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -170,5 +170,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: 60 % of the tokens that are left, by target weights, no document twice."""
+    """Pipeline stage: 60 % of the tokens that are left, by target weights, no document twice (nulls, ties and repeats as in ``mix``)."""
+    settle_executors(spark)
     return mix(docs, levels(), WEIGHTS, budget=0.6, max_epochs=1).select(*[F.col(f"`{c}`") for c in docs.columns])

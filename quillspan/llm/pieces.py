@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lean, modest_batches, read
+from ._common import lean, modest_batches, read, settle_executors
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -456,5 +456,6 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: (doc_id, n_tokens, ids) of every document."""
+    """Pipeline stage, the last: (doc_id, n_tokens, ids) of every document, repeated ones too; a null text has no token."""
+    settle_executors(spark)
     return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Tables, connected_components, cut, lean, modest_batches, partitions, read, slices, unused
+from ._common import connected_components, cut, lean, modest_batches, partitions, read, settle_executors, slices, unused, Tables
 
 STEP = 8  # binary levels that one step of a split on the cluster takes
 CHUNK = 1 << 20  # node pairs expanded at once
@@ -470,6 +470,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = tables.cut(members.join(shared, "key"))
     sets = tables.cut(prints.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("size").alias("size"), F.first("held").alias("held")))
 
+    settle_executors(spark)
+
     def linked(units: DataFrame) -> DataFrame:
         """Links within units (unit, fp), written."""
         dealt = units.join(sets, "fp").select("unit", "fp", "size", "held").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
@@ -525,4 +527,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of texts linked by a five-word Jaccard of 0.8 or more one document stays, with its columns unchanged (nulls, ties and repeats as in ``keep_one``)."""
+    settle_executors(spark)
     return keep_one(docs, find=near_copies, mark=set_key)
