@@ -1 +1,8 @@
+"""Event-history analysis of question-and-answer data on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

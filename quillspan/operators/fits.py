@@ -157,32 +157,35 @@ def _fit(covs, free, b, v, n_rows, n_events, robust=None, **meta) -> Fit:
     return Fit([covs[i] for i in at], b[at], pick(v), int(n_rows), int(n_events), {**meta, "dropped": dropped}, pick(robust))
 
 
-def fit_models(df: DataFrame, covs: list[str], models: Column, grid: float = 1.0, penalty: float | None = None, ties: str = "efron", min_rows: int = 100, min_events: int = 10, cluster: str | None = None, weight: str | None = None, rounds: int = 60, extra: dict[str, Column] | None = None, max_local: int = 200_000) -> dict[str, Fit | NoFit]:
+def fit_models(df: DataFrame, covs: list[str], models: Column, grid: float = 1.0, penalty: float | None = None, ties: str = "efron", min_rows: int = 100, min_events: int = 10, cluster: str | None = None, weight: str | None = None, rounds: int = 60, max_local: int = 200_000) -> dict[str, Fit | NoFit]:
     """A fit, or the reason why there is none, for each model; ``models`` gives an array of the models that a row belongs to.
 
     All models' steps run together (see ``hazards``). Continuous covariates (but the speed terms) are clipped and scaled within each model; constant ones
-    are left out of its fit. ``extra`` are covariates that depend on the model, as columns that may name ``_model``. With ``cluster`` the fit has clustered errors
+    are left out of its fit. With ``cluster`` the fit has clustered errors
     too; ``weight`` counts a row that often. Rows that lack a covariate are left out.
     """
     penalty = default_penalty(covs, grid) if penalty is None else penalty
-    extra = extra or {}
     scaled = [c for c in covs if c in SCALED]
-    given = [c for c in covs if c not in extra]
     own = [c for c in dict.fromkeys([cluster, weight]) if c]
-    base = on_grid(df.withColumn("_models", models), grid).dropna(subset=given).where(F.size("_models") > 0)
-    base = base.select("_models", "start", "stop", "event", *dict.fromkeys([*given, *own]))
+    base = on_grid(df.withColumn("_models", models), grid).dropna(subset=covs).where(F.size("_models") > 0)
+    base = base.select("_models", "start", "stop", "event", *dict.fromkeys([*covs, *own]))
     count = (F.sum(weight) if weight else F.count("*")).alias("n")
-    if scaled or extra or cluster:
-        rows = base.withColumn("_model", F.explode("_models")).drop("_models").withColumns(extra)
+    if scaled or cluster:
+        rows = base.withColumn("_model", F.explode("_models")).drop("_models")
         rows = winsorised(rows, scaled, keys=["_model"]) if scaled else rows
         patterns_ = rows.groupBy("_model", "start", "stop", "event", *covs).agg(count)
     else:
         patterns_ = base.groupBy("_models", "start", "stop", "event", *covs).agg(count).withColumn("_model", F.explode("_models"))
+    return fit_patterns(patterns_, covs, penalty, ties, min_rows, min_events, rounds, max_local, rows if cluster else None, cluster, weight)
+
+
+def fit_patterns(patterns_: DataFrame, covs: list[str], penalty: float, ties: str = "efron", min_rows: int = 100, min_events: int = 10, rounds: int = 60, max_local: int = 200_000, rows: DataFrame | None = None, cluster: str | None = None, weight: str | None = None) -> dict[str, Fit | NoFit]:
+    """The fits of a table of patterns (_model, start, stop, event, n, covariates); ``rows`` are what clustered errors are summed over."""
     together = hazards.Models(patterns_, covs, ties, max_local)
     try:
         found = hazards.search(together, penalty, min_rows, min_events, rounds)
         points = {m: s.best for m, s in found.items() if isinstance(s, hazards.Search)}
-        meat = hazards.clustered_meat(rows, together, points, cluster, weight) if cluster and points else {}
+        meat = hazards.clustered_meat(rows, together, points, cluster, weight) if rows is not None and points else {}
         out: dict[str, Fit | NoFit] = {}
         for m, s in found.items():
             if isinstance(s, NoFit):
@@ -272,11 +275,19 @@ def pair_bootstrap(df: DataFrame, weights: DataFrame, covs: list[str] | None = N
     """A fit for each replicate of pair weights (match_id, replicate, weight), joined to the interval rows and collapsed, ``chunk`` replicates at a time."""
     covs = covs or MAIN
     numbers = sorted(r[0] for r in weights.select("replicate").distinct().collect())
-    rows, out = on_grid(df, grid).select("match_id", "start", "stop", "event", *covs).persist(), []
+    rows, out = on_grid(df, grid).dropna(subset=covs).select("match_id", "start", "stop", "event", *covs).persist(), []
     for k in range(0, len(numbers), chunk):
         now = numbers[k : k + chunk]
-        drawn = rows.join(weights.where(F.col("replicate").between(now[0], now[-1])), "match_id")
-        got = fit_models(drawn, covs, F.array(F.col("replicate").cast("string")), grid, weight="weight")
+        drawn = weights.where(F.col("replicate").isin(now))
+        if SCALED & set(covs):  # each replicate's columns have their own scale
+            got = fit_models(rows.join(drawn, "match_id"), covs, F.array(F.col("replicate").cast("string")), grid, weight="weight")
+        else:  # a pair's weights are an array, so that its rows are read once for all replicates
+            of_pair = F.map_from_entries(F.collect_list(F.struct("replicate", "weight")))
+            arrays = drawn.groupBy("match_id", "replicate").agg(F.sum("weight").alias("weight")).groupBy("match_id").agg(of_pair.alias("_m"))
+            arrays = arrays.select("match_id", F.array(*[F.coalesce(F.element_at("_m", F.lit(r).cast(drawn.schema["replicate"].dataType)), F.lit(0)) for r in now]).alias("_w"))
+            wide = rows.join(arrays, "match_id").groupBy("start", "stop", "event", *covs).agg(*[F.sum(F.col("_w")[i]).alias(f"_n{i}") for i in range(len(now))])
+            each = F.explode(F.array(*[F.struct(F.lit(str(r)).alias("_model"), F.col(f"_n{i}").alias("n")) for i, r in enumerate(now)])).alias("_e")
+            got = fit_patterns(wide.select("start", "stop", "event", *covs, each).select("_e.*", "start", "stop", "event", *covs).where("n > 0"), covs, default_penalty(covs, grid))
         out += [(r, got.get(str(r), NoFit("no rows"))) for r in now]
     rows.unpersist()
     return out
