@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Tables, cut, read, unused, settle_executors
+from ._common import Tables, cut, read, settle_executors, unused
 
 BITS, DEPTH = 8, 3  # of a leaf's order, 2**8 slices are summed at each of three levels before any row is ranked
 TOKEN = r"[^\x20\x09-\x0D]+"

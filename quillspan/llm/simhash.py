@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import connected_components, cut, lean, modest_batches, partitions, read, settle_executors, slices, unused, Tables
+from ._common import Tables, connected_components, cut, lean, modest_batches, partitions, read, settle_executors, slices, unused
 
 STEP = 8  # binary levels that one step of a split on the cluster takes
 CHUNK = 1 << 20  # node pairs expanded at once
