@@ -256,7 +256,7 @@ def q_stable(t) -> DataFrame:
 _SPAN = "span AS (SELECT min(t_start) AS lo, max(t_end) AS hi FROM windows)"
 
 
-@query("bin_edges", f"WITH {WINDOWS}, {_SPAN}, k AS (SELECT unnest(range(2000)) AS k) SELECT DISTINCT edge FROM (SELECT lo + 4.0 * k AS edge FROM span, k WHERE lo + 4.0 * k < 0 UNION ALL SELECT 4.0 * k FROM span, k WHERE 4.0 * k < hi + 2.0 AND k <= floor((hi + 2.0) / 4.0)) x")
+@query("bin_edges", f"WITH {WINDOWS}, {_SPAN}, k AS (SELECT unnest(range(2000)) AS k) SELECT DISTINCT CAST(edge AS DOUBLE) AS edge FROM (SELECT lo + 4.0 * k AS edge FROM span, k WHERE lo + 4.0 * k < 0 UNION ALL SELECT 4.0 * k FROM span, k WHERE 4.0 * k < hi + 2.0 AND k <= floor((hi + 2.0) / 4.0)) x")
 def q_edges(t) -> DataFrame:
     """Edges over the whole span of the study windows."""
     low, high = windows_of(t).agg(F.min("t_start"), F.max("t_end")).first()
