@@ -23,14 +23,6 @@ def others_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return answers.join(q, "parent_question_id").where("owner_user_id <> q_owner OR q_owner IS NULL")
 
 
-def first_answers(others: DataFrame, first_days: int = 7) -> DataFrame:
-    """The earliest non-negative answer within ``first_days``; else the earliest of any kind. Ties: smaller answer_id."""
-    good = F.col("score") >= 0
-    soon = micros("creation_date") <= micros("q_ts") + first_days * DAY
-    w = Window.partitionBy("parent_question_id").orderBy((~(good & soon)).cast("int"), "creation_date", "answer_id")
-    return others.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-
-
 def accept_votes(votes: DataFrame) -> DataFrame:
     """(answer_id, accepts, vote_ts): accept votes (type 1) of each post, counted, and the earliest."""
     return votes.where("vote_type_id = 1").groupBy(F.col("post_id").alias("answer_id")).agg(F.count("*").alias("accepts"), F.min("creation_date").alias("vote_ts"))
@@ -39,8 +31,8 @@ def accept_votes(votes: DataFrame) -> DataFrame:
 def answer_facts(questions: DataFrame, answers: DataFrame, votes: DataFrame, first_days: int = 7) -> DataFrame:
     """One row an answered question, in one grouped pass over the answers: flags, first answer, accepted answer.
 
-    Self-answers are told by the three-valued rule (see ``others_answers``). The first answer is that of
-    ``first_answers``, found as a minimum by (good and soon, time, id), so no question's answers are sorted.
+    Self-answers are told by the three-valued rule (see ``others_answers``). The first answer is the earliest non-negative one within ``first_days``, else the
+    earliest of any kind, ties to the smaller id; it is found as a minimum by (good and soon, time, id), so no question's answers are sorted.
     """
     q = questions.select(F.col("question_id").alias("parent_question_id"), F.col("owner_user_id").alias("q_owner"), F.col("creation_date").alias("q_ts"), "accepted_answer_id")
     a = answers.join(accept_votes(votes), "answer_id", "left").join(q, "parent_question_id")
