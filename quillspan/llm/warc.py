@@ -205,9 +205,12 @@ def http_payload(block: bytes) -> bytes:
 def records(raw, compressed: bool, wanted, payloads: bool):
     """(offset, headers, payload or None) of each record that ``wanted`` (of its columns) accepts; others are skipped unread."""
     stream = Members(raw) if compressed else Plain(raw)
-    while stream.more():
-        offset = stream.begin()
+    while True:
+        offset = stream.at()
         try:
+            if not stream.more():
+                return
+            offset = stream.begin()
             version, headers = read_headers(stream.line)
             if not version.startswith("WARC/"):
                 raise ValueError(f"no record: {version[:40]!r}")
