@@ -386,7 +386,7 @@ def test_mixing_of_equal_rows(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want, got = con.sql(ORACLE_SQL[name]), QUERIES[name](spark, SF)
     order = sorted(got.columns)
