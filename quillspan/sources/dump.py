@@ -44,17 +44,20 @@ def read_xml_kept(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame,
     fields = [f.split() for f in FIELDS[kind].split(", ")]
     schema = T.StructType([*(T.StructField(f"_{n}", T.StringType()) for n, _ in fields), T.StructField("_broken", T.StringType())])
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"))
-    text = F.trim(F.regexp_replace("value", "^\ufeff", ""))
-    outer = (text == "") | text.startswith("<?xml") | text.rlike(r"^</?[A-Za-z]+\s*>$")
-    x = lines.withColumn("_t", text).where(~outer).withColumn("_row", F.col("_t").rlike(r"^<row\b"))
-    whole = F.col("_row") & F.col("_t").rlike(r"(/>|</row\s*>)$")
-    x = x.withColumn("_x", F.when(whole, F.from_xml("_t", schema, {"rowTag": "row", "attributePrefix": "_", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})))
-    values = {n: F.col(f"_x._{n}").try_cast(k) for n, k in fields}
-    bad = F.filter(F.array(*[F.when(F.col(f"_x._{n}").isNotNull() & v.isNull(), F.lit(n)) for n, v in values.items()]), lambda c: c.isNotNull())
-    reason = F.when(~F.col("_row"), "not a row").when(~whole | F.col("_x._broken").isNotNull(), "not XML").when(values["Id"].isNull(), "no Id").when(F.size(bad) > 0, "value")
-    x = x.select("file", "block", "_at", "_t", reason.alias("reason"), bad.alias("columns"), *[v.alias(n) for n, v in values.items()])
-    good = x.where("reason IS NULL OR reason = 'value'").select(*values)
-    broken = x.where("reason IS NOT NULL").select("file", "block", (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("line"), "reason", F.when(F.col("reason") == "value", F.array_join("columns", ",")).alias("columns"), F.col("_t").alias("text"))
+    outer = (F.col("_t") == "") | F.col("_t").startswith("<?xml") | F.col("_t").rlike(r"^</?[A-Za-z]+\s*>$")
+    # what follows a generator is not merged into what comes before it: a line's text, its parts and its values are found once each
+    once = lambda df, **columns: df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    x = once(lines, _t=F.trim(F.regexp_replace("value", "^\ufeff", ""))).where(~outer)
+    row = F.col("_t").rlike(r"^<row\b")
+    whole = row & F.col("_t").rlike(r"(/>|</row\s*>)$")
+    x = once(x, _row=row, _x=F.when(whole, F.from_xml("_t", schema, {"rowTag": "row", "attributePrefix": "_", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})))
+    x = once(x, **{f"_v_{n}": F.col(f"_x._{n}").try_cast(k) for n, k in fields})
+    wrong = {n: F.col(f"_x._{n}").isNotNull() & F.col(f"_v_{n}").isNull() for n, _ in fields}
+    bad = F.concat_ws(",", *[F.when(w, F.lit(n)) for n, w in wrong.items()])
+    reason = F.when(~F.col("_row"), "not a row").when(F.col("_x").isNull() | F.col("_x._broken").isNotNull(), "not XML").when(F.col("_v_Id").isNull(), "no Id").when(bad != "", "value")
+    x = once(x.withColumn("columns", bad), reason=reason)
+    good = x.where("reason IS NULL OR reason = 'value'").select(*[F.col(f"_v_{n}").alias(n) for n, _ in fields])
+    broken = x.where("reason IS NOT NULL").select("file", "block", (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("line"), "reason", F.when(F.col("reason") == "value", F.col("columns")).alias("columns"), F.col("_t").alias("text"))
     return _kept(good, kind), broken
 
 
