@@ -16,3 +16,15 @@ def test_a_line_of_a_damaged_dump_is_parsed_once(spark, tmp_path):
     (tmp_path / "v.xml").write_text("<votes>\n<row Id='1' PostId='1' VoteTypeId='2' />\n</votes>")
     good, broken = dump.read_xml_kept(spark, str(tmp_path / "v.xml"), "votes")
     assert plan(good.groupBy("PostId").count()).count("from_xml(") == 1 and plan(broken.groupBy("reason", "columns").count()).count("from_xml(") == 1
+
+
+def test_history_counts_without_frames_by_range(spark):
+    at = datetime(2020, 1, 31)
+    log = [(1, "Question", at - timedelta(days=40)), (1, "Answer", at - timedelta(days=30)), (1, "Answer", at - timedelta(days=7, microseconds=1)), (1, "AcceptedAnswer", at - timedelta(microseconds=1)), (1, "Answer", at), (1, "Answer", None), (2, "Answer", at)]
+    log = spark.createDataFrame([(*r, 1) for r in log], "user_id long, event string, ts timestamp_ntz, is_history int")
+    targets = spark.createDataFrame([(10, 1, at), (11, 1, at), (20, 2, at), (30, 3, at), (40, 1, None)], "unit_id long, user_id long, at timestamp_ntz")
+    m = events.history_metrics(targets, log)
+    got = {r.unit_id: r for r in m.collect()}
+    assert len(got) == 5 and got[10].n_Answer_30D == 2 and got[10].n_Answer_7D == 0 and got[10].n_Answer_AT == 2 and got[10].n_Question_30D == 0 and got[10].n_AcceptedAnswer_7D == 1 and got[10].days_active == 40.0
+    assert got[11][1:] == got[10][1:] and all(v == 0 for k in (20, 30, 40) for v in got[k][1:])
+    assert "RangeFrame" not in plan(m)  # a frame that slides by range adds up all of its rows again for each row
