@@ -28,3 +28,14 @@ def test_history_counts_without_frames_by_range(spark):
     assert len(got) == 5 and got[10].n_Answer_30D == 2 and got[10].n_Answer_7D == 0 and got[10].n_Answer_AT == 2 and got[10].n_Question_30D == 0 and got[10].n_AcceptedAnswer_7D == 1 and got[10].days_active == 40.0
     assert got[11][1:] == got[10][1:] and all(v == 0 for k in (20, 30, 40) for v in got[k][1:])
     assert "RangeFrame" not in plan(m)  # a frame that slides by range adds up all of its rows again for each row
+
+
+def test_tables_are_made_when_they_are_read(spark, tmp_path):
+    for n in ("customer", "orders", "lineitem", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").write.parquet(f"{tmp_path}/{n}.parquet")
+    t = qa_tables(spark, str(tmp_path))
+    assert not set(t) & set(TABLES)
+    p = plan(t.unwritten("questions").select("question_id", "view_count"))
+    assert "Join" not in p and "Aggregate" not in p and not set(t) & set(TABLES)
+    assert t["users"].count() and set(t) & set(TABLES) == {"users"}
+    assert t["answers"].count() == t["lineitem"].count() and set(t) & set(TABLES) == {"users", "answers0", "answers"}
