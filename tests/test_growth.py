@@ -18,6 +18,12 @@ def test_a_line_of_a_damaged_dump_is_parsed_once(spark, tmp_path):
     assert plan(good.groupBy("PostId").count()).count("from_xml(") == 1 and plan(broken.groupBy("reason", "columns").count()).count("from_xml(") == 1
 
 
+def test_frequencies_of_unlike_lengths_come_in_the_order_of_the_sql(spark):
+    q = spark.createDataFrame([(i, "<a>" if i < 10 else "<b>") for i in range(19)], "question_id long, tags string")
+    ids = more.q_latex({"questions": q.union(spark.createDataFrame([(100 + i, f"<t{i}>") for i in range(7)], q.schema))})
+    assert [tuple(r) for r in ids.collect()] == [("b", "9"), ("a", "10"), *((f"t{i}", "1") for i in range(6))]
+
+
 def test_history_counts_without_frames_by_range(spark):
     at = datetime(2020, 1, 31)
     log = [(1, "Question", at - timedelta(days=40)), (1, "Answer", at - timedelta(days=30)), (1, "Answer", at - timedelta(days=7, microseconds=1)), (1, "AcceptedAnswer", at - timedelta(microseconds=1)), (1, "Answer", at), (1, "Answer", None), (2, "Answer", at)]
