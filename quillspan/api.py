@@ -184,10 +184,7 @@ def robustness(spark: SparkSession, rows: str, output: str, only: str = "all", s
         out[name] = _results(spark, fitted, output, f"results_{name}")
     if study is not None and only in ("all", "composite"):
         w, h = _read(spark, study, "study_timelines", "study_events")
-        sets = [S.covariates(S.intervals(w, h.where(F.col("help_type").isin(kinds))), w).withColumn("outcome", F.lit(k)) for k, kinds in fits.OUTCOMES.items()]
-        whole = sets[0]
-        for s in sets[1:]:
-            whole = whole.unionByName(s)
+        whole = S.phases(S.intervals_of_sets(w, h, fits.OUTCOMES))
         out["composite"] = _results(spark, [(k, "A", f) for k, f in fits.fit_models(whole, fits.MAIN, F.array("outcome")).items()], output, "results_composite")
     if study is not None and only == "placebo":
         w, h = _read(spark, study, "study_timelines", "study_events")

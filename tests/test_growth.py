@@ -59,3 +59,15 @@ def test_matching_sorts_no_rows_of_pairs(spark):
         best = min((-alike(t[6], tags), d, i) for d, i, tags in near)
         want.append((t[0], best[2], best[1], -best[0]))
     assert sorted(tuple(r) for r in pairs.collect()) == want
+
+
+def test_intervals_of_all_sets_come_from_one_pass(spark):
+    w = spark.createDataFrame([(1, 1, 1, -48.0, 0.0, 3.0, 51.0), (1, 2, 0, -48.0, 0.0, None, None)], "match_id long, question_id long, treated int, t_start double, t_question double, t_answer double, t_end double")
+    e = spark.createDataFrame([(1, 1, 3.0, "answer"), (1, 1, 5.0, "edit"), (1, 1, 5.0, "edit"), (1, 1, -3.0, "comment")], "match_id long, question_id long, t_event double, help_type string")
+    x = study.phases(study.intervals_of_sets(w, e, {"a": ["answer"], "both": ["answer", "edit"]}))
+    assert "lead(" not in plan(x) and plan(x).count("Join ") == 1 and "lead(" not in plan(study.intervals(w, e))
+    got = sorted((r.outcome, r.question_id, r.start, r.stop, r.event, r.post_question, r.treated_active) for r in x.collect())
+    assert got == [
+        ("a", 1, -48.0, 0.0, 0, 0, 0), ("a", 1, 0.0, 3.0, 1, 1, 0), ("a", 1, 3.0, 51.0, 0, 1, 1), ("a", 2, -48.0, 0.0, 0, 0, 0),
+        ("both", 1, -48.0, 0.0, 0, 0, 0), ("both", 1, 0.0, 3.0, 1, 1, 0), ("both", 1, 3.0, 5.0, 1, 1, 1), ("both", 1, 5.0, 51.0, 0, 1, 1), ("both", 2, -48.0, 0.0, 0, 0, 0),
+    ]
