@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hazards
-from .features import response_bins, winsorised
+from .features import response_bins
 from .hazards import NoFit
-from .quantiles import wide_quantiles
+from .quantiles import model_scales, wide_quantiles
 from .scores import mixed_model
 
 MAIN = ["treated", "post_question", "treated_post_question", "post", "treated_active"]
@@ -102,29 +102,6 @@ _pairs = hazards.pairs_of
 _driver_sums = hazards.local_sums
 
 
-def _cluster_sums(rows: DataFrame, covs: list[str]):
-    """The same sums by one aggregation a step; a row a time and kind comes to the driver."""
-    p = len(covs)
-    x = [F.col(c).cast("double") for c in covs]
-    marks = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("stop").alias("t"), (F.lit(1) + F.col("event")).alias("kind"))))
-
-    def sums(b):
-        eta = sum((c * float(v) for c, v in zip(x, b, strict=True)), F.lit(0.0))
-        r = F.col("n") * F.exp(F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0)))
-        m = rows.select("start", "stop", "event", "n", *covs, r.alias("r")).select("*", marks.alias("m"))
-        cols = [F.sum("r"), *[F.sum(F.col("r") * c) for c in x], *[F.sum(F.col("r") * x[i] * x[j]) for i, j in _pairs(p)], F.sum("n").cast("double"), *[F.sum(F.col("n") * c) for c in x]]
-        got = m.groupBy(F.col("m.t").alias("t"), F.col("m.kind").alias("kind")).agg(*[c.alias(f"s{i}") for i, c in enumerate(cols)]).toPandas()
-        times, k = np.unique(got.t), 1 + p + len(_pairs(p))
-        at, v = np.searchsorted(times, got.t.to_numpy()), got.filter(regex="^s").to_numpy(float)
-        kinds = [np.zeros((len(times), v.shape[1])) for _ in range(3)]
-        for kind in range(3):
-            s = got.kind.to_numpy() == kind
-            kinds[kind][at[s]] = v[s]
-        return times, kinds[0][:, :k], (kinds[1] + kinds[2])[:, :k], kinds[2][:, :k], kinds[2][:, k:]
-
-    return sums
-
-
 class NotConverged(ValueError):
     """The penalised likelihood has no maximum that the search could reach."""
 
@@ -169,19 +146,19 @@ def fit_models(df: DataFrame, covs: list[str], models: Column, grid: float = 1.0
     own = [c for c in dict.fromkeys([cluster, weight]) if c]
     base = on_grid(df.withColumn("_models", models), grid).dropna(subset=covs).where(F.size("_models") > 0)
     base = base.select("_models", "start", "stop", "event", *dict.fromkeys([*covs, *own]))
-    count = (F.sum(weight) if weight else F.count("*")).alias("n")
-    if scaled or cluster:
-        rows = base.withColumn("_model", F.explode("_models")).drop("_models")
-        rows = winsorised(rows, scaled, keys=["_model"]) if scaled else rows
-        patterns_ = rows.groupBy("_model", "start", "stop", "event", *covs).agg(count)
+    scale = {}
+    if scaled:  # rows hardly repeat, and each model has its own scale: they are kept as they are, once for all their models
+        found = model_scales(base, scaled, "_models")
+        scale = {m: {covs.index(c): s for c, s in of.items()} for m, of in found.items()}
+        patterns_ = base.withColumn("n", F.col(weight).cast("double") if weight else F.lit(1.0))
     else:
-        patterns_ = base.groupBy("_models", "start", "stop", "event", *covs).agg(count).withColumn("_model", F.explode("_models"))
-    return fit_patterns(patterns_, covs, penalty, ties, min_rows, min_events, rounds, max_local, rows if cluster else None, cluster, weight)
+        patterns_ = base.groupBy("_models", "start", "stop", "event", *covs).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    return fit_patterns(patterns_, covs, penalty, ties, min_rows, min_events, rounds, max_local, base if cluster else None, cluster, weight, scale)
 
 
-def fit_patterns(patterns_: DataFrame, covs: list[str], penalty: float, ties: str = "efron", min_rows: int = 100, min_events: int = 10, rounds: int = 60, max_local: int = 200_000, rows: DataFrame | None = None, cluster: str | None = None, weight: str | None = None) -> dict[str, Fit | NoFit]:
-    """The fits of a table of patterns (_model, start, stop, event, n, covariates); ``rows`` are what clustered errors are summed over."""
-    together = hazards.Models(patterns_, covs, ties, max_local)
+def fit_patterns(patterns_: DataFrame, covs: list[str], penalty: float, ties: str = "efron", min_rows: int = 100, min_events: int = 10, rounds: int = 60, max_local: int = 200_000, rows: DataFrame | None = None, cluster: str | None = None, weight: str | None = None, scale: dict[str, dict] | None = None) -> dict[str, Fit | NoFit]:
+    """The fits of a table of patterns (_models, start, stop, event, n, covariates; see ``hazards.Models``); ``rows`` are what clustered errors are summed over."""
+    together = hazards.Models(patterns_, covs, ties, max_local, scale)
     try:
         found = hazards.search(together, penalty, min_rows, min_events, rounds)
         points = {m: s.best for m, s in found.items() if isinstance(s, hazards.Search)}
@@ -192,7 +169,7 @@ def fit_patterns(patterns_: DataFrame, covs: list[str], penalty: float, ties: st
                 out[m] = s
                 continue
             stats, v = together.stats[m], hazards.inverse(s.info)
-            out[m] = _fit(covs, s.free, s.best, v, stats.rows, stats.events, v @ meat[m] @ v if m in meat else None)
+            out[m] = _fit(covs, s.free, s.best, v, stats.rows, stats.events, v @ meat[m] @ v if m in meat else None, patterns=stats.patterns)
         return out
     finally:
         together.close()
@@ -204,38 +181,12 @@ def cox(df: DataFrame, covs: list[str], grid: float = 1.0, penalty: float | None
     Continuous covariates (but the speed terms) are clipped at their 5th and 95th percentiles and scaled first, constant ones left out. With
     ``collapsed`` the input is already a table of patterns. ``cluster`` adds errors clustered by that column.
     """
-    penalty = default_penalty(covs, grid) if penalty is None else penalty
+    penalty, one = default_penalty(covs, grid) if penalty is None else penalty, F.array(F.lit("All"))
     if collapsed:
-        rows = df
-    elif cluster:
-        return fit_models(df, covs, F.array(F.lit("All")), grid, penalty, ties, min_rows, min_events, cluster).get("All") or None
+        got = fit_patterns(df.withColumn("_models", one), covs, penalty, ties, min_rows, min_events, max_local=max_patterns)
     else:
-        scaled = [c for c in covs if c in SCALED]
-        base = on_grid(df, grid).dropna(subset=covs)
-        rows = patterns(winsorised(base, scaled) if scaled else base, covs, grid)
-    rows = rows.select("start", "stop", "event", "n", *covs).persist()
-    try:
-        x = [F.col(c).cast("double") for c in covs]
-        n_patterns, n_rows, n_events, *stats = rows.agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * F.col("event")), *[F.sum(F.col("n") * c) / F.sum("n") for c in x], *[F.max(c) - F.min(c) for c in x]).first()
-        if not n_rows or n_rows < min_rows or n_events < min_events:
-            return None
-        means, range_ = stats[: len(covs)], np.array(stats[len(covs) :], float)
-        centred = rows.select("start", "stop", "event", "n", *[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(covs, means, strict=True)])
-        if n_patterns <= max_patterns:
-            t = centred.toPandas()
-            sums = _driver_sums(t.start.to_numpy(float), t.stop.to_numpy(float), t.event.to_numpy(), t[covs].to_numpy(float), t.n.to_numpy(float))
-        else:
-            sums = _cluster_sums(centred, covs)
-        free = range_ > hazards.FLAT
-        try:
-            b, v = newton(sums, len(covs), float(n_rows), ties, penalty, free=free)
-        except NotConverged:
-            return None
-        if (np.abs(b) * range_ > hazards.STEEP).any():
-            return None
-        return _fit(covs, free, b, v, n_rows, n_events, patterns=n_patterns)
-    finally:
-        rows.unpersist()
+        got = fit_models(df, covs, one, grid, penalty, ties, min_rows, min_events, cluster, max_local=max_patterns)
+    return got.get("All") or None
 
 
 def stratified(df: DataFrame, by: str, specs: dict[str, list[str]], grid: float = 1.0, cluster: str | None = None) -> list[tuple[str, str, Fit | NoFit]]:
@@ -286,8 +237,8 @@ def pair_bootstrap(df: DataFrame, weights: DataFrame, covs: list[str] | None = N
             arrays = drawn.groupBy("match_id", "replicate").agg(F.sum("weight").alias("weight")).groupBy("match_id").agg(of_pair.alias("_m"))
             arrays = arrays.select("match_id", F.array(*[F.coalesce(F.element_at("_m", F.lit(r).cast(drawn.schema["replicate"].dataType)), F.lit(0)) for r in now]).alias("_w"))
             wide = rows.join(arrays, "match_id").groupBy("start", "stop", "event", *covs).agg(*[F.sum(F.col("_w")[i]).alias(f"_n{i}") for i in range(len(now))])
-            each = F.explode(F.array(*[F.struct(F.lit(str(r)).alias("_model"), F.col(f"_n{i}").alias("n")) for i, r in enumerate(now)])).alias("_e")
-            got = fit_patterns(wide.select("start", "stop", "event", *covs, each).select("_e.*", "start", "stop", "event", *covs).where("n > 0"), covs, default_penalty(covs, grid))
+            each = wide.select("start", "stop", "event", *covs, F.array(*[F.lit(str(r)) for r in now]).alias("_models"), F.array(*[F.col(f"_n{i}").cast("double") for i in range(len(now))]).alias("n"))
+            got = fit_patterns(each, covs, default_penalty(covs, grid))
         out += [(r, got.get(str(r), NoFit("no rows"))) for r in now]
     rows.unpersist()
     return out

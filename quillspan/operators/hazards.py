@@ -1,23 +1,27 @@
 """Many Cox models at once over interval rows: batched Newton steps with halving, failure reasons and errors clustered by pair.
 
-Rows are collapsed to patterns (model, start, stop, event, covariates) that stay on the cluster. A step is one aggregation for all models: coefficients
-travel as a row a model, sums come back by (model, time), and a model's times, whose number the time grid bounds, are reduced to its
-likelihood, gradient and information. Only those reach the driver, which decides on each model's next point. Where all patterns together are few (a checked
+Rows, or patterns of them (start, stop, event, covariates), stay on the cluster as blocks of compact arrays, each row once, however many models it belongs to. A step
+is one pass over the blocks for all models: coefficients travel with the job, a task adds up its sums by (model, time), and a model's times, whose
+number the time grid bounds, are reduced to its likelihood, gradient and information. Only those reach the driver, which decides on each model's next point. Where all patterns together are few (a checked
 bound) the driver takes them and does the same sums itself.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CLIP = 30.0  # linear predictors are held within this
 FLAT = 1e-10  # a covariate whose range is smaller is constant
 STEEP = 15.0  # a coefficient that changes the log hazard by more over its covariate's range has run away
+ROWS = 1 << 17  # rows of a block
+SEP = "\x1f"  # between the names of a row's models
 LONG_TIES = 100_000  # with more events at a time, sums over them are integrals
 
 
@@ -192,60 +196,182 @@ class Search:
         self.point = self.best + self.step
 
 
-def grouped(value: Column, count: Column, covs: list[Column]) -> list[Column]:
-    """The sums of one step for rows with relative hazard ``value`` times their number ``count``."""
-    p = len(covs)
-    r = [F.sum("_r"), *[F.sum(F.col("_r") * c) for c in covs], *[F.sum(F.col("_r") * covs[i] * covs[j]) for i, j in pairs_of(p)]]
-    return [*r, F.sum(count).cast("double"), *[F.sum(count * c) for c in covs]]
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """The values in the smallest type that holds all of them exactly."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        return next((c for c in map(v.astype, (np.int8, np.int16, np.int32, np.float32)) if np.array_equal(c, v)), v)
+
+
+def _chunks(batches):
+    """Tables of about ``ROWS`` rows, each with its (models, places) by membership."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= ROWS:
+            yield _members(held)
+            held, n = [], 0
+    if n:
+        yield _members(held)
+
+
+def _members(batches):
+    table = pa.Table.from_batches(batches).combine_chunks()
+    key = table.column("_key").chunk(0).dictionary_encode()
+    code = key.indices.to_numpy(zero_copy_only=False)
+    return table, [(k.split(SEP), np.flatnonzero(code == i)) for i, k in enumerate(key.dictionary.to_pylist())]
+
+
+def _column(table, name: str, at: np.ndarray) -> np.ndarray:
+    """Values of a number column, or of a column of lists of one length as rows of a matrix, as doubles."""
+    c = table.column(name).chunk(0).take(pa.array(at))
+    return c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False).astype(float)
+
+
+def packed(rows: DataFrame, p: int) -> DataFrame:
+    """(_key, data): rows of equal membership as compact arrays, so that a step reads them without turning rows into columns again."""
+
+    def run(batches):
+        for table, members in _chunks(batches):
+            keys, data = [], []
+            for models, at in members:
+                start, stop, event = (_column(table, c, at) for c in ("start", "stop", "event"))
+                times = np.unique(np.concatenate([start, stop]))
+                spot = (np.searchsorted(times, start) * len(times) + np.searchsorted(times, stop)) * 2 + (event == 1)
+                order = np.argsort(spot, kind="stable")
+                spots, first = np.unique(spot[order], return_index=True)
+                at = at[order]
+                block = times, (spots // 2 // len(times), spots // 2 % len(times), spots % 2 == 1), first, _narrow(_column(table, "n", at)), [_narrow(_column(table, f"_x{i}", at)) for i in range(p)]
+                keys.append(SEP.join(models))
+                data.append(pickle.dumps(block, 5))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(data, pa.binary())], names=["_key", "data"])
+
+    return rows.mapInArrow(run, "_key string, data binary")
+
+
+def _scaled(xs: list[np.ndarray], scale: dict | None) -> list[np.ndarray]:
+    """Covariates in doubles, those of ``scale`` ({place: (low, high, mean, deviation)}) clipped and scaled."""
+    out = [x.astype(float) for x in xs]
+    for i, (lo, hi, m, s) in (scale or {}).items():
+        v = np.minimum(np.maximum(out[i], lo), hi)
+        out[i] = (v - m) / s if s is not None and s > 0 else v
+    return out
+
+
+def block_sums(block, j: int, point: np.ndarray, mean: np.ndarray, scale: dict | None):
+    """The times of a block and, a row a time, the sums of its ``j``-th model at ``point``: of starts, stops and events, then the events' number and x.
+
+    Rows of equal start, stop and event are neighbours, so they are added up first.
+    """
+    times, (a, z, event), first, n, xs = block
+    n = (n if n.ndim == 1 else n[:, j]).astype(float)
+    x = _scaled(xs, scale)
+    for v, m in zip(x, mean, strict=True):
+        v -= m
+    r, p, dead = np.zeros(len(n)), len(x), np.flatnonzero(event)
+    for v, b in zip(x, point, strict=True):
+        r += v * float(b)
+    r = n * np.exp(np.clip(r, -CLIP, CLIP))
+    rx, held = [r * v for v in x], np.empty(len(n))
+    total = lambda v: np.add.reduceat(v, first)
+    moments = [total(r), *map(total, rx), *(total(np.multiply(rx[i], x[k], out=held)) for i, k in pairs_of(p))]
+    own = [total(n), *(total(np.multiply(n, v, out=held)) for v in x)]
+    by = lambda at, v: np.bincount(at, v, len(times))
+    zd = z[dead]
+    return times, np.stack([*(by(a, v) for v in moments), *(by(z, v) for v in moments), *(by(zd, v[dead]) for v in moments), *(by(zd, v[dead]) for v in own)], axis=1)
+
+
+def _together(parts):
+    """Sums by time of several blocks as those of one."""
+    times = np.unique(np.concatenate([t for t, _ in parts]))
+    out = np.zeros((len(times), parts[0][1].shape[1]))
+    for t, v in parts:
+        out[np.searchsorted(times, t)] += v
+    return times, out
+
+
+def _split(v: np.ndarray, p: int):
+    k = 1 + p + len(pairs_of(p))
+    return v[:, :k], v[:, k : 2 * k], v[:, 2 * k : 3 * k], v[:, 3 * k :]
 
 
 class Models:
     """Patterns of many models with the same covariates, and their sums at given points."""
 
-    def __init__(self, patterns: DataFrame, covs: list[str], ties: str = "efron", max_local: int = 200_000):
-        """``patterns`` has _model, start, stop, event, n and the covariates. Up to ``max_local`` of them, all models together, are summed on the driver; more stay where they are."""
-        self.covs, self.ties, self.p, self.spark = covs, ties, len(covs), patterns.sparkSession
-        self.patterns = patterns.select(F.col("_model").cast("string").alias("_model"), "start", "stop", "event", F.col("n").cast("double").alias("n"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(covs)]).persist()
-        x = [F.col(f"_x{i}") for i in range(self.p)]
-        got = self.patterns.groupBy("_model").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("event")).alias("events"), F.count("*").alias("patterns"), F.array(*[F.sum(F.col("n") * c) / F.sum("n") for c in x]).alias("mean"), F.array(*[F.max(c) - F.min(c) for c in x]).alias("range"))
-        self.stats = {r._model: r for r in got.collect()}  # a row a model
+    def __init__(self, patterns: DataFrame, covs: list[str], ties: str = "efron", max_local: int = 200_000, scale: dict[str, dict] | None = None):
+        """``patterns`` has _models (an array of the models that a row belongs to), start, stop, event, n (a number, or an array with one for each model) and the covariates.
+
+        ``scale`` gives, a model, the covariates' places that are clipped and scaled (see ``_scaled``). Up to ``max_local`` patterns, all models together, are summed on the driver; more stay where they are.
+        """
+        self.covs, self.ties, self.p, self.spark, self.scale = covs, ties, len(covs), patterns.sparkSession, scale or {}
+        rows = patterns.select(F.array_join("_models", SEP).alias("_key"), "start", "stop", "event", "n", *[F.col(c).alias(f"_x{i}") for i, c in enumerate(covs)])
+        self.blocks = packed(rows, self.p).persist()
+        self.stats = {r._model: r for r in self._stats().collect()}  # a row a model
         self.local = None
         if sum(r.patterns for r in self.stats.values()) <= max_local:
-            xs = [f"_x{i}" for i in range(self.p)]
-            centred = lambda m, f: f[xs].to_numpy(float) - np.array(self.stats[m]["mean"], float)
-            held = self.patterns.toPandas()
-            self.local = {m: local_sums(f.start.to_numpy(float), f.stop.to_numpy(float), f.event.to_numpy(), centred(m, f), f.n.to_numpy(float)) for m, f in held.groupby("_model")}
-
-    def _sums(self, points: dict[str, np.ndarray]) -> DataFrame:
-        """Sums by (model, time, kind): 0 starts, 1 stops, 2 events."""
-        table = self.spark.createDataFrame([(m, [float(v) for v in b], [float(v) for v in self.stats[m]["mean"]]) for m, b in points.items()], "_model string, _b array<double>, _m array<double>")
-        x = [F.col(f"_x{i}") - F.col("_m")[i] for i in range(self.p)]
-        d = self.patterns.join(F.broadcast(table), "_model").select("_model", "start", "stop", "event", "n", "_b", *[c.alias(f"_x{i}") for i, c in enumerate(x)])
-        x = [F.col(f"_x{i}") for i in range(self.p)]
-        eta = sum((c * F.col("_b")[i] for i, c in enumerate(x)), F.lit(0.0))
-        d = d.withColumn("_r", F.col("n") * F.exp(F.least(F.greatest(eta, F.lit(-CLIP)), F.lit(CLIP))))
-        marks = F.array(F.struct(F.col("start").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("stop").alias("t"), F.when(F.col("event") == 1, 2).otherwise(1).alias("kind")))
-        d = d.select("_model", "n", "_r", *[f"_x{i}" for i in range(self.p)], F.explode(marks).alias("_at"))
-        return d.groupBy("_model", F.col("_at.t").alias("t"), F.col("_at.kind").alias("kind")).agg(*[c.alias(f"s{i}") for i, c in enumerate(grouped(F.col("_r"), F.col("n"), x))])
+            self.local = {}
+            for r in self.blocks.collect():
+                block = pickle.loads(r.data)
+                for j, m in enumerate(r._key.split(SEP)):
+                    self.local.setdefault(m, []).append((block, j))
+
+    def _stats(self) -> DataFrame:
+        p, scale = self.p, self.scale
+        sums, ends = [f"s{i}" for i in range(p)], [f"{k}{i}" for k in ("lo", "hi") for i in range(p)]
+
+        def run(batches):
+            for b in batches:
+                out = []
+                for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    block = pickle.loads(data)
+                    for j, m in enumerate(key.split(SEP)):
+                        _, (_, _, event), first, n, xs = block
+                        n = (n if n.ndim == 1 else n[:, j]).astype(float)
+                        some = np.flatnonzero(n)
+                        if len(some):
+                            events = np.add.reduceat(n, first)[event].sum()
+                            x, n = [v[some] for v in _scaled(xs, scale.get(m))], n[some]
+                            out.append((m, n.sum(), events, len(n), *(n @ v for v in x), *(v.min() for v in x), *(v.max() for v in x)))
+                if out:
+                    cols = list(zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(np.array(c, float)) for c in cols[1:]]], names=["_model", "rows", "events", "patterns", *sums, *ends])
+
+        got = self.blocks.mapInArrow(run, ", ".join(["_model string", *[f"{c} double" for c in ("rows", "events", "patterns", *sums, *ends)]]))
+        total = F.sum("rows")
+        return got.groupBy("_model").agg(total.alias("rows"), F.sum("events").alias("events"), F.sum("patterns").cast("long").alias("patterns"), F.array(*[F.sum(c) / total for c in sums]).alias("mean"), F.array(*[F.max(f"hi{i}") - F.min(f"lo{i}") for i in range(p)]).alias("range"))
+
+    def _local_sums(self, model: str, point: np.ndarray):
+        return _together([block_sums(block, j, point, np.array(self.stats[model].mean, float), self.scale.get(model)) for block, j in self.local[model]])
 
     def _reduced(self, points: dict[str, np.ndarray], reduce, schema: str) -> DataFrame:
-        p, k = self.p, 1 + self.p + len(pairs_of(self.p))
+        """``reduce`` of each model's sums: a task adds up its own blocks first, so that a row a (task, model) moves."""
+        p = self.p
+        at = {m: (b, np.array(self.stats[m].mean, float), self.scale.get(m)) for m, b in points.items()}
+
+        def run(batches):
+            held: dict[str, tuple] = {}
+            for b in batches:
+                for key, data in zip(b.column(0), b.column(1), strict=True):
+                    models = [(j, m) for j, m in enumerate(key.as_py().split(SEP)) if m in at]
+                    block = pickle.loads(data.as_py()) if models else None
+                    for j, m in models:
+                        got = block_sums(block, j, *at[m])
+                        held[m] = _together([held[m], got]) if m in held else got
+            for m, (t, v) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([m]), pa.array([t.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["_model", "t", "v"])
 
         def of_model(pdf: pd.DataFrame) -> pd.DataFrame:
-            times, at = np.unique(pdf.t.to_numpy(float), return_inverse=True)
-            v, kind = pdf[[f"s{i}" for i in range(k + 1 + p)]].to_numpy(float), pdf.kind.to_numpy()
-            kinds = [np.zeros((len(times), v.shape[1])) for _ in range(3)]
-            for n in range(3):
-                np.add.at(kinds[n], at[kind == n], v[kind == n])
-            return reduce(pdf._model.iloc[0], times, kinds[0][:, :k], (kinds[1] + kinds[2])[:, :k], kinds[2][:, :k], kinds[2][:, k:])
+            parts = [(np.frombuffer(t), np.frombuffer(v).reshape(len(t) // 8, -1)) for t, v in zip(pdf.t, pdf.v, strict=True)]
+            times, v = _together(parts)
+            return reduce(pdf._model.iloc[0], times, *_split(v, p))
 
-        return self._sums(points).groupBy("_model").applyInPandas(of_model, schema)
+        return self.blocks.mapInArrow(run, "_model string, t binary, v binary").groupBy("_model").applyInPandas(of_model, schema)
 
     def at(self, points: dict[str, np.ndarray]) -> dict[str, tuple]:
         """(logs, gradient, information, events' x) of each model at its point."""
         p, ties = self.p, self.ties
         if self.local is not None:
-            return {m: likelihood(*self.local[m](b)[1:], p, ties) for m, b in points.items()}
+            return {m: likelihood(*_split(self._local_sums(m, b)[1], p), p, ties) for m, b in points.items()}
 
         def reduce(model, times, *sums):
             logs, g, h, events, mass = likelihood(*sums, p, ties)
@@ -254,19 +380,21 @@ class Models:
         got = self._reduced(points, reduce, "_model string, logs double, g array<double>, h array<double>, x array<double>, mass array<double>").collect()
         return {r._model: (r.logs, np.array(r.g), np.array(r.h).reshape(p, p), np.array(r.x), np.array(r.mass)) for r in got}
 
-    def hazards(self, points: dict[str, np.ndarray]) -> DataFrame:
-        """(_model, t, v) of ``hazard_rows`` at the points."""
+    def hazards(self, points: dict[str, np.ndarray]) -> dict[str, tuple]:
+        """(times, ``hazard_rows``) of each model at its point; the time grid bounds the times."""
         p, ties = self.p, self.ties
+        if self.local is not None:
+            local = {m: self._local_sums(m, b) for m, b in points.items()}
+            return {m: (t, hazard_rows(*_split(v, p), p, ties)) for m, (t, v) in local.items()}
 
         def reduce(model, times, *sums):
-            return pd.DataFrame({"_model": model, "t": times, "v": hazard_rows(*sums, p, ties).tolist()})
+            return pd.DataFrame({"_model": [model], "t": [times.tobytes()], "v": [hazard_rows(*sums, p, ties).tobytes()]})
 
-        if self.local is not None:
-            return self.spark.createDataFrame(pd.concat([reduce(m, *self.local[m](b)) for m, b in points.items()]), "_model string, t double, v array<double>")
-        return self._reduced(points, reduce, "_model string, t double, v array<double>")
+        got = self._reduced(points, reduce, "_model string, t binary, v binary").collect()
+        return {r._model: (np.frombuffer(r.t), np.frombuffer(r.v).reshape(len(r.t) // 8, -1)) for r in got}
 
     def close(self) -> None:
-        self.patterns.unpersist()
+        self.blocks.unpersist()
 
 
 def search(models: Models, penalty: float, min_rows: int, min_events: int, rounds: int) -> dict[str, Search | NoFit]:
@@ -297,26 +425,35 @@ def search(models: Models, penalty: float, min_rows: int, min_events: int, round
 def clustered_meat(rows: DataFrame, models: Models, points: dict[str, np.ndarray], cluster: str, weight: str | None = None) -> dict[str, np.ndarray]:
     """Sum over clusters of the outer products of their summed score residuals, a matrix a model.
 
-    ``rows`` has _model, start, stop, event, the cluster and the covariates. A row's residual is its event's part less the hazard it was exposed to: running sums at its
-    stop less those at its start, found by two equi-joins of rows and times. With ``weight`` each row counts so often.
+    ``rows`` has _models, start, stop, event, the cluster and the covariates. A row's residual is its event's part less the hazard it was exposed to: running sums at its
+    stop less those at its start, looked up in the models' times. A task adds up what it has of a cluster. With ``weight`` each row counts so often.
     """
-    p, spark = models.p, rows.sparkSession
-    haz = models.hazards(points).persist()
-    table = spark.createDataFrame([(m, [float(v) for v in b], [float(v) for v in models.stats[m]["mean"]]) for m, b in points.items()], "_model string, _b array<double>, _m array<double>")
-    d = rows.select(F.col("_model").cast("string").alias("_model"), "start", "stop", "event", F.col(cluster).alias("_c"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(models.covs)])
-    d = d.join(F.broadcast(table), "_model")
-    d = d.join(haz.select("_model", F.col("t").alias("start"), F.col("v").alias("_v0")), ["_model", "start"]).join(haz.select("_model", F.col("t").alias("stop"), F.col("v").alias("_v1")), ["_model", "stop"])
-    x = [F.col(f"_x{i}") - F.col("_m")[i] for i in range(p)]
-    eta = sum((c * F.col("_b")[i] for i, c in enumerate(x)), F.lit(0.0))
-    d = d.withColumn("_r", F.exp(F.least(F.greatest(eta, F.lit(-CLIP)), F.lit(CLIP))))
-    v0, v1, r, event = F.col("_v0"), F.col("_v1"), F.col("_r"), F.col("event")
-
-    def residual(i: int) -> Column:
-        exposed = r * (x[i] * (v1[0] - v0[0]) - (v1[1 + i] - v0[1 + i]))
-        own = event * (x[i] - v1[2 + 2 * p + i] + r * (x[i] * v1[1 + p] - v1[2 + p + i]))
-        return F.sum(F.col("_w") * (own - exposed)).alias(f"_u{i}")
-
-    u = d.groupBy("_model", "_c").agg(*[residual(i) for i in range(p)])
+    p, haz = models.p, models.hazards(points)
+    at = {m: (b, np.array(models.stats[m].mean, float), models.scale.get(m), *haz[m]) for m, b in points.items()}
+    d = rows.select(F.array_join("_models", SEP).alias("_key"), "start", "stop", "event", F.col(cluster).alias("_c"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(models.covs)])
+
+    def run(batches):
+        for table, members in _chunks(batches):
+            for names, idx in members:
+                start, stop, event, w, *xs = (_column(table, c, idx) for c in ("start", "stop", "event", "_w", *[f"_x{i}" for i in range(p)]))
+                own = table.column("_c").chunk(0).take(pa.array(idx)).dictionary_encode(null_encoding="encode")
+                code = own.indices.to_numpy(zero_copy_only=False)
+                for m in (m for m in names if m in at):
+                    b, mean, scale, times, v = at[m]
+                    x = np.stack([c - k for c, k in zip(_scaled(xs, scale), mean, strict=True)], axis=1)
+                    r = np.exp(np.clip(x @ b, -CLIP, CLIP))[:, None]
+                    cum, i, k = np.ascontiguousarray(v[:, : 1 + p]), np.searchsorted(times, start), np.searchsorted(times, stop)
+                    over = cum[k] - cum[i]
+                    u = r * (over[:, 1:] - x * over[:, :1])
+                    dead = np.flatnonzero(event)
+                    xd, rd, vd = x[dead], r[dead], v[k[dead]]
+                    u[dead] += event[dead, None] * (xd - vd[:, 2 + 2 * p :] + rd * (xd * vd[:, 1 + p : 2 + p] - vd[:, 2 + p : 2 + 2 * p]))
+                    u *= w[:, None]
+                    sums = [pa.array(np.bincount(code, c, len(own.dictionary))) for c in u.T]
+                    yield pa.RecordBatch.from_arrays([pa.array([m] * len(own.dictionary), pa.string()), own.dictionary, *sums], names=["_model", "_c", *[f"_u{i}" for i in range(p)]])
+
+    kind = d.schema["_c"].dataType.simpleString()
+    u = d.mapInArrow(run, ", ".join(["_model string", f"_c {kind}", *[f"_u{i} double" for i in range(p)]]))
+    u = u.groupBy("_model", "_c").agg(*[F.sum(f"_u{i}").alias(f"_u{i}") for i in range(p)])
     got = u.groupBy("_model").agg(F.array(*[F.sum(F.col(f"_u{i}") * F.col(f"_u{j}")) for i, j in pairs_of(p)]).alias("m")).collect()
-    haz.unpersist()
     return {g._model: square(np.array(g.m, float), p) for g in got}

@@ -72,12 +72,27 @@ def clipped_scale(rows: DataFrame, columns: list[str], low: float, high: float,
 
     One pass over the rows counts their values; all else is taken from the counts.
     """
-    keys, folder = keys or [], work_folder(rows.sparkSession)
-    by = [*keys, "column"]
-    counts = stored(cumulative_counts(melted(rows, columns, keys), by, "value", folder), folder, f"ranked-{uuid.uuid4().hex}")
+    keys = keys or []
+    stats = scale_of_values(melted(rows, columns, keys), low, high, keys)
+    return stats.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col(k))).alias(f"_{k}_{c}") for c in columns for k in ("lo", "hi", "m", "s")])
+
+
+def scale_of_values(values: DataFrame, low: float, high: float, keys: list[str], weight: str | None = None) -> DataFrame:
+    """The same with a row a (``keys``, column) of melted values, whose weights say how many rows they stand for: lo, hi, m, s."""
+    by, folder = [*keys, "column"], work_folder(values.sparkSession)
+    counts = stored(cumulative_counts(values, by, "value", folder, weight), folder, f"ranked-{uuid.uuid4().hex}")
     ends = at_shares(counts, [low, high], by).groupBy(*by).agg(F.max(F.when(F.col("share") == low, F.col("value"))).alias("lo"), F.max(F.when(F.col("share") == high, F.col("value"))).alias("hi"))
     x = counts.join(ends, by).withColumn("v", F.least(F.greatest("value", "lo"), F.col("hi")))
     means = x.groupBy(*by).agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("m"))
     square = F.sum(F.col("n") * (F.col("v") - F.col("m")) * (F.col("v") - F.col("m")))
-    stats = x.join(means, by).groupBy(*by, "lo", "hi", "m").agg(F.sqrt(F.try_divide(square, F.sum("n") - 1)).alias("s"))
-    return stats.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col(k))).alias(f"_{k}_{c}") for c in columns for k in ("lo", "hi", "m", "s")])
+    return x.join(means, by).groupBy(*by, "lo", "hi", "m").agg(F.sqrt(F.try_divide(square, F.sum("n") - 1)).alias("s"))
+
+
+def model_scales(rows: DataFrame, columns: list[str], models: str, low: float = 0.05, high: float = 0.95) -> dict[str, dict[str, tuple]]:
+    """Of each model in the rows' array of models, and of each column, (lo, hi, m, s) as of ``clipped_scale``; values are counted before they are dealt to their models."""
+    counted = melted(rows, columns, [models]).groupBy(models, "column", "value").agg(F.count("*").alias("_w"))
+    each = counted.select(F.explode(models).alias("_model"), "column", "value", "_w")
+    out: dict[str, dict[str, tuple]] = {}
+    for r in scale_of_values(each, low, high, ["_model"], "_w").collect():  # a row a (model, column)
+        out.setdefault(r._model, {})[r["column"]] = (r.lo, r.hi, r.m, r.s)
+    return out

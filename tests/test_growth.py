@@ -71,3 +71,35 @@ def test_intervals_of_all_sets_come_from_one_pass(spark):
         ("a", 1, -48.0, 0.0, 0, 0, 0), ("a", 1, 0.0, 3.0, 1, 1, 0), ("a", 1, 3.0, 51.0, 0, 1, 1), ("a", 2, -48.0, 0.0, 0, 0, 0),
         ("both", 1, -48.0, 0.0, 0, 0, 0), ("both", 1, 0.0, 3.0, 1, 1, 0), ("both", 1, 3.0, 5.0, 1, 1, 1), ("both", 1, 5.0, 51.0, 0, 1, 1), ("both", 2, -48.0, 0.0, 0, 0, 0),
     ]
+
+
+def test_rows_of_many_models_are_held_once(spark, monkeypatch):
+    """A control that is in every model travels once, and each model still clips and scales by its own rows."""
+    import pickle
+
+    import numpy as np
+    import pytest
+    from pyspark.sql import functions as F
+
+    from quillspan.operators import fits, hazards
+
+    rng, rows = np.random.default_rng(3), []
+    for k in range(600):
+        t, late, body = k % 2, float(rng.integers(1, 30)), int(rng.integers(0, 500)) + 300 * (k % 5)
+        rows += [(k // 2, -48.0, late, int(rng.random() < 0.3), t, k % 5, body), (k // 2, late, late + 20, int(rng.random() < 0.4), t, k % 5, body)]
+    df = spark.createDataFrame(rows, "match_id long, start double, stop double, event int, treated int, part int, first_answer_body_len_chars long")
+    covs, held = ["treated", "first_answer_body_len_chars"], []
+
+    class Seen(hazards.Models):
+        def close(self):
+            held.extend(pickle.loads(r.data) for r in self.blocks.collect())
+            super().close()
+
+    monkeypatch.setattr(hazards, "Models", Seen)
+    parts = F.array(*[F.lit(str(i)) for i in range(5)])
+    member = F.when(F.col("treated") == 0, parts).otherwise(F.array(F.col("part").cast("string")))
+    got = fits.fit_models(df, covs, member, max_local=0)
+    assert sum(len(block[-1][0]) for block in held) == len(rows)
+    for i in range(5):
+        one = fits.cox(df.where(f"treated = 0 or part = {i}"), covs)
+        assert got[str(i)].coef == pytest.approx(one.coef.tolist(), abs=1e-9) and np.allclose(got[str(i)].cov, one.cov) and got[str(i)].n_rows == one.n_rows
