@@ -9,13 +9,15 @@ members go to the pairs of child nodes that stay within the budget. Each task re
 dense group costs rows in proportion to its members, and the stars meet in a distributed
 connected-components step.
 
-The pipeline stage (``near_copies``) links texts of five-word Jaccard 0.8 or more instead. Such pairs
-differ in too many of 64 bits for a join by Hamming distance, so bands of min-hashes say which texts meet;
+The pipeline stage (``near_copies``) links texts by the same fingerprints and trie join, and those of five-word Jaccard 0.8 or more too. Such pairs can
+differ in too many of 64 bits for a join by Hamming distance, so bands of min-hashes say which further texts meet;
 within such a unit an exact prefix-filtered set join finds the links, and no pair of a unit is written but those of a spanning star.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 
 from ._common import Tables, connected_components, cut, lean, modest_batches, partitions, read, settle_executors, slices, unused
 
+BITS = 3  # fingerprints that differ in so many bits or fewer link
 STEP = 8  # binary levels that one step of a split on the cluster takes
 CHUNK = 1 << 20  # node pairs expanded at once
 SLICE = 1 << 22  # bytes of text hashed at once
@@ -213,7 +216,12 @@ def _unrotate(key: np.ndarray, block: np.ndarray) -> np.ndarray:
     return np.where(right == 0, key, (key >> right) | (key << ((np.uint64(64) - right) & np.uint64(63))))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, budget: int = 3, max_unit: int = 16384) -> DataFrame:
+def print_groups(prints: DataFrame, budget: int = BITS, max_unit: int = 16384) -> DataFrame:
+    """(node, component) of distinct fingerprints ``fp`` that link to another within ``budget`` bits."""
+    return connected_components(link_stars(prints, budget, max_unit))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, budget: int = BITS, max_unit: int = 16384) -> DataFrame:
     """(id, fp, component, component_id) of every row.
 
     ``component`` is the smallest fingerprint reachable and ``component_id`` the smallest non-null id
@@ -222,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(fingerprints(docs, id_col, text_col, n))
     ids = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
-    groups = connected_components(link_stars(ids.select("fp"), budget, max_unit))
+    groups = print_groups(ids.select("fp"), budget, max_unit)
     of = ids.join(groups, ids.fp == groups.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     low = of.groupBy("component").agg(F.min("low").alias("component_id"))
     of = of.join(low, "component").select("fp", "component", "component_id")
@@ -438,8 +446,8 @@ def _large_units(large: DataFrame, linked, tables: Tables):
     yield linked(there.union(every).select("fp", F.xxhash64("key", "part", "own").alias("unit")))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component, component_id) as of ``near_duplicates``, linked by a five-word Jaccard of 0.8 or more.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None) -> DataFrame:
+    """(id, fp, component, component_id) as of ``near_duplicates``, linked by a five-word Jaccard of 0.8 or more; with ``budget`` also by SimHash (see ``fingerprints``) within so many bits.
 
     ``fp`` is the key of the shingle set, so equal sets are one from the start, and sets that share no band with another leave
     at once. A unit is the sets of one band key (beyond ``UNIT`` sets, see ``_large_units``); it gives only
@@ -452,17 +460,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches):
         for b in batches:
             for i, j in slices(b.column(1), SLICE):
-                sets = [shingles(t) for t in b.column(1).slice(i, j - i).to_pylist()]
+                texts = b.column(1).slice(i, j - i).to_pylist()
+                marks = np.array([0 if budget is None else fingerprint(t) for t in texts], np.uint64).view(np.int64)
+                sets = [shingles(t) for t in texts]
                 fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
                 lists = []
                 for rows, signed in (([band_keys(x) if len(x) else x for x in sets], np.int64), ([(x[:HELD] >> np.uint64(32)).astype(np.uint32) for x in sets], np.int32)):
                     flat = np.concatenate([rows[0][:0] if rows else np.zeros(0, signed), *rows]).view(signed)
                     lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), *lists], names=["id", "fp", "size", "keys", "held"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(marks), *lists], names=["id", "fp", "size", "mark", "keys", "held"])
 
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     id_type = frame.schema["id"].dataType
-    prints = cut(frame.mapInArrow(lean(run), T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("fp long, size int, keys array<long>, held array<int>").fields])))
+    prints = cut(frame.mapInArrow(lean(run), T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("fp long, size int, mark long, keys array<long>, held array<int>").fields])))
     ids = prints.groupBy("fp").agg(F.min("id").alias("low"))
     once = tables.cut(prints.groupBy("fp").agg(F.first("keys").alias("keys")))
     members = once.select("fp", F.explode("keys").alias("key"))
@@ -486,6 +496,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     unsure = tables.cut(found.where("not sure").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     if unsure.limit(1).count():
         edges = edges.union(_alike(docs, text_col, unsure, tables))
+    if budget is not None:  # sets whose texts' fingerprints are in one group are linked through the smallest of them
+        marks = tables.cut(prints.select("mark", "fp").distinct())
+        alike = print_groups(marks.select(F.col("mark").alias("fp")).distinct(), budget)
+        marks = tables.cut(marks.join(alike, marks.mark == alike.node, "left").select("fp", F.coalesce("component", "mark").alias("group")).distinct())
+        hubs = marks.groupBy("group").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
+        edges = edges.union(marks.join(hubs, "group").where("fp <> hub").select(F.col("hub").alias("src"), F.col("fp").alias("dst")))
     groups = connected_components(edges)
     tables.drop()
     of = ids.join(groups, ids.fp == groups.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
@@ -526,6 +542,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of texts linked by a five-word Jaccard of 0.8 or more one document stays, with its columns unchanged (nulls, ties and repeats as in ``keep_one``)."""
+    """Pipeline stage: of texts linked by SimHash (three or fewer differing bits) or by a five-word Jaccard of 0.8 or more one document stays, with its columns unchanged (nulls, ties and repeats as in ``keep_one``)."""
     settle_executors(spark)
-    return keep_one(docs, find=near_copies, mark=set_key)
+    return keep_one(docs, find=partial(near_copies, budget=BITS), mark=set_key)

@@ -125,3 +125,25 @@ def test_lexicon_counts_each_text_once(spark):
     got = [{r.h: r["mask"] for r in imatch.lexicon(df, "text", 0.0, 1.0, 2, limit).collect()} for limit in (10, 0)]
     h = {r.t: r.h for r in spark.createDataFrame([(t,) for t in "abcdef"], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
     assert got[0] == got[1] and set(got[0]) == {h["b"], h["c"], h["d"]}
+
+
+def test_the_near_dedup_stage_links_by_simhash_and_by_jaccard(spark):
+    """Texts whose fingerprints are near but whose word sets are not stay once, as do those that share words but no near fingerprint."""
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(500)]
+    base = [" ".join(rng.choice(words, 12)) for _ in range(60)]
+    once = [f"{t} {t}" for t in base]  # repeats change counts of shingles, not their set
+    loud = "x y z " * 4000
+    texts = [*base, *once, *(loud + t for t in base[:20])]  # one shingle's bits hold the fingerprint, the rest make the sets unlike
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    jaccard = [simhash.shingles(t) for t in texts[120:122]]
+    assert len(np.intersect1d(*jaccard)) < 0.5 * len(np.union1d(*jaccard)) and bin(simhash.fingerprint(texts[120]) ^ simhash.fingerprint(texts[121])).count("1") <= 3
+    kept = {r.doc_id for r in simhash.stage(spark, df, "").collect()}
+    prints, n = [simhash.fingerprint(t) for t in texts], len(texts)
+    sets, up = [simhash.shingles(t) for t in texts], list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 3 or len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])):
+                a, b = sorted((up[i], up[j]))
+                up = [a if u == b else u for u in up]
+    assert kept == set(up) and 120 in kept and not kept & set(range(121, 140))
