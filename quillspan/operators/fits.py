@@ -235,8 +235,9 @@ def pair_bootstrap(df: DataFrame, weights: DataFrame, covs: list[str] | None = N
         else:  # a pair's weights are an array, so that its rows are read once for all replicates
             of_pair = F.map_from_entries(F.collect_list(F.struct("replicate", "weight")))
             arrays = drawn.groupBy("match_id", "replicate").agg(F.sum("weight").alias("weight")).groupBy("match_id").agg(of_pair.alias("_m"))
-            arrays = arrays.select("match_id", F.array(*[F.coalesce(F.element_at("_m", F.lit(r).cast(drawn.schema["replicate"].dataType)), F.lit(0)) for r in now]).alias("_w"))
-            wide = rows.join(arrays, "match_id").groupBy("start", "stop", "event", *covs).agg(*[F.sum(F.col("_w")[i]).alias(f"_n{i}") for i in range(len(now))])
+            arrays = arrays.select("match_id", F.array(*[F.coalesce(F.element_at("_m", F.lit(r).cast(drawn.schema["replicate"].dataType)), F.lit(0)).cast("int") for r in now]).alias("_w"))
+            # the arrays hold every pair, and what they take is not seen by the size that a broadcast is chosen by: the driver never takes them
+            wide = rows.join(arrays.hint("merge"), "match_id").groupBy("start", "stop", "event", *covs).agg(*[F.sum(F.col("_w")[i]).alias(f"_n{i}") for i in range(len(now))])
             each = wide.select("start", "stop", "event", *covs, F.array(*[F.lit(str(r)) for r in now]).alias("_models"), F.array(*[F.col(f"_n{i}").cast("double") for i in range(len(now))]).alias("n"))
             got = fit_patterns(each, covs, default_penalty(covs, grid))
         out += [(r, got.get(str(r), NoFit("no rows"))) for r in now]

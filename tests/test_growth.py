@@ -103,3 +103,15 @@ def test_rows_of_many_models_are_held_once(spark, monkeypatch):
     for i in range(5):
         one = fits.cox(df.where(f"treated = 0 or part = {i}"), covs)
         assert got[str(i)].coef == pytest.approx(one.coef.tolist(), abs=1e-9) and np.allclose(got[str(i)].cov, one.cov) and got[str(i)].n_rows == one.n_rows
+
+
+def test_bootstrap_weights_of_all_pairs_do_not_pass_the_driver(spark, monkeypatch):
+    from quillspan.operators import fits
+
+    rows = [(k // 2, float(-48 + k % 7), float(k % 5 + 1), k % 3 % 2, k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "match_id long, start double, stop double, event int, treated int")
+    plans, fit = [], fits.fit_patterns
+    monkeypatch.setattr(fits, "fit_patterns", lambda each, *rest: plans.append(each._jdf.queryExecution().executedPlan().toString()) or fit(each, *rest))
+    got = fits.pair_bootstrap(df, study.multinomial_weights(df, "match_id", 3), ["treated"])
+    assert len(plans) == 1 and "BroadcastHashJoin [match_id" not in plans[0] and "SortMergeJoin [match_id" in plans[0]
+    assert [r for r, _ in got] == [0, 1, 2] and all(f for _, f in got)
