@@ -149,8 +149,7 @@ def bootstrap(spark: SparkSession, rows: str, output: str, scope: str | None = N
     m = m if scope is None else m.where(F.col("tenure_bucket") == scope)
     if max_pairs is not None:
         m = m.join(X.sample_ids(m, "match_id", max_pairs, seed), "match_id", "left_semi")
-    weights = S.multinomial_weights(m, "match_id", replicates, seed, first=first)
-    new = [(scope or "All", r, *[f.row(t)["coef"] for t in ("treated_active", "treated_post_question")]) for r, f in fits.pair_bootstrap(m, weights) if f]
+    new = [(scope or "All", r, *[f.row(t)["coef"] for t in ("treated_active", "treated_post_question")]) for r, f in fits.drawn_bootstrap(m, replicates, seed, first) if f]
     df, path = spark.createDataFrame(new, "scope string, replicate int, treated_active double, treated_post_question double"), f"{output.rstrip('/')}/bootstrap.parquet"
     if files.exists(spark, path):
         df = df.unionByName(spark.read.parquet(path).join(df.select("scope", "replicate"), ["scope", "replicate"], "left_anti"))

@@ -10,14 +10,17 @@ from dataclasses import dataclass, field
 from math import erfc, exp, isfinite, lgamma, log, sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import stored, work_folder
 from . import hazards
-from .features import response_bins
+from .features import dense_ids, response_bins
 from .hazards import NoFit
 from .quantiles import model_scales, wide_quantiles
 from .scores import mixed_model
+from .study import block_draws, multinomial_weights
 
 MAIN = ["treated", "post_question", "treated_post_question", "post", "treated_active"]
 SPEED_TERMS = ["rt_treated", "rt_active", "rt_post_question"]
@@ -245,6 +248,91 @@ def pair_bootstrap(df: DataFrame, weights: DataFrame, covs: list[str] | None = N
     return out
 
 
+HELD = 50_000  # patterns that a task of the bootstrap keeps before it hands them on
+
+
+def drawn_bootstrap(df: DataFrame, replicates: int, seed: int = 42, first: int = 0, covs: list[str] | None = None, grid: float = 1.0, rows_of=None, key: str = "match_id", block: int = 4096) -> list[tuple[int, Fit | NoFit]]:
+    """``pair_bootstrap`` with the draws of ``multinomial_weights``, none of which is ever a row.
+
+    ``df`` has interval rows, or units that ``rows_of`` turns into them row by row. Rows are dealt by blocks of pairs; a task draws its blocks' pairs for all replicates
+    and adds up the weights of equal patterns, so that what moves then is patterns, each with an array of its weights.
+    """
+    covs, numbers, spark, folder = covs or MAIN, range(first, first + replicates), df.sparkSession, work_folder(df.sparkSession)
+    rows_of = rows_of or (lambda d: d)
+    if SCALED & set(covs):  # each replicate's columns have their own scale
+        rows = rows_of(df)
+        return pair_bootstrap(rows, multinomial_weights(rows, key, replicates, seed, block=block, first=first), covs, grid)
+    ids = stored(dense_ids(df.where(F.col(key).isNotNull()), [key], "_n"), folder, "pairs")
+    total = ids.count()
+    dealt = df.join(ids, key).withColumn("_b", F.floor((F.col("_n") - 1) / block)).repartition("_b").sortWithinPartitions("_b")
+    columns = ["start", "stop", "event", *covs]
+    rows = on_grid(rows_of(dealt), grid).dropna(subset=covs).select("_b", "_n", *[F.col(c).cast("double").alias(c) for c in columns])
+    numbered = lambda batch, names: np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1)
+
+    def merged(parts):
+        """Distinct patterns and their summed weights."""
+        x, w = np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
+        order = np.lexsort(x.T)
+        x = x[order]
+        begin = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])) if len(x) else np.zeros(0, int)
+        return x[begin], np.add.reduceat(w[order], begin, axis=0) if len(x) else w
+
+    def given(x, w, step=2000):
+        for lo in range(0, len(x), step):
+            n = w[lo : lo + step]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * n.shape[1]), pa.array(n.astype(float).ravel()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in x[lo : lo + step].T), lists], names=[*columns, "n"])
+
+    def kept(parts):
+        """Patterns held and added up as they come; too many are handed on."""
+        held, n = [], 0
+        for part in parts:
+            held.append(part)
+            n += len(part[0])
+            if n > 2 * HELD:
+                held = [merged(held)]
+                n = len(held[0][0])
+                if n > HELD:
+                    yield from given(*held[0])
+                    held, n = [], 0
+        if held:
+            yield from given(*merged(held))
+
+    def of_block(at, pieces):
+        x = np.concatenate(pieces)
+        weights = np.ascontiguousarray(block_draws(at, total, block, numbers, seed, total).T)
+        order = np.lexsort(x[:, 1:].T)
+        x = x[order]
+        begin = np.flatnonzero(np.concatenate([[True], (x[1:, 1:] != x[:-1, 1:]).any(axis=1)]))
+        return x[begin, 1:], np.add.reduceat(weights[(x[:, 0].astype(np.int64) - 1) % block], begin, axis=0)
+
+    def blocks(batches):
+        at, pieces = None, []
+        for b in batches:
+            own, x = b.column("_b").to_numpy(), numbered(b, ["_n", *columns])
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi > lo:
+                    if pieces and own[lo] != at:
+                        yield of_block(at, pieces)
+                        pieces = []
+                    at = int(own[lo])
+                    pieces.append(x[lo:hi])
+        if pieces:
+            yield of_block(at, pieces)
+
+    def lists(batches):
+        for b in batches:
+            if b.num_rows:
+                yield numbered(b, columns), b.column("n").flatten().to_numpy().reshape(b.num_rows, -1)
+
+    schema = ", ".join([*(f"{c} double" for c in columns), "n array<double>"])
+    parts = rows.mapInArrow(lambda batches: kept(blocks(batches)), schema)
+    each = parts.repartition(spark.sparkContext.defaultParallelism, *columns).mapInArrow(lambda batches: kept(lists(batches)), schema)
+    got = fit_patterns(each.withColumn("_models", F.array(*[F.lit(str(r)) for r in numbers])), covs, default_penalty(covs, grid))
+    return [(r, got.get(str(r), NoFit("no rows"))) for r in numbers]
+
+
 def percentile_interval(values: list[float]) -> dict:
     """Deviation and the 2.5th and 97.5th percentiles (linear interpolation) of replicates."""
     v = np.array([x for x in values if x is not None and isfinite(x)])

@@ -172,3 +172,21 @@ def test_few_rows_move_for_helps_and_intervals(spark):
     got = sorted((r.question_id, r.outcomes, r.start, r.stop, r.event) for r in rows.collect())
     assert got == [(1, ["a"], -48.0, 0.0, 0), (1, ["a"], 0.0, 2.0, 1), (1, ["a"], 2.0, 3.0, 1), (1, ["a"], 3.0, 50.0, 0), (1, ["c"], -48.0, 0.0, 0), (1, ["c"], 0.0, 2.0, 0), (1, ["c"], 2.0, 4.0, 1), (1, ["c"], 4.0, 50.0, 0), (2, ["a", "c"], -48.0, 0.0, 0), (2, ["a", "c"], 0.0, 2.0, 0), (2, ["a", "c"], 2.0, 50.0, 0)]
     assert {r.question_id: r.tag_ids for r in events.question_tags(q, events.tag_dictionary(q)).collect()} == {i: [1, 2] for i in (1, 2, 3, 4)}
+
+
+def test_bootstrap_draws_are_never_rows(spark, monkeypatch):
+    """Draws of blocks of pairs within the tasks that hold their rows, against the same draws as a table of weights."""
+    import pytest
+
+    from quillspan.operators import fits
+
+    rows = [(k // 2, float(-48 + k % 7), float(k % 5 + 1), k % 3 % 2, k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "match_id long, start double, stop double, event int, treated int").repartition(3)
+    want = dict(fits.pair_bootstrap(df, study.multinomial_weights(df, "match_id", 4, seed=5, block=64, first=2), ["treated"]))
+    plans, fit = [], fits.fit_patterns
+    monkeypatch.setattr(fits, "fit_patterns", lambda each, *rest: plans.append(plan(each)) or fit(each, *rest))
+    monkeypatch.setattr(fits, "HELD", 20)  # patterns are handed on, and still add up
+    got = fits.drawn_bootstrap(df, 4, 5, 2, ["treated"], block=64)
+    assert len(plans) == 1 and "replicate" not in plans[0] and [r for r, _ in got] == [2, 3, 4, 5]
+    for r, f in got:
+        assert f.coef == pytest.approx(want[r].coef.tolist(), abs=1e-10) and (f.n_rows, f.n_events) == (want[r].n_rows, want[r].n_events)
